@@ -47,7 +47,7 @@ def train(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: st
     rows = docs.where(usable).select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(few), F.col("_key") == F.col("_id")).select("_key", "_text", "_y")
     got = annotate(rows, "_text", "_x", T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))]), lambda: lambda texts: [(features(t),) for t in texts])
     table = got.select("_key", "_y", F.col("_x.x").alias("x")).toPandas().sort_values("_key", kind="stable")
-    x = np.array(table["x"].tolist(), dtype=float).reshape(len(table), -1)
+    x = np.array(table["x"].tolist(), dtype=float) if len(table) else np.zeros((0, 0))
     return fit_additive(x, table["_y"].to_numpy(dtype=float))
 
 

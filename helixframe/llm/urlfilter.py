@@ -10,6 +10,7 @@ features of its text (null: of the empty text); if nothing is labelled, such url
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
@@ -93,23 +94,29 @@ def train(labelled: DataFrame, url: str, blocked: str, key: Column, max_rows: in
     The suffix statistics hold only suffixes of these rows, so their size is bounded too."""
     rows = bounded_sample(labelled.where(F.col(blocked).isNotNull()), key, max_rows).select(F.col(url).alias("u"), F.col(blocked).cast("int").alias("y")).collect()
     rows = sorted(((r.u, r.y) for r in rows), key=lambda r: (r[0] or "", r[1]))
-    shares: dict[str, list] = {}
-    for u, y in rows:
-        for s in suffixes(split(u)[0]):
-            one = shares.setdefault(s, [0, 0])
-            one[0] += y
-            one[1] += 1
+    folds = 5
+
+    def statistics(some) -> dict[str, tuple[int, int]]:
+        total: dict[str, tuple[int, int]] = {}
+        for u, y in some:
+            for x in suffixes(split(u)[0]):
+                blocked_, n = total.get(x, (0, 0))
+                total[x] = blocked_ + y, n + 1
+        return total
+
     prior = sum(y for _, y in rows) / len(rows) if rows else 0.0
     model = UrlModel(prior, {}, fit_trees(np.zeros((0, 0)), np.zeros(0)))
     if rows:
-        # a labelled URL must not see its own label in the statistics it learns from
-        x = []
-        for u, y in rows:
-            own = suffixes(split(u)[0])
-            model.shares = {s: (shares[s][0] - y, shares[s][1] - 1) for s in own}
-            x.append(model.row(u))
+        # a URL must not see its own label in the statistics that the trees learn from: they come from other folds
+        fold = [zlib.crc32((u or "").encode()) % folds for u, _ in rows]
+        x: list = [None] * len(rows)
+        for k in range(folds):
+            model.shares = statistics(r for r, f in zip(rows, fold, strict=True) if f != k)
+            for i, (u, _) in enumerate(rows):
+                if fold[i] == k:
+                    x[i] = model.row(u)
         model.trees = fit_trees(np.array(x, dtype=float), np.array([y for _, y in rows], dtype=float))
-        model.shares = {s: (b, n) for s, (b, n) in shares.items()}
+        model.shares = statistics(rows)
     return model
 
 
