@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from helixframe.llm import decontaminate, jaccard, langid, licenses, mixing, placement, quality, queries, toolcalls, urlfilter, vptree
+from helixframe.llm import common, decontaminate, jaccard, langid, licenses, mixing, placement, quality, queries, toolcalls, urlfilter, vptree
+from helixframe.llm.components import components
 
 SF = "/root/testdata/sf0.001"
 
@@ -228,3 +229,19 @@ def test_pipeline_stages(spark, odd, tmp_path):
         assert rows.count() > 0
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
     assert kept == {c for _, c in _components([(r.doc_id, r.text) for r in docs.collect()], 5, 80, 100).values()}
+
+
+@pytest.mark.parametrize("least", [2, 1000])
+def test_hot_join(spark, least):
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "k long, v long")
+    table = rows.where("k < 200").groupBy("k").agg(F.max("v").alias("m"), F.count("*").alias("often"))
+    got = common.hot_join(rows, table, ["k"], "often", F.col("v"), 300, least=least)
+    assert sorted((r.k, r.v, r.m) for r in got.collect()) == sorted((r.k, r.v, r.m) for r in rows.join(table, "k").collect())
+
+
+def test_components_with_hubs(spark):
+    rows = [(10_000 * (i % 3), i) for i in range(5000)] + [(7, 7)] + [(i, i + 20_000) for i in range(7, 5000, 7)]
+    got = components(spark.createDataFrame(rows, "a long, b long")).collect()
+    root = {r.node: r.root for r in got}
+    assert len(got) == len(root) and all(root[a] == root[b] for a, b in rows if a != b)
+    assert set(root.values()) == {0, 1, 2}
