@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,16 +46,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def cut_round(df: DataFrame) -> DataFrame:
-    """cut() for what loops: also forgets the size estimate.
-
-    A checkpointed table keeps the estimate of its plan, which for joins is a product of sizes, so its digits would multiply
-    with each round until they fill the driver.
-    """
-    done, spark = cut(df), df.sparkSession
-    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), spark)
-
-
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that clashes with none of df's, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -114,23 +103,6 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], often: str, spread: Column, total: int, least: int = 1000, most: int = 1_000_000) -> DataFrame:
-    """rows joined with table on its unique keys, without a task that gets all rows of a frequent key.
-
-    `often` is table's column of how many rows have the key, `total` an upper bound of its sum.  Keys with more than
-    d = max(least, total / most) rows are broadcast (fewer than total / d of them, so `most` at the most) and dealt over
-    one salt for each d rows by a hash of `spread`, a column of rows; table has a frequent key once for each salt.
-    """
-    d = max(least, -(-total // most))
-    # asks for every column, so that this and the join read the same shuffle (a key with a null is just not dealt)
-    whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in table.columns if c not in keys], F.lit(True))
-    hot = table.where((F.col(often) > d) & whole).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col(often) / d).cast("int").alias("_salts"))
-    same = [F.col(k) == F.col(f"_hot_{k}") for k in keys]
-    rows = rows.join(F.broadcast(hot), same, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_salts"))).cast("int"))
-    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(often) > d, F.ceil(F.col(often) / d).cast("int") - 1).otherwise(0))))
-    return rows.drop("_salts", *[f"_hot_{k}" for k in keys]).join(table, [*keys, "_salt"]).drop("_salt")
-
-
 def bounded_sample(df: DataFrame, key: Column, bound: int, seed: int = 7) -> DataFrame:
     """All rows if there are no more than `bound`, else about `bound` of them, chosen by a hash of the key (the same rows on every run)."""
     rows = df.count()
