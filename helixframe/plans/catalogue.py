@@ -258,6 +258,13 @@ def components(spark, d):
     return isoforms.components(li.select(F.col("l_orderkey").alias("feature"), F.col("l_partkey").alias("transcript")).distinct())
 
 
+@query()
+def components_all(spark, d):
+    """components over every edge of lineitem; that query keeps to the rows of its SQL, whose recursion holds all pairs of a component."""
+    li = _t(spark, d, "lineitem")
+    return isoforms.components(li.select(F.col("l_orderkey").alias("feature"), F.col("l_partkey").alias("transcript")).distinct())
+
+
 @query()
 def em_fit(spark, d):
     x = _exposure(spark, d)

@@ -69,3 +69,20 @@ def test_readers(spark, tmp_path):
     (tmp_path / "a.gtf").write_text('#x\nc1\ts\texon\t1\t5\t.\t+\t.\tgene_id "a;\\"b"; exon_id e1; exon_id "e0";\nc1\ts\tgene\t1\t5\t.\t+\t.\tgene_id "g"\n')
     got = gtf.read_exons(spark, str(tmp_path / "a.gtf")).collect()
     assert [(r.contig, r.start, r.end, r.exon_ids, r.gene_ids) for r in got] == [("c1", 1, 5, ["e0", "e1"], ['a;"b'])]
+
+
+def test_components_all_reaches_every_edge(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(o, int(p), n, int(s)) for o in range(60) for n, (p, s) in enumerate(zip(rng.integers(0, 40, 1 + o % 2) + 40 * (o % 5), rng.integers(1, 1000, 2), strict=False), 1)]
+    rows += [(100, 1000 + n, n, 500 + n) for n in range(1, 8)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    label = {p: p for _, p, *_ in rows}
+    while True:
+        old = dict(label)
+        for o in {r[0] for r in rows}:
+            parts = [r[1] for r in rows if r[0] == o]
+            label |= dict.fromkeys(parts, min(label[p] for p in parts))
+        if old == label:
+            break
+    got = {r.transcript: r.component for r in catalogue.queries()["components_all"](spark, str(tmp_path)).collect()}
+    assert got == label and len(set(label.values())) > 5 and got[1007] == 1001
