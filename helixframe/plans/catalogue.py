@@ -245,6 +245,24 @@ def observable_kmers(spark, d):
     return index.exposure(index.classes(_members(spark, d)), "gene").groupBy("gene").agg(F.sum("a").alias("observable_kmers"))
 
 
+_FEAT_ALL = _FEAT.replace("range(1, 19)", f"range(1, {64 - 7 + 2})")
+
+
+def _members_all(spark, d) -> DataFrame:
+    """Of all 64 bases; _members keeps to the first 24, as its SQL does."""
+    return index.memberships(index.kmers(records(spark, d), ["gene"], "seq", 7), "gene")
+
+
+@query(_FEAT_ALL + "SELECT feature, distinct_kmers, members::INTEGER AS members FROM fc")
+def feature_classes_all(spark, d):
+    return index.classes(_members_all(spark, d)).select("feature", "distinct_kmers", F.size("signature").alias("members"))
+
+
+@query(_FEAT_ALL + "SELECT gene, CAST(sum(m * distinct_kmers) AS BIGINT) AS observable_kmers FROM fc JOIN sg ON sg.ck = fc.feature JOIN ev ON ev.ck = fc.feature GROUP BY gene")
+def observable_kmers_all(spark, d):
+    return index.exposure(index.classes(_members_all(spark, d)), "gene").groupBy("gene").agg(F.sum("a").alias("observable_kmers"))
+
+
 def _exposure(spark, d) -> DataFrame:
     li = _t(spark, d, "lineitem").where("l_linenumber <= 2")
     return li.select(F.concat(F.lit("f"), "l_orderkey").alias("feature"), F.col("l_partkey").alias("transcript"), F.lit(1).cast("long").alias("a")).distinct()

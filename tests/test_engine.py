@@ -86,3 +86,11 @@ def test_components_all_reaches_every_edge(spark, tmp_path):
             break
     got = {r.transcript: r.component for r in catalogue.queries()["components_all"](spark, str(tmp_path)).collect()}
     assert got == label and len(set(label.values())) > 5 and got[1007] == 1001
+
+
+def test_features_of_all_bases(spark):
+    test_against_sql(spark, "feature_classes_all")
+    test_against_sql(spark, "observable_kmers_all")
+    # every window of 64 - 7 + 1 is in one class
+    got = catalogue.queries()["observable_kmers_all"](spark, SF).agg(F.sum("observable_kmers")).first()[0]
+    assert got == 58 * spark.read.parquet(f"{SF}/part.parquet").count()
