@@ -35,48 +35,75 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def rank(columns: np.ndarray, tolerance: float = 1e-10) -> int:
-    """Of columns scaled by their largest entry, by elimination with the largest pivot."""
-    a = columns.astype(float).copy()
-    a /= np.where(np.abs(a).max(axis=0) > 0, np.abs(a).max(axis=0), 1)
-    found = 0
-    while a.size and (pivot := np.unravel_index(np.abs(a).argmax(), a.shape)) and abs(a[pivot]) > tolerance:
-        row, col = pivot
-        a = np.delete(a - np.outer(a[:, col] / a[row, col], a[row]), row, axis=0)
-        a = np.delete(a, col, axis=1)
-        found += 1
-    return found
+def rank_of(columns: list[tuple[np.ndarray, np.ndarray]], tolerance: float = 1e-10) -> int:
+    """Of sparse columns (rows, values) scaled by their largest entry, by elimination on each column's first row left."""
+    basis: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    work = np.zeros(1 + max((int(r.max()) for r, _ in columns if len(r)), default=0))
+    for rows, values in columns:
+        work[:] = 0
+        work[rows] = values / max(float(np.abs(values).max(initial=0.0)), np.finfo(float).tiny)
+        at = 0
+        while (left := np.abs(work[at:]) > tolerance).any():
+            at += int(left.argmax())
+            if at not in basis:
+                keep = at + np.flatnonzero(left[int(left.argmax()) :])
+                basis[at] = keep, work[keep] / work[at]
+                break
+            by, (places, old) = work[at], basis[at]
+            work[places] -= by * old
+            at += 1
+    return len(basis)
 
 
-def em(exposure: np.ndarray, y: np.ndarray, max_iterations: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, int, bool]:
-    """Poisson EM over features x groups: (rates, assigned, iterations, converged)."""
-    lengths, total = exposure.sum(axis=0), y.sum()
-    theta = np.full(exposure.shape[1], total / lengths.sum())
-    seen = y > 0
+def rank(columns: np.ndarray, tolerance: float = 1e-10) -> int:
+    """rank_of the columns of a dense matrix."""
+    return rank_of([(np.flatnonzero(c), c[c != 0]) for c in np.asarray(columns, dtype=float).T], tolerance)
+
 
-    def expect(t):
-        rate = exposure @ t
-        return t * (exposure[seen].T @ (y[seen] / rate[seen])), float((y[seen] * np.log(rate[seen])).sum() - rate.sum())
+def em_entries(f: np.ndarray, t: np.ndarray, a: np.ndarray, groups: int, y: np.ndarray, max_iterations: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """Poisson EM over the entries (feature, group, exposure > 0) of a component: (rates, assigned, iterations, converged).
 
+    A step's change and the test of convergence at the end are sums of changes of rates, relative to the sum of rates.
+    """
+    lengths, total = np.bincount(t, a, groups), float(y.sum())
+    theta = np.full(groups, total / lengths.sum())
     if not total:
         return theta * 0, theta * 0, 0, True
-    assigned, like = expect(theta)
-    done, n = False, 0
+    seen = y > 0
+    keep = seen[f]
+    f, t, a = f[keep], t[keep], a[keep]
+
+    def expect(rates):
+        part = a * rates[t]
+        rate = np.bincount(f, part, len(y))
+        share = np.divide(y, rate, out=np.zeros(len(y)), where=seen)
+        return np.bincount(t, part * share[f], groups), float((y[seen] * np.log(rate[seen])).sum() - rates @ lengths)
+
+    change = lambda new, old: float(np.abs(new - old).sum() / max(old.sum(), np.finfo(float).tiny))
+    last, n = -np.inf, 0
     for n in range(1, max_iterations + 1):
+        assigned, like = expect(theta)
         new = assigned / lengths
-        moved = float(np.max(np.abs(new - theta) / np.maximum(np.maximum(new, theta), 1e-300)))
-        theta = new
-        assigned, now = expect(theta)
-        done, like = moved <= tolerance and abs(now - like) <= tolerance * max(total, 1), now
-        if done:
+        moved, theta = change(new, theta), new
+        if moved <= tolerance and abs(like - last) <= tolerance * max(total, 1):
             break
-    return theta, assigned, n, done
+        last = like
+    assigned, _ = expect(theta)
+    return theta, assigned, n, change(assigned / lengths, theta) <= tolerance
+
+
+def em(exposure: np.ndarray, y: np.ndarray, max_iterations: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """em_entries of a dense matrix of features x groups."""
+    f, t = np.nonzero(exposure)
+    return em_entries(f, t, exposure[f, t].astype(float), exposure.shape[1], y, max_iterations, tolerance)
 
 
 def fit(exposure: DataFrame, observed: DataFrame, max_iterations: int = 10_000, tolerance: float = 1e-8, rank_limit: int = 512) -> DataFrame:
     """(dataset, transcript, component, abundance, assigned, status) from exposure(feature, transcript, a) and observed(dataset, feature, y).
 
-    Components are fitted apart, each in one task: a component is a set of transcripts that share features, small by nature.
+    Components are fitted apart, each in one task, which holds the component's entries as lists (not as a matrix): its
+    memory and each iteration grow with the entries, so one component of most of a table is work of one task.
+    Entries of exposure are above 0, one a (feature, transcript).
     """
     found = components(exposure)
     rows = exposure.join(found, "transcript")
@@ -85,17 +112,21 @@ def fit(exposure: DataFrame, observed: DataFrame, max_iterations: int = 10_000,
     wide = rows.join(F.broadcast(datasets)).join(y.drop("component"), ["dataset", "feature"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)).cast("double"))
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["feature", "transcript"])
-        features, f = np.unique(part["feature"].astype(str), return_inverse=True)
-        transcripts, t = np.unique(part["transcript"], return_inverse=True)
-        a = np.zeros((len(features), len(transcripts)))
-        a[f, t] = part["a"]
+        f, features = pd.factorize(part["feature"], sort=True)
+        t, transcripts = pd.factorize(part["transcript"], sort=True)
+        order = np.lexsort((f, t))
+        f, t, a, y = f[order], t[order], part["a"].to_numpy(dtype=float)[order], part["y"].to_numpy(dtype=float)[order]
         obs = np.zeros(len(features))
-        obs[f] = part["y"]
-        profiles, group = np.unique(a, axis=1, return_inverse=True)
-        group = np.asarray(group).ravel()
-        theta, assigned, _, converged = em(profiles, obs, max_iterations, tolerance)
-        full = rank(profiles) == profiles.shape[1] if profiles.shape[1] <= rank_limit else None
+        obs[f] = y
+        # transcripts with equal entries are one group
+        ends = np.searchsorted(t, np.arange(len(transcripts) + 1))
+        names: dict[bytes, int] = {}
+        group = np.array([names.setdefault(f[i:j].tobytes() + a[i:j].tobytes(), len(names)) for i, j in zip(ends[:-1], ends[1:], strict=True)])
+        first = np.unique(group, return_index=True)[1]
+        spans = [slice(ends[i], ends[i + 1]) for i in first]
+        one_each = np.isin(t, first)
+        theta, assigned, _, converged = em_entries(f[one_each], group[t[one_each]], a[one_each], len(names), obs, max_iterations, tolerance)
+        full = rank_of([(f[x], a[x]) for x in spans]) == len(names) if len(names) <= rank_limit else None
         members = np.bincount(group)
         if not converged:
             status = ["non_converged"] * len(transcripts)

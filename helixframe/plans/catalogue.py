@@ -264,7 +264,7 @@ def observable_kmers_all(spark, d):
 
 
 def _exposure(spark, d) -> DataFrame:
-    li = _t(spark, d, "lineitem").where("l_linenumber <= 2")
+    li = _t(spark, d, "lineitem")
     return li.select(F.concat(F.lit("f"), "l_orderkey").alias("feature"), F.col("l_partkey").alias("transcript"), F.lit(1).cast("long").alias("a")).distinct()
 
 
@@ -286,8 +286,8 @@ def components_all(spark, d):
 @query()
 def em_fit(spark, d):
     x = _exposure(spark, d)
-    y = _t(spark, d, "lineitem").where("l_linenumber <= 2").groupBy(F.concat(F.lit("f"), "l_orderkey").alias("feature")).agg(F.sum("l_quantity").alias("y")).withColumn("dataset", F.lit(0))
-    return isoforms.fit(x, y, max_iterations=200)
+    y = _t(spark, d, "lineitem").groupBy(F.concat(F.lit("f"), "l_orderkey").alias("feature")).agg(F.sum("l_quantity").alias("y")).withColumn("dataset", F.lit(0))
+    return isoforms.fit(x, y)
 
 
 @query(_BASE + "SELECT dataset, target, count FROM mat WHERE count BETWEEN 100 AND 500 AND target IN (SELECT target FROM rec WHERE gene = 'Brand#11')")

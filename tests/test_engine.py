@@ -94,3 +94,25 @@ def test_features_of_all_bases(spark):
     # every window of 64 - 7 + 1 is in one class
     got = catalogue.queries()["observable_kmers_all"](spark, SF).agg(F.sum("observable_kmers")).first()[0]
     assert got == 58 * spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+def test_em_takes_all_rows_and_converges(spark, tmp_path):
+    # 1 and 2 share an order whose counts only 1 explains but for one: more than 200 iterations
+    rows = [(1, 1, 1, 300.0), (2, 1, 1, 301.0), (2, 2, 2, 1.0), (3, 30, 1, 4.0), (3, 31, 5, 6.0), (4, 31, 7, 5.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.transcript: r for r in catalogue.queries()["em_fit"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 30, 31] and {r.status for r in got.values()} == {"identifiable"} and got[30].component == got[31].component == 30
+    a = np.array([[1.0, 0.0], [1.0, 1.0]])
+    assert isoforms.em(a, np.array([300.0, 302.0]), 10_000, 1e-8)[2] > 200
+    assert [got[k].abundance for k in (1, 2, 30, 31)] == pytest.approx([300, 2, 5, 5], rel=1e-3)
+
+
+def test_em_of_a_wide_component(spark):
+    """As a matrix this component is 20,001 x 20,000."""
+    n = 20_000
+    ids = spark.range(n).select(F.concat(F.lit("f"), "id").alias("feature"), F.col("id").alias("transcript"), F.lit(1).cast("long").alias("a"))
+    x = ids.unionByName(ids.withColumn("feature", F.lit("all")))
+    y = ids.select(F.lit(0).alias("dataset"), "feature", (1 + F.col("transcript") % 3).cast("double").alias("y"))
+    y = y.unionByName(spark.createDataFrame([(0, "all", 2.0 * n)], "dataset int, feature string, y double"))
+    got = isoforms.fit(x, y).groupBy("status").agg(F.count("*"), F.sum("assigned"), F.countDistinct("component")).collect()
+    assert [(r[0], r[1], r[3]) for r in got] == [("rank_unchecked", n, 1)] and got[0][2] == pytest.approx(sum(1 + i % 3 for i in range(n)) + 2 * n)
