@@ -48,6 +48,11 @@ def annotated_contexts(transcripts: DataFrame, k: int, gene: str = "gene") -> Da
     return rows.select(F.col(gene), donor.alias("donor"), acceptor.alias("acceptor"), context.alias("context")).where(F.length("context") >= k).distinct()
 
 
+def exon_counts(merged: DataFrame, limit: int = 50, gene: str = "gene") -> DataFrame:
+    """(gene, exons, above_limit): of each gene, the merged exons, and whether exon_pairs leaves it out at this limit."""
+    return merged.groupBy(gene).agg(F.count("*").alias("exons")).withColumn("above_limit", F.col("exons") > limit)
+
+
 def exon_pairs(merged: DataFrame, k: int, limit: int = 50, gene: str = "gene") -> DataFrame:
     """All ordered pairs of disjoint merged exons of genes with at most `limit` of them: last k-1 bases of one, first k-1 of the other."""
     few = merged.groupBy(gene).agg(F.count("*").alias("_n")).where(F.col("_n") <= limit).select(gene)

@@ -224,6 +224,23 @@ def junction_all_pairs(spark, d):
     return intervals.exon_pairs(exons, K, 100).select("gene", "l_start", "r_start", "context")
 
 
+#: Exons of 50 neighbouring keys are a gene: within the default limit of exons a gene at every size.
+_BLOCK = 50
+
+
+@query(_BASE + f"""SELECT l.target // {_BLOCK} AS gene, l.target AS l_start, r.target AS r_start, right(l.seq, {K - 1}) || left(r.seq, {K - 1}) AS context FROM rec l JOIN rec r ON l.target // {_BLOCK} = r.target // {_BLOCK} AND l.target <> r.target
+WHERE l.target // {_BLOCK} IN (SELECT target // {_BLOCK} FROM rec GROUP BY 1 HAVING count(*) <= 50)""")
+def junction_block_pairs(spark, d):
+    exons = records(spark, d).select(F.floor(F.col("target") / _BLOCK).alias("gene"), F.col("target").alias("start"), F.col("target").alias("end"), "seq")
+    return intervals.exon_pairs(exons, K).select("gene", "l_start", "r_start", "context")
+
+
+@query(_BASE + "SELECT gene, count(*) AS exons, count(*) > 100 AS above_limit FROM rec GROUP BY gene")
+def junction_gene_report(spark, d):
+    """The genes of junction_all_pairs: those above its limit have no pairs there."""
+    return intervals.exon_counts(records(spark, d), 100)
+
+
 def _members(spark, d) -> DataFrame:
     return index.memberships(index.kmers(records(spark, d).withColumn("seq", F.substring("seq", 1, 24)), ["gene"], "seq", 7), "gene")
 

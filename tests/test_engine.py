@@ -116,3 +116,13 @@ def test_em_of_a_wide_component(spark):
     y = y.unionByName(spark.createDataFrame([(0, "all", 2.0 * n)], "dataset int, feature string, y double"))
     got = isoforms.fit(x, y).groupBy("status").agg(F.count("*"), F.sum("assigned"), F.countDistinct("component")).collect()
     assert [(r[0], r[1], r[3]) for r in got] == [("rank_unchecked", n, 1)] and got[0][2] == pytest.approx(sum(1 + i % 3 for i in range(n)) + 2 * n)
+
+
+def test_junctions_make_pairs_at_every_size(spark, tmp_path):
+    test_against_sql(spark, "junction_block_pairs")
+    test_against_sql(spark, "junction_gene_report")
+    n = 3000
+    spark.range(1, n + 1).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    per = [sum(1 for i in range(1, n + 1) if i // 50 == g) for g in range(n // 50 + 1)]
+    assert catalogue.queries()["junction_block_pairs"](spark, str(tmp_path)).count() == sum(x * (x - 1) for x in per)
+    assert [tuple(r) for r in catalogue.queries()["junction_gene_report"](spark, str(tmp_path)).collect()] == [("b", n, True)]
