@@ -1,18 +1,19 @@
-"""License scans: an exact set-similarity join of text blocks (lines) with templates, beside exact phrases.
+"""License scans: an exact set-similarity join of word windows with templates, beside exact phrases.
 
-A block matches a template if it holds at least `num`/`den` of the template's distinct words.  Words are in one global
+A window is any run of a text's words, across line breaks, of a template's own number of words times `den`/`num`, rounded up (room for
+other words in between).  It matches the template if it holds at least `num`/`den` of its distinct words.  Words are in one global
 order, rarest in the corpus first (counted over all documents, for the templates' words only; ties by the word).  With
-c words needed of a template's w, one of its first w - c + 1 words must be in the block (prefix); the block needs at
-least c distinct words (length); and from the place of the first shared word in that order, enough words must be left
-(position).  What passes is counted exactly.
+c words needed of a template's w, one of its first w - c + 1 words must be in the window (prefix), so only the windows
+around places of those words are counted, exactly; the score is that of the best window.
 
 Defined results: a null text is empty; a text without words has no places and no labels; templates have words (else
-an error); repeated lines count once for labels; a very long line is one block; extra columns pass through.
+an error); a template that is found at several places counts once for labels; line breaks do not matter, nor a text's
+length; extra columns pass through.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ FOUND = T.StructType(
 )
 #: The phrases asked for, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Customary license lines; a block that holds most of one's words gets its label.
+#: Customary license lines; a window that holds most of one's words gets its label.
 TEMPLATES = {
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
@@ -47,32 +48,53 @@ class TemplateIndex:
         self.sets, self.prefix = [], {}
         order = lambda w: (counts.get(w, 0), w)
         for text, label in templates.items():
-            words = sorted(set(alnum_words(text.encode())), key=order)
+            every = alnum_words(text.encode())
+            words = sorted(set(every), key=order)
             if not words:
                 raise ValueError("a template has no words")
             need = -(-num * len(words) // den)
-            for at, w in enumerate(words[: len(words) - need + 1]):
-                self.prefix.setdefault(w, []).append((len(self.sets), at))
-            self.sets.append((frozenset(words), need, label))
+            for w in words[: len(words) - need + 1]:
+                self.prefix.setdefault(w, []).append(len(self.sets))
+            self.sets.append((frozenset(words), need, -(-den * len(every) // num), label))
         self.heads = frozenset(self.prefix)
-        self.shortest = min(need for _, need, _ in self.sets)
+        self.shortest = min((need for _, need, _, _ in self.sets), default=0)
 
     def match(self, words: list[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of each template that a block matches."""
+        """(label, containment in its best window) of each template that a window of the words matches."""
         if len(words) < self.shortest or self.heads.isdisjoint(words):
             return []
-        block = frozenset(words)
-        first: dict[int, int] = {}
-        for w in self.heads & block:
-            for t, at in self.prefix[w]:
-                first[t] = min(at, first.get(t, at))
+        places: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in self.heads:
+                for t in self.prefix[w]:
+                    places.setdefault(t, []).append(i)
         out = []
-        for t, at in first.items():
-            words_of, need, label = self.sets[t]
-            if len(block) >= need and len(words_of) - at >= need and (same := len(block & words_of)) >= need:
+        for t, at in places.items():
+            words_of, need, width, label = self.sets[t]
+            if (same := self.best(words, at, words_of, width)) >= need:
                 out.append((label, same / len(words_of)))
         return out
 
+    @staticmethod
+    def best(words: list[bytes], at: list[int], words_of: frozenset[bytes], width: int) -> int:
+        """The most words of a template in one window of `width` words that holds one of the places `at` (ascending)."""
+        most, done = 0, 0
+        seen: dict[bytes, int] = {}
+        hits: deque[int] = deque()
+        for place in at:
+            for i in range(max(done, place - width + 1), min(len(words), place + width)):
+                if (w := words[i]) in words_of:
+                    hits.append(i)
+                    seen[w] = seen.get(w, 0) + 1
+                    while hits[0] <= i - width:
+                        old = words[hits.popleft()]
+                        seen[old] -= 1
+                        if not seen[old]:
+                            del seen[old]
+                    most = max(most, len(seen))
+            done = max(done, place + width)
+        return most
+
 
 def word_counts(docs: DataFrame, text: str, vocabulary: list[bytes]) -> dict[bytes, int]:
     """How often each word of the vocabulary occurs in all documents; the result has no more rows than the vocabulary."""
@@ -105,7 +127,7 @@ def phrase_places(words: list[bytes], phrases: list[tuple[tuple[bytes, ...], str
 def scan(docs: DataFrame, text: str, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, num: int = 4, den: int = 5, out: str = "license") -> DataFrame:
     """docs with the struct column `out`: n_words, n_base (places of phrases), first_word, last_word, base and method labels, score.
 
-    score: 1 if a phrase occurs, else the highest containment among matching blocks, else 0.
+    score: 1 if a phrase occurs, else the highest containment among matching windows, else 0.
     """
     templates = TEMPLATES if templates is None else templates
     counts = word_counts(docs, text, [w for t in templates for w in alnum_words(t.encode())])
@@ -118,10 +140,9 @@ def scan(docs: DataFrame, text: str, phrases: dict[str, str] | None = None, temp
         starts = frozenset(p[0] for p, _ in wanted)
 
         def one(raw):
-            blocks = [alnum_words(line) for line in (raw or b"").split(b"\n")]
-            words = [w for b in blocks for w in b]
+            words = alnum_words(raw)
             places, base = phrase_places(words, wanted, starts)
-            found = [m for b in blocks for m in index.match(b)]
+            found = index.match(words)
             score = 1.0 if places else max((c for _, c in found), default=0.0)
             return len(words), len(places), min(places, default=None), max(places, default=None), sorted(base), sorted({x for x, _ in found}), float(score)
 

@@ -215,6 +215,18 @@ def test_licenses_odd(spark, odd):
     assert b.license.base == [] and "gpl-3" in b.license.method and b.license.score == pytest.approx(11 / 12)
 
 
+def test_licenses_across_lines_and_within_windows(spark):
+    bsd = "redistribution and use in source and binary forms with or without modification are permitted".split()
+    texts = [
+        "Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that",
+        "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software",
+        (" filler" * 2000).join(bsd),
+        "x " * 9000 + " ".join(bsd) + " y" * 9000,
+    ]
+    got = [r.license for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1), "text").orderBy("k").collect()]
+    assert [(r.method, r.score) for r in got] == [(["bsd"], 1.0), (["mit"], 1.0), ([], 0.0), (["bsd"], 1.0)]
+
+
 def test_pipeline_stages(spark, odd, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
