@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import cut, forget  # noqa: F401
+
 #: A-Z, and what they become; other letters keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs of anything but ASCII white space.
@@ -37,15 +38,6 @@ def spaced_words(raw: bytes | None) -> list[bytes]:
     return raw.lower().split() if raw else []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that clashes with none of df's, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -1,17 +1,20 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams of one to three characters, hashed into a fixed number of buckets, per language; the matrix of
-smoothed log probabilities (buckets x languages, a size fixed by parameters) is broadcast; scoring turns each text into a
-sparse count vector and multiplies its nonzero buckets with the matrix in numpy.  One pass, no shuffle but the counts.
-
-Defined results: a text that is null or has no letter is `und` with score 0; so is every text if there was nothing to
-learn from; ties go to the language that sorts first; long texts are read whole, in chunks; repeated rows get the same
-result; extra columns pass through.
+Training counts n-grams of one to three characters, hashed into a fixed number of buckets, per language.  The matrix of
+log probabilities is broadcast sparse: a bucket's row holds only the languages that were seen with it, as what they add to
+the log probability of an unseen bucket, so its size is bounded by the n-grams of the training sample (`max_rows` texts)
+whatever the number of languages.  Scoring is a product of two sparse matrices in numpy: a batch of texts becomes
+(text, bucket, count) entries by one sort, and each meets its bucket's row.  One pass, no shuffle but the counts.
+
+Defined results: a text that is null or has no letter (str.isalpha of a character; numerals and marks are none) is `und`
+with score 0; so is every text if there was nothing to learn from; ties go to the language that sorts first; long texts
+are read whole, in chunks; repeated rows get the same result; an empty table gives an empty result; extra columns pass
+through.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -24,8 +27,9 @@ from pyspark.sql import types as T
 from .common import annotate, bounded_sample, bytes_of, pieces
 
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+CHUNK = 1 << 18
+_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 @cache
@@ -34,80 +38,151 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def gram_counts(text: str, bits: int, chunk: int = 1 << 18) -> np.ndarray:
-    """How often each bucket is hit by the 1-, 2- and 3-grams of the lower-cased letters; runs of anything else are one space."""
-    counts = np.zeros(1 << bits, dtype=np.int64)
-    shift, tail = np.uint64(64 - bits), np.array([32], dtype=np.uint64)
-    k = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+def _codes(text: str) -> np.ndarray:
+    """Code points of the lower-cased text; what is no letter is a space."""
+    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where(_letters()[code], code, 32).astype(np.uint64)
+
+
+def _grams(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mixed 1-, 2- and 3-grams that start at each place."""
+    one = code * _K[0]
+    two = one[:-1] * _K[1] + code[1:] + np.uint64(1)
+    three = two[:-1] * _K[2] + code[2:] + np.uint64(2)
+    return one, two, three
+
+
+def _buckets(grams: np.ndarray, bits: int) -> np.ndarray:
+    mixed = grams * _K[0]
+    return ((mixed ^ (mixed >> np.uint64(29))) * _K[1] >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def gram_counts(text: str, bits: int, chunk: int = CHUNK) -> np.ndarray:
+    """How often each bucket is hit by the grams of one text of any length; runs of anything but letters are one space."""
+    counts, tail = np.zeros(1 << bits, dtype=np.int64), np.array([32], dtype=np.uint64)
     for at in range(0, len(text), chunk):
-        code = np.frombuffer(text[at : at + chunk].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        code = np.where(_letters()[code], code, 32).astype(np.uint64)
-        code = np.concatenate([tail[-2:], code, [np.uint64(32)] if at + chunk >= len(text) else []]).astype(np.uint64)
+        code = np.concatenate([tail[-2:], _codes(text[at : at + chunk]), [np.uint64(32)] if at + chunk >= len(text) else []]).astype(np.uint64)
         keep = np.ones(len(code), dtype=bool)
         keep[1:] = (code[1:] != 32) | (code[:-1] != 32)
         code = code[keep]
         fresh = min(len(tail), 2)  # what the previous chunk has counted
-        one = code * k[0]
-        two = one[:-1] * k[1] + code[1:] + np.uint64(1)
-        three = two[:-1] * k[2] + code[2:] + np.uint64(2)
-        for grams, seen in ((one, fresh), (two, fresh - 1), (three, fresh - 2)):
-            mixed = grams[max(0, seen) :] * k[0]
-            counts += np.bincount(((mixed ^ (mixed >> np.uint64(29))) * k[1] >> shift).astype(np.int64), minlength=1 << bits)
+        for grams, seen in zip(_grams(code), (fresh, fresh - 1, fresh - 2), strict=True):
+            counts += np.bincount(_buckets(grams[max(0, seen) :], bits), minlength=1 << bits)
         tail = code[-2:]
     return counts
 
 
+def sparse_counts(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, bucket, count) of the grams of many texts, sorted by the first two; equal to gram_counts of each."""
+    parts = [np.concatenate([[np.uint64(32)], _codes(t), [np.uint64(32)]]) for t in texts]
+    code, owner = np.concatenate([*parts, np.zeros(0, dtype=np.uint64)]), np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+    keep = np.ones(len(code), dtype=bool)
+    keep[1:] = (code[1:] != 32) | (code[:-1] != 32) | (owner[1:] != owner[:-1])
+    code, owner = code[keep], owner[keep]
+    if len(code) < 3:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    first = np.append(True, owner[1:] != owner[:-1])  # the space before a text is no gram of its own
+    keys = []
+    for back, (grams, ok) in enumerate(zip(_grams(code), (~first, owner[1:] == owner[:-1], owner[2:] == owner[:-2]), strict=True)):
+        keys.append((owner[: len(code) - back][ok] << bits) | _buckets(grams[ok], bits))
+    key = np.sort(np.concatenate(keys))
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[starts] >> bits, key[starts] & ((1 << bits) - 1), np.diff(np.append(starts, len(key)))
+
+
+def blocks(texts: list[str | None], most: int = CHUNK) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts with their places, about `most` characters at a time; a longer text is alone."""
+    at, some, size = [], [], 0
+    for i, t in enumerate(texts):
+        if t:
+            if some and size + len(t) > most:
+                yield at, some
+                at, some, size = [], [], 0
+            at.append(i)
+            some.append(t)
+            size += len(t)
+    if some:
+        yield at, some
+
+
+def entries(some: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if len(some) == 1 and len(some[0]) > CHUNK:
+        counts = gram_counts(some[0], bits)
+        hit = np.flatnonzero(counts)
+        return np.zeros(len(hit), dtype=np.int64), hit, counts[hit]
+    return sparse_counts(some, bits)
+
+
 @dataclass(frozen=True)
 class LanguageModel:
+    """Row b of the matrix is entries starts[b] to starts[b + 1] of (column, gain); unseen is what any bucket has at least."""
+
     languages: tuple[str, ...]
-    log_prob: np.ndarray  # buckets x languages
+    starts: np.ndarray
+    column: np.ndarray
+    gain: np.ndarray
+    unseen: np.ndarray
     prior: np.ndarray
     bits: int
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not LETTER.search(text):
-            return UND, 0.0
-        counts = gram_counts(text, self.bits)
-        hit = np.flatnonzero(counts)
-        total = counts[hit] @ self.log_prob[hit] + self.prior
-        best = int(np.argmax(total))
-        return self.languages[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
-
-
-def train(df: DataFrame, text: str, lang: str, key: Column, bits: int = 14, max_rows: int = 20_000, max_languages: int = 512) -> LanguageModel:
-    """Learn from the rows of df whose text and lang are not null.
-
-    Of more than `max_rows` such rows, about that many are used, chosen by a hash of `key`.  `max_languages` bounds the
-    broadcast matrix; beyond it the languages with fewest training rows are not learned.
+    def totals(self, some: list[str], most: int = 1 << 22) -> np.ndarray:
+        """Log probabilities, texts x languages."""
+        many = len(self.languages)
+        doc, bucket, count = entries(some, self.bits)
+        out = np.outer(np.bincount(doc, count, len(some)), self.unseen) + self.prior
+        width = self.starts[bucket + 1] - self.starts[bucket]
+        for part in np.split(np.arange(len(doc)), np.searchsorted(np.cumsum(width), np.arange(most, width.sum(), most))):
+            w = width[part]
+            at = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w) + np.repeat(self.starts[bucket[part]], w)
+            cell = np.repeat(doc[part] * many, w) + self.column[at]
+            out += np.bincount(cell, np.repeat(count[part], w) * self.gain[at], len(some) * many).reshape(out.shape)
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        got = [(UND, 0.0)] * len(texts)
+        if self.languages:
+            for at, some in blocks([t if t and any(map(str.isalpha, t)) else None for t in texts]):
+                total = self.totals(some)
+                best = total.argmax(axis=1)
+                top = total[np.arange(len(some)), best]
+                score = 1 / np.exp(np.clip(total - top[:, None], -700, 0)).sum(axis=1)
+                for i, b, s in zip(at, best.tolist(), score.tolist(), strict=True):
+                    got[i] = (self.languages[b], s)
+        return got
+
+
+def train(df: DataFrame, text: str, lang: str, key: Column, bits: int = 14, max_rows: int = 20_000, smooth: float = 0.1) -> LanguageModel:
+    """Learn from the rows of df whose text and lang are not null: all of them, or about `max_rows`, chosen by a hash of `key`.
+
+    Every language among these rows is learned.
     """
     rows = bounded_sample(df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()), key, max_rows).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
 
     def count(batches):
-        total: dict[str, list] = {}
         for whole in batches:
-            for batch in pieces(whole, 0):
-                for raw, name in zip(bytes_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                    one = total.setdefault(name, [0, np.zeros(1 << bits, dtype=np.int64)])
-                    one[0] += 1
-                    one[1] += gram_counts(raw.decode("utf-8", "replace"), bits)
-        for name, (n, counts) in total.items():
-            hit = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (len(hit) + 1)), pa.array(np.append(hit, -1)), pa.array(np.append(counts[hit], n))], names=["lang", "bucket", "n"])
-
-    sums = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).cache()
-    docs = {r.lang: r.n for r in sums.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+            for batch in pieces(whole, 0, 1 << 20):
+                texts, names = [raw.decode("utf-8", "replace") for raw in bytes_of(batch.column(0))], batch.column(1).to_pylist()
+                langs, which = np.unique(np.array(names, dtype=object), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(langs.tolist(), pa.string()), pa.array(np.full(len(langs), -1)), pa.array(np.bincount(which, minlength=len(langs)))], names=["lang", "bucket", "n"])
+                for at, some in blocks(texts):
+                    doc, bucket, n = entries(some, bits)
+                    own = which[np.array(at)][doc]
+                    cell, inverse = np.unique((own << bits) | bucket, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(langs[cell >> bits].tolist(), pa.string()), pa.array(cell & ((1 << bits) - 1)), pa.array(np.bincount(inverse, n, len(cell)).astype(np.int64))], names=["lang", "bucket", "n"])
+
+    # at most as many rows as the sample has n-grams, whatever the corpus
+    table = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    docs = table[table["bucket"] < 0].set_index("lang")["n"].to_dict()
     languages = tuple(sorted(docs))
-    matrix = np.zeros((1 << bits, len(languages)))
-    # at most 2^bits x max_languages rows, whatever the corpus
-    table = sums.where((F.col("bucket") >= 0) & F.col("lang").isin(list(languages))).toArrow() if languages else None
-    if table is not None and table.num_rows:
-        index = {x: i for i, x in enumerate(languages)}
-        matrix[table["bucket"].to_numpy(), [index[x] for x in table["lang"].to_pylist()]] = table["n"].to_numpy()
-    sums.unpersist()
-    with np.errstate(divide="ignore"):
-        log_prob = np.log((matrix + 0.1) / (matrix.sum(axis=0) + 0.1 * (1 << bits)))
-        prior = np.log(np.array([docs[x] for x in languages], dtype=float) / max(1, sum(docs.values())))
-    return LanguageModel(languages, log_prob, prior, bits)
+    table = table[table["bucket"] >= 0]
+    number = {x: i for i, x in enumerate(languages)}
+    column = np.array([number[x] for x in table["lang"]], dtype=np.int64)
+    bucket, n = table["bucket"].to_numpy(dtype=np.int64), table["n"].to_numpy(dtype=float)
+    order = np.lexsort((column, bucket))
+    total = np.bincount(column, n, len(languages)) + smooth * (1 << bits)
+    prior = np.log(np.array([docs[x] for x in languages], dtype=float) / max(1, sum(docs.values())))
+    starts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+    return LanguageModel(languages, starts, column[order], np.log(n[order] / smooth + 1), np.log(smooth / total), prior, bits)
 
 
 def predict(df: DataFrame, text: str, model: LanguageModel, out: str = "language") -> DataFrame:
@@ -116,6 +191,6 @@ def predict(df: DataFrame, text: str, model: LanguageModel, out: str = "language
 
     def make():
         m = shared.value
-        return lambda texts: [m.predict(x.decode("utf-8", "replace") if x is not None else None) for x in texts]
+        return lambda texts: m.predict([x.decode("utf-8", "replace") if x is not None else None for x in texts])
 
     return annotate(df, text, out, RESULT, make)
