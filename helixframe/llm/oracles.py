@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import ALNUM, LOWER, SPACED, UPPER
 from .licenses import PHRASES, TEMPLATES
+from .placement import SLOTS, fill
 
 _LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
@@ -25,16 +26,26 @@ WITH e AS (
     CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
     CASE role WHEN 'user' THEN conv_id || ':' || turn WHEN 'assistant' THEN conv_id || ':' || (turn - 1) END AS id, role, text
   FROM conversations),
-k AS (SELECT *, row_number() OVER (PARTITION BY conv, kind, id ORDER BY turn) AS nth FROM e),
+k AS (SELECT *, min(turn) OVER (PARTITION BY conv, kind, id) AS first FROM e),
+ends AS (SELECT conv, id, min(turn) FILTER (kind = 'call') AS call, min(turn) FILTER (kind = 'result') AS result FROM e WHERE kind <> 'message' GROUP BY conv, id),
+-- a call stands on the reply two turns before it, if there is one; unbroken runs of such calls count up by two
+chain AS (
+  SELECT a.conv, a.id, a.call, b.result IS NOT NULL AS after, b.call IS NOT NULL AS deep
+  FROM ends a LEFT JOIN ends b ON a.conv = b.conv AND b.id = a.conv || ':' || (a.call - 2) WHERE a.call IS NOT NULL),
+runs AS (SELECT *, sum(CASE WHEN after AND deep THEN 0 ELSE 1 END) OVER (PARTITION BY conv, call % 2 ORDER BY call) AS run FROM chain),
+deep AS (
+  SELECT conv, id, 2 * (row_number() OVER (PARTITION BY conv, call % 2, run ORDER BY call) - 1) AS steps, after AND NOT deep AS lone FROM runs),
+level AS (SELECT conv, id, CAST(greatest(steps, CASE WHEN lone THEN 1 ELSE 0 END) AS INTEGER) AS level FROM deep),
 l AS (
-  SELECT a.*, b.id IS NOT NULL AS linked FROM k a
-  LEFT JOIN k b ON a.conv = b.conv AND a.id = b.id AND a.kind <> b.kind AND a.kind <> 'message' AND b.kind <> 'message' AND a.nth = 1 AND b.nth = 1)
-SELECT conv, 0::INTEGER AS level, turn, 0::INTEGER AS part, kind, id, linked,
+  SELECT k.*, turn = first AS nth, ends.call IS NOT NULL AND ends.result IS NOT NULL AND turn = first AND kind <> 'message' AS linked, level.level AS base
+  FROM k LEFT JOIN ends ON k.conv = ends.conv AND k.id = ends.id LEFT JOIN level ON k.conv = level.conv AND k.id = level.id)
+SELECT conv, CAST(CASE WHEN kind = 'call' AND nth THEN base WHEN kind = 'result' AND linked THEN base + 1 ELSE 0 END AS INTEGER) AS level, turn, 0::INTEGER AS part, kind, id, coalesce(linked, false) AS linked,
   array_to_string(list_concat(
     CASE WHEN kind = 'message' OR linked THEN []::VARCHAR[] WHEN kind = 'call' THEN ['no result'] ELSE ['no call'] END,
-    CASE WHEN kind <> 'message' AND nth > 1 THEN ['repeated id'] ELSE []::VARCHAR[] END), ',') AS problems,
+    CASE WHEN kind <> 'message' AND NOT nth THEN ['repeated id'] ELSE []::VARCHAR[] END,
+    CASE WHEN kind = 'call' AND text IS NULL THEN ['missing prompt'] WHEN kind = 'call' AND length(text) > 200 THEN ['length prompt'] ELSE []::VARCHAR[] END), ',') AS problems,
   CASE kind
-    WHEN 'call' THEN CAST(json_object('arguments', CAST(json_object('prompt', text) AS VARCHAR), 'id', id, 'kind', kind, 'name', 'reply', 'turn', turn) AS VARCHAR)
+    WHEN 'call' THEN CAST(json_object('arguments', json_object('prompt', text), 'id', id, 'kind', kind, 'name', 'reply', 'turn', turn) AS VARCHAR)
     WHEN 'result' THEN CAST(json_object('content', text, 'id', id, 'kind', kind, 'turn', turn) AS VARCHAR)
     ELSE CAST(json_object('content', text, 'kind', kind, 'name', role, 'turn', turn) AS VARCHAR) END AS json
 FROM l
@@ -137,4 +148,11 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) A
 FROM w LEFT JOIN base USING (doc_id) LEFT JOIN method USING (doc_id)
 """
 
-ORACLES = {"op2_nearest_neighbours": NEAREST, "op3_tool_calls": TOOL_CALLS, "op5_decontaminate": DECONTAMINATE, "op7_mixing": MIXING, "op8_jaccard_join": JACCARD, "op10_licenses": LICENSES}
+#: The slots as the operator fills them; the rest of the placement is SQL's own.
+SHARDING = f"""
+WITH t AS (SELECT {fill([f'shard-{i:03d}' for i in range(64)]).tolist()}::INTEGER[] AS shards),
+d AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15) AS BIGINT) % {SLOTS} AS slot, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM documents)
+SELECT doc_id, slot, shards[slot + 1] AS shard, n_bytes FROM d, t
+"""
+
+ORACLES = {"op6_sharding": SHARDING, "op2_nearest_neighbours": NEAREST, "op3_tool_calls": TOOL_CALLS, "op5_decontaminate": DECONTAMINATE, "op7_mixing": MIXING, "op8_jaccard_join": JACCARD, "op10_licenses": LICENSES}

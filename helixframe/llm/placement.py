@@ -6,7 +6,8 @@ takes w turns a round.  The table's size is a parameter, so its broadcast is bou
 so placement is one lookup, with no shuffle, and adding a shard moves few rows.
 
 Defined results: a null key is placed by the hash of the fallback column (all nulls: of the empty string); equal keys
-share a shard; an empty table gives an empty result; extra columns pass through.
+share a shard; very long keys and texts are hashed whole; an empty table gives an empty result; extra columns pass through,
+but for those that are named like an output column, in any case: the output takes their place.
 """
 
 from __future__ import annotations
@@ -58,9 +59,11 @@ def slot_of(key: Column, slots: int) -> Column:
 def place(df: DataFrame, key: str, shards: list[str], fallback: str | None = None, slots: int = SLOTS, weights: list[int] | None = None, slot_out: str = "slot", out: str = "shard") -> DataFrame:
     """df with the slot of each row's key and the number of the shard that claimed it."""
     table = fill(shards, slots, weights)
-    look = free_name(df, "_slot_key")
-    spark = df.sparkSession
-    lookup = spark.createDataFrame([(i, int(s)) for i, s in enumerate(table)], f"{look} long, {out}_number int")
-    value = F.coalesce(F.col(key).cast("string"), *([F.col(fallback).cast("string")] if fallback else []), F.lit(""))
+    # all helper columns are free of clashes with df; a column of df named like an output is replaced by it
+    look, number, at = (free_name(df, x) for x in ("_slot_key", "_slot_number", "_slot_at"))
+    lookup = df.sparkSession.createDataFrame([(i, int(s)) for i, s in enumerate(table)], f"{look} long, {number} int")
+    value = F.coalesce(F.col(f"`{key}`").cast("string"), *([F.col(f"`{fallback}`").cast("string")] if fallback else []), F.lit(""))
     # the lookup has `slots` rows, whatever the input
-    return df.withColumn(slot_out, slot_of(value, slots)).join(F.broadcast(lookup), F.col(slot_out) == F.col(look)).drop(look).withColumnRenamed(f"{out}_number", out)
+    got = df.withColumn(at, slot_of(value, slots)).join(F.broadcast(lookup), F.col(at) == F.col(look))
+    rest = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (slot_out.lower(), out.lower())]
+    return got.select(*rest, F.col(at).alias(slot_out), F.col(number).alias(out))

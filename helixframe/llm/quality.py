@@ -4,7 +4,8 @@ Features are counted on the bytes of a whole text with numpy; scoring is a sum o
 
 Defined results: a null or empty text has features of zero and gets the score the tables give it; without labels, or
 with labels of one kind, every score is the (smoothed) share of good labels, 0.5 if there are none; labels other than
-0 and 1, and labels of an id that disagree, are left out; extra columns pass through.
+0 and 1, and labels of an id that disagree, are left out; of documents that repeat an id one is learned from, and every one
+is scored; very long texts are read whole; an empty table gives an empty result; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -42,11 +43,15 @@ def features(raw: bytes | None) -> list[float]:
 def train(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, usable: Column, max_rows: int = 8_000) -> AdditiveModel:
     """Learn from labelled rows of docs for which `usable` (a condition on docs) holds; beyond `max_rows`, from about that many, chosen by a hash of the id."""
     good = labels.where(F.col(label_key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(label_key).alias("_id")).agg(F.min(label).alias("_y"), F.max(label).alias("_other")).where("_y = _other").select("_id", "_y")
-    few = bounded_sample(good, F.col("_id"), max_rows)
-    # the sample's size is bounded, so it can be broadcast
-    rows = docs.where(usable).select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(few), F.col("_key") == F.col("_id")).select("_key", "_text", "_y")
+    ids = docs.where(usable).select(F.col(key).alias("_id")).distinct()
+    # the sample is drawn from ids that are both labelled and usable; it is bounded, so it can be broadcast
+    few = bounded_sample(good.join(ids, "_id"), F.col("_id"), max_rows)
+    rows = docs.where(usable).select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(few), F.col("_key") == F.col("_id"))
+    # one row an id, whatever repeats: the one whose text has the least hash
+    rows = rows.select("_key", "_text", "_y", F.xxhash64("_text").alias("_h"))
     got = annotate(rows, "_text", "_x", T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))]), lambda: lambda texts: [(features(t),) for t in texts])
-    table = got.select("_key", "_y", F.col("_x.x").alias("x")).toPandas().sort_values("_key", kind="stable")
+    one = got.groupBy("_key").agg(F.min(F.struct("_h", "_y", F.col("_x.x").alias("x"))).alias("_r"))
+    table = one.select("_key", "_r._y", "_r.x").toPandas().sort_values("_key", kind="stable")
     x = np.array(table["x"].tolist(), dtype=float) if len(table) else np.zeros((0, 0))
     return fit_additive(x, table["_y"].to_numpy(dtype=float))
 

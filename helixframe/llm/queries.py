@@ -10,7 +10,7 @@ from .oracles import ORACLES
 
 #: (verdict, host, path)
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-TOOLS = {"reply": {"prompt": ("string", True)}}
+TOOLS = {"reply": {"prompt": {"type": "string", "required": True, "max_length": 200}}}
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 

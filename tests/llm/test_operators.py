@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from helixframe.llm import decontaminate, jaccard, langid, licenses, mixing, placement, quality, queries, toolcalls, urlfilter, vptree
+from helixframe.llm import boosting, decontaminate, jaccard, langid, licenses, mixing, placement, quality, queries, toolcalls, urlfilter, vptree
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,6 +44,32 @@ def test_language_counts_are_the_same_in_chunks():
     assert (langid.gram_counts(text, 12) == langid.gram_counts(text, 12, chunk=7)).all()
 
 
+def test_language_sparse_counts_and_scores_against_plain_code():
+    texts = ["Élan vital, 12", "", "a", "x  y", "½ ² Ⅷ ①", "Straße İstanbul " * 30]
+    for i, t in enumerate(texts):
+        doc, bucket, n = langid.sparse_counts(texts, 10)
+        mine = np.zeros(1024, dtype=int)
+        np.add.at(mine, bucket[doc == i], n[doc == i])
+        assert t == "" or (mine == langid.gram_counts(t, 10)).all()
+    one = langid.LanguageModel(("xx",), np.zeros(1025, dtype=int), np.zeros(0, dtype=int), np.zeros(0), np.array([-1.0]), np.zeros(1), 10)
+    assert [p for p, _ in one.predict([*texts, None, "ª", "½", "Ⅷ", "①"])] == ["xx", "und", "xx", "xx", "und", "xx", "und", "xx", "und", "und", "und"]
+
+
+def test_language_naive_bayes_against_plain_code(spark):
+    rows = [(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, "le chat et le chien", "fr"), (4, "the end", "en")]
+    df = spark.createDataFrame(rows, "k long, text string, lang string")
+    model = langid.train(df, "text", "lang", F.col("k"), bits=12)
+    count, docs = collections.defaultdict(lambda: np.zeros(1 << 12)), collections.Counter(x for _, _, x in rows)
+    for _, text, lang in rows:
+        count[lang] += langid.gram_counts(text, 12)
+    for text in ("the dog", "die Katze", "le chien et", "zzz"):
+        g = langid.gram_counts(text, 12)
+        plain = [np.log(docs[x] / 4) + (g * np.log((count[x] + 0.1) / (count[x].sum() + 0.1 * (1 << 12)))).sum() for x in sorted(docs)]
+        assert np.allclose(model.totals([text])[0], plain)
+    many = spark.createDataFrame([(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)} " * 5, f"l{i:04d}") for i in range(600)], "k long, text string, lang string")
+    assert len(langid.train(many, "text", "lang", F.col("k")).languages) == 600
+
+
 def test_language_odd(spark, odd):
     model = langid.train(odd, "text", "lang", F.col("doc_id"))
     got = langid.predict(odd, "text", model, "out").collect()
@@ -52,7 +78,7 @@ def test_language_odd(spark, odd):
     assert {r.out.lang_pred for r in langid.predict(odd, "text", none, "out").collect()} == {"und"}
 
 
-@pytest.mark.parametrize("factor,least", [(1.0, 1.0), (1.3, 0.5)])
+@pytest.mark.parametrize("factor,least", [(1.0, 1.0), (1.1, 0.9)])
 def test_vantage_points_against_brute_force(spark, factor, least):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 8)).astype(np.float32)
@@ -70,6 +96,22 @@ def test_vantage_points_against_brute_force(spark, factor, least):
     assert hits >= least * 75
 
 
+def test_vantage_points_with_huge_tiny_and_repeated_vectors(spark):
+    rng = np.random.default_rng(8)
+    for size in (1e200, 1e-200, 1e150):
+        x = rng.normal(size=(60, 4)) * size
+        rows = [(i, v.tolist()) for i, v in enumerate(x)] * 2 + [(3, (x[3] + size).tolist())]
+        df = spark.createDataFrame([(*r, 7, "q") for r in rows], "vec_id long, embedding array<double>, rank int, score string")
+        x[3] = min(x[3].tolist(), (x[3] + size).tolist())
+        got = vptree.nearest(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=5, shard_rows=25, block_rows=2).orderBy("query_id", "rank").collect()
+        for q in (0, 20, 40):
+            with np.errstate(all="ignore"):
+                s = vptree.exact_scores(np.repeat(x[q : q + 1], 60, axis=0), x)
+            s = np.where(np.isnan(s), -np.inf, s)
+            assert [r.vec_id for r in got if r.query_id == q] == sorted((i for i in range(60) if i != q), key=lambda i: (-s[i], i))[:5]
+    assert vptree.nearest(df.where("false"), "vec_id", "embedding", F.lit(True)).count() == 0
+
+
 def test_tool_calls(spark):
     event = lambda t, kind, id_, body, needs=None, name="f", conv=1: (conv, t, 0, kind, id_, name, body, needs)
     rows = [
@@ -77,12 +119,40 @@ def test_tool_calls(spark):
         event(5, "call", "c", "{", ["d"]), event(6, "call", "d", "{}", ["c"]), event(7, "result", "c", "1"), event(8, "result", "d", "2"), event(9, "result", "zz", "3"), event(10, "call", "b", '{"n":1}', None, "g"),
         event(0, "call", "a", '{"n":2}', None, "f", 2), event(1, "result", "a", "é\n", None, "f", 2),
     ]
-    got = {(r.conv, r.turn): r for r in toolcalls.link(spark.createDataFrame(rows, toolcalls.EVENT), {"f": {"n": ("integer", True)}}).collect()}
+    schema = {"f": {"n": {"type": "integer", "required": True}}}
+    clash = spark.createDataFrame(rows, toolcalls.EVENT).withColumns({"level": F.lit(9), "linked": F.lit("x"), "c": F.lit(1), "lost": F.lit(2)})
+    got = {(r.conv, r.turn): r for r in toolcalls.link(clash, schema).collect()}
     assert len(got) == len(rows)
     assert got[1, 1].level == 2 and got[1, 2].level == 0 and got[1, 3].level == 1 and got[1, 4].level == 3
     assert got[1, 2].problems == "type n" and got[1, 5].problems == "bad json,cycle" and got[1, 6].problems == "missing n,cycle" and got[1, 5].level is None
     assert got[1, 9].problems == "no call" and got[1, 10].problems == "no result,repeated id,unknown tool" and got[2, 0].problems == "" and got[2, 0].linked
     assert json.loads(got[2, 1].json) == {"content": "é\n", "id": "a", "kind": "result", "turn": 1}
+    assert toolcalls.link(clash.where("false"), schema).count() == 0
+
+
+def test_tool_calls_in_order_are_levelled_and_canonical(spark):
+    call = lambda conv, turn, id_, body, needs=None: (conv, turn, 0, "call", id_, "f", body, needs)
+    result = lambda conv, turn, id_, body="r": (conv, turn, 0, "result", id_, None, body, None)
+    rows = []
+    for conv in (None, -1, 5):
+        rows += [call(conv, 0, "a", '{"n":1,"m":{"y":2,"x":[1, 2]}}'), result(conv, 1, "a"), call(conv, 2, "b", ' {"m": {"x":[1,2],"y":2.0}, "n":1 }', ["a"]), result(conv, 3, "b")]
+    # 40 in a chain, two that need two, one on what has no call, one on a cycle's end, a long text
+    rows += [x for i in range(40) for x in (call(9, 2 * i, f"c{i}", "{}", [f"c{i - 1}"] if i else None), result(9, 2 * i + 1, f"c{i}"))]
+    rows += [call(9, 100, "d", "{}", ["c39", "c3"]), result(9, 101, "d"), call(9, 102, "e", "{}", ["d", "zz", "none"]), result(9, 103, "zz"), call(9, 104, "f", "{}", ["zz"])]
+    rows += [call(9, 110, "g", "{}", ["h"]), call(9, 111, "h", "{}", ["g", "c1"]), result(9, 112, "g"), result(9, 113, "h"), call(9, 114, "i", "{}", ["h"]), result(9, 115, "i"), call(9, 120, "long", '{"t":"' + "x" * 300_000 + '"}')]
+    rows += [call(9, 121, None, "{}", ["d"]), call(9, 122, "j", '{"a":1,"a":2}'), call(9, 123, "k", None), call(9, 124, "l", "[1]"), call(9, 125, "m", "")]
+    rows += [call(9, 130, "n", "{}", ["i", "c0"]), call(9, 131, "o", "{}", ["e"]), result(9, 132, "e"), call(9, 133, "p", "{}", ["o", "d"]), result(9, 134, "o")]
+    got = toolcalls.link(spark.createDataFrame(rows, toolcalls.EVENT), {"f": {}}).collect()
+    assert len(got) == len(rows)
+    by = {(r.conv, r.turn): r for r in got}
+    for conv in (None, -1, 5):
+        assert [by[conv, t].level for t in range(4)] == [0, 1, 2, 3] and not any(by[conv, t].problems for t in range(4))
+        assert json.loads(by[conv, 0].json)["arguments"] == json.loads(by[conv, 2].json)["arguments"]
+        assert by[conv, 2].json == '{"arguments":{"m":{"x":[1,2],"y":2},"n":1},"id":"b","kind":"call","name":"f","turn":2}'
+    assert [by[9, 2 * i].level for i in range(40)] == [2 * i for i in range(40)] and by[9, 79].level == 79
+    assert (by[9, 100].level, by[9, 102].level, by[9, 104].level, by[9, 131].level, by[9, 133].level) == (80, 82, 1, 84, 86)
+    assert [by[9, t].level for t in (110, 111, 112, 113, 114, 115, 130)] == [None] * 7 and by[9, 114].problems == "cycle" and by[9, 130].problems == "no result,cycle"
+    assert len(by[9, 120].json) > 300_000 and by[9, 121].level == 0 and [by[9, t].problems.split(",")[-1] for t in (122, 123, 124, 125)] == ["bad json"] * 4
 
 
 def test_url_rules_against_plain_code(spark):
@@ -130,6 +200,10 @@ def test_placement_against_plain_filling(spark, odd):
         key = next((str(x) for x in (r.doc_id, r.text) if x is not None), "")
         assert r.slot == int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % slots and r.shard == table[r.slot]
     assert len(got) == 9
+    clash = odd.withColumns({"shard_number": F.lit(5), "Slot": F.lit(6), "shard": F.lit("x"), "_slot_key": F.lit(7)})
+    again = placement.place(clash, "doc_id", names, fallback="text", slots=slots)
+    assert again.columns == [*odd.columns, "shard_number", "_slot_key", "slot", "shard"] and sorted(r.slot for r in again.collect()) == sorted(r.slot for r in got)
+    assert placement.place(odd.where("false"), "doc_id", names, fallback="text", slots=slots).count() == 0
 
 
 def test_mixing_odd(spark, odd):
@@ -203,6 +277,7 @@ def test_quality(spark, odd):
     model = quality.train(odd, "doc_id", "text", labels, "id", "q", F.lit(True))
     assert quality.score(odd, "text", model, "out").where("out.score between 0 and 1").count() == 9
     none = quality.train(odd, "doc_id", "text", labels.where("false"), "id", "q", F.lit(True))
+    assert quality.score(odd.where("false"), "text", model, "out").count() == 0
     assert {r.out.score for r in quality.score(odd, "text", none, "out").collect()} == {0.5}
 
 
@@ -240,3 +315,43 @@ def test_pipeline_stages(spark, odd, tmp_path):
         assert rows.count() > 0
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
     assert kept == {c for _, c in _components([(r.doc_id, r.text) for r in docs.collect()], 5, 80, 100).values()}
+
+
+def test_quality_sample_is_bounded_and_drawn_from_usable_ids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_additive", lambda x, y: seen.append(len(y)) or boosting.fit_additive(x, y))
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = docs.unionByName(docs.where("doc_id = 10").select("doc_id", F.explode(F.array_repeat(F.lit("again"), 3000)).alias("text")))
+    labels = spark.range(400).select(F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("q"))
+    quality.train(docs, "doc_id", "text", labels, "k", "q", F.lit(True), max_rows=10_000)
+    quality.train(docs, "doc_id", "text", labels, "k", "q", F.col("doc_id") % 4 == 0, max_rows=50)
+    assert seen[0] == 400 and 25 <= seen[1] <= 80
+
+
+def test_additive_tables_are_sums_over_bins():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 3))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * rng.normal(size=500) > 0).astype(float)
+    m = boosting.fit_additive(x, y, rounds=20, pair_rounds=20, pairs=2)
+    for row, got in zip(x[:50], m.score(x[:50]), strict=True):
+        z = m.base + sum(t[sum(v >= e for e in m.edges[f])] for f, (t, v) in enumerate(zip(m.tables, row, strict=True)))
+        z += sum(t[sum(row[i] >= e for e in m.pair_edges[i]), sum(row[j] >= e for e in m.pair_edges[j])] for (i, j), t in zip(m.pairs, m.pair_tables, strict=True))
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+    assert (1, 2) in m.pairs and np.mean((m.score(x) > 0.5) == (y == 1)) > 0.9
+
+
+def test_boosted_trees_are_walked_like_plain_trees():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    y = ((x[:, 0] > 0) & (x[:, 3] < 0.5)).astype(float)
+    m = boosting.fit_trees(x, y, rounds=10)
+
+    def walk(tree, row):
+        while isinstance(tree, tuple):
+            f, cut, left, right = tree
+            tree = left if sum(row[f] >= e for e in m.edges[f]) <= cut else right
+        return tree
+
+    for row, got in zip(x[:50], m.score(x[:50]), strict=True):
+        assert got == pytest.approx(1 / (1 + np.exp(-m.base - sum(walk(t, row) for t in m.trees))))
+    assert np.mean((m.score(x) > 0.5) == (y == 1)) > 0.95
