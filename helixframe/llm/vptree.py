@@ -163,13 +163,13 @@ def nearest(
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     )
     rows = df.where(good).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.size(v).alias("dim"))
-    largest = F.array_max(F.transform("vector", F.abs))
-    # a norm that can't overflow: of the vector over its largest component, times a 2^-64th of that
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))) * (largest / float(1 << 64))
-    n, biggest, most, widest = rows.agg(F.count("*"), F.coalesce(F.max(largest), F.lit(1.0)), F.coalesce(F.max(length), F.lit(0.0)), F.coalesce(F.max("dim"), F.lit(1))).first()
+    largest = F.greatest(F.array_max("vector"), -F.array_min("vector"))
+    n, biggest, widest = rows.agg(F.count("*"), F.coalesce(F.max(largest), F.lit(1.0)), F.coalesce(F.max("dim"), F.lit(1))).first()
     shards = max(1, -(-n // shard_rows))
     scale = 2.0 ** float(np.floor(np.log2(biggest))) if biggest > 1e-300 else 1e-300
-    norm = most / scale * (1 << 64) * (1 + 1e-9) if biggest > 1e-280 else 2.0 * float(np.sqrt(widest))
+    # components are below 2 once scaled, so their squares can't overflow
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / F.lit(scale)) * (x / F.lit(scale)))
+    norm = float(np.sqrt(rows.agg(F.coalesce(F.max(square), F.lit(1.0))).first()[0])) * (1 + 1e-9)
     at = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(shards)).cast("int")
     points = rows.select("dim", at.alias("shard"), F.lit(0).alias("asking"), "id", "vector")
     asks = rows.where("asks").groupBy("id").agg(F.min(F.struct("dim", "vector")).alias("x"))
