@@ -57,7 +57,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pages.withColumn("host", urlfilter.host_of(F.col("url"))).withColumn("path", urlfilter.path_of(F.col("url")))
     pages = pages.withColumn("ruled", urlfilter.rule_of(F.col("host"), F.col("path"), URL_RULES))
     labelled = pages.select("page_id", "url", (F.col("ruled.verdict") == "block").alias("blocked"))
-    got = urlfilter.judge(pages, "url", urlfilter.train(labelled, "url", "blocked", F.col("page_id")))
+    got = urlfilter.judge(pages, "url", urlfilter.train(labelled, "url", "blocked", F.col("page_id"), ignore=urlfilter.rule_suffixes(URL_RULES)))
     verdict = F.coalesce(F.col("ruled.verdict"), F.when(F.col("judged.blocked") >= 0.5, "block").otherwise("allow"))
     return got.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), verdict.alias("verdict"), F.col("judged.blocked").alias("block_score"))
 

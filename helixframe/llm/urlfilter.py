@@ -1,10 +1,13 @@
 """URL filters: rules of host and path, and gradient-boosted trees on lexical features for what no rule covers.
 
 Labelled URLs are those that a rule decides.  Features: length, depth, digit ratio, entropy, counts of parameters and
-of other marks, and statistics of the host's suffixes (smoothed shares of blocked URLs, learned with the trees).
+of other marks, and statistics of the host's suffixes (smoothed shares of blocked URLs, learned with the trees).  Where the
+labels come from rules of hosts, a rule's own suffixes say nothing about other hosts, so they can be left out of these
+statistics (`ignore`): else every URL of a top-level label that a block rule has would be blocked.
 
 Defined results: a url that is null or has no `://` has an empty host and path and no rule; the trees judge it by the
-features of its text (null: of the empty text); if nothing is labelled, such urls are allowed; extra columns pass through.
+features of its text (null: of the empty text); if nothing is labelled, such urls are allowed; equal urls get equal results;
+long urls are read whole; an empty table gives an empty result; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -57,6 +60,11 @@ def suffixes(host: str) -> list[str]:
     return [".".join(labels[-k:]) for k in (1, 2, 3) if len(labels) >= k]
 
 
+def rule_suffixes(rules: list[tuple[str, str, str]]) -> frozenset[str]:
+    """Suffixes of the hosts of rules (verdict, host, path)."""
+    return frozenset(s for _, host, _ in rules for s in suffixes(host))
+
+
 def _entropy(text: str) -> float:
     n = len(text)
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
@@ -89,9 +97,9 @@ class UrlModel:
         return self.trees.score(np.array([self.row(u) for u in urls], dtype=float)) if urls else np.zeros(0)
 
 
-def train(labelled: DataFrame, url: str, blocked: str, key: Column, max_rows: int = 6_000) -> UrlModel:
+def train(labelled: DataFrame, url: str, blocked: str, key: Column, max_rows: int = 6_000, ignore: frozenset[str] = frozenset()) -> UrlModel:
     """Learn from rows whose `blocked` (boolean) is not null; beyond `max_rows`, from about that many, chosen by a hash of `key`.
-    The suffix statistics hold only suffixes of these rows, so their size is bounded too."""
+    The suffix statistics hold only suffixes of these rows, but those in `ignore`, so their size is bounded too."""
     rows = bounded_sample(labelled.where(F.col(blocked).isNotNull()), key, max_rows).select(F.col(url).alias("u"), F.col(blocked).cast("int").alias("y")).collect()
     rows = sorted(((r.u, r.y) for r in rows), key=lambda r: (r[0] or "", r[1]))
     folds = 5
@@ -99,7 +107,7 @@ def train(labelled: DataFrame, url: str, blocked: str, key: Column, max_rows: in
     def statistics(some) -> dict[str, tuple[int, int]]:
         total: dict[str, tuple[int, int]] = {}
         for u, y in some:
-            for x in suffixes(split(u)[0]):
+            for x in set(suffixes(split(u)[0])) - ignore:
                 blocked_, n = total.get(x, (0, 0))
                 total[x] = blocked_ + y, n + 1
         return total
