@@ -25,7 +25,7 @@ _ALNUM_TABLE = bytes(
 )
 
 #: A side of a join is broadcast only if it was counted and has no more rows than this.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def alnum_words(raw: bytes | None) -> list[bytes]:
@@ -95,6 +95,25 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+#: Slots of a key filter: its bitmap has 8 MB, whatever the number of keys.
+SLOTS = 1 << 26
+
+
+def key_bitmap(slots: DataFrame, slot: str) -> np.ndarray:
+    """The bits of a column of numbers from 0 to SLOTS - 1, as bytes of a fixed total size; keys that share a slot are told apart later."""
+    x = F.col(slot) + 1
+    parts = slots.where(F.col(slot).isNotNull()).groupBy(F.bitmap_bucket_number(x).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("bits")).collect()
+    out = np.zeros(SLOTS >> 3, dtype=np.uint8)
+    for r in parts:  # at most SLOTS / 32,768 rows of 4 kB
+        raw = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+        out[(r.part - 1) * 4096 : (r.part - 1) * 4096 + len(raw)] = raw
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
 def bounded_sample(df: DataFrame, key: Column, bound: int, seed: int = 7) -> DataFrame:
     """All rows if there are no more than `bound`, else about `bound` of them, chosen by a hash of the key (the same rows on every run)."""
     rows = df.count()

@@ -173,17 +173,77 @@ def test_url_trees_learn(spark):
     assert model.blocked(["http://site3.com/a/701?x=1&y=2&z=3"])[0] > 0.8 > 0.2 > model.blocked(["http://site3.com/a/701"])[0]
 
 
+def test_url_verdicts_on_held_out_hosts(spark):
+    """Labels follow the path, hosts of the test are not among those learned from, and rule suffixes are no features."""
+    url = lambda i, h: f"https://h{h}.{'com' if h % 2 else 'org'}/" + (f"de/{i}?a={i}&b=1&c=2" if i % 3 == 0 else f"en/page/{i}")
+    rows = [(h * 20 + i, url(i, h), i % 3 == 0) for h in range(40) for i in range(20)]
+    model = urlfilter.train(spark.createDataFrame(rows, "k long, u string, y boolean"), "u", "y", F.col("k"), ignore=frozenset({"com", "org"}))
+    assert not {"com", "org"} & set(model.shares)
+    new = [(url(i, h), i % 3 == 0) for h in range(1000, 1020) for i in range(20)]
+    assert np.mean((model.blocked([u for u, _ in new]) >= 0.5) == np.array([y for _, y in new])) > 0.95
+
+
+def test_url_odd(spark):
+    long = "http://example.com/" + "x/" * 50_000 + "?" + "a=1&" * 10_000
+    df = spark.createDataFrame([(1, None, 1.0, "h"), (2, "", 1.0, "h"), (3, long, 1.0, "h"), (3, long, 1.0, "h"), (None, "http://a.net/", 1.0, "h")], "page_id long, url string, judged double, host string")
+    labelled = df.withColumn("y", F.col("url").isNotNull())
+    model = urlfilter.train(labelled, "url", "y", F.col("page_id"))
+    got = urlfilter.judge(df, "url", model, "out").collect()
+    assert len(got) == 5 and all(0 <= r.out.blocked <= 1 for r in got) and got[2].out == got[3].out
+    assert urlfilter.judge(df.where("false"), "url", model, "out").count() == 0
+    none = urlfilter.train(labelled.where("false"), "url", "y", F.col("page_id"))
+    assert {r.out.blocked for r in urlfilter.judge(df, "url", none, "out").collect()} == {0.0}
+
+
 def test_decontamination_odd_and_chunked(spark, odd):
     items = spark.createDataFrame([(1, "b C d"), (2, None), (None, "a"), (3, "!"), (4, "a b c d e f g h i j k"), (4, "the end"), (5, "e f")], "item_id long, text string")
     whole = decontaminate.find_items(odd, "text", items, "item_id", "text")
-    parts = decontaminate.find_items(odd, "text", items, "item_id", "text", chunk_bytes=8)
+    parts = decontaminate.find_items(odd, "text", items, "item_id", "text", most_bytes=0)
     pick = lambda df: sorted(map(repr, df.select("doc_id", decontaminate.hit_words(F.col("found")).alias("hit"), "found.items", decontaminate.items_digest(F.col("found")).alias("sha")).collect()))
     assert pick(whole) == pick(parts) and len(pick(whole)) == 9
     one = whole.where("doc_id = 1").select("found.*").first()
     assert (one.n_words, one.items, one.spans) == (12, ["1", "4", "5"], [0, 11])
+    assert parts.columns == whole.columns == [*odd.columns, "found"]
+    for most in (0, 1 << 20):
+        assert decontaminate.find_items(odd.where("false"), "text", items, "item_id", "text", most_bytes=most).count() == 0
+        assert decontaminate.find_items(odd, "text", items.where("false"), "item_id", "text", most_bytes=most).where("size(found.items) > 0").count() == 0
     assert whole.where("doc_id = 2").select(decontaminate.items_digest(F.col("found"))).first()[0] == hashlib.sha256(b"").hexdigest()
 
 
+def test_decontamination_by_shuffle_against_plain_code(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(30)] + ["É", "x1"]
+    text = lambda n: [words[i] for i in rng.integers(0, 32, n)]
+    items = [(i, text(int(rng.integers(1, 40)))) for i in range(60)]
+    docs = []
+    for i in range(150):
+        base = text(int(rng.integers(0, 120)))
+        for _ in range(int(rng.integers(0, 4))):
+            w = items[int(rng.integers(0, 60))][1]
+            at, lo = int(rng.integers(0, len(base) + 1)), int(rng.integers(0, len(w)))
+            base[at:at] = w[lo : lo + int(rng.integers(1, 25))]
+        docs.append((i, " ".join(base).upper() if i % 2 else ", ".join(base)))
+    docs += [docs[3], (150, docs[4][1])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for most in (0, 1 << 20):
+        got = decontaminate.find_items(frame, "text", bench, "item_id", "text", most_bytes=most).collect()
+        assert len(got) == len(docs)
+        for r in got:
+            mine = decontaminate.alnum_words(r.text.encode())
+            hit, found = set(), set()
+            for i, w in items:
+                b = [x.encode() for x in w]
+                for j in range(max(1, len(b) - 9)):
+                    win = b[j : j + 10]
+                    for p in range(len(mine) - len(win) + 1):
+                        if mine[p : p + len(win)] == win:
+                            hit.update(range(p, p + len(win)))
+                            found.add(str(i))
+            spans = r.found.spans
+            assert r.found.n_words == len(mine) and set(r.found["items"]) == found and sum(b - a for a, b in zip(spans[::2], spans[1::2], strict=True)) == len(hit)
+
+
 def test_placement_against_plain_filling(spark, odd):
     names, slots = ["a", "b", "c"], 101
     orders = [[(placement._number(n, "start") + j * (placement._number(n, "stride") % (slots - 1) + 1)) % slots for j in range(slots)] for n in names]
@@ -239,8 +299,9 @@ def _components(rows, n, num, den):
             return {i: (len(s), x) for (i, _), s, x in zip(rows, sets, label, strict=True)}
 
 
-@pytest.mark.parametrize("n,num,chunk", [(4, 85, 1024), (4, 85, 16), (5, 80, 1024), (1, 60, 16)])
-def test_jaccard_against_brute_force(spark, n, num, chunk):
+@pytest.mark.parametrize("n,num,chunk,pairs", [(4, 85, 1024, 64), (4, 85, 16, 2), (5, 80, 1024, 64), (1, 60, 16, 64), (1, 60, 16, 2)])
+def test_jaccard_against_brute_force(spark, monkeypatch, n, num, chunk, pairs):
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
     rng = np.random.default_rng(n)
     words = [f"w{i}" for i in range(400)]
     rows = []
@@ -256,11 +317,27 @@ def test_jaccard_against_brute_force(spark, n, num, chunk):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _components(rows, n, num, 100)
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(1, 61))
+    rows = [(1, a), (2, b), (3, "quite another text"), (3, b), (3, b), (3, "a third text of its own"), (None, a), (None, "alone"), (None, "alone"), (None, None), (4, None)]
+    kept = jaccard.keep_one(spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, _h int"), "doc_id", "text", n=5, num=80).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, a), (3, "quite another text"), (3, "a third text of its own"), (None, "alone"), (None, None), (4, None)], key=repr)
+
+
+def test_short_sets_are_indexed_by_pairs_and_long_ones_by_groups():
+    for num, den in ((85, 100), (80, 100), (60, 100)):
+        for label in range(60):
+            if jaccard.paired(label, num, den, 8):
+                sizes = [n for n in range(1, 400) if jaccard.size_class(n, num, den) in (label - 1, label)]
+                assert all(jaccard.needed(n, num, den) >= 2 and jaccard.lacking(n, num, den) <= 8 for n in sizes)
+        assert (num == 60 or any(jaccard.paired(label, num, den, 8) for label in range(60))) and not jaccard.paired(40, num, den, 8)
+
+
 def test_jaccard_odd(spark, odd):
     got = sorted(map(repr, map(tuple, jaccard.similar_documents(odd, "doc_id", "text").collect())))
     assert len(got) == 9 and "(8, 9, 1)" in got and "(None, 1, None)" in got
     kept = jaccard.keep_one(odd, "doc_id", "text", n=5, num=80)
-    assert sorted((r.doc_id or -1 for r in kept.collect())) == [-1, -1, 1, 2, 3, 4, 7] and kept.columns == odd.columns
+    assert sorted((r.doc_id or -1 for r in kept.collect())) == [-1, -1, 1, 2, 3, 4, 7] and jaccard.keep_one(odd.where("false"), "doc_id", "text").count() == 0 and kept.columns == odd.columns
     assert jaccard.similar_documents(odd.where("false"), "doc_id", "text").count() == 0
 
 
@@ -290,6 +367,12 @@ def test_licenses_odd(spark, odd):
     assert b.license.base == [] and "gpl-3" in b.license.method and b.license.score == pytest.approx(11 / 12)
 
 
+def test_licenses_of_an_empty_table_and_long_prose(spark, odd):
+    assert licenses.scan(odd.where("false"), "text").count() == 0
+    prose = " ".join(f"w{i}" if i % 100 else ["licensed", "under", "cc", "by", "sa", "4", "0"][i // 100 % 7] for i in range(3000))
+    assert licenses.scan(spark.createDataFrame([(prose,)], "text string"), "text").first().license.method == []
+
+
 def test_licenses_across_lines_and_within_windows(spark):
     bsd = "redistribution and use in source and binary forms with or without modification are permitted".split()
     texts = [
