@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 SCALE = 1_000_000
 #: IUPAC codes and their complements.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 IUPAC, IUPAC_COMPLEMENT = "ACGTRYSWKMBDHVN", "TGCAYRSWMKVHDBN"
 
 
@@ -34,16 +35,25 @@ def packed(kmer: Column) -> Column:
     return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")
 
 
+def unpacked(code: Column, k: int) -> Column:
+    """The bases of a packed k-mer; of a longer one, which index.kmers packs as 16 bytes."""
+    if k <= 31:
+        return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+    digits = F.regexp_extract_all(F.hex(code), F.lit("(.)"), 1)
+    pairs = F.array_join(F.transform(digits, lambda h: F.lpad(F.conv(h, 16, 4), 2, "0")), "")
+    return F.translate(F.right(pairs, F.lit(k)), "0123", "ACGT")
+
+
 def reverse_complement(bases: Column) -> Column:
     """IUPAC, upper case; any other letter raises."""
-    up = F.upper(bases)
+    up = F.translate(bases, LETTERS.lower(), LETTERS)
     return F.when(up.rlike(f"^[{IUPAC}]*$"), F.reverse(F.translate(up, IUPAC, IUPAC_COMPLEMENT))).otherwise(F.raise_error(F.concat(F.lit("not a nucleotide sequence: "), bases)))
 
 
 def locus_sequence(bases: Column, start: Column, end: Column, strand: Column) -> Column:
     """1-based inclusive substring, reverse-complemented on the minus strand; beyond the contig raises."""
     cut = F.when((start >= 1) & (end >= start) & (end <= F.length(bases)), F.substring(bases, start.cast("int"), (end - start + 1).cast("int"))).otherwise(F.raise_error(F.lit("interval is beyond its contig")))
-    return F.when(strand == "-", reverse_complement(cut)).otherwise(F.upper(cut))
+    return F.when(strand == "-", reverse_complement(cut)).otherwise(F.translate(cut, LETTERS.lower(), LETTERS))
 
 
 def first_token(header: Column) -> Column:
@@ -76,24 +86,48 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def header_weight(header: Column, length: Column, assembly_k: int, mode: str = "unitigs") -> Column:
-    """Micro-units from mean tags (ka, km) or a total (KC) of a unitig header; reads weigh 1."""
+    """The weight of a record, in units of scale(mode): of a read 1; else micro-units from mean tags (ka, km) or a total (KC).
+
+    Mean tags win over a total.  Means that differ, two totals, values that are no plain number (a total: no whole one, or
+    above 2^64 - 1), a total on a sequence shorter than assembly_k, and (mode unitigs) no tag at all raise; without a tag,
+    mode auto weighs 1.
+    """
+    if mode == "reads":
+        return F.lit(1).cast("long")
+    tags = F.split(header, r"[ \t\n\f\r]+")
+    value = lambda t: F.substring(t, F.lit(6), F.length(t))
+    mean = micro_units(value(F.try_element_at(F.filter(tags, lambda t: t.rlike("^k[am]:[fi]:")), F.lit(1))))
+    total = F.regexp_replace(value(F.try_element_at(F.filter(tags, lambda t: t.startswith("KC:i:")), F.lit(1))), r"^\+", "").try_cast("decimal(20,0)")
+    places = (length - assembly_k + 1).cast("decimal(20,0)")
+    error = weight_error(header, length, assembly_k, mode)
+    return (
+        F.when(error.isNotNull(), F.raise_error(F.concat(error, F.lit(" in header "), header)).cast("long"))
+        .when(mean.isNotNull(), mean)
+        .when(total.isNotNull(), _div(total * SCALE + _div(places, F.lit(2).cast("decimal(20,0)")), places).cast("long"))
+        .otherwise(F.lit(SCALE).cast("long"))
+    )
+
+
+def weight_error(header: Column, length: Column, assembly_k: int, mode: str = "unitigs") -> Column:
+    """Why header_weight would raise, or null."""
     if mode == "reads":
-        return F.lit(SCALE).cast("long")
-    tags = F.split(header, r"\s+")
-    means = F.array_distinct(F.transform(F.filter(tags, lambda t: t.rlike("^k[am]:[fi]:")), lambda t: micro_units(F.substring(t, 6, 100))))
-    totals = F.filter(tags, lambda t: t.startswith("KC:i:"))
-    total = F.substring(F.try_element_at(totals, F.lit(1)), 6, 100).cast("decimal(20,0)") * SCALE
-    places = length - assembly_k + 1
-    bad = (F.size(means) > 1) | (F.size(totals) > 1) | F.exists(means, lambda m: m.isNull())
-    absent = F.lit(SCALE).cast("long") if mode == "auto" else F.raise_error(F.concat(F.lit("no abundance in header "), header)).cast("long")
+        return F.lit(None).cast("string")
+    tags = F.split(header, r"[ \t\n\f\r]+")
+    means = F.array_distinct(F.transform(F.filter(tags, lambda t: t.rlike("^k[am]:[fi]:")), lambda t: micro_units(F.substring(t, F.lit(6), F.length(t)))))
+    totals = F.transform(F.filter(tags, lambda t: t.startswith("KC:i:")), lambda t: F.regexp_extract(F.substring(t, F.lit(6), F.length(t)), r"^\+?([0-9]+)$", 1).try_cast("decimal(38,0)"))
     return (
-        F.when(bad, F.raise_error(F.concat(F.lit("bad or conflicting abundance in header "), header)).cast("long"))
-        .when(F.size(means) == 1, F.try_element_at(means, F.lit(1)))
-        .when((F.size(totals) == 1) & (places > 0), _div(total + _div(places, F.lit(2)), places).cast("long"))
-        .otherwise(absent)
+        F.when((F.size(means) > 1) | F.exists(means, lambda m: m.isNull()), F.lit("bad or conflicting abundance"))
+        .when((F.size(totals) > 1) | F.exists(totals, lambda t: t.isNull() | (t > F.lit("18446744073709551615").cast("decimal(38,0)"))), F.lit("bad or repeated KC:i"))
+        .when((F.size(means) == 0) & (F.size(totals) == 1) & (length < assembly_k), F.lit("KC:i on a sequence that is too short"))
+        .when((F.size(means) == 0) & (F.size(totals) == 0) & F.lit(mode == "unitigs"), F.lit("no abundance"))
     )
 
 
+def scale(mode: str) -> int:
+    """Units of one observation in the weights of a mode."""
+    return 1 if mode == "reads" else SCALE
+
+
 def percent_escape(value: Column) -> Column:
     """Everything but [A-Za-z0-9._-] as %XX of its UTF-8 bytes."""
     pairs = F.regexp_extract_all(F.hex(value.cast("binary")), F.lit("(..)"), 1)
@@ -102,10 +136,84 @@ def percent_escape(value: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sorts names ignoring case, with runs of digits by their number (up to 20 digits)."""
+    """Sorts names ignoring case, with runs of digits by their number, of any length: a run is preceded by how many digits it
+    has without leading zeros (in ten digits, more than a string can hold)."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    plain = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lpad(F.length(plain(p)).cast("string"), 10, "0"), plain(p))).otherwise(p)), "")
 
 
 def log_cell(value: Column) -> Column:
     return F.log10(value + 1)
+
+
+def exon_name(number: Column, contig: Column, start: Column, end: Column, strand: Column, exon_ids: Column, gene_ids: Column) -> Column:
+    """The header of an exon record, with its sorted ids where there are any."""
+    ids = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f" {label}="), F.array_join(F.transform(F.array_sort(c), percent_escape), ","))).otherwise("")
+    head = F.format_string("exon_%06d|%s:%d-%d:%s", number, percent_escape(contig), start, end, strand)
+    return F.concat(head, ids("exon_ids", exon_ids), ids("gene_ids", gene_ids))
+
+
+def six_decimals(n: Column, d: Column) -> Column:
+    """n / d in six decimals, half up, without floating point; null over zero.  For n >= 0 below 10^31."""
+    n, d = n.cast("decimal(38,0)"), d.cast("decimal(20,0)")
+    micro = _div((n * SCALE).cast("decimal(38,0)") * 2 + d, d * 2)
+    return F.when(d != 0, (micro / F.lit(SCALE).cast("decimal(7,0)")).cast("decimal(38,6)"))
+
+
+#: Suffixes of shortened numbers, by powers of a thousand.
+UNITS = ["", "K", "M", "G", "T"]
+
+
+def short_number(value: Column) -> Column:
+    """Whole numbers below 1,000 as they are, up to 999T in three digits with K, M, G or T, beyond that as scientific()."""
+    v = value.cast("decimal(38,0)")
+    text, out = v.cast("string"), scientific(value)
+    for power in range(len(UNITS) - 1, 0, -1):
+        unit = F.lit(1000**power).cast("decimal(38,0)")
+        for digits, low, top in ((0, 100, 1000), (1, 10, 100), (2, 1, 10)):
+            # halves of the last digit shown go up, and to the next form where that needs a digit more
+            step = 10**digits
+            scaled = _div(v * step * 2 + unit, unit * 2)
+            shown = (scaled / step).cast(f"decimal(30,{digits})").cast("string")
+            out = F.when((scaled >= low * step) & (scaled < top * step), F.concat(shown, F.lit(UNITS[power]))).otherwise(out)
+    return F.when(v < 1000, text).otherwise(out)
+
+
+def scientific(value: Column) -> Column:
+    """Three digits and an exponent, halves up, exact for large whole numbers."""
+    v = value.cast("decimal(38,0)")
+    digits = F.length(v.cast("string"))
+    drop = F.greatest(digits - 3, F.lit(0))
+    unit = F.concat(F.lit("1"), F.repeat(F.lit("0"), drop)).cast("decimal(38,0)")
+    mantissa = _div(v * 2 + unit, unit * 2)
+    over = mantissa >= 1000
+    mantissa, power = F.when(over, F.lit(100)).otherwise(mantissa).cast("string"), digits - 1 + over.cast("int")
+    mantissa = F.rpad(mantissa, 3, "0")
+    return F.concat(F.substring(mantissa, 1, 1), F.lit("."), F.substring(mantissa, 2, 2), F.lit("e+"), power.cast("string"))
+
+
+def percentage(share: Column) -> Column:
+    """A share as text: two decimals, or three digits and an exponent below 0.01 %; a missing one as a dash."""
+    p = share * 100
+    return F.when(p.isNull(), F.lit("–")).when((p > 0) & (p < 0.01), F.format_string("%.2e%%", p)).otherwise(F.concat(F.format_number(p, "0.00"), F.lit("%")))
+
+
+def csv_cell(text: Column) -> Column:
+    """Quoted, with quotes doubled."""
+    return F.concat(F.lit('"'), F.replace(F.coalesce(text, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def percentiles(text: str, most: int = 32) -> list[str]:
+    """A list of distinct percentages in order, from 0 to 100 with at most six decimals; anything else raises."""
+    import re
+    from decimal import Decimal
+
+    found: dict[Decimal, str] = {}
+    for part in filter(None, re.split(r"[,\s]+", text.strip())):
+        if not re.fullmatch(r"\d{1,3}(\.\d{1,6})?", part) or Decimal(part) > 100:
+            raise ValueError(f"not a percentile: {part}")
+        found.setdefault(Decimal(part), f"{Decimal(part).normalize():f}")
+    if not found or len(found) > most:
+        raise ValueError(f"from 1 to {most} percentiles are needed")
+    return [found[k] for k in sorted(found)]

@@ -2,24 +2,121 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import canonical, runs, windows
-
-
-def kmers(rows: DataFrame, keys: list[str], seq: str, k: int) -> DataFrame:
-    """keys and one row a window, as canonical k-mer `ck`; windows never cross ambiguous bases."""
-    run = rows.select(*keys, F.explode(runs(F.col(seq), k)).alias("_run"))
-    return run.select(*keys, F.explode(windows(F.col("_run"), k)).alias("_w")).select(*keys, canonical(F.col("_w")).alias("ck"))
-
-
-def split_long(rows: DataFrame, seq: str, step: int, k: int) -> DataFrame:
-    """Records longer than `step` as pieces that overlap by k-1 bases: every window is in exactly one piece."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(seq) - (k - 1)), F.lit(step))
-    return rows.withColumn("_from", F.explode(starts)).withColumn(seq, F.substring(F.col(seq), F.col("_from"), F.lit(step + k - 1))).drop("_from")
+from ..functions.sequence import runs
+
+#: Bases to their two bits; 4 ends a run.
+_CODE = np.full(256, 4, dtype=np.uint8)
+for _i, _base in enumerate("ACGT"):
+    _CODE[[ord(_base), ord(_base.lower())]] = _i
+
+
+def window_codes(raw: np.ndarray, k: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """(start of each valid window, canonical code): two bits a base; for k above 31 two words, high and low."""
+    code = _CODE[raw]
+    n = len(code) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64), (np.zeros(0, dtype=np.uint64),) * (1 if k <= 31 else 2)
+    bad = np.concatenate([[0], np.cumsum(code > 3)])
+    at = np.flatnonzero(bad[k:] == bad[:n])
+    two = code.astype(np.uint64) & np.uint64(3)
+
+    def pack(values: np.ndarray, places) -> np.ndarray:
+        out = np.zeros(len(at), dtype=np.uint64)
+        for j in places:
+            out = (out << np.uint64(2)) | values[at + j]
+        return out
+
+    back = np.uint64(3) - two
+    if k <= 31:
+        return at, (np.minimum(pack(two, range(k)), pack(back, range(k - 1, -1, -1))),)
+    # the low word has the last 32 bases
+    f, r = [(pack(v, o[: k - 32]), pack(v, o[k - 32 :])) for v, o in ((two, range(k)), (back, range(k - 1, -1, -1)))]
+    first = (f[0] < r[0]) | ((f[0] == r[0]) & (f[1] <= r[1]))
+    return at, tuple(np.where(first, a, b) for a, b in zip(f, r, strict=True))
+
+
+def blocks(column: pa.Array, k: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, starts of records in them, with their row numbers) of sequences, about `most` bases at a time: short ones
+    together, a mark between them; a longer one in pieces that overlap by k - 1 bases, so that each window is in one piece."""
+    rows, some, size = [], [], 0
+    for i, seq in enumerate(column.cast(pa.binary()).to_pylist()):
+        if seq is None:
+            continue
+        for at in range(0, max(1, len(seq) - k + 1), most) if len(seq) > most else (0,):
+            part = seq[at : at + most + k - 1] if len(seq) > most else seq
+            rows.append(i)
+            some.append(part)
+            size += len(part)
+            if size >= most:
+                yield np.frombuffer(b" ".join(some), dtype=np.uint8), np.repeat(rows, [len(x) + 1 for x in some])[:-1]
+                rows, some, size = [], [], 0
+    if some:
+        yield np.frombuffer(b" ".join(some), dtype=np.uint8), np.repeat(rows, [len(x) + 1 for x in some])[:-1]
+
+
+def kmer_type(k: int) -> str:
+    return "long" if k <= 31 else "binary"
+
+
+def _column(words: tuple[np.ndarray, ...]) -> pa.Array:
+    if len(words) == 1:
+        return pa.array(words[0].view(np.int64))
+    raw = np.column_stack([w.astype(">u8") for w in words]).tobytes()
+    return pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())
+
+
+def kmers(rows: DataFrame, keys: list[str], seq: str, k: int, block: int = 1 << 20) -> DataFrame:
+    """keys and one row a window, as canonical k-mer `ck`, packed (BIGINT, above 31 bases 16 bytes; unpacked() gives the
+    bases).  Windows never cross ambiguous bases; records of any length are read in blocks."""
+    from pyspark.sql import types as T
+
+    got = rows.select(*keys, F.col(seq).alias("_seq"))
+    schema = T.StructType([*got.schema.fields[:-1], T.StructField("ck", T.LongType() if k <= 31 else T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            for raw, owner in blocks(batch.column(batch.num_columns - 1), k, block):
+                at, words = window_codes(raw, k)
+                take = pa.array(owner[at])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(len(keys))), _column(words)], names=[*keys, "ck"])
+
+    return got.mapInArrow(run, schema)
+
+
+def kmer_sums(rows: DataFrame, dataset: str, seq: str, weight: str, k: int, block: int = 1 << 20) -> DataFrame:
+    """(dataset, ck, weight, windows): the k-mers of weighted records, summed within each block before they are shuffled."""
+    from pyspark.sql import types as T
+
+    got = rows.select(dataset, F.col(weight).cast("long").alias(weight), F.col(seq).alias("_seq"), *([F.col("records").cast("long")] if "records" in rows.columns else [F.lit(1).cast("long").alias("records")]))
+    schema = T.StructType([got.schema[0], T.StructField("ck", T.LongType() if k <= 31 else T.BinaryType()), T.StructField(weight, T.LongType()), T.StructField("windows", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            sets = batch.column(0).dictionary_encode()
+            which, weights, many = sets.indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+            for raw, owner in blocks(batch.column(2), k, block):
+                at, words = window_codes(raw, k)
+                if not len(at):
+                    continue
+                at = owner[at]
+                order = np.lexsort((*words[::-1], which[at]))
+                at, words = at[order], tuple(w[order] for w in words)
+                fresh = np.append(True, which[at][1:] != which[at][:-1])
+                for w in words:
+                    fresh[1:] |= w[1:] != w[:-1]
+                starts = np.flatnonzero(fresh)
+                yield pa.RecordBatch.from_arrays([sets.dictionary.take(pa.array(which[at[starts]])), _column(tuple(w[starts] for w in words)), pa.array(np.add.reduceat(weights[at], starts)), pa.array(np.add.reduceat(many[at], starts))], names=schema.names)
+
+    return got.mapInArrow(run, schema)
 
 
 def targets(records: DataFrame, k: int, name: str, seq: str, junction=None) -> DataFrame:
@@ -47,23 +144,46 @@ class Index:
     owners: DataFrame
 
     def describe(self) -> dict[str, int]:
+        """What was built, as numbers; every k-mer has an owner or is shared."""
         n, shared = self.owners.agg(F.count("*"), F.count(F.when(F.col("owner").isNull(), 1))).first()
-        return {"kmer_length": self.k, "targets": self.targets.count(), "indexed_kmers": n, "duplicate_kmers": shared}
+        return {"format": 1, "kmer_length": self.k, "targets": self.targets.count(), "indexed_kmers": n, "duplicate_kmers": shared}
 
     def save(self, path: str) -> None:
-        self.targets.write.mode("error").parquet(f"{path}/targets")
-        self.owners.write.mode("error").parquet(f"{path}/owners")
+        """Tables and metadata.json, all or nothing: into a new folder beside `path`, which is then given its name."""
+        from ..sources.results import publish
 
+        with publish(self.targets.sparkSession, path) as stage:
+            self.targets.write.parquet(f"{stage.path}/targets")
+            self.owners.write.parquet(f"{stage.path}/owners")
+            stage.text("metadata.json", json.dumps(self.describe()))
 
-def build(records: DataFrame, k: int, name: str = "name", seq: str = "seq") -> Index:
+
+def check_k(k: int) -> int:
     if not 3 <= k <= 63 or k % 2 == 0:
         raise ValueError("k must be odd, from 3 to 63")
+    return k
+
+
+def build(records: DataFrame, k: int, name: str = "name", seq: str = "seq", junction=None) -> Index:
+    check_k(k)
     own = owners(kmers(records, [name], seq, k), name)
-    return Index(k, unique_counts(own, targets(records, k, name, seq), name), own)
+    return Index(k, unique_counts(own, targets(records, k, name, seq, junction), name), own)
 
 
-def load(spark, path: str, k: int) -> Index:
-    return Index(k, spark.read.parquet(f"{path}/targets"), spark.read.parquet(f"{path}/owners"))
+def load(spark, path: str, k: int | None = None, name: str = "name") -> Index:
+    """A saved index; metadata of another format, another k than asked for, no targets, and owners that are no targets raise."""
+    from ..sources.results import read_text
+
+    meta = json.loads(read_text(spark, f"{path}/metadata.json"))
+    if meta.get("format") != 1 or k not in (None, meta["kmer_length"]):
+        raise ValueError(f"the index has format {meta.get('format')} and k {meta.get('kmer_length')}")
+    found = Index(check_k(meta["kmer_length"]), spark.read.parquet(f"{path}/targets"), spark.read.parquet(f"{path}/owners"))
+    if not meta["targets"] or found.targets.count() != meta["targets"]:
+        raise ValueError("the index has no targets, or not those it was saved with")
+    unknown = found.owners.where("owner is not null").select("owner").distinct().join(found.targets, F.col("owner") == F.col(name), "left_anti")
+    if not unknown.isEmpty():
+        raise ValueError("the index has owners that are no targets")
+    return found
 
 
 def memberships(kmer_rows: DataFrame, member: str) -> DataFrame:
@@ -72,11 +192,37 @@ def memberships(kmer_rows: DataFrame, member: str) -> DataFrame:
     return events.groupBy("ck").agg(F.array_sort(F.collect_list(F.struct(member, "multiplicity"))).alias("signature"))
 
 
-def classes(member_rows: DataFrame) -> DataFrame:
+def memberships_of_two(exon_kmers: DataFrame, transcript_kmers: DataFrame, member: str = "member") -> DataFrame:
+    """(ck, exons, transcripts): both multisets of a k-mer; k-mers of transcripts that no exon has are dropped."""
+    events = exon_kmers.select("ck", F.lit(True).alias("exon"), member).unionByName(transcript_kmers.select("ck", F.lit(False).alias("exon"), member))
+    counted = events.groupBy("ck", "exon", member).agg(F.count("*").alias("multiplicity"))
+    pick = lambda is_exon: F.array_sort(F.collect_list(F.when(F.col("exon") == is_exon, F.struct(member, "multiplicity"))))
+    return counted.groupBy("ck").agg(pick(True).alias("exons"), pick(False).alias("transcripts")).where(F.size("exons") > 0)
+
+
+def classes(member_rows: DataFrame, signature: list[str] | None = None) -> DataFrame:
     """(feature, signature, distinct_kmers): k-mers with equal membership; a feature is named by its least k-mer."""
-    return member_rows.groupBy("signature").agg(F.min("ck").alias("feature"), F.count("*").alias("distinct_kmers"))
+    return member_rows.groupBy(*(signature or ["signature"])).agg(F.min("ck").alias("feature"), F.count("*").alias("distinct_kmers"))
+
 
+def feature_of_kmers(member_rows: DataFrame, class_rows: DataFrame, signature: list[str]) -> DataFrame:
+    """(ck, feature): the class of each k-mer, the owners by which features are counted."""
+    return member_rows.join(class_rows.select("feature", *signature), signature).select("ck", "feature")
 
-def exposure(class_rows: DataFrame, member: str) -> DataFrame:
-    rows = class_rows.select("feature", "distinct_kmers", F.explode("signature").alias("_s"))
+
+def exposure(class_rows: DataFrame, member: str, signature: str = "signature") -> DataFrame:
+    rows = class_rows.select("feature", "distinct_kmers", F.explode(signature).alias("_s"))
     return rows.select("feature", F.col(f"_s.{member}").alias(member), (F.col("_s.multiplicity") * F.col("distinct_kmers")).alias("a"))
+
+
+def check_model(class_rows: DataFrame, transcripts: DataFrame, name: str) -> None:
+    """Raises if a model has no features or transcripts, transcripts that share a name or have none, or empty, unsorted or
+    repeated members."""
+    if class_rows.isEmpty() or transcripts.isEmpty():
+        raise ValueError("the model has no features or no transcripts")
+    if not transcripts.groupBy(name).count().where(F.col(name).isNull() | (F.col(name) == "") | (F.col("count") > 1)).isEmpty():
+        raise ValueError("transcripts need names of their own")
+    ids = lambda c: F.transform(c, lambda m: m["member"])
+    wrong = lambda c: (F.array_sort(F.array_distinct(ids(c))) != ids(c)) | F.exists(c, lambda m: m["multiplicity"] < 1)
+    if not class_rows.where((F.size("exons") == 0) | wrong("exons") | wrong("transcripts") | (F.col("distinct_kmers") < 1)).isEmpty():
+        raise ValueError("a feature has empty, unsorted or repeated members")

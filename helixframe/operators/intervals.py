@@ -1,12 +1,14 @@
-"""Genomic intervals: dedupe, merge, transcript paths, sequences, junction contexts (inventory D)."""
+"""Genomic intervals: dedupe, merge, transcript paths, sequences, junction contexts, checks (inventory D)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.sequence import locus_sequence
+from ..functions.sequence import exon_name, locus_sequence, percent_escape
+
+LOCUS = ["contig", "start", "end", "strand"]
 
 
 def dedupe(exons: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
@@ -14,38 +16,94 @@ def dedupe(exons: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
     return exons.groupBy(*keys).agg(*(F.sort_array(F.collect_set(c)).alias(f"{c}s") for c in ids))
 
 
-def merge(intervals: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Overlapping intervals (start <= running end) of a key as one; adjacent ones stay apart."""
-    before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
-    flagged = intervals.select(*keys, start, end).distinct().withColumn("_new", (F.col(start) > F.coalesce(F.max(end).over(before), F.lit(-(1 << 62)))).cast("long"))
-    return flagged.withColumn("_island", F.sum("_new").over(upto)).groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+def dedupe_sets(exons: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
+    """As dedupe(), where each row has arrays of ids."""
+    return exons.groupBy(*keys).agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ids))
+
+
+def merge(intervals: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = 1 << 16) -> DataFrame:
+    """Overlapping intervals (start <= running end) of a key as one; adjacent ones stay apart.
+
+    Starts fall into ranges of `width`.  The running end is found within each range, from the largest end of the ranges
+    before it; so are islands numbered.  Only one row a range meets the others of its key, not its intervals.
+    """
+    rows = intervals.select(*keys, start, end).distinct().withColumn("_bin", F.floor(F.col(start) / width))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy(*keys, "_bin").agg(F.max(end).alias("_e")).withColumn("_carry", F.coalesce(F.max("_e").over(before), F.lit(-(1 << 62)))).drop("_e")
+    local = Window.partitionBy(*keys, "_bin").orderBy(start, end)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_bin") == F.col("_b")]
+    named = lambda df, *more: df.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_bin").alias("_b"), *more)
+    drop = [f"_k{i}" for i in range(len(keys))] + ["_b"]
+    seen = F.greatest("_carry", F.coalesce(F.max(end).over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-(1 << 62))))
+    flagged = rows.join(named(ahead, "_carry"), same).drop(*drop).withColumn("_new", (F.col(start) > seen).cast("long"))
+    flagged = flagged.withColumn("_local", F.sum("_new").over(upto))
+    base = flagged.groupBy(*keys, "_bin").agg(F.sum("_new").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    whole = flagged.join(named(base, "_base"), same).drop(*drop)
+    return whole.groupBy(*keys, (F.col("_local") + F.col("_base")).alias("_island")).agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
-def paths(exons: DataFrame, transcript: list[str]) -> DataFrame:
-    """Each transcript's distinct exons in reading order (reversed on the minus strand); `overlapping` tells if any two overlap."""
+def gene_union(exons: DataFrame, gene: str = "gene") -> DataFrame:
+    """(contig, gene, strand, start, end): each gene's merged exons; an exon without a gene raises."""
+    named = F.when(F.col(gene).isNull() | (F.col(gene).cast("string") == ""), F.raise_error(F.lit("an exon has no gene")).cast(exons.schema[gene].dataType)).otherwise(F.col(gene))
+    return merge(exons.withColumn(gene, named), ["contig", gene, "strand"])
+
+
+def paths(exons: DataFrame, transcript: list[str], strict: bool = False) -> DataFrame:
+    """Each transcript's distinct exons in reading order (reversed on the minus strand); `overlapping` tells if any two
+    overlap, which raises if strict."""
     order = Window.partitionBy(*transcript).orderBy("start", "end")
     rows = exons.select(*transcript, "start", "end", "strand").distinct().withColumn("_over", F.col("start") <= F.lag("end").over(order))
     got = rows.groupBy(*transcript, "strand").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("path"), F.coalesce(F.bool_or("_over"), F.lit(False)).alias("overlapping"))
-    return got.withColumn("path", F.when(F.col("strand") == "-", F.reverse("path")).otherwise(F.col("path")))
+    got = got.withColumn("path", F.when(F.col("strand") == "-", F.reverse("path")).otherwise(F.col("path")))
+    if strict:
+        bad = F.raise_error(F.concat(F.lit("overlapping exons within transcript "), F.concat_ws("/", *(F.col(c).cast("string") for c in transcript)))).cast("string")
+        # the check is part of the path, so that no plan leaves it out
+        got = got.withColumn("path", F.when(F.col("overlapping"), F.array(F.struct(bad.cast("long").alias("start"), F.lit(0).cast("long").alias("end"))).cast(got.schema["path"].dataType)).otherwise(F.col("path")))
+    return got
 
 
 def extract(intervals: DataFrame, genome: DataFrame) -> DataFrame:
     """Interval rows with their sequence; a contig that the genome lacks raises."""
-    bases = F.when(F.col("bases").isNull(), F.raise_error(F.concat(F.lit("contig is not in the genome: "), F.col("contig"))).cast("string")).otherwise(F.col("bases"))
+    bases = F.when(F.col("bases").isNull(), F.raise_error(F.concat(F.lit("contig is not in the genome: "), F.col("contig").cast("string"))).cast("string")).otherwise(F.col("bases"))
     return intervals.join(genome.select("contig", "bases"), "contig", "left").withColumn("seq", locus_sequence(bases, F.col("start"), F.col("end"), F.col("strand"))).drop("bases")
 
 
+def missing_contigs(intervals: DataFrame, genome: DataFrame, most: int = 10) -> list:
+    """The first contigs, in order, that intervals name and the genome lacks."""
+    return [r[0] for r in intervals.select("contig").distinct().join(genome.select("contig"), "contig", "left_anti").orderBy("contig").limit(most).collect()]
+
+
+def spliced(transcript_paths: DataFrame, exon_sequences: DataFrame, transcript: list[str]) -> DataFrame:
+    """transcript_paths with `seqs` (an exon's sequence each, in reading order) and `seq`, the whole; exon_sequences has
+    contig, start, end, strand and seq."""
+    steps = transcript_paths.select(*transcript, "contig", "strand", F.posexplode("path").alias("_i", "_x")).select(*transcript, "contig", "strand", "_i", "_x.start", "_x.end")
+    each = steps.join(exon_sequences.select(*LOCUS, "seq").distinct(), LOCUS)
+    got = each.groupBy(*transcript).agg(F.array_sort(F.collect_list(F.struct("_i", "seq"))).alias("_s"))
+    return transcript_paths.join(got.select(*transcript, F.transform("_s", lambda x: x["seq"]).alias("seqs")), transcript).withColumn("seq", F.array_join("seqs", ""))
+
+
+def boundary(left: Column, right: Column, strand: Column) -> Column:
+    """(donor, acceptor) of two exons in reading order."""
+    plus = strand == "+"
+    return F.struct(F.when(plus, left["end"]).otherwise(left["start"]).alias("donor"), F.when(plus, right["start"]).otherwise(right["end"]).alias("acceptor"))
+
+
 def annotated_contexts(transcripts: DataFrame, k: int, gene: str = "gene") -> DataFrame:
-    """Of each exon boundary of a transcript (array `seqs` in reading order): up to k-1 bases of the spliced transcript on
-    either side, if they make a k-mer; one row for equal contexts of a gene's boundary."""
+    """(gene, donor, acceptor, strand, context) of each exon boundary of a transcript (`path` and `seqs` in reading order): up
+    to k-1 bases of the spliced transcript on either side, if they make a k-mer; one row for equal contexts of a gene's
+    boundary."""
+    return _boundaries(transcripts, k, gene).where(F.length("context") >= k).distinct()
+
+
+def _boundaries(transcripts: DataFrame, k: int, gene: str) -> DataFrame:
     offsets = F.transform(F.sequence(F.lit(1), F.size("seqs") - 1), lambda i: F.struct(i.alias("boundary"), F.aggregate(F.slice("seqs", F.lit(1), i), F.lit(0), lambda a, s: a + F.length(s)).alias("at")))
     rows = transcripts.where(F.size("seqs") > 1).select("*", F.array_join("seqs", "").alias("_whole"), F.explode(offsets).alias("_b"))
     low = F.greatest(F.lit(1), F.col("_b.at") - (k - 2))
     high = F.least(F.length("_whole"), F.col("_b.at") + k - 1)
     context = F.substring(F.col("_whole"), low, high - low + 1)
-    donor, acceptor = F.element_at("path", F.col("_b.boundary")), F.element_at("path", F.col("_b.boundary") + 1)
-    return rows.select(F.col(gene), donor.alias("donor"), acceptor.alias("acceptor"), context.alias("context")).where(F.length("context") >= k).distinct()
+    edge = boundary(F.element_at("path", F.col("_b.boundary")), F.element_at("path", F.col("_b.boundary") + 1), F.col("strand"))
+    return rows.select(F.col(gene), edge["donor"].alias("donor"), edge["acceptor"].alias("acceptor"), "strand", context.alias("context"))
 
 
 def exon_counts(merged: DataFrame, limit: int = 50, gene: str = "gene") -> DataFrame:
@@ -56,7 +114,98 @@ def exon_counts(merged: DataFrame, limit: int = 50, gene: str = "gene") -> DataF
 def exon_pairs(merged: DataFrame, k: int, limit: int = 50, gene: str = "gene") -> DataFrame:
     """All ordered pairs of disjoint merged exons of genes with at most `limit` of them: last k-1 bases of one, first k-1 of the other."""
     few = merged.groupBy(gene).agg(F.count("*").alias("_n")).where(F.col("_n") <= limit).select(gene)
-    rows = merged.join(few, gene)
-    left, right = rows.select(gene, *(F.col(c).alias(f"l_{c}") for c in ("start", "end", "seq"))), rows.select(gene, *(F.col(c).alias(f"r_{c}") for c in ("start", "end", "seq")))
+    # only the flanks of an exon are paired, not its sequence
+    rows = merged.select(gene, "start", "end", F.left("seq", F.lit(k - 1)).alias("head"), F.right("seq", F.lit(k - 1)).alias("tail")).join(few, gene)
+    left, right = rows.select(gene, *(F.col(c).alias(f"l_{c}") for c in ("start", "end", "tail"))), rows.select(gene, *(F.col(c).alias(f"r_{c}") for c in ("start", "end", "head")))
     pairs = left.join(right, gene).where("l_end < r_start or r_end < l_start")
-    return pairs.select(gene, "l_start", "l_end", "r_start", "r_end", F.concat(F.right("l_seq", F.lit(k - 1)), F.left("r_seq", F.lit(k - 1))).alias("context")).where(F.length("context") >= k)
+    return pairs.select(gene, "l_start", "l_end", "r_start", "r_end", F.concat("l_tail", "r_head").alias("context")).where(F.length("context") >= k)
+
+
+def all_contexts(transcripts: DataFrame, merged: DataFrame, k: int, limit: int = 50, gene: str = "gene") -> DataFrame:
+    """(gene, donor, acceptor, strand, context, source): annotated contexts, then those of all pairs that are not among them."""
+    known = annotated_contexts(transcripts, k, gene).withColumn("source", F.lit("annotated"))
+    pairs = exon_pairs(merged, k, limit, gene).join(merged.select(gene, "strand").distinct(), gene)
+    edge = boundary(F.struct(F.col("l_start").alias("start"), F.col("l_end").alias("end")), F.struct(F.col("r_start").alias("start"), F.col("r_end").alias("end")), F.col("strand"))
+    more = pairs.select(gene, edge["donor"].alias("donor"), edge["acceptor"].alias("acceptor"), "strand", "context").distinct()
+    return known.unionByName(more.join(known, [gene, "donor", "acceptor", "context"], "left_anti").withColumn("source", F.lit("all")))
+
+
+def junction_statistics(transcripts: DataFrame, merged: DataFrame, k: int, limit: int | None = 50, gene: str = "gene") -> DataFrame:
+    """One row a gene: annotated_junctions, additional_pairs, sequence_records, expanded, above_limit (limit None: annotated only)."""
+    edges = _boundaries(transcripts, k, gene).select(gene, "donor", "acceptor").distinct()
+    if limit is None:
+        contexts, added = annotated_contexts(transcripts, k, gene), edges.where("false")
+        counts = merged.groupBy(gene).agg(F.lit(False).alias("expanded"), F.lit(False).alias("above_limit"))
+    else:
+        contexts = all_contexts(transcripts, merged, k, limit, gene)
+        rows = merged.join(exon_counts(merged, limit, gene).where("not above_limit").select(gene), gene)
+        side = lambda t: rows.select(gene, F.struct("start", "end").alias(t), *([F.col("strand")] if t == "l" else []))
+        pairs = side("l").join(side("r"), gene).where("l.end < r.start or r.end < l.start")
+        edge = boundary(F.col("l"), F.col("r"), F.col("strand"))
+        added = pairs.select(gene, edge["donor"].alias("donor"), edge["acceptor"].alias("acceptor")).distinct().join(edges, [gene, "donor", "acceptor"], "left_anti")
+        counts = exon_counts(merged, limit, gene).select(gene, (~F.col("above_limit")).alias("expanded"), "above_limit")
+    number = lambda df, name: df.groupBy(gene).agg(F.count("*").alias(name))
+    out = counts.join(number(edges, "annotated_junctions"), gene, "left").join(number(added, "additional_pairs"), gene, "left").join(number(contexts, "sequence_records"), gene, "left")
+    return out.na.fill(0, ["annotated_junctions", "additional_pairs", "sequence_records"])
+
+
+def annotation_problems(exons: DataFrame) -> DataFrame:
+    """(problem, name) of exon rows (contig, strand, gene_ids, transcript_ids): exons without exactly one gene and one
+    transcript, transcripts of several genes, genes or transcripts on several contigs or strands."""
+    one = (F.size("gene_ids") == 1) & (F.size("transcript_ids") == 1)
+    place = F.concat_ws(":", F.col("contig").cast("string"), "strand")
+    bad = exons.where(~F.coalesce(one, F.lit(False))).select(F.lit("exon without one gene and one transcript").alias("problem"), F.concat_ws(":", F.col("contig").cast("string"), F.col("start").cast("string"), F.col("end").cast("string")).alias("name")).distinct()
+    rows = exons.where(one).select(F.col("gene_ids")[0].alias("g"), F.col("transcript_ids")[0].alias("t"), place.alias("p"))
+    split = lambda key, value, label: rows.groupBy(key).agg(F.min(value).alias("a"), F.max(value).alias("b")).where("a <> b").select(F.lit(label).alias("problem"), F.col(key).cast("string").alias("name"))
+    return bad.unionByName(split("t", "g", "transcript in several genes")).unionByName(split("g", "p", "gene on several contigs or strands")).unionByName(split("t", "p", "transcript on several contigs or strands"))
+
+
+def check_annotation(exons: DataFrame, most: int = 10) -> None:
+    found = annotation_problems(exons).orderBy("problem", "name").limit(most).collect()
+    if found:
+        raise ValueError("; ".join(f"{r.problem}: {r.name}" for r in found))
+
+
+def check_options(level: str, annotation: bool, junctions: str = "none", isoforms: bool = False, max_exons: int = 50) -> None:
+    """Junctions need an annotation and genes; isoforms go with neither genes nor junctions."""
+    if level not in ("exon", "gene") or junctions not in ("none", "annotated", "all") or max_exons < 1:
+        raise ValueError("unknown level or kind of junctions, or no exons allowed")
+    if junctions != "none" and (level != "gene" or not annotation):
+        raise ValueError("junctions need an annotation at gene level")
+    if isoforms and (level == "gene" or junctions != "none" or not annotation):
+        raise ValueError("isoforms need an annotation, without genes or junctions")
+
+
+def numbered_exons(exons: DataFrame, genome: DataFrame) -> DataFrame:
+    """Exon rows (contig, start, end, strand, exon_ids, gene_ids) with `exon_id` from 1, in the order of the genome's contigs,
+    then start, end and strand (plus first), and `exon_name`.
+
+    Numbers run on from one contig to the next by the contigs' counts; within a contig they are made of ranges of starts.
+    """
+    width = 1 << 16
+    rows = dedupe_sets(exons, LOCUS, ["exon_ids", "gene_ids"]).join(genome.select("contig", "place"), "contig").withColumn("_bin", F.floor(F.col("start") / width))
+    sizes = rows.groupBy("place", "_bin").agg(F.count("*").alias("_n"))
+    contigs = sizes.groupBy("place").agg(F.sum("_n").alias("_n"))
+    # a genome's contigs are a short list; the ranges of one contig meet only each other
+    lead = contigs.withColumn("_lead", F.coalesce(F.sum("_n").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("place").alias("_p"), "_lead")
+    ahead = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.partitionBy("place").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n").withColumnRenamed("place", "_q").withColumnRenamed("_bin", "_b")
+    local = F.row_number().over(Window.partitionBy("place", "_bin").orderBy("start", "end", F.col("strand") != "+"))
+    got = rows.withColumn("_local", local).join(lead, F.col("place") == F.col("_p")).join(ahead, (F.col("place") == F.col("_q")) & (F.col("_bin") == F.col("_b")))
+    number = (F.col("_lead") + F.col("_ahead") + F.col("_local")).cast("long")
+    return got.select(number.alias("exon_id"), *LOCUS, "exon_ids", "gene_ids", exon_name(number, F.col("contig"), F.col("start"), F.col("end"), F.col("strand"), F.col("exon_ids"), F.col("gene_ids")).alias("exon_name"))
+
+
+def fasta(rows: DataFrame, header: str, seq: str = "seq") -> DataFrame:
+    """(value): one header line and one sequence line a record, to be written as text."""
+    return rows.select(F.concat(F.lit(">"), F.col(header), F.lit("\n"), F.col(seq)).alias("value"))
+
+
+def gene_records(union: DataFrame) -> DataFrame:
+    """Merged exons of genes (gene, seq) as records headed by the gene's escaped name."""
+    return fasta(union.withColumn("_h", percent_escape(F.col("gene").cast("string"))), "_h")
+
+
+def junction_records(contexts: DataFrame, gene: str = "gene") -> DataFrame:
+    """Contexts as records with their boundary and source."""
+    head = F.concat(percent_escape(F.col(gene).cast("string")), F.format_string(" kind=junction donor=%d acceptor=%d strand=%s source=%s", "donor", "acceptor", "strand", "source"))
+    return fasta(contexts.withColumn("_h", head), "_h", "context")

@@ -1,4 +1,7 @@
-"""Isoform inference: profile groups, components, rank, EM, statuses (inventory H)."""
+"""Isoform inference: profile groups, components, rank, EM, statuses, reports (inventory H).
+
+exposure(feature, transcript, a > 0) and observed(dataset, feature, y) are long tables; so is everything that comes out.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +10,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut, forget
+
+#: What is known of a group's rate, in the order in which it is asked.
+RESOLVED = ("identifiable", "group_only", "zero_evidence")
+DIAGNOSTICS = "groups long, features long, rank long, active_features long, observed_sum double, iterations long, converged boolean, log_likelihood double, fixed_point_change double, relative_l1_residual double"
+_DIAGNOSTIC = [x.split()[0] for x in DIAGNOSTICS.split(", ")]
+
 
 def components(edges: DataFrame, feature: str = "feature", transcript: str = "transcript") -> DataFrame:
     """(transcript, component): the least transcript that shared features reach, by rounds of minima until nothing changes."""
     state = edges.select(transcript).distinct().withColumn("component", F.col(transcript))
-    edges = edges.select(feature, transcript).distinct()
+    edges = cut(edges.select(feature, transcript).distinct())
     while True:
         by_feature = edges.join(state, transcript).groupBy(feature).agg(F.min("component").alias("_m"))
         low = edges.join(by_feature, feature).groupBy(transcript).agg(F.min("_m").alias("_m"))
@@ -19,22 +29,14 @@ def components(edges: DataFrame, feature: str = "feature", transcript: str = "tr
         # pointer jumping: the component of one's component
         jump = hop.select(F.col(transcript).alias("_t"), F.col("_c").alias("_d"))
         new = hop.join(jump, F.col("_c") == F.col("_t"), "left").select(transcript, F.least("_c", F.coalesce("_d", "_c")).alias("component"))
-        new = _cut(new)
-        changed = new.join(state.withColumnRenamed("component", "_old"), transcript).where("component <> _old").isEmpty()
+        new = cut(new)
+        same = new.join(state.withColumnRenamed("component", "_old"), transcript).where("component <> _old").isEmpty()
+        forget(state)
         state = new
-        if changed:
+        if same:
             return state
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def rank_of(columns: list[tuple[np.ndarray, np.ndarray]], tolerance: float = 1e-10) -> int:
     """Of sparse columns (rows, values) scaled by their largest entry, by elimination on each column's first row left."""
     basis: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -60,86 +62,204 @@ def rank(columns: np.ndarray, tolerance: float = 1e-10) -> int:
     return rank_of([(np.flatnonzero(c), c[c != 0]) for c in np.asarray(columns, dtype=float).T], tolerance)
 
 
-def em_entries(f: np.ndarray, t: np.ndarray, a: np.ndarray, groups: int, y: np.ndarray, max_iterations: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, int, bool]:
-    """Poisson EM over the entries (feature, group, exposure > 0) of a component: (rates, assigned, iterations, converged).
+def em_entries(f: np.ndarray, t: np.ndarray, a: np.ndarray, groups: int, y: np.ndarray, max_iterations: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, dict]:
+    """Poisson EM over the entries (feature, group, exposure > 0) of a component: (rates, assigned, diagnostics).
 
     A step's change and the test of convergence at the end are sums of changes of rates, relative to the sum of rates.
     """
     lengths, total = np.bincount(t, a, groups), float(y.sum())
     theta = np.full(groups, total / lengths.sum())
-    if not total:
-        return theta * 0, theta * 0, 0, True
     seen = y > 0
-    keep = seen[f]
-    f, t, a = f[keep], t[keep], a[keep]
 
     def expect(rates):
         part = a * rates[t]
         rate = np.bincount(f, part, len(y))
+        if not (np.isfinite(rate[seen]) & (rate[seen] > 0)).all():
+            raise ValueError("a counted feature has no finite predicted count")
         share = np.divide(y, rate, out=np.zeros(len(y)), where=seen)
-        return np.bincount(t, part * share[f], groups), float((y[seen] * np.log(rate[seen])).sum() - rates @ lengths)
+        return np.bincount(t, part * share[f], groups), float((y[seen] * np.log(rate[seen])).sum() - rates @ lengths), rate
+
+    def change(new, old):
+        return float(np.abs(new - old).sum() / max(old.sum(), np.finfo(float).tiny))
 
-    change = lambda new, old: float(np.abs(new - old).sum() / max(old.sum(), np.finfo(float).tiny))
     last, n = -np.inf, 0
-    for n in range(1, max_iterations + 1):
-        assigned, like = expect(theta)
+    for n in range(1, (max_iterations if total else 0) + 1):
+        assigned, like, _ = expect(theta)
         new = assigned / lengths
         moved, theta = change(new, theta), new
         if moved <= tolerance and abs(like - last) <= tolerance * max(total, 1):
             break
         last = like
-    assigned, _ = expect(theta)
-    return theta, assigned, n, change(assigned / lengths, theta) <= tolerance
+    assigned, like, rate = expect(theta)
+    fixed = change(assigned / lengths, theta) if total else 0.0
+    residual = float(np.abs(rate - y).sum() / total) if total else 0.0
+    return theta, assigned, {"active_features": int(seen.sum()), "observed_sum": total, "iterations": n, "converged": fixed <= tolerance, "log_likelihood": like, "fixed_point_change": fixed, "relative_l1_residual": residual}
 
 
 def em(exposure: np.ndarray, y: np.ndarray, max_iterations: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, int, bool]:
-    """em_entries of a dense matrix of features x groups."""
+    """em_entries of a dense matrix of features x groups: (rates, assigned, iterations, converged)."""
     f, t = np.nonzero(exposure)
-    return em_entries(f, t, exposure[f, t].astype(float), exposure.shape[1], y, max_iterations, tolerance)
+    theta, assigned, told = em_entries(f, t, exposure[f, t].astype(float), exposure.shape[1], y, max_iterations, tolerance)
+    return theta, assigned, told["iterations"], told["converged"]
+
+
+def profile_groups(exposure: DataFrame, transcripts: DataFrame | None = None) -> DataFrame:
+    """(transcript, group, observable_kmers): transcripts with equal entries are one group, named by the least of them; those
+    of `transcripts` without entries are groups of their own, with 0 observable k-mers."""
+    each = exposure.groupBy("transcript").agg(F.array_sort(F.collect_list(F.struct("feature", "a"))).alias("profile"), F.sum("a").cast("long").alias("observable_kmers"))
+    named = each.groupBy("profile").agg(F.min("transcript").alias("group"))
+    got = each.join(named, "profile").select("transcript", "group", "observable_kmers")
+    if transcripts is None:
+        return got
+    every = transcripts.select("transcript").distinct().join(got, "transcript", "left")
+    return every.select("transcript", F.coalesce("group", "transcript").alias("group"), F.coalesce("observable_kmers", F.lit(0)).alias("observable_kmers"))
 
 
-def fit(exposure: DataFrame, observed: DataFrame, max_iterations: int = 10_000, tolerance: float = 1e-8, rank_limit: int = 512) -> DataFrame:
-    """(dataset, transcript, component, abundance, assigned, status) from exposure(feature, transcript, a) and observed(dataset, feature, y).
+def fit_groups(exposure: DataFrame, observed: DataFrame, transcripts: DataFrame | None = None, max_iterations: int = 10_000, tolerance: float = 1e-8, rank_limit: int = 512, most_datasets: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """(members, fits): members(transcript, group, component, observable_kmers), and for each dataset and group a row
+    (dataset, group, component, rate, assigned, the component's diagnostics).
 
-    Components are fitted apart, each in one task, which holds the component's entries as lists (not as a matrix): its
-    memory and each iteration grow with the entries, so one component of most of a table is work of one task.
-    Entries of exposure are above 0, one a (feature, transcript).
+    Components are fitted apart, each of a dataset in one task, which holds the component's entries as lists (not as a
+    matrix): its memory and each iteration grow with the entries, so one component of most of a table is work of one task.
+    The rank is asked only of components with at most `rank_limit` groups.  Every dataset is fitted against all components,
+    so entries times datasets is the size of the work; more than `most_datasets` datasets raise.
     """
-    found = components(exposure)
-    rows = exposure.join(found, "transcript")
-    y = observed.join(rows.select("feature", "component").distinct(), "feature").select("dataset", "component", "feature", "y")
+    members = cut(profile_groups(exposure, transcripts))
+    first = members.where(F.col("transcript") == F.col("group")).select(F.col("transcript").alias("_g"))
+    entries = exposure.join(first, F.col("transcript") == F.col("_g"), "left_semi").withColumnRenamed("transcript", "group")
+    found = components(entries.withColumnRenamed("group", "transcript")).withColumnRenamed("transcript", "_g")
+    members = cut(members.join(found, F.col("group") == F.col("_g"), "left").select("transcript", "group", F.coalesce("component", "group").alias("component"), "observable_kmers"))
+    entries = cut(entries.join(found, F.col("group") == F.col("_g")).select("component", "group", "feature", F.col("a").cast("double").alias("a")))
     datasets = observed.select("dataset").distinct()
-    wide = rows.join(F.broadcast(datasets)).join(y.drop("component"), ["dataset", "feature"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)).cast("double"))
+    if datasets.count() > most_datasets:
+        raise ValueError(f"more than {most_datasets} datasets")
+    y = observed.groupBy("dataset", "feature").agg(F.sum("y").cast("double").alias("y"))
+    wide = entries.crossJoin(F.broadcast(datasets)).join(y, ["dataset", "feature"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         f, features = pd.factorize(part["feature"], sort=True)
-        t, transcripts = pd.factorize(part["transcript"], sort=True)
+        t, groups = pd.factorize(part["group"], sort=True)
         order = np.lexsort((f, t))
         f, t, a, y = f[order], t[order], part["a"].to_numpy(dtype=float)[order], part["y"].to_numpy(dtype=float)[order]
         obs = np.zeros(len(features))
         obs[f] = y
-        # transcripts with equal entries are one group
-        ends = np.searchsorted(t, np.arange(len(transcripts) + 1))
-        names: dict[bytes, int] = {}
-        group = np.array([names.setdefault(f[i:j].tobytes() + a[i:j].tobytes(), len(names)) for i, j in zip(ends[:-1], ends[1:], strict=True)])
-        first = np.unique(group, return_index=True)[1]
-        spans = [slice(ends[i], ends[i + 1]) for i in first]
-        one_each = np.isin(t, first)
-        theta, assigned, _, converged = em_entries(f[one_each], group[t[one_each]], a[one_each], len(names), obs, max_iterations, tolerance)
-        full = rank_of([(f[x], a[x]) for x in spans]) == len(names) if len(names) <= rank_limit else None
-        members = np.bincount(group)
-        if not converged:
-            status = ["non_converged"] * len(transcripts)
-        elif not obs.sum():
-            status = ["zero_evidence"] * len(transcripts)
-        elif full is None:
-            status = ["rank_unchecked"] * len(transcripts)
-        elif not full:
-            status = ["unresolved"] * len(transcripts)
-        else:
-            status = ["group_only" if members[g] > 1 else "identifiable" for g in group]
-        known = np.array([s == "identifiable" for s in status])
-        return pd.DataFrame({"dataset": part["dataset"].iloc[0], "transcript": transcripts, "component": part["component"].iloc[0], "abundance": np.where(known, theta[group], np.nan), "model_estimate": theta[group] / members[group], "assigned": assigned[group] / members[group], "status": status})
-
-    got = wide.groupBy("dataset", "component").applyInPandas(one, "dataset int, transcript long, component long, abundance double, model_estimate double, assigned double, status string")
-    return got.withColumn("abundance", F.when(~F.isnan("abundance"), F.col("abundance")))
+        theta, assigned, told = em_entries(f, t, a, len(groups), obs, max_iterations, tolerance)
+        ends = np.searchsorted(t, np.arange(len(groups) + 1))
+        known = rank_of([(f[i:j], a[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]) if len(groups) <= rank_limit else None
+        out = {"dataset": part["dataset"].iloc[0], "group": groups, "component": part["component"].iloc[0], "rate": theta, "assigned": assigned}
+        told = {"groups": len(groups), "features": len(features), "rank": pd.array([known] * len(groups), dtype="Int64")} | told
+        return pd.DataFrame(out | {c: told[c] for c in _DIAGNOSTIC})
+
+    kind = {k: exposure.schema["transcript"].dataType.simpleString() for k in ("group", "component")}
+    schema = f"dataset {observed.schema['dataset'].dataType.simpleString()}, group {kind['group']}, component {kind['component']}, rate double, assigned double, {DIAGNOSTICS}"
+    fits = wide.groupBy("dataset", "component").applyInPandas(one, schema)
+    lone = members.where("observable_kmers = 0").select("group", "component").distinct().crossJoin(F.broadcast(datasets))
+    empty = {"rate": 0.0, "assigned": 0.0, "groups": 1, "features": 0, "active_features": 0, "observed_sum": 0.0, "iterations": 0, "converged": True, "log_likelihood": 0.0, "fixed_point_change": 0.0, "relative_l1_residual": 0.0}
+    lone = lone.withColumns({k: F.lit(v) for k, v in empty.items()} | {"rank": F.lit(0)})
+    lone = lone.select(*(F.col(x.name).cast(x.dataType).alias(x.name) for x in fits.schema.fields))
+    return members, cut(fits.unionByName(lone))
+
+
+def global_fit(fits: DataFrame) -> DataFrame:
+    """The sum of independent fits, without `dataset`: rates and assigned counts add up, diagnostics are the largest, all of
+    them, or sums, and residuals are weighed by what was observed."""
+    total = F.sum("observed_sum")
+    return fits.groupBy("group", "component").agg(
+        F.sum("rate").alias("rate"), F.sum("assigned").alias("assigned"), F.first("groups").alias("groups"), F.first("features").alias("features"), F.max("rank").alias("rank"),
+        F.max("active_features").alias("active_features"), total.alias("observed_sum"), F.max("iterations").alias("iterations"), F.bool_and("converged").alias("converged"),
+        F.sum("log_likelihood").alias("log_likelihood"), F.max("fixed_point_change").alias("fixed_point_change"), F.coalesce(F.try_divide(F.sum(F.col("relative_l1_residual") * F.col("observed_sum")), total), F.lit(0.0)).alias("relative_l1_residual"),
+    )
+
+
+def with_status(fits: DataFrame, members: DataFrame) -> DataFrame:
+    """fits with members, observable_kmers and status of each group."""
+    sizes = members.groupBy(F.col("group").alias("_g")).agg(F.count("*").alias("members"), F.max("observable_kmers").alias("observable_kmers"))
+    state = (
+        F.when(F.col("observable_kmers") == 0, "unobservable").when(~F.col("converged"), "non_converged").when(F.col("observed_sum") == 0, "zero_evidence")
+        .when(F.col("rank").isNull(), "rank_unchecked").when(F.col("rank") != F.col("groups"), "unresolved").when(F.col("members") > 1, "group_only").otherwise("identifiable")
+    )
+    return fits.join(sizes, F.col("group") == F.col("_g")).drop("_g").withColumn("status", state)
+
+
+def _shares(states: DataFrame, by: list[str]) -> DataFrame:
+    """Of each dataset: the sum of rates, and whether every group's rate is known."""
+    known = F.col("status").isin(*RESOLVED, "unobservable")
+    return states.groupBy(*by).agg(F.sum("rate").alias("_total"), F.bool_and(known).alias("_all"))
+
+
+def _with_shares(states: DataFrame, by: list[str]) -> DataFrame:
+    if not by:
+        return states.crossJoin(F.broadcast(_shares(states, by)))
+    return states.join(_shares(states, by), by)
+
+
+def _ppm(rate):
+    return F.when(F.col("_all"), F.coalesce(F.try_divide(1e6 * rate, F.col("_total")), F.when(rate.isNotNull(), 0.0)))
+
+
+def transcript_report(members: DataFrame, fits: DataFrame, genes: DataFrame) -> DataFrame:
+    """One row a transcript (and dataset, if fits has one).  genes: (transcript, gene), one row each.
+
+    abundance is null unless the transcript is alone in its group and the rate is known; the fraction within the gene is
+    null unless all groups of the gene are of it alone and known; parts per million unless all groups are.
+    """
+    by = ["dataset"] if "dataset" in fits.columns else []
+    states = with_status(fits, members)
+    rows = _with_shares(states, by).join(members.select("transcript", "group"), "group").join(genes.select("transcript", "gene"), "transcript")
+    kinds = members.join(genes, "transcript").groupBy("group").agg(F.countDistinct("gene").alias("_genes"))
+    known = F.col("status").isin(*RESOLVED)
+    of_gene = members.join(genes, "transcript").select("group", "gene").distinct().join(kinds, "group").join(states.select(*by, "group", "rate", "status"), "group")
+    of_gene = of_gene.groupBy(*by, "gene").agg(F.sum(F.when(F.col("_genes") == 1, F.col("rate")).otherwise(0.0)).alias("_gene_rate"), F.bool_and(known & (F.col("_genes") == 1)).alias("_gene_known"))
+    single = (F.col("members") == 1) & known
+    rate = F.when(single, F.col("rate"))
+    fraction = F.when(F.col("_gene_known"), F.coalesce(F.try_divide(rate, F.col("_gene_rate")), F.when(rate.isNotNull(), 0.0)))
+    state = F.when((F.col("members") > 1) & known & (F.col("status") != "zero_evidence"), "group_only").otherwise(F.col("status"))
+    return rows.join(of_gene, [*by, "gene"]).select(
+        *by, "transcript", "gene", "group", "component", "observable_kmers", rate.alias("abundance"), fraction.alias("within_gene_fraction"), _ppm(rate).alias("relative_abundance_ppm"),
+        F.when(single, F.col("assigned")).alias("assigned_observations"), F.when((F.col("members") == 1) & (F.col("observable_kmers") > 0), F.col("rate")).alias("model_estimate"), state.alias("status"),
+    )
+
+
+def group_report(members: DataFrame, fits: DataFrame, genes: DataFrame) -> DataFrame:
+    """One row a group (and dataset, if fits has one), with the names in it as JSON lists in order."""
+    by = ["dataset"] if "dataset" in fits.columns else []
+    names = members.join(genes, "transcript").groupBy("group").agg(F.to_json(F.array_sort(F.collect_set("gene"))).alias("gene_names"), F.to_json(F.array_sort(F.collect_list("transcript"))).alias("transcript_names"))
+    states = _with_shares(with_status(fits, members), by).join(names, "group")
+    rate = F.when(F.col("status").isin(*RESOLVED), F.col("rate"))
+    return states.select(
+        *by, "group", "component", "gene_names", "transcript_names", "observable_kmers", rate.alias("abundance"), _ppm(rate).alias("relative_abundance_ppm"),
+        F.col("assigned").alias("assigned_observations"), F.when(F.col("observable_kmers") > 0, F.col("rate")).alias("model_estimate"), "status",
+    )
+
+
+def diagnostics_report(fits: DataFrame) -> DataFrame:
+    """One row a component (and dataset, if fits has one)."""
+    by = ["dataset"] if "dataset" in fits.columns else []
+    return fits.groupBy(*by, "component").agg(*(F.first(c).alias(c) for c in _DIAGNOSTIC))
+
+
+def fit(exposure: DataFrame, observed: DataFrame, max_iterations: int = 10_000, tolerance: float = 1e-8, rank_limit: int = 512, transcripts: DataFrame | None = None) -> DataFrame:
+    """(dataset, transcript, component, abundance, model_estimate, assigned, status), the report's main columns."""
+    members, fits = fit_groups(exposure, observed, transcripts, max_iterations, tolerance, rank_limit)
+    every = transcripts if transcripts is not None else exposure
+    got = transcript_report(members, fits, every.select("transcript").distinct().withColumn("gene", F.col("transcript")))
+    return got.select("dataset", "transcript", "component", "abundance", "model_estimate", F.col("assigned_observations").alias("assigned"), "status")
+
+
+def check_observed(observed: DataFrame, features: DataFrame) -> None:
+    """Raises if counts are negative or no finite numbers, if a dataset has a feature twice, or one that the model has not."""
+    y = F.col("y").cast("double")
+    if not observed.where(y.isNull() | F.isnan(y) | (y < 0) | (y == float("inf"))).isEmpty():
+        raise ValueError("counts must be finite and not negative")
+    if not observed.groupBy("dataset", "feature").count().where("count > 1").isEmpty():
+        raise ValueError("a dataset has a feature twice")
+    if not observed.join(features.select("feature"), "feature", "left_anti").isEmpty():
+        raise ValueError("counts of features that the model does not have")
+
+
+def check_options(stats: bool = False, viewer: bool = False, max_iterations: int = 1, tolerance: float = 1e-8, rank_limit: int = 1) -> None:
+    """Inference takes no cross-dataset statistics and no viewer archive; its limits must be positive."""
+    if stats or viewer:
+        raise ValueError("isoform counts take no statistics and no viewer archive")
+    if max_iterations < 1 or rank_limit < 1 or not 0 < tolerance < float("inf"):
+        raise ValueError("iterations, tolerance and rank limit must be positive")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.sequence import round_ratio
-from .index import kmers
+from ..functions.sequence import SCALE, round_ratio, runs, weight_error
+from .index import kmer_sums
 
 
 def collapse(reads: DataFrame, dataset: str, seq: str, weight: str) -> DataFrame:
@@ -16,20 +18,65 @@ def collapse(reads: DataFrame, dataset: str, seq: str, weight: str) -> DataFrame
 
 
 def count_targets(reads: DataFrame, owner_table: DataFrame, dataset: str, seq: str, weight: str, k: int, target: str = "target") -> DataFrame:
-    """(dataset, target, raw): summed weights of all windows owned by one target.  Windows of equal records and then equal
-    k-mers of a dataset are summed before the join, so a frequent k-mer is one row a dataset there."""
-    seen = kmers(collapse(reads, dataset, seq, weight), [dataset, weight], seq, k).groupBy(dataset, "ck").agg(F.sum(weight).alias(weight))
-    hit = seen.join(owner_table.where("owner is not null"), "ck")
-    return hit.groupBy(dataset, F.col("owner").alias(target)).agg(F.sum(weight).alias("raw"))
+    """(dataset, target, raw): summed weights of all windows owned by one target.
 
+    Equal records are summed before their windows are made, a block's equal k-mers before they are shuffled.  One shuffle by
+    k-mer serves both the sum over a dataset's equal k-mers and the join with owners, so a frequent k-mer is one row a
+    dataset there.
+    """
+    return assigned(reads, owner_table, dataset, seq, weight, k, target).groupBy(dataset, target).agg(F.sum("raw").alias("raw"))
 
-def dataset_metrics(reads: DataFrame, dataset: str, seq: str, weight: str, k: int) -> DataFrame:
-    """records (short ones too), valid_kmers and weighted_kmers of each dataset, without exploding windows."""
-    from ..functions.sequence import runs
 
+def assigned(reads: DataFrame, owner_table: DataFrame, dataset: str, seq: str, weight: str, k: int, target: str = "target") -> DataFrame:
+    """(dataset, target, raw, windows) of each owned k-mer of a dataset."""
+    seen = kmer_sums(collapse(reads, dataset, seq, weight), dataset, seq, weight, k).repartition("ck")
+    seen = seen.groupBy("ck", dataset).agg(F.sum(weight).alias("raw"), F.sum("windows").alias("windows"))
+    return seen.join(owner_table.where("owner is not null"), "ck").select(dataset, F.col("owner").alias(target), "raw", "windows")
+
+
+def dataset_metrics(reads: DataFrame, dataset: str, seq: str, weight: str, k: int, owner_table: DataFrame | None = None) -> DataFrame:
+    """records (short ones too), valid_kmers and weighted_kmers of each dataset, without making windows; with owners, also
+    assigned_kmers."""
     rows = collapse(reads, dataset, seq, weight)
     n = F.aggregate(F.transform(runs(F.col(seq), k), lambda r: (F.length(r) - k + 1).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.withColumn("_n", n).groupBy(dataset).agg(F.sum("records").alias("records"), F.sum(F.col("_n") * F.col("records")).alias("valid_kmers"), F.sum(F.col("_n") * F.col(weight)).alias("weighted_kmers"))
+    got = rows.withColumn("_n", n).groupBy(dataset).agg(F.sum("records").alias("records"), F.sum(F.col("_n") * F.col("records")).alias("valid_kmers"), F.sum(F.col("_n") * F.col(weight)).alias("weighted_kmers"))
+    if owner_table is None:
+        return got
+    hits = assigned(reads, owner_table, dataset, seq, weight, k).groupBy(F.col(dataset).alias("_d")).agg(F.sum("windows").alias("assigned_kmers"))
+    return got.join(hits, F.col(dataset).eqNullSafe(F.col("_d")), "left").drop("_d").withColumn("assigned_kmers", F.coalesce("assigned_kmers", F.lit(0)))
+
+
+def pooled_total(metrics: DataFrame, scales: Column) -> DataFrame:
+    """(numerator, scale): the k-mer total of all datasets in micro-units; `scales` is a dataset's own scale, 1 or 1,000,000."""
+    return metrics.agg(F.sum(F.col("weighted_kmers").cast("decimal(38,0)") * F.call_function("div", F.lit(SCALE), scales)).cast("decimal(38,0)").alias("numerator")).withColumn("scale", F.lit(SCALE))
+
+
+def count_features(reads: DataFrame, features: DataFrame, dataset: str, seq: str, weight: str, k: int) -> DataFrame:
+    """(dataset, feature, value): weights summed over membership classes (ck, feature); nothing is excluded, micro-units stay."""
+    got = count_targets(reads, features.select("ck", F.col("feature").alias("owner")), dataset, seq, weight, k, "feature")
+    return got.select(dataset, "feature", F.col("raw").cast("decimal(38,0)").alias("value"))
+
+
+def feature_totals(counts: DataFrame) -> DataFrame:
+    """(feature, value) over all datasets, as decimals of 38 digits; beyond that Spark raises."""
+    return counts.groupBy("feature").agg(F.sum("value").cast("decimal(38,0)").alias("value"))
+
+
+def keep_going(datasets: DataFrame, failures: DataFrame, dataset: str, stats: bool = False) -> tuple[DataFrame, dict]:
+    """(datasets without those in failures(dataset, error), coverage); all failed, or statistics asked for, raises."""
+    failed = failures.select(dataset).distinct()
+    left = datasets.join(failed, dataset, "left_anti")
+    asked, done = datasets.count(), left.count()
+    if not done:
+        raise ValueError("all datasets failed")
+    if stats and done < asked:
+        raise ValueError("statistics need all datasets")
+    return left, {"requested_datasets": asked, "completed_datasets": done, "failed_datasets": asked - done, "complete": asked == done}
+
+
+def failures(reads: DataFrame, dataset: str, header: str, length: Column, assembly_k: int, mode: str) -> DataFrame:
+    """(dataset, error) of datasets with a header that has no valid weight, found by a pass that raises nothing."""
+    return reads.select(dataset, weight_error(F.col(header), length, assembly_k, mode).alias("error")).where("error is not null").groupBy(dataset).agg(F.min("error").alias("error"))
 
 
 def finish(raw: DataFrame, scale: int) -> DataFrame:
@@ -73,12 +120,52 @@ def codebook(maxima: DataFrame, key: str, maximum: str, bits: int) -> DataFrame:
     return rows.select(key, "code", level.cast("long").alias("level"))
 
 
-def quantise(counts: DataFrame, book: DataFrame, key: str) -> DataFrame:
-    """counts with the code and level nearest to each value, ties to the lower; the book is joined by value ranges."""
+def quantise(counts: DataFrame, book: DataFrame, key: str, most: int = 4_000_000) -> DataFrame:
+    """counts with the code and level nearest to each value, ties to the lower.
+
+    A key's levels are searched by halves in one Arrow map; books are broadcast if they were counted to have `most` levels
+    at most, else each key's rows follow its book in one sorted stream.
+    """
+    from pyspark.sql import types as T
+
+    at, plain = counts.columns.index("count"), [f for f in counts.schema.fields]
+    schema = T.StructType([*plain, T.StructField("code", T.LongType()), T.StructField("level", T.LongType())])
+
+    def nearest(values: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        high = np.clip(np.searchsorted(levels, values), 0, len(levels) - 1)
+        low = np.maximum(high - 1, 0)
+        return np.where(values - levels[low] <= levels[high] - values, low, high)
+
+    def add(batch, values, codes, levels):
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(plain))), pa.array(codes), pa.array(levels)], names=schema.names)
+
+    where = counts.columns.index(key)
+    if book.count() <= most:
+        books: dict = {}
+        for r in book.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("code", "level"))).alias("x")).select(key, F.transform("x", lambda x: x["level"]).alias("levels")).collect():
+            books[r[0]] = np.array(r[1], dtype=np.int64)
+        shared = counts.sparkSession.sparkContext.broadcast(books)
+
+        def run(batches):
+            for batch in batches:
+                names = batch.column(where).dictionary_encode()
+                which, values = names.indices.to_numpy(zero_copy_only=False), batch.column(at).cast(pa.int64()).to_numpy(zero_copy_only=False)
+                codes, levels = np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=np.int64)
+                for i, name in enumerate(names.dictionary.to_pylist()):
+                    mine = which == i
+                    codes[mine] = nearest(values[mine], shared.value[name])
+                    levels[mine] = shared.value[name][codes[mine]]
+                yield add(batch, values, codes, levels)
+
+        return counts.mapInArrow(run, schema)
     w = Window.partitionBy(key).orderBy("code")
     # a value belongs to a level from just above the midpoint with the one before, to the midpoint with the next
     spans = book.withColumn("_lo", F.col("level") + F.coalesce(F.lag("level").over(w), F.lit(-(1 << 60)))).withColumn("_hi", F.col("level") + F.coalesce(F.lead("level").over(w), F.lit(1 << 60)))
-    return counts.join(spans, key).where((2 * F.col("count") > F.col("_lo")) & (2 * F.col("count") <= F.col("_hi"))).drop("_lo", "_hi")
+    # values and spans meet only where both are in the same power of two (a span is in each one it reaches into)
+    power = lambda c: F.floor(F.log2(F.greatest(c, F.lit(0)).cast("double") + 1)).cast("int")
+    spans = spans.withColumn("_power", F.explode(F.sequence(power(F.col("_lo") / 2 - 1), power(F.least(F.col("_hi"), F.lit(1 << 53)) / 2 + 1))))
+    got = counts.withColumn("_power", power(F.col("count"))).join(spans, [key, "_power"])
+    return got.where((2 * F.col("count") > F.col("_lo")) & (2 * F.col("count") <= F.col("_hi"))).drop("_lo", "_hi", "_power").select(*counts.columns, "code", "level")
 
 
 def quantisation_error(encoded: DataFrame, key: str) -> DataFrame:

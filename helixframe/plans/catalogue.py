@@ -74,17 +74,18 @@ tot AS (SELECT dataset, CAST(sum(qty) AS BIGINT) * {64 - K + 1} AS total FROM rd
 
 @query(_BASE + "SELECT target, ck, count(*) AS n FROM tk GROUP BY target, ck")
 def kmer_canonical(spark, d):
-    return index.kmers(records(spark, d), ["target"], "seq", K).groupBy("target", "ck").agg(F.count("*").alias("n"))
+    got = index.kmers(records(spark, d), ["target"], "seq", K).groupBy("target", "ck").agg(F.count("*").alias("n"))
+    return got.withColumn("ck", fn.unpacked(F.col("ck"), K))
 
 
 @query(_BASE + "SELECT DISTINCT ck FROM tk")
 def kmer_distinct(spark, d):
-    return index.kmers(records(spark, d), [], "seq", K).distinct()
+    return index.kmers(records(spark, d), [], "seq", K).distinct().select(fn.unpacked(F.col("ck"), K).alias("ck"))
 
 
 @query(_BASE + "SELECT DISTINCT ck, CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(translate(ck, 'ACGT', '0123'), ''), lambda x: CAST(x AS BIGINT))), lambda a, x: a * 4 + x) AS BIGINT) AS code FROM tk")
 def kmer_packed(spark, d):
-    return index.kmers(records(spark, d), [], "seq", K).distinct().withColumn("code", fn.packed(F.col("ck")))
+    return index.kmers(records(spark, d), [], "seq", K).distinct().select(fn.unpacked(F.col("ck"), K).alias("ck"), F.col("ck").alias("code"))
 
 
 @query("SELECT doc_id, list_aggregate(list_transform(r, lambda x: len(x) - 2), 'sum')::BIGINT AS positions, len(r)::INTEGER AS runs FROM (SELECT doc_id, list_filter(regexp_extract_all(translate(text, 'acgt', 'ACGT'), '[ACGT]+'), lambda x: len(x) >= 3) AS r FROM documents) WHERE len(r) > 0")
@@ -119,7 +120,7 @@ def decimal_micro(spark, d):
 
 @query(_BASE + "SELECT ck, owner FROM own")
 def owner_table(spark, d):
-    return owner_table_of(spark, d)
+    return owner_table_of(spark, d).withColumn("ck", fn.unpacked(F.col("ck"), K))
 
 
 @query(_BASE + "SELECT rec.target, coalesce(u.n, 0) AS unique_kmers FROM rec LEFT JOIN (SELECT owner, count(*) AS n FROM own GROUP BY owner) u ON u.owner = rec.target")
@@ -129,7 +130,7 @@ def unique_kmers(spark, d):
 
 @query(_BASE + "SELECT ck, CASE WHEN min(gene) = max(gene) THEN min(gene) END AS owner FROM tk GROUP BY ck")
 def gene_grouped_owners(spark, d):
-    return index.owners(index.kmers(records(spark, d), ["gene"], "seq", K), "gene")
+    return index.owners(index.kmers(records(spark, d), ["gene"], "seq", K), "gene").withColumn("ck", fn.unpacked(F.col("ck"), K))
 
 
 @query(_BASE + f"SELECT gene, CAST(sum(64) AS BIGINT) AS length, CAST(sum({64 - K + 1}) AS BIGINT) AS kmer_length FROM rec GROUP BY gene")
@@ -254,7 +255,7 @@ fc AS (SELECT min(ck) AS feature, s, any_value(members) AS members, count(*) AS
 
 @query(_FEAT + "SELECT feature, distinct_kmers, members::INTEGER AS members FROM fc")
 def feature_classes(spark, d):
-    return index.classes(_members(spark, d)).select("feature", "distinct_kmers", F.size("signature").alias("members"))
+    return index.classes(_members(spark, d)).select(fn.unpacked(F.col("feature"), 7).alias("feature"), "distinct_kmers", F.size("signature").alias("members"))
 
 
 @query(_FEAT + "SELECT gene, CAST(sum(m * distinct_kmers) AS BIGINT) AS observable_kmers FROM fc JOIN sg ON sg.ck = fc.feature JOIN ev ON ev.ck = fc.feature GROUP BY gene")
@@ -272,7 +273,7 @@ def _members_all(spark, d) -> DataFrame:
 
 @query(_FEAT_ALL + "SELECT feature, distinct_kmers, members::INTEGER AS members FROM fc")
 def feature_classes_all(spark, d):
-    return index.classes(_members_all(spark, d)).select("feature", "distinct_kmers", F.size("signature").alias("members"))
+    return index.classes(_members_all(spark, d)).select(fn.unpacked(F.col("feature"), 7).alias("feature"), "distinct_kmers", F.size("signature").alias("members"))
 
 
 @query(_FEAT_ALL + "SELECT gene, CAST(sum(m * distinct_kmers) AS BIGINT) AS observable_kmers FROM fc JOIN sg ON sg.ck = fc.feature JOIN ev ON ev.ck = fc.feature GROUP BY gene")
@@ -381,6 +382,9 @@ def heatmap_page(spark, d):
     return explore.scaled(shown, log=True).select("dataset", "target", "count", "position", F.round("fraction", 9).alias("fraction"))
 
 
+from . import annotation  # noqa: E402, F401
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

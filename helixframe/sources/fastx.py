@@ -1,59 +1,80 @@
-"""FASTA and FASTQ files, plain or compressed by gzip, xz or zstd (told by their first bytes, members may be joined)."""
+"""FASTA and FASTQ files, plain or compressed; read as streams, so a file may be of any size and a record must fit a task."""
 
 from __future__ import annotations
 
-import gzip
-import io
-import lzma
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import each_file
 
-def plain(raw: bytes) -> bytes:
-    if raw[:2] == b"\x1f\x8b":
-        return gzip.decompress(raw)
-    if raw[:6] == b"\xfd7zXZ\x00":
-        return lzma.decompress(raw)
-    if raw[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
-
-        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True).read()
-    return raw
-
-
-def parse(raw: bytes, path: str) -> Iterator[tuple[str, str]]:
-    """(header, sequence); white space inside sequences goes, other lines than records raise."""
-    lines = plain(raw).replace(b"\r\n", b"\n").split(b"\n")
-    at = 0
-    while at < len(lines):
-        line = lines[at]
-        if not line.strip():
-            at += 1
-        elif line[:1] == b">":
-            end = at + 1
-            while end < len(lines) and lines[end][:1] != b">":
-                end += 1
-            yield line[1:].decode().strip(), b"".join(b"".join(lines[at + 1 : end]).split()).decode()
-            at = end
-        elif line[:1] == b"@":
-            if at + 3 >= len(lines) or lines[at + 2][:1] != b"+" or len(lines[at + 1].strip()) != len(lines[at + 3].strip()):
-                raise ValueError(f"{path}: broken FASTQ record at line {at + 1}")
-            yield line[1:].decode().strip(), lines[at + 1].strip().decode()
-            at += 4
+
+def parse(lines, path: str) -> Iterator[tuple[str, str]]:
+    """(header, sequence) of an iterable of lines; white space inside sequences goes, other lines than records raise."""
+    header, parts, n = None, [], 0
+    lines = iter(lines)
+    for line in lines:
+        n += 1
+        text = line.strip()
+        if not text:
+            continue
+        if text[:1] == b">":
+            if header is not None:
+                yield header, b"".join(parts).decode()
+            header, parts = text[1:].decode().strip(), []
+        elif header is not None:
+            parts.append(b"".join(text.split()))
+        elif text[:1] == b"@":
+            rest = [next(lines, None) for _ in range(3)]
+            if None in rest or rest[1][:1] != b"+" or len(rest[0].strip()) != len(rest[2].strip()):
+                raise ValueError(f"{path}: broken FASTQ record at line {n}")
+            n += 3
+            yield text[1:].decode().strip(), rest[0].strip().decode()
         else:
-            raise ValueError(f"{path}: neither FASTA nor FASTQ at line {at + 1}")
+            raise ValueError(f"{path}: neither FASTA nor FASTQ at line {n}")
+    if header is not None:
+        yield header, b"".join(parts).decode()
 
 
 def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, record, header, seq); a file is one row of binaryFile, so files spread over tasks."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    """(path, record, header, seq); files spread over tasks."""
+
+    def rows(path, stream):
+        for i, (header, seq) in enumerate(parse(stream, path)):
+            yield path, i, header, seq
+
+    return each_file(spark, paths, "path string, record long, header string, seq string", rows)
+
+
+def read_genome(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(contig, bases, place): a contig is named by the first word of its header; `place` is the order of files and records.
+
+    Contigs that repeat, and files that are no FASTA or hold nothing, raise.
+    """
+    from pyspark.sql import functions as F
+
+    from ..functions.sequence import first_token
+
+    order = {p: i for i, p in enumerate(paths)}
+
+    def rows(path, stream):
+        got = 0
+        number = next((i for p, i in order.items() if path.endswith(p.rsplit(":", 1)[-1].lstrip("/"))), 0)
+
+        def checked():
+            for i, line in enumerate(stream):
+                if not i and line[:1] == b"@":
+                    raise ValueError(f"{path}: a genome must be FASTA")
+                yield line
 
-    def run(batches):
-        for batch in batches:
-            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = list(parse(raw, path))
-                yield pa.record_batch([pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array([h for h, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.string())], names=["path", "record", "header", "seq"])
+        for i, (header, seq) in enumerate(parse(checked(), path)):
+            got += 1
+            yield header, seq, (number << 32) + i
+        if not got:
+            raise ValueError(f"{path}: no sequences")
 
-    return files.mapInArrow(run, "path string, record long, header string, seq string")
+    found = each_file(spark, paths, "header string, bases string, place long", rows).select(first_token(F.col("header")).alias("contig"), "bases", "place")
+    twice = found.groupBy("contig").count().where("count > 1").limit(10).collect()
+    if twice:
+        raise ValueError("contigs repeat: " + ", ".join(r[0] for r in twice))
+    return found
