@@ -243,10 +243,10 @@ def junction_gene_report(spark, d):
 
 
 def _members(spark, d) -> DataFrame:
-    return index.memberships(index.kmers(records(spark, d).withColumn("seq", F.substring("seq", 1, 24)), ["gene"], "seq", 7), "gene")
+    return index.memberships(index.kmers(records(spark, d), ["gene"], "seq", 7), "gene")
 
 
-_FEAT = f"""WITH w AS (SELECT gene, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS ck FROM (SELECT p_brand AS gene, substr({_DNA.format('p_partkey')}, CAST(i AS INTEGER), 7) AS w FROM part, range(1, 19) r(i))),
+_FEAT = f"""WITH w AS (SELECT gene, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS ck FROM (SELECT p_brand AS gene, substr({_DNA.format('p_partkey')}, CAST(i AS INTEGER), 7) AS w FROM part, range(1, {64 - 7 + 2}) r(i))),
 ev AS (SELECT ck, gene, count(*) AS m FROM w GROUP BY ck, gene),
 sg AS (SELECT ck, string_agg(gene || ':' || m, ',' ORDER BY gene) AS s, count(*) AS members FROM ev GROUP BY ck),
 fc AS (SELECT min(ck) AS feature, s, any_value(members) AS members, count(*) AS distinct_kmers FROM sg GROUP BY s)
@@ -263,22 +263,16 @@ def observable_kmers(spark, d):
     return index.exposure(index.classes(_members(spark, d)), "gene").groupBy("gene").agg(F.sum("a").alias("observable_kmers"))
 
 
-_FEAT_ALL = _FEAT.replace("range(1, 19)", f"range(1, {64 - 7 + 2})")
-
-
-def _members_all(spark, d) -> DataFrame:
-    """Of all 64 bases; _members keeps to the first 24, as its SQL does."""
-    return index.memberships(index.kmers(records(spark, d), ["gene"], "seq", 7), "gene")
-
-
-@query(_FEAT_ALL + "SELECT feature, distinct_kmers, members::INTEGER AS members FROM fc")
+@query(_FEAT + "SELECT feature, distinct_kmers, members::INTEGER AS members FROM fc")
 def feature_classes_all(spark, d):
-    return index.classes(_members_all(spark, d)).select(fn.unpacked(F.col("feature"), 7).alias("feature"), "distinct_kmers", F.size("signature").alias("members"))
+    """The same as feature_classes, under the name it had while that took only some bases."""
+    return feature_classes(spark, d)
 
 
-@query(_FEAT_ALL + "SELECT gene, CAST(sum(m * distinct_kmers) AS BIGINT) AS observable_kmers FROM fc JOIN sg ON sg.ck = fc.feature JOIN ev ON ev.ck = fc.feature GROUP BY gene")
+@query(_FEAT + "SELECT gene, CAST(sum(m * distinct_kmers) AS BIGINT) AS observable_kmers FROM fc JOIN sg ON sg.ck = fc.feature JOIN ev ON ev.ck = fc.feature GROUP BY gene")
 def observable_kmers_all(spark, d):
-    return index.exposure(index.classes(_members_all(spark, d)), "gene").groupBy("gene").agg(F.sum("a").alias("observable_kmers"))
+    """The same as observable_kmers, under the name it had while that took only some bases."""
+    return observable_kmers(spark, d)
 
 
 def _exposure(spark, d) -> DataFrame:
@@ -286,19 +280,21 @@ def _exposure(spark, d) -> DataFrame:
     return li.select(F.concat(F.lit("f"), "l_orderkey").alias("feature"), F.col("l_partkey").alias("transcript"), F.lit(1).cast("long").alias("a")).distinct()
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS f, l_partkey AS t FROM lineitem WHERE l_linenumber <= 2 AND l_suppkey <= 10),
-p AS (SELECT DISTINCT a.t AS a, b.t AS b FROM e a JOIN e b ON a.f = b.f),
-r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a) SELECT a AS transcript, min(b) AS component FROM r GROUP BY a""")
+_COMPONENTS = """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS f, l_partkey AS t FROM lineitem),
+r(t, c) USING KEY (t) AS (SELECT DISTINCT t, t FROM e UNION SELECT b.t, min(r.c) FROM r JOIN e a ON a.t = r.t JOIN e b ON a.f = b.f JOIN recurring.r o ON o.t = b.t WHERE r.c < o.c GROUP BY b.t)
+SELECT t AS transcript, c AS component FROM r"""
+
+
+@query(_COMPONENTS)
 def components(spark, d):
-    li = _t(spark, d, "lineitem").where("l_linenumber <= 2 and l_suppkey <= 10")
+    li = _t(spark, d, "lineitem")
     return isoforms.components(li.select(F.col("l_orderkey").alias("feature"), F.col("l_partkey").alias("transcript")).distinct())
 
 
-@query()
+@query(_COMPONENTS)
 def components_all(spark, d):
-    """components over every edge of lineitem; that query keeps to the rows of its SQL, whose recursion holds all pairs of a component."""
-    li = _t(spark, d, "lineitem")
-    return isoforms.components(li.select(F.col("l_orderkey").alias("feature"), F.col("l_partkey").alias("transcript")).distinct())
+    """The same as components, under the name it had while that took only some edges."""
+    return components(spark, d)
 
 
 @query()
@@ -382,7 +378,7 @@ def heatmap_page(spark, d):
     return explore.scaled(shown, log=True).select("dataset", "target", "count", "position", F.round("fraction", 9).alias("fraction"))
 
 
-from . import annotation  # noqa: E402, F401
+from . import annotation, inference  # noqa: E402, F401
 
 
 def queries() -> dict:
