@@ -85,6 +85,11 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
+def whole(a: Column, b: Column) -> Column:
+    """a / b without the rest, for decimals that a BIGINT can't hold (a >= 0, b > 0)."""
+    return ((a - a % b) / b).cast("decimal(38,0)")
+
+
 def header_weight(header: Column, length: Column, assembly_k: int, mode: str = "unitigs") -> Column:
     """The weight of a record, in units of scale(mode): of a read 1; else micro-units from mean tags (ka, km) or a total (KC).
 
@@ -157,8 +162,9 @@ def exon_name(number: Column, contig: Column, start: Column, end: Column, strand
 def six_decimals(n: Column, d: Column) -> Column:
     """n / d in six decimals, half up, without floating point; null over zero.  For n >= 0 below 10^31."""
     n, d = n.cast("decimal(38,0)"), d.cast("decimal(20,0)")
-    micro = _div((n * SCALE).cast("decimal(38,0)") * 2 + d, d * 2)
-    return F.when(d != 0, (micro / F.lit(SCALE).cast("decimal(7,0)")).cast("decimal(38,6)"))
+    d = F.when(d != 0, d).cast("decimal(38,0)")
+    micro = whole((n * SCALE * 2).cast("decimal(38,0)") + d, (d * 2).cast("decimal(38,0)"))
+    return (micro / F.lit(SCALE).cast("decimal(7,0)")).cast("decimal(38,6)")
 
 
 #: Suffixes of shortened numbers, by powers of a thousand.
@@ -174,7 +180,7 @@ def short_number(value: Column) -> Column:
         for digits, low, top in ((0, 100, 1000), (1, 10, 100), (2, 1, 10)):
             # halves of the last digit shown go up, and to the next form where that needs a digit more
             step = 10**digits
-            scaled = _div(v * step * 2 + unit, unit * 2)
+            scaled = whole((v * (step * 2)).cast("decimal(38,0)") + unit, (unit * 2).cast("decimal(38,0)"))
             shown = (scaled / step).cast(f"decimal(30,{digits})").cast("string")
             out = F.when((scaled >= low * step) & (scaled < top * step), F.concat(shown, F.lit(UNITS[power]))).otherwise(out)
     return F.when(v < 1000, text).otherwise(out)
@@ -186,7 +192,7 @@ def scientific(value: Column) -> Column:
     digits = F.length(v.cast("string"))
     drop = F.greatest(digits - 3, F.lit(0))
     unit = F.concat(F.lit("1"), F.repeat(F.lit("0"), drop)).cast("decimal(38,0)")
-    mantissa = _div(v * 2 + unit, unit * 2)
+    mantissa = whole((v * 2).cast("decimal(38,0)") + unit, (unit * 2).cast("decimal(38,0)"))
     over = mantissa >= 1000
     mantissa, power = F.when(over, F.lit(100)).otherwise(mantissa).cast("string"), digits - 1 + over.cast("int")
     mantissa = F.rpad(mantissa, 3, "0")

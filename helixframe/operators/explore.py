@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.sequence import SCALE, natural_key, six_decimals
+from ..storage import cut
+
 
 def select(counts: DataFrame, key: str, names: DataFrame | None = None, ids: DataFrame | None = None, name: str = "name") -> DataFrame:
     """Rows whose key is in ids or whose name is in names; an unknown one raises."""
@@ -27,25 +31,74 @@ def bounds(counts: DataFrame, low=None, high=None, value: str = "count") -> Data
     return out if high is None else out.where(F.col(value) <= high)
 
 
-def six(n: Column, d: Column) -> Column:
-    """n / d in six decimals, half up."""
-    return F.when(d != 0, F.round((n.cast("decimal(30,0)") / d.cast("decimal(10,0)")).cast("decimal(38,8)"), 6))
+def _exact(values: DataFrame, value: str) -> bool:
+    return isinstance(values.schema[value].dataType, T.IntegralType | T.DecimalType)
 
 
-def summarise(values: DataFrame, keys: list[str], value: str = "count", threshold=0, exclude_zeros: bool = False, percentiles: tuple[float, ...] = ()) -> DataFrame:
-    """known, missing, total, nonzero, above, n, mean, min, max, stddev, median and percentiles of each key (of all, without keys)."""
-    v = F.col(value)
+def summarise(values: DataFrame, keys: list[str], value: str = "count", threshold=0, exclude_zeros: bool = False, percentiles: tuple = (), interpolation: str = "linear", quantiles: bool = True) -> DataFrame:
+    """known, missing, total, nonzero, above, above_percent, n, mean, min, max, stddev, median and percentiles (p10, p2_5 ...) of
+    each key (of all, without keys).
+
+    Whole numbers up to DECIMAL(20,0) give exact results: means, medians and interpolated percentiles as decimals of six
+    places, halves up.  Order statistics are found by rank: values are counted, their counts summed by narrow ranges (a 64th
+    of an octave), and only the ranges that hold a wanted rank are put in order.  No key's values meet in one task.
+    """
+    v, exact = F.col(value), _exact(values, value)
     use = F.when(v > 0, v) if exclude_zeros else v
-    out = values.groupBy(*keys).agg(
-        F.count(v).alias("known"), F.count_if(v.isNull()).alias("missing"), F.sum(v).alias("total"), F.count_if(v > 0).alias("nonzero"), F.count_if(v > threshold).alias("above"),
-        F.count(use).alias("n"), F.avg(use.cast("double")).alias("mean"), F.min(use).alias("min"), F.max(use).alias("max"), F.stddev_pop(use.cast("double")).alias("stddev"), F.median(use).alias("median"),
-        *(F.percentile(use, p / 100).alias(f"p{p:g}") for p in percentiles),
+    wide = (lambda c: c.cast("decimal(38,0)")) if exact else (lambda c: c.cast("double"))
+    k = F.struct(*[F.col(c) for c in keys]) if keys else F.struct(F.lit(0).alias("_"))
+    total = F.sum(wide(v))
+    base = values.groupBy(k.alias("_k")).agg(
+        F.count(v).alias("known"), F.count_if(v.isNull()).alias("missing"), total.cast("decimal(38,0)").alias("total") if exact else total.alias("total"), F.count_if(v > 0).alias("nonzero"), F.count_if(v > threshold).alias("above"),
+        F.count(use).alias("n"), F.min(use).alias("min"), F.max(use).alias("max"), F.sum(wide(use)).alias("_sum"),
     )
-    return out
+    mean = six_decimals(F.col("_sum"), F.col("n")) if exact else F.try_divide("_sum", "n")
+    base = base.withColumns({"above_percent": F.try_divide(100.0 * F.col("above"), F.col("known")), "mean": mean}).drop("_sum")
+    band = F.floor(F.log2(F.col("_v").cast("double") + 1) * 64).cast("int")
+    seen = cut(values.select(k.alias("_k"), use.alias("_v")).where("_v is not null").groupBy("_k", "_v").agg(F.count("*").alias("_c")).withColumn("_b", band))
+    gap = (F.col("_v").cast("decimal(38,6)") - F.col("mean")).cast("double") if exact else F.col("_v") - F.col("mean")
+    spread = seen.join(base.select("_k", "mean"), "_k").groupBy("_k").agg(F.sqrt(F.sum(gap * gap * F.col("_c")) / F.sum("_c")).alias("stddev"))
+    out = base.join(spread, "_k", "left")
+    names = [f"p{str(p).replace('.', '_')}" for p in percentiles]
+    if quantiles:
+        n = F.col("n")
+        micro = [round(float(p) * SCALE) for p in percentiles]
+        div = lambda a, b: F.call_function("div", a, F.lit(b))
+        linear = interpolation == "linear"
+        # places from 0; of a median and of a percentile between two of them
+        tags = {"m0": div(n - 1, 2), "m1": div(n, 2)}
+        for i, p in enumerate(micro):
+            tags[f"a{i}"] = div((n - 1) * p, 100 * SCALE) if linear else F.greatest(F.lit(0), div(n * p + 100 * SCALE - 1, 100 * SCALE) - 1)
+            tags[f"b{i}"] = F.least(n - 1, tags[f"a{i}"] + 1) if linear else tags[f"a{i}"]
+        wanted = base.where("n > 0").select("_k", F.explode(F.array(*(F.struct(F.lit(t).alias("tag"), at.cast("long").alias("at")) for t, at in tags.items()))).alias("w")).select("_k", "w.*")
+        bands = seen.groupBy("_k", "_b").agg(F.sum("_c").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("_k").orderBy("_b")) - F.col("_n"))
+        wanted = wanted.join(bands, "_k").where("at >= _before and at < _before + _n").select("_k", "_b", "tag", (F.col("at") - F.col("_before")).alias("at"))
+        wanted = wanted.groupBy("_k", "_b").agg(F.collect_list(F.struct("tag", "at")).alias("w"))
+        upto = F.sum("_c").over(Window.partitionBy("_k", "_b").orderBy("_v"))
+        placed = seen.join(wanted, ["_k", "_b"]).withColumn("_end", upto)
+        found = placed.select("_k", "_v", F.explode(F.filter("w", lambda x: (x["at"] < F.col("_end")) & (x["at"] >= F.col("_end") - F.col("_c")))).alias("x"))
+        picked = found.groupBy("_k").agg(*(F.max(F.when(F.col("x.tag") == t, F.col("_v"))).alias(f"_{t}") for t in tags))
+        out = out.join(picked, "_k", "left")
+        both = wide(F.col("_m0")) + wide(F.col("_m1"))
+        out = out.withColumn("median", six_decimals(both, F.lit(2)) if exact else both / 2)
+        for i, (p, name) in enumerate(zip(micro, names, strict=True)):
+            a, b = wide(F.col(f"_a{i}")), wide(F.col(f"_b{i}"))
+            rest = (n - 1) * p % (100 * SCALE)
+            if not linear:
+                out = out.withColumn(name, F.col(f"_a{i}"))
+            elif exact:
+                out = out.withColumn(name, six_decimals(a * (F.lit(100 * SCALE) - rest) + b * rest, F.lit(100 * SCALE)))
+            else:
+                out = out.withColumn(name, a + (b - a) * rest / F.lit(100 * SCALE))
+        out = out.drop(*(f"_{t}" for t in tags))
+    columns = ["known", "missing", "total", "nonzero", "above", "above_percent", "n", "mean", "min", "max", "stddev", *(["median", *names] if quantiles else [])]
+    out = out.withColumn("total", F.when(F.col("known") > 0, F.col("total")))
+    return out.select(*(F.col("_k")[c].alias(c) for c in keys), *columns)
 
 
 def nearest_rank(values: DataFrame, keys: list[str], p: float, value: str = "count") -> DataFrame:
-    return values.groupBy(*keys).agg(F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").alias("q"))
+    got = summarise(values, keys, value, percentiles=(p,), interpolation="nearest-rank")
+    return got.select(*keys, F.col(got.columns[-1]).alias("q"))
 
 
 def approximate(values: DataFrame, keys: list[str], p: float, accuracy: int = 4096, value: str = "count") -> DataFrame:
@@ -64,19 +117,23 @@ def others(ranked: DataFrame, group: str, value: str = "count") -> DataFrame:
     return ranked.groupBy(group).agg((F.max("group_total") - F.sum(value)).alias("other"))
 
 
-def fold(counts: DataFrame, target: str, value: str = "value") -> DataFrame:
-    """fold (value over the target's mean of known values) and log2_fold (-infinity at zero); null if missing or the total is not positive."""
-    mean = counts.groupBy(target).agg(F.sum(value).alias("_total"), F.count(value).alias("_known"))
-    f = F.when(F.col("_total") > 0, F.col(value) / F.col("_total") * F.col("_known"))
-    log = F.when(f == 0, F.lit(float("-inf"))).when(f > 0, F.log2(f))
-    return counts.join(mean, target).withColumn("fold", f).withColumn("log2_fold", log).drop("_total", "_known")
+def fold(counts: DataFrame, target: str, value: str = "value", kind: str | None = None) -> DataFrame:
+    """fold (value over the target's mean of known values) and log2_fold (-infinity at zero); null if missing or the total is
+    not positive.  With a column of kinds, means are of datasets only, and global and statistic columns have no fold."""
+    real = F.lit(True) if kind is None else F.col(kind) == "dataset"
+    w = Window.partitionBy(target)
+    total, known = F.sum(F.when(real, F.col(value))).over(w), F.count(F.when(real, F.col(value))).over(w)
+    f = F.when((total > 0) & real, F.col(value) / total * known)
+    out = counts.withColumn("fold", f)
+    return out.withColumn("log2_fold", F.when(F.col("fold") == 0, F.lit(float("-inf"))).when(F.col("fold") > 0, F.log2("fold")))
 
 
 def ordered(rows: DataFrame, key: str, item: str, descending: bool = True) -> DataFrame:
     """Column `position` from 1: by key, nulls last, ties by item ascending.  Ranges are sorted and numbered apart, not in one task."""
     by = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()
     dealt = rows.repartitionByRange(by, F.col(item)).withColumn("_part", F.spark_partition_id())
-    local = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(by, item)))
+    # written once: what is counted below must be the ranges that were numbered here
+    local = cut(dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(by, item))))
     sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return local.join(F.broadcast(before), "_part").withColumn("position", F.col("_r") + F.col("_before")).drop("_part", "_r", "_before")
@@ -102,3 +159,188 @@ def search(targets: DataFrame, text: str, item: str, name: str) -> DataFrame:
     if text.startswith("#"):
         return targets.where(F.col(item) == int(text[1:]))
     return targets.where(F.lower(name).contains(text.lower()))
+
+
+def real_datasets(counts: DataFrame, kind: str = "kind", chosen: DataFrame | None = None, dataset: str = "dataset") -> DataFrame:
+    """Rows of datasets proper, all or the chosen ones: global and statistic vectors are in no summary."""
+    rows = counts.where(F.col(kind) == "dataset")
+    return rows if chosen is None else rows.join(chosen.select(dataset).distinct(), dataset, "left_semi")
+
+
+def totals(counts: DataFrame, key: str, value: str = "value", raw: str = "count") -> DataFrame:
+    """total, max and detected (raw value above 0) of each row or column of a selection."""
+    return counts.groupBy(key).agg(F.sum(value).alias("total"), F.max(value).alias("max"), F.count_if(F.col(raw) > 0).alias("detected"))
+
+
+#: What rows can be sorted by; ties are by the original id, ascending in both directions.
+SORTS = ("reference", "name-asc", "name-desc", "total-asc", "total-desc", "max-desc", "detected-desc")
+
+
+def sorted_by(rows: DataFrame, mode: str, item: str, name: str = "name") -> DataFrame:
+    """Column `position` by one of SORTS; rows have the columns that it needs."""
+    if mode not in SORTS:
+        raise ValueError(f"unknown order {mode}")
+    field, _, way = mode.partition("-")
+    if field == "reference":
+        return ordered(rows.withColumn("_key", F.lit(0)), "_key", item, False).drop("_key")
+    key = natural_key(F.col(name)) if field == "name" else F.col(field)
+    return ordered(rows.withColumn("_key", key), "_key", item, way == "desc").drop("_key")
+
+
+def sorted_summary(summaries: DataFrame, field: str, item: str, descending: bool = True, full_scope: bool = True) -> DataFrame:
+    """Summaries by a statistic, unknown ones last in both directions; summaries of a part of the list can't be sorted."""
+    if not full_scope:
+        raise ValueError("only summaries of the full scope can be sorted")
+    return ordered(summaries, field, item, descending)
+
+
+def shares(ranked: DataFrame, group: str, item: str, inputs: DataFrame | None = None, value: str = "count") -> DataFrame:
+    """Of top(): percent of the group's signal (`denominator` signal) or of all input k-mers (inputs: group, input_total; raw
+    counts only), null over nothing."""
+    if inputs is None:
+        return ranked.withColumn("denominator", F.lit("signal")).withColumn("percent", F.try_divide(100.0 * F.col(value), F.col("group_total").cast("double")))
+    got = ranked.join(inputs.select(group, F.col("input_total").cast("double").alias("_all")), group, "left")
+    return got.withColumn("denominator", F.lit("input")).withColumn("percent", F.try_divide(100.0 * F.col(value), F.col("_all"))).drop("_all")
+
+
+def ranking_report(counts: DataFrame, group: str, item: str, n: int, value: str = "count") -> DataFrame:
+    """The top n of each group, then what is left as one row of kind `other`; a group where nothing is ranked has one row of
+    kind `summary` with 0.  (group, kind, item, rank, value, percent)."""
+    if not 1 <= n <= 1000:
+        raise ValueError("from 1 to 1000 rows can be ranked")
+    best = top(counts, group, item, n, value)
+    sums = counts.groupBy(group).agg(F.sum(value).alias("group_total"))
+    shown = best.groupBy(group).agg(F.sum(value).alias("shown"))
+    rest = sums.join(shown, group, "left").withColumn("_v", F.when(F.col("shown").isNotNull(), F.col("group_total") - F.col("shown")).otherwise(0))
+    percent = lambda v: F.try_divide(100.0 * v, F.col("group_total").cast("double")).alias("percent")
+    v = F.col(value).cast("long")
+    one = best.select(group, F.lit("target").alias("kind"), F.col(item), F.col("rank"), v.alias("value"), percent(v))
+    kind = F.when(F.col("shown").isNull(), "summary").otherwise("other")
+    last = rest.where("shown is null or _v > 0").select(group, kind.alias("kind"), F.lit(None).cast(counts.schema[item].dataType).alias(item), F.lit(None).cast("int").alias("rank"), F.col("_v").cast("long").alias("value"), percent(F.col("_v")))
+    return one.unionByName(last)
+
+
+def target_focus(counts: DataFrame, target: str, dataset: str, chosen, n: int = 20, value: str = "value", kind: str | None = None) -> DataFrame:
+    """The profile of one target: its datasets with value, fold, log2_fold and rank by value (zeros unranked, ties to the
+    smaller dataset).  The rows of one target are as many as datasets."""
+    rows = fold(counts.where(F.col(target) == chosen), target, value, kind)
+    ranked = F.row_number().over(Window.partitionBy(target, F.col(value) > 0).orderBy(F.desc(value), dataset))
+    return rows.withColumn("rank", F.when(F.col(value) > 0, ranked)).withColumn("shown", F.coalesce(F.col("rank") <= n, F.lit(False)))
+
+
+def display_bounds(counts: DataFrame, low=None, high=None, value: str = "value") -> DataFrame:
+    """Column `shown`: the value, null outside the bounds; nothing else changes."""
+    inside = (F.lit(True) if low is None else F.col(value) >= low) & (F.lit(True) if high is None else F.col(value) <= high)
+    return counts.withColumn("shown", F.when(inside, F.col(value)))
+
+
+def fold_scaled(counts: DataFrame, value: str = "log2_fold") -> DataFrame:
+    """Column `fraction` from -1 to 1: log2 folds over the largest finite one of either sign, at least 1; -infinity is -1."""
+    v = F.col(value)
+    finite = F.when(F.abs(v) < float("inf"), F.abs(v))
+    most = counts.agg(F.greatest(F.coalesce(F.max(finite), F.lit(1.0)), F.lit(1.0)).alias("_most"))
+    return counts.crossJoin(F.broadcast(most)).withColumn("fraction", F.greatest(F.least(v / F.col("_most"), F.lit(1.0)), F.lit(-1.0))).drop("_most")
+
+
+def list_fractions(summaries: DataFrame, statistics: list[str]) -> DataFrame:
+    """Columns fraction_X: each statistic over its largest value among all summaries, whatever page is shown."""
+    most = summaries.agg(*(F.max(F.col(c).cast("double")).alias(f"_{c}") for c in statistics))
+    got = summaries.crossJoin(F.broadcast(most))
+    return got.withColumns({f"fraction_{c}": F.coalesce(F.try_divide(F.col(c).cast("double"), F.col(f"_{c}")), F.lit(0.0)) for c in statistics}).drop(*(f"_{c}" for c in statistics))
+
+
+def pivot_page(counts: DataFrame, item: str, dataset: str, rows: DataFrame, columns: DataFrame, row_page: int = 0, column_page: int = 0, height: int = 100, width: int = 25, value: str = "count") -> DataFrame:
+    """One page of the matrix, wide: item, position and a column c1, c2 ... for each dataset position on the page.
+
+    rows and columns are (key, position) tables; a page's columns are `width` numbers at most, so nothing is collected.
+    """
+    shown = page(counts, rows, item, row_page, height)
+    at = columns.where((F.col("position") > column_page * width) & (F.col("position") <= (column_page + 1) * width)).select(dataset, (F.col("position") - column_page * width).alias("_column"))
+    return shown.join(F.broadcast(at), dataset).groupBy(item, "position").pivot("_column", list(range(1, width + 1))).agg(F.first(value)).select(item, "position", *(F.col(f"`{c}`").alias(f"c{c}") for c in range(1, width + 1)))
+
+
+def page_of(position: int, size: int = 100) -> int:
+    """The page that shows a position, from 0; positions start at 1."""
+    if position < 1:
+        raise ValueError("positions start at 1")
+    return (position - 1) // size
+
+
+def pasted(text: str) -> list[str]:
+    """Names and #IDs of a pasted list: one a line, blank lines and // comments left out."""
+    return list(dict.fromkeys(x for x in map(str.strip, text.splitlines()) if x and not x.startswith("//")))
+
+
+def paste_select(targets: DataFrame, text: str, item: str, name: str, ids: bool = True) -> DataFrame:
+    """Targets named in a pasted list, by exact name (every one that has it) or #ID; what nothing answers to raises."""
+    wanted = pasted(text)
+    table = targets.sparkSession.createDataFrame([(x,) for x in wanted], "_w string")
+    keys = F.array(F.col(name), F.concat(F.lit("#"), F.col(item).cast("string"))) if ids else F.array(F.col(name))
+    hit = targets.withColumn("_w", F.explode(keys)).join(F.broadcast(table), "_w")
+    unknown = table.join(hit.select("_w").distinct(), "_w", "left_anti").limit(5).collect()
+    if unknown:
+        raise ValueError("unknown selections: " + ", ".join(r[0] for r in unknown))
+    return hit.drop("_w").dropDuplicates([item])
+
+
+def lookup(targets: DataFrame, wanted: str, item: str, name: str) -> DataFrame:
+    """One target, by #ID or as the first that has the exact name; none raises."""
+    if wanted.startswith("#") and wanted[1:].isdigit():
+        found = targets.where(F.col(item) == int(wanted[1:]))
+    else:
+        found = targets.where(F.col(name) == wanted).orderBy(item).limit(1)
+    if found.isEmpty():
+        raise ValueError(f"unknown: {wanted}")
+    return found
+
+
+def catalogue_page(targets: DataFrame, item: str, number: int, size: int = 100) -> DataFrame:
+    """A page of the table of targets in its own order, before anything is computed."""
+    return page(targets.drop("position"), sorted_by(targets.select(item), "reference", item), item, number, size)
+
+
+def metric(values: DataFrame, name: str) -> DataFrame:
+    """Rows of one metric of a transcript result; these are not normalised further."""
+    if name not in ("abundance", "assigned_observations"):
+        raise ValueError(f"unknown metric {name}")
+    return values.where(F.col("metric") == name)
+
+
+def overview_is_cheap(cells: int, datasets: int) -> bool:
+    """Whether an overview is made without being asked for."""
+    return cells <= 10_000 and datasets <= 32
+
+
+def check_request(mode: str = "none", threshold=0, low=None, high=None, scope: int = 1, kinds: tuple[str, ...] = ("dataset",), lengths_known: bool = True, totals_known: bool = True) -> None:
+    """What can be refused before any scan: empty scopes, bad numbers, normalisation that lacks its denominators or is of a
+    statistic."""
+    if scope < 1:
+        raise ValueError("nothing is selected")
+    if any(x is not None and (x != x or x < 0 or x == float("inf")) for x in (threshold, low, high)) or (low is not None and high is not None and low > high):
+        raise ValueError("thresholds and bounds must be finite, not negative and in order")
+    if mode not in ("none", "cpm", "coverage", "length-cpm"):
+        raise ValueError(f"unknown normalisation {mode}")
+    if mode != "none" and "statistic" in kinds:
+        raise ValueError("statistics are not normalised")
+    if mode in ("coverage", "length-cpm") and not lengths_known:
+        raise ValueError("k-mer lengths are not known: rebuild the index")
+    if mode in ("cpm", "length-cpm") and not totals_known:
+        raise ValueError("k-mer totals are not known: count again")
+
+
+class Requests:
+    """Results kept by request, so that asking again computes nothing; work of a request can be cancelled."""
+
+    def __init__(self, spark, most: int = 8):
+        self.spark, self.most, self.kept = spark, most, {}
+
+    def get(self, key: tuple, make) -> DataFrame:
+        if key not in self.kept:
+            while len(self.kept) >= self.most:
+                self.kept.pop(next(iter(self.kept))).unpersist()
+            self.spark.sparkContext.setJobGroup(repr(key), repr(key), True)
+            self.kept[key] = make().cache()
+        return self.kept[key]
+
+    def cancel(self, key: tuple) -> None:
+        self.spark.sparkContext.cancelJobGroup(repr(key))

@@ -53,7 +53,23 @@ def counts_of(spark, d) -> DataFrame:
     return quantify.count_targets(reads(spark, d), owner_table_of(spark, d), "dataset", "seq", "w", K)
 
 
+#: By folder of tables: where write_matrix has put their matrix.
+_WRITTEN: dict[str, str] = {}
+
+
+def write_matrix(spark, d, path: str) -> None:
+    """Builds the matrix once; queries of the folder d read it from then on (forget_matrix ends that)."""
+    matrix(spark, d).write.parquet(path)
+    _WRITTEN[d] = path
+
+
+def forget_matrix(d: str) -> None:
+    _WRITTEN.pop(d, None)
+
+
 def matrix(spark, d) -> DataFrame:
+    if d in _WRITTEN:
+        return spark.read.parquet(_WRITTEN[d])
     counts = quantify.finish(counts_of(spark, d).withColumn("raw", F.col("raw") * 100_000), fn.SCALE)
     return quantify.dense(counts, reads(spark, d).select("dataset").distinct(), records(spark, d), "dataset", "target")
 
@@ -311,7 +327,7 @@ def select_targets(spark, d):
 
 
 def _summary(keys, **options):
-    return lambda spark, d: explore.summarise(matrix(spark, d), keys, **options).select(*keys, "known", "total", "nonzero", "above", "n", F.round("mean", 6).alias("mean"), "min", "max", F.round("stddev", 6).alias("stddev"), "median")
+    return lambda spark, d: explore.summarise(matrix(spark, d), keys, **options).select(*keys, "known", F.col("total").cast("long").alias("total"), "nonzero", "above", "n", F.round(F.col("mean").cast("double"), 6).alias("mean"), "min", "max", F.round("stddev", 6).alias("stddev"), F.col("median").cast("double").alias("median"))
 
 
 def _summary_sql(keys, use="count", threshold=100):
@@ -327,7 +343,7 @@ for _name, _keys, _zero in (("overview", [], False), ("dataset_list", ["dataset"
 @query(_BASE + "SELECT dataset, round(quantile_cont(count, 0.1), 6) AS p10, round(quantile_cont(count, 0.75), 6) AS p75 FROM mat GROUP BY dataset")
 def pct_linear(spark, d):
     got = explore.summarise(matrix(spark, d), ["dataset"], percentiles=(10, 75))
-    return got.select("dataset", F.round("p10", 6).alias("p10"), F.round("p75", 6).alias("p75"))
+    return got.select("dataset", *(F.round(F.col(p).cast("double"), 6).alias(p) for p in ("p10", "p75")))
 
 
 @query(_BASE + "SELECT dataset, quantile_disc(count, 0.75)::DOUBLE AS q FROM mat GROUP BY dataset")
@@ -378,7 +394,7 @@ def heatmap_page(spark, d):
     return explore.scaled(shown, log=True).select("dataset", "target", "count", "position", F.round("fraction", 9).alias("fraction"))
 
 
-from . import annotation, inference  # noqa: E402, F401
+from . import annotation, explorer, inference  # noqa: E402, F401
 
 
 def queries() -> dict:
