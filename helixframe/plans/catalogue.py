@@ -394,7 +394,7 @@ def heatmap_page(spark, d):
     return explore.scaled(shown, log=True).select("dataset", "target", "count", "position", F.round("fraction", 9).alias("fraction"))
 
 
-from . import annotation, explorer, inference  # noqa: E402, F401
+from . import annotation, explorer, exports, inference  # noqa: E402, F401
 
 
 def queries() -> dict:
