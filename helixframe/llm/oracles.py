@@ -131,15 +131,17 @@ LICENSES = f"""
 WITH d AS (SELECT doc_id, {_LOW} AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, '{ALNUM}') AS w FROM d),
 phrases AS (SELECT string_split(text, ' ') AS p, label FROM (VALUES {_rows(PHRASES)}) AS x(text, label)),
-templates AS (SELECT row_number() OVER () AS id, list_distinct(string_split(text, ' ')) AS words, label FROM (VALUES {_rows(TEMPLATES)}) AS x(text, label)),
+templates AS (SELECT row_number() OVER () AS id, list_distinct(string_split(text, ' ')) AS words, CAST(ceil(len(string_split(text, ' ')) * 5 / 4.0) AS BIGINT) AS width, label FROM (VALUES {_rows(TEMPLATES)}) AS x(text, label)),
 places AS (
   SELECT doc_id, pos - 1 AS pos, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM w WHERE len(w) > 0), phrases
   WHERE w[pos] = p[1] AND w[pos : pos + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{ALNUM}')) AS b FROM d),
+-- a best window can start at a word of the template
+able AS (SELECT doc_id, w, words, width, label FROM w, templates WHERE 5 * len(list_intersect(list_distinct(w), words)) >= 4 * len(words)),
+heads AS (SELECT doc_id, words, label, w, width, unnest(range(1, len(w) + 1)) AS pos FROM able),
 found AS (
-  SELECT doc_id, label, len(list_intersect(b, words)) / len(words)::DOUBLE AS share FROM blocks, templates
-  WHERE len(b) > 0 AND 5 * len(list_intersect(b, words)) >= 4 * len(words)),
+  SELECT doc_id, label, len(list_intersect(list_distinct(w[pos : pos + width - 1]), words)) / len(words)::DOUBLE AS share FROM heads
+  WHERE list_contains(words, w[pos]) AND 5 * len(list_intersect(list_distinct(w[pos : pos + width - 1]), words)) >= 4 * len(words)),
 method AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
   coalesce(array_to_string(base.labels, ','), '') AS base_labels,
