@@ -202,7 +202,7 @@ def scientific(value: Column) -> Column:
 def percentage(share: Column) -> Column:
     """A share as text: two decimals, or three digits and an exponent below 0.01 %; a missing one as a dash."""
     p = share * 100
-    return F.when(p.isNull(), F.lit("–")).when((p > 0) & (p < 0.01), F.format_string("%.2e%%", p)).otherwise(F.concat(F.format_number(p, "0.00"), F.lit("%")))
+    return F.when(p.isNull(), F.lit("–")).when((p > 0) & (p < 0.01), F.format_string("%.2e%%", p)).otherwise(F.format_string("%.2f%%", p))
 
 
 def csv_cell(text: Column) -> Column:

@@ -70,7 +70,7 @@ def kmer_type(k: int) -> str:
 def _column(words: tuple[np.ndarray, ...]) -> pa.Array:
     if len(words) == 1:
         return pa.array(words[0].view(np.int64))
-    raw = np.column_stack([w.astype(">u8") for w in words]).tobytes()
+    raw = np.column_stack(words).astype(">u8").tobytes()
     return pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())
 
 

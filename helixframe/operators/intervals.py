@@ -155,7 +155,7 @@ def annotation_problems(exons: DataFrame) -> DataFrame:
     one = (F.size("gene_ids") == 1) & (F.size("transcript_ids") == 1)
     place = F.concat_ws(":", F.col("contig").cast("string"), "strand")
     bad = exons.where(~F.coalesce(one, F.lit(False))).select(F.lit("exon without one gene and one transcript").alias("problem"), F.concat_ws(":", F.col("contig").cast("string"), F.col("start").cast("string"), F.col("end").cast("string")).alias("name")).distinct()
-    rows = exons.where(one).select(F.col("gene_ids")[0].alias("g"), F.col("transcript_ids")[0].alias("t"), place.alias("p"))
+    rows = exons.where(one).select(F.try_element_at("gene_ids", F.lit(1)).alias("g"), F.try_element_at("transcript_ids", F.lit(1)).alias("t"), place.alias("p"))
     split = lambda key, value, label: rows.groupBy(key).agg(F.min(value).alias("a"), F.max(value).alias("b")).where("a <> b").select(F.lit(label).alias("problem"), F.col(key).cast("string").alias("name"))
     return bad.unionByName(split("t", "g", "transcript in several genes")).unionByName(split("g", "p", "gene on several contigs or strands")).unionByName(split("t", "p", "transcript on several contigs or strands"))
 

@@ -31,11 +31,26 @@ def open_plain(uri: str):
     return raw
 
 
+def listed(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files of paths, patterns and folders (without what starts with . or _); a path that has none raises."""
+    out = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        hits = list(system.globStatus(p) or [])
+        inner = [x for h in hits for x in (system.listStatus(h.getPath()) if h.isDirectory() else [h])]
+        names = sorted(x.getPath().toString() for x in inner if x.isFile() and not (len(inner) > 1 and x.getPath().getName()[:1] in "._"))
+        if not names:
+            raise FileNotFoundError(path)
+        out += names
+    return out
+
+
 def each_file(spark: SparkSession, paths: list[str], schema: str, rows: Callable[[str, object], Iterator[tuple]], most: int = 8 << 20) -> DataFrame:
     """The rows that rows(path, stream) yields for each file, in batches of about `most` characters.  A file is a task of its
     own and is read as a stream; only paths are listed here, contents are not."""
-    files = spark.read.format("binaryFile").load(paths).select("path")
-    files = files.repartition(max(1, files.count()), "path")
+    found = listed(spark, paths)
+    files = spark.createDataFrame([(x,) for x in found], "path string").repartition(len(found), "path")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
