@@ -438,3 +438,33 @@ def test_boosted_trees_are_walked_like_plain_trees():
     for row, got in zip(x[:50], m.score(x[:50]), strict=True):
         assert got == pytest.approx(1 / (1 + np.exp(-m.base - sum(walk(t, row) for t in m.trees))))
     assert np.mean((m.score(x) > 0.5) == (y == 1)) > 0.95
+
+
+def test_each_stage_against_plain_code(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    model = langid.train(docs, "text", "lang", F.col("doc_id"))
+    rows = docs.collect()
+    plain = [(r, *model.predict([r.text])[0]) for r in rows]
+    kept = corpus_pipeline.identify_language(spark, docs, SF)
+    assert ids(kept) == sorted(r.doc_id for r, lang, p in plain if lang != "und" and p >= 0.5)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, SF)
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = decontaminate.alnum_words((r.text or "").encode())
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9) if w else 0)}
+
+    def holds(text):
+        w = decontaminate.alnum_words((text or "").encode())
+        return any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
+
+    assert ids(clean) == sorted(r.doc_id for r in rows if not holds(r.text))
+    copies = {r.doc_id: r.m.copies for r in mixing.mix(docs, "doc_id", "text", "source", out="m").collect()}
+    mixed = collections.Counter(ids(corpus_pipeline.mix_sources(spark, docs, SF)))
+    assert mixed == {k: v for k, v in copies.items() if v}
+    table = placement.fill(queries.SHARDS).tolist()
+    for r in corpus_pipeline.shard(spark, docs, SF).collect():
+        slot = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16) % placement.SLOTS
+        assert (r.slot, r.shard) == (slot, table[slot])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SF).count() == 0
