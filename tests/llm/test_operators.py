@@ -313,7 +313,7 @@ def test_jaccard_against_brute_force(spark, monkeypatch, n, num, chunk, pairs):
                 copy[at] = words[rng.integers(400)]
             rows.append((len(rows), " ".join(copy)))
     rows += [(len(rows), None), (len(rows) + 1, "  "), (len(rows) + 2, "W1"), (len(rows) + 3, "w1 "), (len(rows) + 4, "w1 w2 w3")]
-    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", n=n, num=num, rare=4, chunk_docs=chunk).collect()
+    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", n=n, num=num, rare=4, pair_most=12 if pairs == 2 else 0, chunk_docs=chunk).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _components(rows, n, num, 100)
 
 
@@ -324,13 +324,16 @@ def test_near_copies_of_null_and_repeated_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, a), (3, "quite another text"), (3, "a third text of its own"), (None, "alone"), (None, None), (4, None)], key=repr)
 
 
-def test_short_sets_are_indexed_by_pairs_and_long_ones_by_groups():
+def test_linked_sizes_share_a_class_and_its_kind_of_keys():
     for num, den in ((85, 100), (80, 100), (60, 100)):
-        for label in range(60):
-            if jaccard.paired(label, num, den, 8):
-                sizes = [n for n in range(1, 400) if jaccard.size_class(n, num, den) in (label - 1, label)]
-                assert all(jaccard.needed(n, num, den) >= 2 and jaccard.lacking(n, num, den) <= 8 for n in sizes)
-        assert (num == 60 or any(jaccard.paired(label, num, den, 8) for label in range(60))) and not jaccard.paired(40, num, den, 8)
+        own = {n: jaccard.size_classes(n, num, den) for n in range(1, 600)}
+        for n in own:
+            for m in range(n, min(599, n * den // num) + 1):
+                assert max(own[n][0], own[m][0]) in own[n] and max(own[n][0], own[m][0]) in own[m]
+        for label in range(20):
+            if jaccard.paired(label, num, den, 12):
+                assert all(jaccard.needed(n, num, den) >= 2 and jaccard.lacking(n, num, den) <= 12 for n in own if label in own[n])
+        assert (num == 60 or any(jaccard.paired(label, num, den, 12) for label in range(20))) and not jaccard.paired(19, num, den, 12)
 
 
 def test_jaccard_odd(spark, odd):
