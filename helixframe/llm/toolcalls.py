@@ -132,8 +132,8 @@ def link(events: DataFrame, schemas: dict[str, dict[str, dict]]) -> DataFrame:
     lone = wants.where("parent is null").select("conv", "node", F.lit(1).cast("long").alias("level"))
     known = found.withColumn("lost", F.col("level").isNull()).unionByName(lone.withColumn("lost", F.lit(False))).groupBy(F.col("conv").alias("lc"), F.col("node").alias("li")).agg(F.max("level").alias("level"), F.bool_or("lost").alias("lost"))
     ends = ends.join(known, _on(("conv", "lc"), ("id", "li")), "left").select(F.col("conv").alias("c"), F.col("id").alias("i"), "call", "result", F.coalesce("level", F.lit(0)).alias("base"), F.coalesce("lost", F.lit(False)).alias("lost"))
-    none = F.lit(None)
-    rest = e.where(~F.coalesce(tool, F.lit(False))).withColumns({"mine": none.cast("struct<turn:long,part:int>"), "other": none.cast("struct<turn:long,part:int>"), "base": F.lit(0).cast("long"), "lost": F.lit(False)})
+    none = F.lit(None).cast(ends.schema["call"].dataType)
+    rest = e.where(~F.coalesce(tool, F.lit(False))).withColumns({"mine": none, "other": none, "base": F.lit(0).cast("long"), "lost": F.lit(False)})
     call = F.col("kind") == "call"
     named = e.where(tool).join(ends, _on(("conv", "c")) & (F.col("id") == F.col("i"))).withColumns({"mine": F.when(call, F.col("call")).otherwise(F.col("result")), "other": F.when(call, F.col("result")).otherwise(F.col("call"))})
     columns = [*e.columns, "mine", "other", "base", "lost"]

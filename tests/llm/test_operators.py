@@ -128,6 +128,8 @@ def test_tool_calls(spark):
     assert got[1, 9].problems == "no call" and got[1, 10].problems == "no result,repeated id,unknown tool" and got[2, 0].problems == "" and got[2, 0].linked
     assert json.loads(got[2, 1].json) == {"content": "é\n", "id": "a", "kind": "result", "turn": 1}
     assert toolcalls.link(clash.where("false"), schema).count() == 0
+    narrow = clash.withColumn("turn", F.col("turn").cast("int")).withColumn("part", F.col("part").cast("long"))
+    assert sorted(r.json for r in toolcalls.link(narrow, schema).collect()) == sorted(r.json for r in got.values())
 
 
 def test_tool_calls_in_order_are_levelled_and_canonical(spark):
