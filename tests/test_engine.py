@@ -124,8 +124,11 @@ def test_em_of_a_wide_component(spark):
     x = ids.unionByName(ids.withColumn("feature", F.lit("all")))
     y = ids.select(F.lit(0).alias("dataset"), "feature", (1 + F.col("transcript") % 3).cast("double").alias("y"))
     y = y.unionByName(spark.createDataFrame([(0, "all", 2.0 * n)], "dataset int, feature string, y double"))
-    got = isoforms.fit(x, y).groupBy("status").agg(F.count("*"), F.sum("assigned"), F.countDistinct("component")).collect()
+    members, fits = isoforms.fit_groups(x, y)
+    got = isoforms.with_status(fits, members).groupBy("status").agg(F.count("*"), F.sum("assigned"), F.countDistinct("component")).collect()
     assert [(r[0], r[1], r[3]) for r in got] == [("rank_unchecked", n, 1)] and got[0][2] == pytest.approx(sum(1 + i % 3 for i in range(n)) + 2 * n)
+    # what single transcripts are given is not known without the rank
+    assert isoforms.fit(x, y).where("assigned is not null or abundance is not null").isEmpty()
 
 
 def test_junctions_make_pairs_at_every_size(spark, tmp_path):
