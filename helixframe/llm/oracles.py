@@ -157,4 +157,44 @@ d AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), t
 SELECT doc_id, slot, shards[slot + 1] AS shard, n_bytes FROM d, t
 """
 
-ORACLES = {"op6_sharding": SHARDING, "op2_nearest_neighbours": NEAREST, "op3_tool_calls": TOOL_CALLS, "op5_decontaminate": DECONTAMINATE, "op7_mixing": MIXING, "op8_jaccard_join": JACCARD, "op10_licenses": LICENSES}
+#: The metrics' formulas, slacks and sides, as rules.METRICS has them.
+RULES = f"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
+trios AS (SELECT doc_id, p, array_to_string(w[p : p + 2], ' ') AS trio FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) > 2)),
+twice AS (SELECT doc_id, p FROM trios QUALIFY count(*) OVER (PARTITION BY doc_id, trio) > 1),
+covered AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS pos FROM twice) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{SPACED}') GROUP BY doc_id),
+c AS (
+  SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(regexp_extract_all(t, '[!?]')) AS BIGINT) AS n_marks,
+    CAST(coalesce(lines.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+m AS (
+  SELECT doc_id, lang, source, base_failed, unnest([
+    {{'metric': 1, 'slack': 200, 'low': true, 'v': 100 * word_chars // greatest(n_words, 1)}}, {{'metric': 2, 'slack': 150, 'low': false, 'v': 1000 * n_symbols // greatest(n_words, 1)}},
+    {{'metric': 3, 'slack': 100, 'low': false, 'v': 1000 * n_marks // greatest(n_words, 1)}}, {{'metric': 4, 'slack': 500, 'low': false, 'v': 1000 * n_dup_lines // greatest(n_lines, 1)}},
+    {{'metric': 5, 'slack': 450, 'low': false, 'v': 1000 * n_repeat_words // greatest(n_words, 1)}}], recursive := true) FROM f),
+-- below 64 each value has a bucket; above, the six leading bits and how many follow
+b AS (SELECT lang, source, metric, slack, low, v, greatest(0, length(bin(v)) - 6) AS shift FROM m WHERE NOT base_failed),
+e AS (SELECT *, (v >> shift) << shift AS lo, (((v >> shift) + 1) << shift) - 1 AS hi FROM b),
+wide AS (SELECT 1 AS level, lang, source, metric, slack, low, lo, hi FROM e UNION ALL SELECT 2, lang, NULL, metric, slack, low, lo, hi FROM e UNION ALL SELECT 3, NULL, NULL, metric, slack, low, lo, hi FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY level, lang, source, metric ORDER BY lo) AS rank, count(*) OVER (PARTITION BY level, lang, source, metric) AS total FROM wide),
+q AS (
+  SELECT level, lang, source, metric, slack, low, max(total) AS total, min(lo) FILTER (1000 * rank >= 250 * total) AS q1, min(hi) FILTER (1000 * rank >= 750 * total) AS q3
+  FROM r GROUP BY ALL),
+g AS (SELECT *, q3 + greatest(3 * (q3 - q1), slack) AS top, CASE WHEN low THEN q1 - greatest(3 * (q3 - q1), slack) END AS bottom FROM q),
+judged AS (
+  SELECT m.doc_id, bool_or(coalesce(v > CASE WHEN own.total >= 100 THEN own.top WHEN tongue.total >= 100 THEN tongue.top ELSE world.top END, false)
+    OR coalesce(v < CASE WHEN own.total >= 100 THEN own.bottom WHEN tongue.total >= 100 THEN tongue.bottom ELSE world.bottom END, false)) AS broken
+  FROM m LEFT JOIN g own ON own.level = 1 AND own.metric = m.metric AND own.lang IS NOT DISTINCT FROM m.lang AND own.source IS NOT DISTINCT FROM m.source
+    LEFT JOIN g tongue ON tongue.level = 2 AND tongue.metric = m.metric AND tongue.lang IS NOT DISTINCT FROM m.lang
+    LEFT JOIN g world ON world.level = 3 AND world.metric = m.metric
+  WHERE NOT base_failed GROUP BY m.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(broken, false) AS kept
+FROM f LEFT JOIN judged USING (doc_id)
+"""
+
+ORACLES = {"op11_quality_rules": RULES, "op6_sharding": SHARDING, "op2_nearest_neighbours": NEAREST, "op3_tool_calls": TOOL_CALLS, "op5_decontaminate": DECONTAMINATE, "op7_mixing": MIXING, "op8_jaccard_join": JACCARD, "op10_licenses": LICENSES}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, licenses, mixing, placement, quality, toolcalls, urlfilter, vptree
+from . import decontaminate, jaccard, langid, licenses, mixing, placement, quality, rules, toolcalls, urlfilter, vptree
+from .common import cut
 from .oracles import ORACLES
 
 #: (verdict, host, path)
@@ -98,7 +99,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_tool_calls, op4_url_filter, op5_decontaminate, op6_sharding, op7_mixing, op8_jaccard_join, op9_quality, op10_licenses)}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    measured = cut(rules.measure(docs, "text").select("doc_id", "lang", "source", "counts"))
+    got = rules.judge(measured, "counts", ("lang", "source"))
+    return got.select("doc_id", *(f"counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "rules.base_failed", "rules.kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_tool_calls, op4_url_filter, op5_decontaminate, op6_sharding, op7_mixing, op8_jaccard_join, op9_quality, op10_licenses, op11_quality_rules)}
 
 
 def queries() -> dict:
