@@ -197,4 +197,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN judged USING (doc_id)
 """
 
-ORACLES = {"op11_quality_rules": RULES, "op6_sharding": SHARDING, "op2_nearest_neighbours": NEAREST, "op3_tool_calls": TOOL_CALLS, "op5_decontaminate": DECONTAMINATE, "op7_mixing": MIXING, "op8_jaccard_join": JACCARD, "op10_licenses": LICENSES}
+#: Two rounds, written out; a distance and its entry are one number, so the least has the lower entry.
+VECTOR_CODES = """
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e)))),
+p AS MATERIALIZED (SELECT vec_id, label, part, q[part * (len(q) // 16) + 1 : (part + 1) * (len(q) // 16)] AS x FROM (SELECT *, unnest(range(16)) AS part FROM v)),
+book0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 64),
+near0 AS MATERIALIZED (
+  SELECT vec_id, label, p.part, p.x, min(list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::BIGINT * 64 + b.entry) AS best
+  FROM p JOIN book0 b USING (part) GROUP BY vec_id, label, p.part, p.x),
+sums1 AS (SELECT part, best % 64 AS entry, place, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, best, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS place FROM near0) GROUP BY ALL),
+means1 AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS x FROM sums1 GROUP BY part, entry),
+book1 AS MATERIALIZED (SELECT part, entry, coalesce(m.x, b.x) AS x FROM book0 b LEFT JOIN means1 m USING (part, entry)),
+near1 AS MATERIALIZED (
+  SELECT vec_id, label, p.part, p.x, min(list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::BIGINT * 64 + b.entry) AS best
+  FROM p JOIN book1 b USING (part) GROUP BY vec_id, label, p.part, p.x),
+sums2 AS (SELECT part, best % 64 AS entry, place, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, best, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS place FROM near1) GROUP BY ALL),
+means2 AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS x FROM sums2 GROUP BY part, entry),
+book2 AS MATERIALIZED (SELECT part, entry, coalesce(m.x, b.x) AS x FROM book1 b LEFT JOIN means2 m USING (part, entry)),
+near2 AS MATERIALIZED (
+  SELECT vec_id, label, p.part, p.x, min(list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::BIGINT * 64 + b.entry) AS best
+  FROM p JOIN book2 b USING (part) GROUP BY vec_id, label, p.part, p.x),
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM near2 GROUP BY vec_id, label),
+digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, digest
+"""
+
+ORACLES = {"op13_vector_codes": VECTOR_CODES, "op11_quality_rules": RULES, "op6_sharding": SHARDING, "op2_nearest_neighbours": NEAREST, "op3_tool_calls": TOOL_CALLS, "op5_decontaminate": DECONTAMINATE, "op7_mixing": MIXING, "op8_jaccard_join": JACCARD, "op10_licenses": LICENSES}

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, licenses, mixing, placement, quality, rules, toolcalls, urlfilter, vptree
-from .common import cut
+from . import alignment, decontaminate, jaccard, langid, licenses, mixing, placement, quality, rules, toolcalls, urlfilter, vectorcodes, vptree
+from .common import cut, small
 from .oracles import ORACLES
 
 #: (verdict, host, path)
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 TOOLS = {"reply": {"prompt": {"type": "string", "required": True, "max_length": 200}}}
+#: Tokenizers A (byte-level) and B (sentence pieces); every machine has these files.
+TOKENIZERS = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
@@ -106,7 +108,19 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *(f"counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "rules.base_failed", "rules.kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_tool_calls, op4_url_filter, op5_decontaminate, op6_sharding, op7_mixing, op8_jaccard_join, op9_quality, op10_licenses, op11_quality_rules)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", *TOKENIZERS)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got, book = vectorcodes.compress(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", parts=16, entries=64, rounds=2, scale=256)
+    coded = cut(got.select("vec_id", "label", "coded.code", "coded.error"))
+    sums = coded.groupBy(F.col("label").alias("_label")).agg(F.try_sum("error").alias("label_error"))
+    joined = coded.join(small(sums, sums.count()), F.col("label").eqNullSafe(F.col("_label")), "left")
+    return joined.select("vec_id", "code", "error", "label_error", F.lit(vectorcodes.digest(book)).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_tool_calls, op4_url_filter, op5_decontaminate, op6_sharding, op7_mixing, op8_jaccard_join, op9_quality, op10_licenses, op11_quality_rules, op12_token_alignment, op13_vector_codes)}
 
 
 def queries() -> dict:
