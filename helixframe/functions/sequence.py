@@ -172,31 +172,60 @@ UNITS = ["", "K", "M", "G", "T"]
 
 
 def short_number(value: Column) -> Column:
-    """Whole numbers below 1,000 as they are, up to 999T in three digits with K, M, G or T, beyond that as scientific()."""
+    """Whole numbers: below 1,000 as they are, then in three digits with K, M, G or T; from 1,000T on with more places, grouped."""
     v = value.cast("decimal(38,0)")
-    text, out = v.cast("string"), scientific(value)
-    for power in range(len(UNITS) - 1, 0, -1):
-        unit = F.lit(1000**power).cast("decimal(38,0)")
-        for digits, low, top in ((0, 100, 1000), (1, 10, 100), (2, 1, 10)):
-            # halves of the last digit shown go up, and to the next form where that needs a digit more
-            step = 10**digits
-            scaled = whole((v * (step * 2)).cast("decimal(38,0)") + unit, (unit * 2).cast("decimal(38,0)"))
-            shown = (scaled / step).cast(f"decimal(30,{digits})").cast("string")
-            out = F.when((scaled >= low * step) & (scaled < top * step), F.concat(shown, F.lit(UNITS[power]))).otherwise(out)
-    return F.when(v < 1000, text).otherwise(out)
+    digits, power = _three_digits(v)
+    unit = F.least(F.floor(power / 3), F.lit(4))
+    places = (power - unit * 3 + 1).cast("int")
+    long = _grouped(F.concat(digits, F.repeat(F.lit("0"), F.greatest(places - 3, F.lit(0)))))
+    mantissa = F.when(places >= 3, long).otherwise(F.concat(F.substring(digits, F.lit(1), places), F.lit("."), F.substring(digits, places + 1, F.lit(3))))
+    return F.when(v < 1000, v.cast("string")).otherwise(F.concat(mantissa, F.element_at(F.array(*map(F.lit, UNITS)), (unit + 1).cast("int"))))
 
 
-def scientific(value: Column) -> Column:
-    """Three digits and an exponent, halves up, exact for large whole numbers."""
-    v = value.cast("decimal(38,0)")
+def _grouped(digits: Column) -> Column:
+    """Whole digits in threes."""
+    return F.regexp_replace(digits, r"(?<=\d)(?=(\d{3})+$)", ",")
+
+
+def _three_digits(v: Column) -> tuple[Column, Column]:
+    """The first three digits of a whole number, halves up, as text, and the power of ten of the first."""
     digits = F.length(v.cast("string"))
-    drop = F.greatest(digits - 3, F.lit(0))
-    unit = F.concat(F.lit("1"), F.repeat(F.lit("0"), drop)).cast("decimal(38,0)")
-    mantissa = whole((v * 2).cast("decimal(38,0)") + unit, (unit * 2).cast("decimal(38,0)"))
-    over = mantissa >= 1000
-    mantissa, power = F.when(over, F.lit(100)).otherwise(mantissa).cast("string"), digits - 1 + over.cast("int")
-    mantissa = F.rpad(mantissa, 3, "0")
-    return F.concat(F.substring(mantissa, 1, 1), F.lit("."), F.substring(mantissa, 2, 2), F.lit("e+"), power.cast("string"))
+    unit = F.concat(F.lit("1"), F.repeat(F.lit("0"), F.greatest(digits - 3, F.lit(0)))).cast("decimal(38,0)")
+    up = F.lit("1").cast("decimal(38,0)") * F.when(digits < 2, 100).when(digits < 3, 10).otherwise(1)
+    first = whole((v * up * 2).cast("decimal(38,0)") + unit, (unit * 2).cast("decimal(38,0)"))
+    over = first >= 1000
+    return F.lpad(F.when(over, F.lit(100)).otherwise(first).cast("string"), 3, "0"), digits - 1 + over.cast("int")
+
+
+def scientific(value: Column) -> Column:
+    """Whole numbers in three digits and an exponent, halves up, exact for large ones."""
+    digits, power = _three_digits(value.cast("decimal(38,0)"))
+    return F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 2), F.lit("e+"), power.cast("string"))
+
+
+def scientific_real(value: Column) -> Column:
+    """Numbers with fractions in three digits and an exponent, halves of the shortest decimal up."""
+    return F.regexp_replace(F.format_string("%.2e", value.cast("double")), r"e([+-])0+(?=\d)", "e$1")
+
+
+def _significant(value: Column, digits: int) -> Column:
+    """A number rounded to so many significant digits, without an exponent or zeros at its end."""
+    text = F.format_string(f"%.{digits - 1}e", value.cast("double")).cast("decimal(38,18)").cast("string")
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def real_number(value: Column) -> Column:
+    """Numbers with fractions in at most six significant digits, whole digits in threes; for sizes from 1e-17 to 1e19."""
+    text = _significant(value, 6)
+    return F.concat(_grouped(F.regexp_extract(text, r"^(-?\d+)", 1)), F.regexp_extract(text, r"(\.\d+)?$", 0))
+
+
+def short_real(value: Column) -> Column:
+    """Numbers with fractions: from 1,000 on in at most three significant digits with K, M, G or T, below as real_number()."""
+    v = value.cast("double")
+    unit = F.least(F.floor(F.log10(F.greatest(v, F.lit(1000.0))) / 3), F.lit(4))
+    part = _significant(v / F.pow(F.lit(1000.0), unit), 3)
+    return F.when(v >= 1000, F.concat(part, F.element_at(F.array(*map(F.lit, UNITS)), (unit + 1).cast("int")))).otherwise(real_number(v))
 
 
 def percentage(share: Column) -> Column:

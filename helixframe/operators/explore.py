@@ -40,10 +40,13 @@ def summarise(values: DataFrame, keys: list[str], value: str = "count", threshol
     each key (of all, without keys).
 
     Whole numbers up to DECIMAL(20,0) give exact results: means, medians and interpolated percentiles as decimals of six
-    places, halves up.  Order statistics are found by rank: values are counted, their counts summed by narrow ranges (a 64th
-    of an octave), and only the ranges that hold a wanted rank are put in order.  No key's values meet in one task.
+    places, halves up.  Order statistics are found by rank: equal values are counted, counts are summed by narrow ranges (a
+    1,024th of an octave), and only the ranges that hold a wanted rank are put in order; what meets in one task is the distinct
+    values of a key in one such range.  Negative values and values that are no finite numbers raise.
     """
     v, exact = F.col(value), _exact(values, value)
+    bad = (v < 0) if exact else (v < 0) | F.isnan(v) | (v == float("inf"))
+    values = values.withColumn(value, F.when(bad, F.raise_error(F.lit("a summary takes finite numbers that are not negative")).cast(values.schema[value].dataType)).otherwise(v))
     use = F.when(v > 0, v) if exclude_zeros else v
     wide = (lambda c: c.cast("decimal(38,0)")) if exact else (lambda c: c.cast("double"))
     k = F.struct(*[F.col(c) for c in keys]) if keys else F.struct(F.lit(0).alias("_"))
@@ -54,7 +57,7 @@ def summarise(values: DataFrame, keys: list[str], value: str = "count", threshol
     )
     mean = six_decimals(F.col("_sum"), F.col("n")) if exact else F.try_divide("_sum", "n")
     base = base.withColumns({"above_percent": F.try_divide(100.0 * F.col("above"), F.col("known")), "mean": mean}).drop("_sum")
-    band = F.floor(F.log2(F.col("_v").cast("double") + 1) * 64).cast("int")
+    band = F.floor(F.log2(F.col("_v").cast("double") + 1) * 1024).cast("int")
     seen = cut(values.select(k.alias("_k"), use.alias("_v")).where("_v is not null").groupBy("_k", "_v").agg(F.count("*").alias("_c")).withColumn("_b", band))
     gap = (F.col("_v").cast("decimal(38,6)") - F.col("mean")).cast("double") if exact else F.col("_v") - F.col("mean")
     spread = seen.join(base.select("_k", "mean"), "_k").groupBy("_k").agg(F.sqrt(F.sum(gap * gap * F.col("_c")) / F.sum("_c")).alias("stddev"))
@@ -107,10 +110,10 @@ def approximate(values: DataFrame, keys: list[str], p: float, accuracy: int = 40
 
 def top(counts: DataFrame, group: str, item: str, n: int, value: str = "count") -> DataFrame:
     """The n largest nonzero values of a group with rank and share of the group's total, ties to the smaller item."""
-    totals = counts.groupBy(group).agg(F.sum(value).alias("group_total"))
+    totals = counts.groupBy(F.col(group).alias("_g")).agg(F.sum(value).alias("group_total"))
     w = Window.partitionBy(group).orderBy(F.desc(value), item)
     best = counts.where(F.col(value) > 0).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    return best.join(totals, group).withColumn("share", F.try_divide(F.col(value).cast("double"), F.col("group_total").cast("double")))
+    return best.join(totals, F.col(group).eqNullSafe(F.col("_g"))).drop("_g").withColumn("share", F.try_divide(F.col(value).cast("double"), F.col("group_total").cast("double")))
 
 
 def others(ranked: DataFrame, group: str, value: str = "count") -> DataFrame:
@@ -124,8 +127,10 @@ def fold(counts: DataFrame, target: str, value: str = "value", kind: str | None
     w = Window.partitionBy(target)
     total, known = F.sum(F.when(real, F.col(value))).over(w), F.count(F.when(real, F.col(value))).over(w)
     f = F.when((total > 0) & real, F.col(value) / total * known)
-    out = counts.withColumn("fold", f)
-    return out.withColumn("log2_fold", F.when(F.col("fold") == 0, F.lit(float("-inf"))).when(F.col("fold") > 0, F.log2("fold")))
+    # where the ratio of a small value to a large total is too small for a double, its logarithm is a sum of logarithms
+    apart = F.log2(F.col(value)) + F.log2(known.cast("double")) - F.log2(total.cast("double"))
+    log = F.when(F.col(value) == 0, F.lit(float("-inf"))).when(f > 0, F.log2(f)).when(f == 0, apart)
+    return counts.withColumns({"fold": f, "log2_fold": F.when((total > 0) & real, log)})
 
 
 def ordered(rows: DataFrame, key: str, item: str, descending: bool = True) -> DataFrame:

@@ -7,8 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..storage import cut, forget
 
@@ -62,38 +66,43 @@ def rank(columns: np.ndarray, tolerance: float = 1e-10) -> int:
     return rank_of([(np.flatnonzero(c), c[c != 0]) for c in np.asarray(columns, dtype=float).T], tolerance)
 
 
-def em_entries(f: np.ndarray, t: np.ndarray, a: np.ndarray, groups: int, y: np.ndarray, max_iterations: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, dict]:
+def em_entries(f: np.ndarray, t: np.ndarray, a: np.ndarray, groups: int, y: np.ndarray, max_iterations: int, tolerance: float, lengths: np.ndarray | None = None, rest: tuple[int, float] = (0, 0.0)) -> tuple[np.ndarray, np.ndarray, dict]:
     """Poisson EM over the entries (feature, group, exposure > 0) of a component: (rates, assigned, diagnostics).
 
-    A step's change and the test of convergence at the end are sums of changes of rates, relative to the sum of rates.
+    Features without counts take no part but by the groups' `lengths` (sums of all their exposures; without them, the entries
+    are all there are) and by `rest`: how many groups have no counted feature, and their lengths' sum.  A step's change and
+    the test of convergence at the end are sums of changes of rates, relative to the sum of rates.
     """
-    lengths, total = np.bincount(t, a, groups), float(y.sum())
-    theta = np.full(groups, total / lengths.sum())
+    lengths, total = np.bincount(t, a, groups) if lengths is None else lengths, float(y.sum())
+    start = total / (lengths.sum() + rest[1]) if total else 0.0
+    theta, others = np.full(groups, start), start
     seen = y > 0
 
-    def expect(rates):
+    def expect(rates, other):
         part = a * rates[t]
         rate = np.bincount(f, part, len(y))
         if not (np.isfinite(rate[seen]) & (rate[seen] > 0)).all():
             raise ValueError("a counted feature has no finite predicted count")
         share = np.divide(y, rate, out=np.zeros(len(y)), where=seen)
-        return np.bincount(t, part * share[f], groups), float((y[seen] * np.log(rate[seen])).sum() - rates @ lengths), rate
+        expected = float(rates @ lengths) + other * rest[1]
+        # what is predicted for features without counts is all that is predicted for no other
+        residual = float(np.abs(rate - y)[seen].sum()) + max(0.0, expected - float(rate[seen].sum()))
+        return np.bincount(t, part * share[f], groups), float((y[seen] * np.log(rate[seen])).sum()) - expected, residual
 
-    def change(new, old):
-        return float(np.abs(new - old).sum() / max(old.sum(), np.finfo(float).tiny))
+    def change(new, old, gone):
+        return float((np.abs(new - old).sum() + gone * rest[0]) / max(old.sum() + gone * rest[0], np.finfo(float).tiny))
 
     last, n = -np.inf, 0
     for n in range(1, (max_iterations if total else 0) + 1):
-        assigned, like, _ = expect(theta)
+        assigned, like, _ = expect(theta, others)
         new = assigned / lengths
-        moved, theta = change(new, theta), new
+        moved, theta, others = change(new, theta, others), new, 0.0
         if moved <= tolerance and abs(like - last) <= tolerance * max(total, 1):
             break
         last = like
-    assigned, like, rate = expect(theta)
-    fixed = change(assigned / lengths, theta) if total else 0.0
-    residual = float(np.abs(rate - y).sum() / total) if total else 0.0
-    return theta, assigned, {"active_features": int(seen.sum()), "observed_sum": total, "iterations": n, "converged": fixed <= tolerance, "log_likelihood": like, "fixed_point_change": fixed, "relative_l1_residual": residual}
+    assigned, like, residual = expect(theta, others)
+    fixed = change(assigned / lengths, theta, others) if total else 0.0
+    return theta, assigned, {"active_features": int(seen.sum()), "observed_sum": total, "iterations": n, "converged": fixed <= tolerance, "log_likelihood": like, "fixed_point_change": fixed, "relative_l1_residual": residual / total if total else 0.0}
 
 
 def em(exposure: np.ndarray, y: np.ndarray, max_iterations: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, int, bool]:
@@ -115,49 +124,294 @@ def profile_groups(exposure: DataFrame, transcripts: DataFrame | None = None) ->
     return every.select("transcript", F.coalesce("group", "transcript").alias("group"), F.coalesce("observable_kmers", F.lit(0)).alias("observable_kmers"))
 
 
-def fit_groups(exposure: DataFrame, observed: DataFrame, transcripts: DataFrame | None = None, max_iterations: int = 10_000, tolerance: float = 1e-8, rank_limit: int = 512, most_datasets: int = 100_000) -> tuple[DataFrame, DataFrame]:
+#: Entries (feature, group) with counts of a component that one task fits; what has more is fitted by all tasks together.
+MOST_ENTRIES = 200_000
+#: Groups whose rates are held as arrays while larger components are fitted: 8 bytes each in the driver and in each task.
+MOST_GROUPS = 2_000_000
+#: Entries of a block of counted features.
+BLOCK = 1 << 18
+
+
+def _rank_table(entries: DataFrame, sizes: DataFrame, rank_limit: int, most_entries: int) -> DataFrame:
+    """(component, rank) of the components with at most `rank_limit` groups."""
+    asked = entries.join(sizes.where(F.col("groups") <= rank_limit).select("component", "entries"), "component")
+    kind = entries.schema["component"].dataType.simpleString()
+
+    def whole(part: pd.DataFrame) -> pd.DataFrame:
+        f, _ = pd.factorize(part["feature"])
+        t, groups = pd.factorize(part["group"], sort=True)
+        order = np.lexsort((f, t))
+        f, t, a = f[order], t[order], part["a"].to_numpy(dtype=float)[order]
+        ends = np.searchsorted(t, np.arange(len(groups) + 1))
+        return pd.DataFrame({"component": part["component"].iloc[:1], "rank": [rank_of([(f[i:j], a[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)])]})
+
+    def folded(parts):
+        """The triangular factors of a task's rows, a block of features at a time: what is below them adds nothing to a rank."""
+        kept: dict = {}
+        for part in parts:
+            for key, rows in part.groupby("component"):
+                for _, x in rows.groupby(np.arange(len(rows)) // 2048):
+                    dense = np.zeros((len(x), int(x["groups"].iloc[0])))
+                    for i, (places, values) in enumerate(zip(x["t"], x["a"], strict=True)):
+                        dense[i, places] = values
+                    kept[key] = np.linalg.qr(np.vstack([kept[key], dense]) if key in kept else dense, mode="r")
+        for key, r in kept.items():
+            yield pd.DataFrame({"component": [key], "r": [r.ravel().tolist()], "width": [r.shape[1]]})
+
+    def last(part: pd.DataFrame) -> pd.DataFrame:
+        width = int(part["width"].iloc[0])
+        r = np.linalg.qr(np.vstack([np.reshape(x, (-1, width)) for x in part["r"]]), mode="r")
+        return pd.DataFrame({"component": part["component"].iloc[:1], "rank": [rank(r)]})
+
+    few = asked.where(F.col("entries") <= most_entries).select("component", "feature", "group", "a").groupBy("component").applyInPandas(whole, f"component {kind}, rank long")
+    many = asked.where(F.col("entries") > most_entries)
+    number = many.select("component", "group").distinct().withColumn("t", F.row_number().over(Window.partitionBy("component").orderBy("group")) - 1)
+    width = sizes.select("component", "groups")
+    rows = many.select("component", "group", "feature", "a").join(number, ["component", "group"]).groupBy("component", "feature").agg(F.collect_list("t").alias("t"), F.collect_list("a").alias("a"))
+    factors = rows.join(width, "component").mapInPandas(folded, f"component {kind}, r array<double>, width long")
+    return few.unionByName(factors.groupBy("component").applyInPandas(last, f"component {kind}, rank long"))
+
+
+def fit_groups(exposure: DataFrame, observed: DataFrame, transcripts: DataFrame | None = None, max_iterations: int = 10_000, tolerance: float = 1e-8, rank_limit: int = 512, most_datasets: int = 100_000, most_entries: int = MOST_ENTRIES, most_groups: int = MOST_GROUPS) -> tuple[DataFrame, DataFrame]:
     """(members, fits): members(transcript, group, component, observable_kmers), and for each dataset and group a row
     (dataset, group, component, rate, assigned, the component's diagnostics).
 
-    Components are fitted apart, each of a dataset in one task, which holds the component's entries as lists (not as a
-    matrix): its memory and each iteration grow with the entries, so one component of most of a table is work of one task.
-    The rank is asked only of components with at most `rank_limit` groups.  Every dataset is fitted against all components,
-    so entries times datasets is the size of the work; more than `most_datasets` datasets raise.
+    Only features with counts are met with their entries, so the work follows what a dataset has seen; what it has not seen is
+    in sums of lengths.  A component of a dataset with at most `most_entries` such entries is fitted in one task.  A larger
+    one is fitted by rounds over all tasks: while its rates fit in arrays (`most_groups`), blocks of features send sums by
+    group through a tree; beyond that, rates are a table, and a round is two joins and two aggregates.  Each component stops
+    by its own rule.  The rank, which depends on exposures only, is asked once of each component with at most
+    `rank_limit` groups.  More than `most_datasets` datasets raise.  A null dataset is one.
     """
     members = cut(profile_groups(exposure, transcripts))
     first = members.where(F.col("transcript") == F.col("group")).select(F.col("transcript").alias("_g"))
     entries = exposure.join(first, F.col("transcript") == F.col("_g"), "left_semi").withColumnRenamed("transcript", "group")
     found = components(entries.withColumnRenamed("group", "transcript")).withColumnRenamed("transcript", "_g")
-    members = cut(members.join(found, F.col("group") == F.col("_g"), "left").select("transcript", "group", F.coalesce("component", "group").alias("component"), "observable_kmers"))
+    old, members = members, cut(members.join(found, F.col("group") == F.col("_g"), "left").select("transcript", "group", F.coalesce("component", "group").alias("component"), "observable_kmers"))
     entries = cut(entries.join(found, F.col("group") == F.col("_g")).select("component", "group", "feature", F.col("a").cast("double").alias("a")))
-    datasets = observed.select("dataset").distinct()
+    forget(old, found)
+    datasets = cut(observed.select("dataset").distinct())
     if datasets.count() > most_datasets:
         raise ValueError(f"more than {most_datasets} datasets")
-    y = observed.groupBy("dataset", "feature").agg(F.sum("y").cast("double").alias("y"))
-    wide = entries.crossJoin(F.broadcast(datasets)).join(y, ["dataset", "feature"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
+    lengths = entries.groupBy("component", "group").agg(F.sum("a").alias("length"))
+    per_group = lengths.groupBy("component").agg(F.count("*").alias("groups"), F.sum("length").alias("all_length"))
+    per_feature = entries.groupBy("component").agg(F.countDistinct("feature").alias("features"), F.count("*").alias("entries"))
+    sizes = cut(per_group.join(per_feature, "component"))
+    sizes = cut(sizes.join(_rank_table(entries, sizes, rank_limit, most_entries), "component", "left"))
+    y = observed.groupBy("dataset", "feature").agg(F.sum("y").cast("double").alias("y")).where("y > 0")
+    seen = entries.join(y, "feature").join(lengths, ["component", "group"])
+    seen = cut(seen.select("dataset", "component", "group", "feature", "a", "y", "length"))
+    work = cut(seen.groupBy("dataset", "component").agg(F.count("*").alias("seen_entries"), F.countDistinct("group").alias("seen_groups"), F.countDistinct("feature").alias("active_features"))
+               .join(sizes.select("component", "groups", "all_length"), "component"))
+    fitted = _fit_small(seen, work.where(F.col("seen_entries") <= most_entries), max_iterations, tolerance)
+    # as many at most as there are entries for each most_entries
+    for job in work.where(F.col("seen_entries") > most_entries).orderBy(F.desc("seen_entries")).collect():
+        mine = seen.where(F.col("dataset").eqNullSafe(F.lit(job.dataset)) & (F.col("component") == F.lit(job.component)))
+        fit_large = _fit_in_blocks if job.seen_groups <= most_groups else _fit_in_tables
+        fitted = fitted.unionByName(fit_large(mine, job, max_iterations, tolerance, seen.schema))
+    fitted = cut(fitted)
+    # every dataset has every group: what was not fitted has rate 0
+    told = fitted.where("`group` is null").select(F.col("dataset").alias("_d"), F.col("component").alias("_c"), *_TOLD)
+    rates = fitted.where("`group` is not null").select(F.col("dataset").alias("_d"), F.col("group").alias("_g"), "rate", "assigned")
+    every = members.select("group", "component").distinct().join(sizes, "component", "left").crossJoin(F.broadcast(datasets) if datasets.count() <= 100_000 else datasets)
+    every = every.join(rates, (F.col("group") == F.col("_g")) & F.col("dataset").eqNullSafe(F.col("_d")), "left").drop("_d", "_g")
+    every = every.join(told, (F.col("component") == F.col("_c")) & F.col("dataset").eqNullSafe(F.col("_d")), "left").drop("_d", "_c")
+    none = {"rate": 0.0, "assigned": 0.0, "groups": 1, "features": 0, "active_features": 0, "observed_sum": 0.0, "iterations": 0, "converged": True, "log_likelihood": 0.0, "fixed_point_change": 0.0, "relative_l1_residual": 0.0}
+    rank_known = F.when(F.col("features").isNull(), F.lit(0)).otherwise(F.col("rank")).cast("long").alias("rank")
+    values = {k: F.coalesce(k, F.lit(v)).alias(k) for k, v in none.items()} | {"rank": rank_known}
+    fits = cut(every.select("dataset", "group", "component", values["rate"], values["assigned"], *(values[c].cast(_KINDS[c]).alias(c) for c in _DIAGNOSTIC)))
+    forget(entries, datasets, sizes, seen, work, fitted)
+    return members, fits
+
+
+#: What a fit tells of its component beside what is known of the model.
+_KINDS = dict(x.split() for x in DIAGNOSTICS.split(", "))
+_TOLD = [c for c in _DIAGNOSTIC if c not in ("groups", "features", "rank")]
+
+
+def _fitted_schema(seen: T.StructType) -> T.StructType:
+    kinds = [seen["dataset"], seen["component"], seen["group"], T.StructField("rate", T.DoubleType()), T.StructField("assigned", T.DoubleType())]
+    return T.StructType([*kinds, *T.StructType.fromDDL(", ".join(f"{c} {_KINDS[c]}" for c in _TOLD)).fields])
+
+
+def _fit_small(seen: DataFrame, work: DataFrame, max_iterations: int, tolerance: float) -> DataFrame:
+    """(dataset, component, group, rate, assigned) of groups with counts, and a row without a group with what the fit tells."""
+    schema = _fitted_schema(seen.schema)
+    keys = work.select(F.col("dataset").alias("_d"), F.col("component").alias("_c"), "groups", "all_length")
+    rows = seen.join(keys, F.col("dataset").eqNullSafe(F.col("_d")) & (F.col("component") == F.col("_c"))).drop("_d", "_c")
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         f, features = pd.factorize(part["feature"], sort=True)
         t, groups = pd.factorize(part["group"], sort=True)
         order = np.lexsort((f, t))
         f, t, a, y = f[order], t[order], part["a"].to_numpy(dtype=float)[order], part["y"].to_numpy(dtype=float)[order]
-        obs = np.zeros(len(features))
-        obs[f] = y
-        theta, assigned, told = em_entries(f, t, a, len(groups), obs, max_iterations, tolerance)
-        ends = np.searchsorted(t, np.arange(len(groups) + 1))
-        known = rank_of([(f[i:j], a[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]) if len(groups) <= rank_limit else None
-        out = {"dataset": part["dataset"].iloc[0], "group": groups, "component": part["component"].iloc[0], "rate": theta, "assigned": assigned}
-        told = {"groups": len(groups), "features": len(features), "rank": pd.array([known] * len(groups), dtype="Int64")} | told
-        return pd.DataFrame(out | {c: told[c] for c in _DIAGNOSTIC})
-
-    kind = {k: exposure.schema["transcript"].dataType.simpleString() for k in ("group", "component")}
-    schema = f"dataset {observed.schema['dataset'].dataType.simpleString()}, group {kind['group']}, component {kind['component']}, rate double, assigned double, {DIAGNOSTICS}"
-    fits = wide.groupBy("dataset", "component").applyInPandas(one, schema)
-    lone = members.where("observable_kmers = 0").select("group", "component").distinct().crossJoin(F.broadcast(datasets))
-    empty = {"rate": 0.0, "assigned": 0.0, "groups": 1, "features": 0, "active_features": 0, "observed_sum": 0.0, "iterations": 0, "converged": True, "log_likelihood": 0.0, "fixed_point_change": 0.0, "relative_l1_residual": 0.0}
-    lone = lone.withColumns({k: F.lit(v) for k, v in empty.items()} | {"rank": F.lit(0)})
-    lone = lone.select(*(F.col(x.name).cast(x.dataType).alias(x.name) for x in fits.schema.fields))
-    return members, cut(fits.unionByName(lone))
+        obs, lengths = np.zeros(len(features)), np.zeros(len(groups))
+        obs[f], lengths[t] = y, part["length"].to_numpy(dtype=float)[order]
+        rest = int(part["groups"].iloc[0]) - len(groups), float(part["all_length"].iloc[0]) - float(lengths.sum())
+        theta, assigned, told = em_entries(f, t, a, len(groups), obs, max_iterations, tolerance, lengths, rest if rest[0] else (0, 0.0))
+        out = pd.DataFrame({"dataset": part["dataset"].iloc[0], "component": part["component"].iloc[0], "group": [*groups, None], "rate": [*theta, None], "assigned": [*assigned, None]})
+        for c in _TOLD:
+            out[c] = pd.array([None] * len(groups) + [told[c]], dtype={"long": "Int64", "boolean": "boolean"}.get(_KINDS[c], "Float64"))
+        return out[schema.names]
+
+    return rows.groupBy("dataset", "component").applyInPandas(one, schema)
+
+
+def _told_row(job, told: dict, schema: T.StructType, spark) -> DataFrame:
+    values = {"dataset": job.dataset, "component": job.component, "group": None, "rate": None, "assigned": None} | told
+    return spark.createDataFrame([tuple(values[c] for c in schema.names)], schema)
+
+
+def _fit_in_blocks(mine: DataFrame, job, max_iterations: int, tolerance: float, kinds: T.StructType) -> DataFrame:
+    """A large component whose rates are arrays: each round broadcasts them and gets sums by group through a tree of tasks."""
+    spark, schema = mine.sparkSession, _fitted_schema(kinds)
+    number = cut(_numbered(mine.select("group", "length").distinct(), "group"))
+    n = job.seen_groups
+    lengths = np.zeros(n)
+    for r in number.select("at", "length").toLocalIterator(prefetchPartitions=True):
+        lengths[r["at"]] = r["length"]
+    rows = mine.join(number.select("group", "at"), "group").select("feature", "at", "a", "y")
+    parts = max(2, -(-job.seen_entries // BLOCK))
+    table = cut(rows.repartition(parts, "feature").sortWithinPartitions("feature").mapInArrow(_blocks, "block binary"))
+    total = float(mine.groupBy("feature").agg(F.first("y").alias("y")).agg(F.sum("y")).first()[0])
+    rest = job.groups - n, max(0.0, job.all_length - float(lengths.sum())) if job.groups > n else 0.0
+
+    def expect(theta, other):
+        shared = spark.sparkContext.broadcast(theta)
+
+        def add(sums, row, s=shared):
+            got = _expect_block(bytes(row.block), s.value)
+            return got if sums is None else tuple(u + v for u, v in zip(sums, got, strict=True))
+
+        both = lambda u, v: u if v is None else v if u is None else tuple(x + z for x, z in zip(u, v, strict=True))
+        assigned, like, residual, predicted, bad = table.rdd.treeAggregate(None, add, both)
+        shared.unpersist()
+        if bad:
+            raise ValueError("a counted feature has no finite predicted count")
+        expected = float(theta @ lengths) + other * rest[1]
+        return assigned, like - expected, residual + max(0.0, expected - predicted)
+
+    def change(new, old, gone):
+        return float((np.abs(new - old).sum() + gone * rest[0]) / max(old.sum() + gone * rest[0], np.finfo(float).tiny))
+
+    start = total / (float(lengths.sum()) + rest[1])
+    theta, others, last, rounds = np.full(n, start), start, -np.inf, 0
+    for rounds in range(1, max_iterations + 1):
+        assigned, like, _ = expect(theta, others)
+        new = assigned / lengths
+        moved, theta, others = change(new, theta, others), new, 0.0
+        if moved <= tolerance and abs(like - last) <= tolerance * max(total, 1):
+            break
+        last = like
+    assigned, like, residual = expect(theta, others)
+    fixed = change(assigned / lengths, theta, others)
+    told = {"active_features": job.active_features, "observed_sum": total, "iterations": rounds, "converged": fixed <= tolerance, "log_likelihood": like, "fixed_point_change": fixed, "relative_l1_residual": residual / total}
+    shared = spark.sparkContext.broadcast((theta, assigned))
+
+    def take(batches):
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value[0][at]), pa.array(shared.value[1][at])], names=["group", "rate", "assigned"])
+
+    kind = T.StructType([kinds["group"], T.StructField("rate", T.DoubleType()), T.StructField("assigned", T.DoubleType())])
+    rates = number.select("group", "at").mapInArrow(take, kind)
+    fixed_columns = [F.lit(job.dataset).cast(kinds["dataset"].dataType).alias("dataset"), F.lit(job.component).cast(kinds["component"].dataType).alias("component")]
+    rates = cut(rates.select(*fixed_columns, "group", "rate", "assigned", *(F.lit(None).cast(_KINDS[c]).alias(c) for c in _TOLD)))
+    forget(number, table)
+    return rates.unionByName(_told_row(job, told, schema, spark))
+
+
+def _numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with a column `at` that counts them from 0, each partition of a range of keys apart."""
+    local = cut(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id") % (1 << 33)
+    sizes = local.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row a partition
+    return local.join(F.broadcast(before), part == F.col("_p")).withColumn("at", place + F.col("_before")).drop("_id", "_p", "_before")
+
+
+def _blocks(batches):
+    """Counted features with their entries, sorted by feature: blocks of whole features, as counts, then places, numbers of
+    groups, exposures and counts."""
+    held, n = [], 0
+
+    def emit(table: pa.Table) -> pa.RecordBatch:
+        names = table.column("feature").combine_chunks()
+        fresh = np.append(True, pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)) if len(names) else np.zeros(0, dtype=bool)
+        f, y = np.cumsum(fresh) - 1, table.column("y").to_numpy()[fresh]
+        raw = b"".join([np.array([len(f), len(y)], dtype=np.int64).tobytes(), f.astype(np.int64).tobytes(), table.column("at").to_numpy().astype(np.int64).tobytes(), table.column("a").to_numpy().tobytes(), y.tobytes()])
+        return pa.record_batch([pa.array([raw], pa.binary())], names=["block"])
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BLOCK:
+            table = pa.Table.from_batches(held)
+            names = table.column("feature")
+            last = names[-1]
+            whole = n - int(pc.sum(pc.equal(names, last)).as_py())  # the last feature may go on
+            if whole:
+                yield emit(table.slice(0, whole))
+                held = table.slice(whole).to_batches()
+                n -= whole
+    if n:
+        yield emit(pa.Table.from_batches(held))
+
+
+def _expect_block(raw: bytes, theta: np.ndarray) -> tuple:
+    n, m = np.frombuffer(raw, dtype=np.int64, count=2).tolist()
+    f, at = np.frombuffer(raw, dtype=np.int64, count=n, offset=16), np.frombuffer(raw, dtype=np.int64, count=n, offset=16 + 8 * n)
+    a, y = np.frombuffer(raw, dtype=float, count=n, offset=16 + 16 * n), np.frombuffer(raw, dtype=float, count=m, offset=16 + 24 * n)
+    part = a * theta[at]
+    rate = np.bincount(f, part, m)
+    good = np.isfinite(rate) & (rate > 0)
+    safe = np.where(good, rate, 1.0)
+    return np.bincount(at, part * (y / safe)[f], len(theta)), float((y * np.log(safe)).sum()), float(np.abs(rate - y).sum()), float(rate.sum()), int((~good).sum())
+
+
+def _fit_in_tables(mine: DataFrame, job, max_iterations: int, tolerance: float, kinds: T.StructType) -> DataFrame:
+    """A large component with too many groups for arrays: rates are a table, written each round; two joins, two aggregates."""
+    spark, schema = mine.sparkSession, _fitted_schema(kinds)
+    entries = cut(mine.select("feature", "group", "a", "y"))
+    groups = cut(mine.groupBy("group").agg(F.first("length").alias("length")))
+    total = float(entries.groupBy("feature").agg(F.first("y").alias("y")).agg(F.sum("y")).first()[0])
+    all_length = float(groups.agg(F.sum("length")).first()[0])
+    rest = job.groups - job.seen_groups, max(0.0, job.all_length - all_length) if job.groups > job.seen_groups else 0.0
+    start = total / (all_length + rest[1])
+    state = cut(groups.withColumn("theta", F.lit(start)))
+    others, last, rounds = start, -np.inf, 0
+
+    def expect(state, other):
+        """(group, length, theta, assigned) written, likelihood, residual, moved."""
+        rate = entries.join(state.select("group", "theta"), "group").groupBy("feature").agg(F.sum(F.col("a") * F.col("theta")).alias("rate"), F.first("y").alias("y"))
+        rate = cut(rate)
+        good = (F.col("rate") > 0) & (F.col("rate") < float("inf"))
+        like, gap, predicted, bad = rate.agg(F.sum(F.when(good, F.col("y") * F.log("rate"))), F.sum(F.abs(F.col("rate") - F.col("y"))), F.sum("rate"), F.count_if(~F.coalesce(good, F.lit(False)))).first()
+        if bad:
+            raise ValueError("a counted feature has no finite predicted count")
+        share = rate.select("feature", (F.col("y") / F.col("rate")).alias("share"))
+        sums = entries.join(share, "feature").groupBy("group").agg(F.sum(F.col("a") * F.col("share")).alias("_s"))
+        got = cut(state.join(sums, "group").withColumn("assigned", F.col("theta") * F.col("_s")).drop("_s"))
+        moved, old, expected = got.agg(F.sum(F.abs(F.col("assigned") / F.col("length") - F.col("theta"))), F.sum("theta"), F.sum(F.col("theta") * F.col("length"))).first()
+        forget(rate)
+        expected += other * rest[1]
+        moved = (moved + other * rest[0]) / max(old + other * rest[0], np.finfo(float).tiny)
+        return got, like - expected, gap + max(0.0, expected - predicted), moved
+
+    for rounds in range(1, max_iterations + 1):
+        got, like, _, moved = expect(state, others)
+        new = cut(got.select("group", "length", (F.col("assigned") / F.col("length")).alias("theta")))
+        forget(state, got)
+        state, others = new, 0.0
+        if moved <= tolerance and abs(like - last) <= tolerance * max(total, 1):
+            break
+        last = like
+    got, like, residual, fixed = expect(state, others)
+    forget(state, entries, groups)
+    told = {"active_features": job.active_features, "observed_sum": total, "iterations": rounds, "converged": fixed <= tolerance, "log_likelihood": like, "fixed_point_change": fixed, "relative_l1_residual": residual / total}
+    fixed_columns = [F.lit(job.dataset).cast(kinds["dataset"].dataType).alias("dataset"), F.lit(job.component).cast(kinds["component"].dataType).alias("component")]
+    rates = got.select(*fixed_columns, "group", F.col("theta").alias("rate"), "assigned", *(F.lit(None).cast(_KINDS[c]).alias(c) for c in _TOLD))
+    return rates.unionByName(_told_row(job, told, schema, spark))
 
 
 def global_fit(fits: DataFrame) -> DataFrame:

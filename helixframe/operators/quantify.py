@@ -85,9 +85,11 @@ def finish(raw: DataFrame, scale: int) -> DataFrame:
 
 
 def dense(counts: DataFrame, datasets: DataFrame, target_table: DataFrame, dataset: str, target: str) -> DataFrame:
-    """Every (dataset, target) with 0 where nothing was counted: the result is this matrix by definition."""
+    """Every (dataset, target) with 0 where nothing was counted: the result is this matrix by definition.  A null dataset is one."""
     frame = datasets.select(dataset).crossJoin(target_table.select(target))
-    return frame.join(counts, [dataset, target], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
+    seen = counts.select(F.col(dataset).alias("_d"), F.col(target).alias("_t"), "count")
+    joined = frame.join(seen, F.col(dataset).eqNullSafe(F.col("_d")) & F.col(target).eqNullSafe(F.col("_t")), "left")
+    return joined.select(dataset, target, F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
 def global_sum(counts: DataFrame, target: str) -> DataFrame:
@@ -108,64 +110,90 @@ def cross_dataset(counts: DataFrame, target: str) -> DataFrame:
 
 
 def codebook(maxima: DataFrame, key: str, maximum: str, bits: int) -> DataFrame:
-    """(key, code, level): exact to the maximum if it fits, else an exact prefix and clamped geometric levels, the last the maximum."""
-    codes = 1 << bits
-    last, prefix = codes - 1, min(15, codes // 4)
+    """(key, code, level): exact to the maximum if it fits; else exact to P = min(15, C / 4), C the last code, then a geometric
+    grid from P + 1 to the maximum, rounded, each level at least one above the one before and with room for those after."""
+    last = (1 << bits) - 1
+    prefix = min(15, last // 4)
+    first = prefix + 1
     m, c = F.col(maximum), F.col("code")
     rows = maxima.select(key, maximum, F.explode(F.sequence(F.lit(0).cast("long"), F.least(m, F.lit(last).cast("long")))).alias("code"))
-    raw = F.when(c == last, m).otherwise(F.floor(prefix * F.pow(m.cast("double") / prefix, (c - prefix) / F.lit(float(last - prefix))) + 0.5))
+    log_first = F.log(F.lit(float(first)))
+    grid = F.floor(F.exp(log_first + (c - first) * ((F.log(m.cast("double")) - log_first) / F.lit(float(last - first)))) + 0.5)
+    raw = F.when(c == last, m).otherwise(grid)
     upto = Window.partitionBy(key, maximum).orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_r", F.when((m > last) & (c > prefix), raw - c))
     level = F.when((m <= last) | (c <= prefix), c).otherwise(c + F.least(m - last, F.greatest(F.lit(0), F.max("_r").over(upto))))
     return rows.select(key, "code", level.cast("long").alias("level"))
 
 
+#: Buckets in a power of two, by which counts and levels meet.
+FINE = 10
+
+
+def _bucket(v: Column) -> Column:
+    """Buckets in the order of whole numbers from 0 on: each number below 2^FINE, then 2^FINE for each power of two."""
+    shift = F.greatest(F.length(F.bin(v)) - FINE - 1, F.lit(0))
+    return (shift.cast("long") * (1 << FINE) + F.call_function("shiftright", v, shift)).cast("long")
+
+
 def quantise(counts: DataFrame, book: DataFrame, key: str, most: int = 4_000_000) -> DataFrame:
-    """counts with the code and level nearest to each value, ties to the lower.
+    """counts with the code and level nearest to each value, ties to the lower; null where the count is null or its key has no
+    book.  A null key is a key.
 
-    A key's levels are searched by halves in one Arrow map; books are broadcast if they were counted to have `most` levels
-    at most, else each key's rows follow its book in one sorted stream.
+    A key's levels are searched by halves in one Arrow map if the books were counted to have `most` levels at most, and are
+    broadcast.  Else counts and the spans that belong to levels are joined by narrow buckets (1,024 to a power of two), so a
+    count meets a few spans only; both ways give the same rows.
     """
+    return _by_search(counts, book, key) if book.count() <= most else _by_spans(counts, book, key)
+
+
+def _by_search(counts: DataFrame, book: DataFrame, key: str) -> DataFrame:
     from pyspark.sql import types as T
 
-    at, plain = counts.columns.index("count"), [f for f in counts.schema.fields]
+    at, where, plain = counts.columns.index("count"), counts.columns.index(key), list(counts.schema.fields)
     schema = T.StructType([*plain, T.StructField("code", T.LongType()), T.StructField("level", T.LongType())])
+    books: dict = {}
+    for r in book.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("code", "level"))).alias("x")).select(key, F.transform("x", lambda x: x["level"]).alias("levels")).collect():
+        books[r[0]] = np.array(r[1], dtype=np.int64)
+    shared = counts.sparkSession.sparkContext.broadcast(books)
 
     def nearest(values: np.ndarray, levels: np.ndarray) -> np.ndarray:
         high = np.clip(np.searchsorted(levels, values), 0, len(levels) - 1)
         low = np.maximum(high - 1, 0)
         return np.where(values - levels[low] <= levels[high] - values, low, high)
 
-    def add(batch, values, codes, levels):
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(plain))), pa.array(codes), pa.array(levels)], names=schema.names)
-
-    where = counts.columns.index(key)
-    if book.count() <= most:
-        books: dict = {}
-        for r in book.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("code", "level"))).alias("x")).select(key, F.transform("x", lambda x: x["level"]).alias("levels")).collect():
-            books[r[0]] = np.array(r[1], dtype=np.int64)
-        shared = counts.sparkSession.sparkContext.broadcast(books)
-
-        def run(batches):
-            for batch in batches:
-                names = batch.column(where).dictionary_encode()
-                which, values = names.indices.to_numpy(zero_copy_only=False), batch.column(at).cast(pa.int64()).to_numpy(zero_copy_only=False)
-                codes, levels = np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=np.int64)
-                for i, name in enumerate(names.dictionary.to_pylist()):
-                    mine = which == i
-                    codes[mine] = nearest(values[mine], shared.value[name])
-                    levels[mine] = shared.value[name][codes[mine]]
-                yield add(batch, values, codes, levels)
-
-        return counts.mapInArrow(run, schema)
-    w = Window.partitionBy(key).orderBy("code")
-    # a value belongs to a level from just above the midpoint with the one before, to the midpoint with the next
-    spans = book.withColumn("_lo", F.col("level") + F.coalesce(F.lag("level").over(w), F.lit(-(1 << 60)))).withColumn("_hi", F.col("level") + F.coalesce(F.lead("level").over(w), F.lit(1 << 60)))
-    # values and spans meet only where both are in the same power of two (a span is in each one it reaches into)
-    power = lambda c: F.floor(F.log2(F.greatest(c, F.lit(0)).cast("double") + 1)).cast("int")
-    spans = spans.withColumn("_power", F.explode(F.sequence(power(F.col("_lo") / 2 - 1), power(F.least(F.col("_hi"), F.lit(1 << 53)) / 2 + 1))))
-    got = counts.withColumn("_power", power(F.col("count"))).join(spans, [key, "_power"])
-    return got.where((2 * F.col("count") > F.col("_lo")) & (2 * F.col("count") <= F.col("_hi"))).drop("_lo", "_hi", "_power").select(*counts.columns, "code", "level")
+    def run(batches):
+        for batch in batches:
+            names = batch.column(where).dictionary_encode(null_encoding="encode")
+            which, column = names.indices.to_numpy(zero_copy_only=False), batch.column(at).cast(pa.int64())
+            known, values = column.is_valid().to_numpy(zero_copy_only=False).copy(), column.fill_null(0).to_numpy(zero_copy_only=False)
+            codes, levels = np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=np.int64)
+            for i, name in enumerate(names.dictionary.to_pylist()):
+                mine = which == i
+                if name not in shared.value:
+                    known &= ~mine
+                    continue
+                codes[mine] = nearest(values[mine], shared.value[name])
+                levels[mine] = shared.value[name][codes[mine]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(plain))), pa.array(codes, mask=~known), pa.array(levels, mask=~known)], names=schema.names)
+
+    return counts.mapInArrow(run, schema)
+
+
+def _by_spans(counts: DataFrame, book: DataFrame, key: str) -> DataFrame:
+    w = Window.partitionBy("_key").orderBy("code")
+    spans = book.select(F.col(key).alias("_key"), "code", "level")
+    # a level's numbers end at the midpoint with the next, which belongs to the lower; from 0 on, and at the top without end
+    middle = F.col("level") + F.call_function("div", F.lead("level").over(w) - F.col("level"), F.lit(2))
+    spans = spans.withColumn("_to", F.coalesce(middle, F.col("level")))
+    spans = spans.withColumn("_from", F.coalesce(F.lag("_to").over(w) + 1, F.lit(0).cast("long")))
+    spans = spans.where("_from <= _to").withColumn("_bucket", F.explode(F.sequence(_bucket(F.col("_from")), _bucket(F.col("_to")))))
+    tops = book.groupBy(F.col(key).alias("_k")).agg(F.max("level").alias("_top"))
+    # nothing is above the last level but by mistake of the caller; such counts have it as the nearest
+    placed = counts.join(tops, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("_v", F.greatest(F.least("count", "_top"), F.lit(0).cast("long")))
+    placed = placed.withColumn("_v", F.when(F.col("count").isNotNull() & F.col("_top").isNotNull(), F.col("_v"))).withColumn("_b", _bucket(F.col("_v")))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_bucket")) & (F.col("_v") >= F.col("_from")) & (F.col("_v") <= F.col("_to"))
+    return placed.join(spans, same, "left").select(*counts.columns, "code", "level")
 
 
 def quantisation_error(encoded: DataFrame, key: str) -> DataFrame:

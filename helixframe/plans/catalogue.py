@@ -182,7 +182,7 @@ def cross_dataset_stats(spark, d):
 
 
 _BOOK = """, mx AS (SELECT dataset, max(count) AS m FROM mat GROUP BY dataset),
-rw AS (SELECT dataset, m, c AS code, CASE WHEN m > 255 AND c > 15 THEN CASE WHEN c = 255 THEN m::DOUBLE ELSE floor(15 * pow(m::DOUBLE / 15, (c - 15) / 240.0::DOUBLE) + 0.5) END - c END AS r FROM mx, LATERAL (SELECT unnest(range(0, least(m, 255) + 1)) AS c)),
+rw AS (SELECT dataset, m, c AS code, CASE WHEN m > 255 AND c > 15 THEN CASE WHEN c = 255 THEN m::DOUBLE ELSE floor(exp(ln(16::DOUBLE) + (c - 16) * (ln(m::DOUBLE) - ln(16::DOUBLE)) / 239.0::DOUBLE) + 0.5) END - c END AS r FROM mx, LATERAL (SELECT unnest(range(0, least(m, 255) + 1)) AS c)),
 book AS (SELECT dataset, code, CAST(CASE WHEN m <= 255 OR code <= 15 THEN code ELSE code + least(m - 255, greatest(0, max(r) OVER (PARTITION BY dataset ORDER BY code))) END AS BIGINT) AS level FROM rw)
 """
 

@@ -159,7 +159,18 @@ def norm_global(spark, d):
     return quantify.normalise(rows, "cpm").select("target", F.round("value", 6).alias("value"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN v < 1000 THEN CAST(v AS VARCHAR) END AS plain FROM (SELECT *, l_orderkey % 1000 AS v FROM lineitem)")
+@query("""WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey::HUGEINT * l_partkey * CAST(pow(10, 2 * l_linenumber - 4) AS HUGEINT) AS v FROM lineitem WHERE l_linenumber > 1
+  UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, (l_orderkey % 1200)::HUGEINT FROM lineitem WHERE l_linenumber = 1),
+d AS (SELECT *, length(v::VARCHAR) AS d, CAST(pow(10, greatest(length(v::VARCHAR) - 3, 0)) AS HUGEINT) AS unit FROM n),
+f AS (SELECT *, (v * 2 + unit) // (unit * 2) AS f FROM d WHERE d > 2 UNION ALL SELECT *, v * CAST(pow(10, 3 - d) AS HUGEINT) FROM d WHERE d <= 2),
+e AS (SELECT *, lpad(CASE WHEN f >= 1000 THEN '100' ELSE f::VARCHAR END, 3, '0') AS x, d - 1 + CASE WHEN f >= 1000 THEN 1 ELSE 0 END AS e, least(4, (d - 1 + CASE WHEN f >= 1000 THEN 1 ELSE 0 END) // 3) AS g FROM f)
+SELECT l_orderkey, l_linenumber, l_partkey,
+  CASE WHEN v < 1000 THEN v::VARCHAR WHEN e - 3 * g + 1 >= 3 THEN format('{:,}', CAST(x || repeat('0', e - 3 * g - 2) AS BIGINT)) || ['', 'K', 'M', 'G', 'T'][g + 1]
+    ELSE x[1 : e - 3 * g + 1] || '.' || x[e - 3 * g + 2 :] || ['', 'K', 'M', 'G', 'T'][g + 1] END AS short, x[1] || '.' || x[2:] || 'e+' || e AS scientific FROM e""")
 def short_numbers(spark, d):
-    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", fn.short_number(F.col("l_orderkey") % 1000).alias("plain"))
-    return li
+    """Numbers of 1 to 24 digits as the viewer shows them."""
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    ten = F.concat(F.lit("1"), F.repeat(F.lit("0"), F.greatest(F.col("l_linenumber") * 2 - 4, F.lit(0)).cast("int"))).cast("decimal(11,0)")
+    large = (F.col("l_orderkey").cast("decimal(13,0)") * F.col("l_partkey").cast("decimal(13,0)") * ten).cast("decimal(38,0)")
+    v = F.when(F.col("l_linenumber") == 1, (F.col("l_orderkey") % 1200).cast("decimal(38,0)")).otherwise(large)
+    return li.select("*", fn.short_number(v).alias("short"), fn.scientific(v).alias("scientific"))

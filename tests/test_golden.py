@@ -2,6 +2,7 @@
 
 import gzip
 import lzma
+import math
 
 import numpy as np
 import pytest
@@ -177,7 +178,7 @@ def test_sequences_of_joined_members_and_blocks(spark, tmp_path):
         got = fastx.read_sequences(spark, [str(tmp_path / name)]).orderBy("record").collect()
         assert [(r.header, len(r.seq), r.seq[:4]) for r in got] == [("x one", 4, "ACGT"), ("y", 250_002, "TTac")]
     (tmp_path / "cut").write_bytes(gzip.compress(a * 1000)[:-9])
-    fails(fastx.read_sequences(spark, [str(tmp_path / "cut")]), "")
+    fails(fastx.read_sequences(spark, [str(tmp_path / "cut")]), "end-of-stream|EOF|ended|incomplete")
     (tmp_path / "q").write_bytes(b"@r 1\nACGT\n+\nIIII\n@s\nA\n+\nI\n")
     assert [r.seq for r in fastx.read_sequences(spark, [str(tmp_path / "q")]).collect()] == ["ACGT", "A"]
     (tmp_path / "empty").write_bytes(b"")
@@ -362,3 +363,109 @@ def test_approximate_quantiles_are_exact_below_their_size(spark):
     rows = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("count"))
     got = explore.approximate(rows, ["k"], 75, 4096).first()
     assert (got.q, got.approximate) == (749, False)
+
+
+def levels_of(maximum, bits):
+    """The levels by the format's own words, one after the other in plain Python."""
+    last = 2**bits - 1
+    if maximum <= last:
+        return list(range(maximum + 1))
+    prefix = min(15, last // 4)
+    a, out = prefix + 1, list(range(prefix + 1))
+    for c in range(a, last + 1):
+        value = maximum if c == last else math.floor(math.exp(math.log(a) + (c - a) * (math.log(maximum) - math.log(a)) / (last - a)) + 0.5)
+        out.append(min(max(value, out[-1] + 1), maximum - (last - c)))
+    return out
+
+
+@pytest.mark.parametrize("bits,maxima", [(2, (2, 3, 4, 1000)), (3, (7, 8, 100, 10**6)), (8, (255, 256, 300, 9_999, 104_949, 10**12)), (16, (65_536, 10**9))])
+def test_codebooks_by_the_format(spark, bits, maxima):
+    df = spark.createDataFrame([(m, m) for m in maxima], "k long, m long")
+    got = {m: [] for m in maxima}
+    for r in quantify.codebook(df, "k", "m", bits).orderBy("k", "code").collect():
+        got[r.k].append(r.level)
+    assert got == {m: levels_of(m, bits) for m in maxima}
+    if bits == 3:  # worked out by hand: 0 and 1, then 2 * 50^(i/5)
+        assert got[100] == [0, 1, 2, 4, 10, 21, 46, 100]
+    if bits == 8:
+        assert got[104_949][:18] == [*range(16), 16, 17] and got[104_949][-1] == 104_949 and got[300][:20] == list(range(20))
+
+
+def test_both_ways_of_quantising_are_one(spark):
+    top = 2**63 - 1
+    rows = [(d, v) for d in (None, 1, 2) for v in (0, 1, 5, 17, 300, 1000, 1001, 2**31, 2**53 + 1, 2**55, top - 1, top)] + [(1, None), (9, 5), (2, -3), (2, 40), (2, 41), (2, 42)]
+    counts = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "dataset int, count long, row int")
+    maxima = spark.createDataFrame([(None, top), (1, 2**55), (2, 41)], "dataset int, m long")
+    book = quantify.codebook(maxima, "dataset", "m", 6)
+    levels = {}
+    for r in book.orderBy("code").collect():
+        levels.setdefault(r.dataset, []).append(r.level)
+    want = {}
+    for i, (d, v) in enumerate(rows):
+        known = levels.get(d)
+        near = None if known is None or v is None else min(range(len(known)), key=lambda c: (abs(known[c] - v), c))
+        want[i] = (d, v, near, None if near is None else known[near])
+    for most in (10**6, 0):
+        assert {r.row: (r.dataset, r["count"], r.code, r.level) for r in quantify.quantise(counts, book, "dataset", most).collect()} == want
+
+
+def test_numbers_as_shown(spark):
+    big = lambda v: F.lit(str(v)).cast("decimal(38,0)")
+    got = one(spark, *(fn.short_number(big(v)) for v in (999, 1000, 999_499, 10**15, 18_446_744_073_709_551_615, 999_500_000_000_000)))
+    assert list(got) == ["999", "1.00K", "999K", "1,000T", "18,400,000T", "1,000T"]
+    assert list(one(spark, *(fn.scientific_real(F.lit(v)) for v in (0.125, 0.25, 12345.678, 0.0, 1e-9)))) == ["1.25e-1", "2.50e-1", "1.23e+4", "0.00e+0", "1.00e-9"]
+    assert list(one(spark, *(fn.real_number(F.lit(v)) for v in (0.125, 0.25, 1234567.8, 1234.5678, 0.0001234567, 0.0, 100.0)))) == ["0.125", "0.25", "1,234,570", "1,234.57", "0.000123457", "0", "100"]
+    assert list(one(spark, *(fn.short_real(F.lit(v)) for v in (0.25, 999.5, 1500.0, 1234.5, 12e6, 1e15, 2.5e16)))) == ["0.25", "999.5", "1.5K", "1.23K", "12M", "1000T", "25000T"]
+
+
+def test_small_folds_and_null_keys(spark):
+    rows = [(1, 0, 5e-320), (1, 1, 1e300), (1, 2, 0.0)]
+    got = {r.dataset: r.log2_fold for r in explore.fold(spark.createDataFrame(rows, "target int, dataset int, value double"), "target").collect()}
+    assert abs(got[0] - (math.log2(5e-320) + math.log2(3) - math.log2(1e300))) < 1e-6 and got[2] == float("-inf")
+    counts = spark.createDataFrame([(None, 1, 3), (0, 2, 4)], "dataset int, target int, count long")
+    frame = quantify.dense(counts, counts.select("dataset"), counts.select("target"), "dataset", "target")
+    assert {(r.dataset, r.target, r["count"]) for r in frame.collect()} == {(None, 1, 3), (None, 2, 0), (0, 1, 0), (0, 2, 4)}
+    assert {(r.dataset, r.target) for r in explore.top(counts, "dataset", "target", 1).collect()} == {(None, 1), (0, 2)}
+    with pytest.raises(Exception, match="not negative"):
+        explore.summarise(spark.createDataFrame([(1, -1)], "k int, count long"), ["k"]).collect()
+
+
+def test_every_way_of_fitting_is_one(spark):
+    """In one task, in blocks and in tables: equal to plain EM over each component's dense matrix."""
+    rng = np.random.default_rng(4)
+    exposure = [(f"f{i}", int(t), int(rng.integers(1, 9))) for i in range(60) for t in rng.choice(np.arange(10) + 10 * (i % 2), rng.integers(1, 5), replace=False)]
+    exposure += [("only", 100, 5), ("twin", 200, 3), ("twin", 201, 3)]
+    observed = [(d, f"f{i}", float(rng.integers(0, 40))) for d in (None, 1) for i in range(60) if rng.random() < 0.7] + [(1, "twin", 9.0)]
+    x = spark.createDataFrame(exposure, "feature string, transcript long, a long")
+    y = spark.createDataFrame(observed, "dataset int, feature string, y double")
+    columns = ("rate", "assigned", "observed_sum", "log_likelihood", "fixed_point_change", "relative_l1_residual")
+    whole = ("groups", "features", "rank", "active_features", "iterations", "converged")
+    found = {}
+    for way, options in {"tasks": {}, "blocks": {"most_entries": 0}, "tables": {"most_entries": 0, "most_groups": 0}}.items():
+        members, fits = isoforms.fit_groups(x, y, max_iterations=5, tolerance=0.05, **options)
+        found[way] = {(r.dataset, r.group): r for r in fits.collect()}
+        assert len(found[way]) == fits.count()
+    for way in ("blocks", "tables"):
+        assert found[way].keys() == found["tasks"].keys()
+        for k, r in found[way].items():
+            s = found["tasks"][k]
+            assert all(r[c] == s[c] for c in whole), (way, k, r, s)
+            assert all(abs(r[c] - s[c]) <= 1e-9 * max(1, abs(s[c])) for c in columns), (way, k, r, s)
+    member = {r.transcript: r.group for r in members.collect()}
+    component = {r.group: r.component for r in members.collect()}
+    for d in (None, 1):
+        for c in set(component.values()):
+            groups = sorted(g for g in set(member.values()) if component[g] == c)
+            features = sorted({f for f, t, _ in exposure if member[t] == t and component[t] == c})
+            a = np.zeros((len(features), len(groups)))
+            for f, t, n in exposure:
+                if t in groups:
+                    a[features.index(f), groups.index(t)] = n
+            counts = np.array([sum(v for e, g, v in observed if e == d and g == f) for f in features])
+            ff, tt = np.nonzero(a)
+            theta, assigned, told = isoforms.em_entries(ff, tt, a[ff, tt], len(groups), counts, 5, 0.05)
+            for g, rate, part in zip(groups, theta, assigned, strict=True):
+                r = found["tasks"][d, g]
+                assert abs(r.rate - rate) < 1e-9 * max(1, rate) and abs(r.assigned - part) < 1e-9 * max(1, part)
+                assert r.iterations == told["iterations"] and r.active_features == told["active_features"] and r.rank == isoforms.rank(a) and r.features == len(features)
+                assert abs(r.log_likelihood - told["log_likelihood"]) < 1e-6 and abs(r.relative_l1_residual - told["relative_l1_residual"]) < 1e-9
