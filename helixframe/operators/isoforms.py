@@ -137,13 +137,18 @@ def _rank_table(entries: DataFrame, sizes: DataFrame, rank_limit: int, most_entr
     asked = entries.join(sizes.where(F.col("groups") <= rank_limit).select("component", "entries"), "component")
     kind = entries.schema["component"].dataType.simpleString()
 
-    def whole(part: pd.DataFrame) -> pd.DataFrame:
-        f, _ = pd.factorize(part["feature"])
-        t, groups = pd.factorize(part["group"], sort=True)
-        order = np.lexsort((f, t))
-        f, t, a = f[order], t[order], part["a"].to_numpy(dtype=float)[order]
-        ends = np.searchsorted(t, np.arange(len(groups) + 1))
-        return pd.DataFrame({"component": part["component"].iloc[:1], "rank": [rank_of([(f[i:j], a[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)])]})
+    def whole(batches):
+        for table, starts in _whole_runs(batches, ["component"]):
+            fresh = _fresh(table, ["component", "group"])
+            group, feature, a = np.cumsum(fresh) - 1, _codes(table.column("feature")), table.column("a").to_numpy()
+            ranks = []
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+                _, f = np.unique(feature[i:j], return_inverse=True)
+                order = np.lexsort((f, group[i:j]))
+                ends = np.searchsorted(group[i:j], np.arange(group[i], group[j - 1] + 2))
+                f, values = f[order], a[i:j][order]
+                ranks.append(rank_of([(f[u:v], values[u:v]) for u, v in zip(ends[:-1], ends[1:], strict=True)]))
+            yield pa.RecordBatch.from_arrays([table.column("component").combine_chunks().take(pa.array(starts)), pa.array(ranks, pa.int64())], names=["component", "rank"])
 
     def folded(parts):
         """The triangular factors of a task's rows, a block of features at a time: what is below them adds nothing to a rank."""
@@ -163,7 +168,7 @@ def _rank_table(entries: DataFrame, sizes: DataFrame, rank_limit: int, most_entr
         r = np.linalg.qr(np.vstack([np.reshape(x, (-1, width)) for x in part["r"]]), mode="r")
         return pd.DataFrame({"component": part["component"].iloc[:1], "rank": [rank(r)]})
 
-    few = asked.where(F.col("entries") <= most_entries).select("component", "feature", "group", "a").groupBy("component").applyInPandas(whole, f"component {kind}, rank long")
+    few = _sorted_runs(asked.where(F.col("entries") <= most_entries).select("component", "feature", "group", "a"), ["component"]).mapInArrow(whole, f"component {kind}, rank long")
     many = asked.where(F.col("entries") > most_entries)
     number = many.select("component", "group").distinct().withColumn("t", F.row_number().over(Window.partitionBy("component").orderBy("group")) - 1)
     width = sizes.select("component", "groups")
@@ -183,6 +188,7 @@ def fit_groups(exposure: DataFrame, observed: DataFrame, transcripts: DataFrame
     by its own rule.  The rank, which depends on exposures only, is asked once of each component with at most
     `rank_limit` groups.  More than `most_datasets` datasets raise.  A null dataset is one.
     """
+    exposure = given = cut(exposure.select("feature", "transcript", "a"))
     members = cut(profile_groups(exposure, transcripts))
     first = members.where(F.col("transcript") == F.col("group")).select(F.col("transcript").alias("_g"))
     entries = exposure.join(first, F.col("transcript") == F.col("_g"), "left_semi").withColumnRenamed("transcript", "group")
@@ -220,7 +226,7 @@ def fit_groups(exposure: DataFrame, observed: DataFrame, transcripts: DataFrame
     rank_known = F.when(F.col("features").isNull(), F.lit(0)).otherwise(F.col("rank")).cast("long").alias("rank")
     values = {k: F.coalesce(k, F.lit(v)).alias(k) for k, v in none.items()} | {"rank": rank_known}
     fits = cut(every.select("dataset", "group", "component", values["rate"], values["assigned"], *(values[c].cast(_KINDS[c]).alias(c) for c in _DIAGNOSTIC)))
-    forget(entries, datasets, sizes, seen, work, fitted)
+    forget(given, entries, datasets, sizes, seen, work, fitted)
     return members, fits
 
 
@@ -234,27 +240,76 @@ def _fitted_schema(seen: T.StructType) -> T.StructType:
     return T.StructType([*kinds, *T.StructType.fromDDL(", ".join(f"{c} {_KINDS[c]}" for c in _TOLD)).fields])
 
 
+def _codes(column) -> np.ndarray:
+    """Numbers that are equal where values are, nulls too."""
+    return column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+
+def _fresh(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Whether each row's keys differ from the row's before."""
+    out = np.ones(table.num_rows, dtype=bool)
+    if len(out):
+        out[1:] = False
+        for k in keys:
+            codes = _codes(table.column(k))
+            out[1:] |= codes[1:] != codes[:-1]
+    return out
+
+
+def _whole_runs(batches, keys: list[str]):
+    """Sorted rows as tables that end where keys change: (table, starts of runs).  A run is held whole, and nothing else."""
+    held: list = []
+    for batch in batches:
+        table = pa.Table.from_batches([*held, batch])
+        starts = np.flatnonzero(_fresh(table, keys))
+        last = int(starts[-1]) if len(starts) else 0
+        if last:
+            yield table.slice(0, last), starts[:-1]
+        held = table.slice(last).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, np.flatnonzero(_fresh(table, keys))
+
+
+def _sorted_runs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "group", "feature")
+
+
 def _fit_small(seen: DataFrame, work: DataFrame, max_iterations: int, tolerance: float) -> DataFrame:
     """(dataset, component, group, rate, assigned) of groups with counts, and a row without a group with what the fit tells."""
-    schema = _fitted_schema(seen.schema)
-    keys = work.select(F.col("dataset").alias("_d"), F.col("component").alias("_c"), "groups", "all_length")
-    rows = seen.join(keys, F.col("dataset").eqNullSafe(F.col("_d")) & (F.col("component") == F.col("_c"))).drop("_d", "_c")
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        f, features = pd.factorize(part["feature"], sort=True)
-        t, groups = pd.factorize(part["group"], sort=True)
-        order = np.lexsort((f, t))
-        f, t, a, y = f[order], t[order], part["a"].to_numpy(dtype=float)[order], part["y"].to_numpy(dtype=float)[order]
-        obs, lengths = np.zeros(len(features)), np.zeros(len(groups))
-        obs[f], lengths[t] = y, part["length"].to_numpy(dtype=float)[order]
-        rest = int(part["groups"].iloc[0]) - len(groups), float(part["all_length"].iloc[0]) - float(lengths.sum())
-        theta, assigned, told = em_entries(f, t, a, len(groups), obs, max_iterations, tolerance, lengths, rest if rest[0] else (0, 0.0))
-        out = pd.DataFrame({"dataset": part["dataset"].iloc[0], "component": part["component"].iloc[0], "group": [*groups, None], "rate": [*theta, None], "assigned": [*assigned, None]})
-        for c in _TOLD:
-            out[c] = pd.array([None] * len(groups) + [told[c]], dtype={"long": "Int64", "boolean": "boolean"}.get(_KINDS[c], "Float64"))
-        return out[schema.names]
-
-    return rows.groupBy("dataset", "component").applyInPandas(one, schema)
+    schema, keys = _fitted_schema(seen.schema), ["dataset", "component"]
+    sizes = work.select(F.col("dataset").alias("_d"), F.col("component").alias("_c"), "groups", "all_length")
+    rows = seen.join(sizes, F.col("dataset").eqNullSafe(F.col("_d")) & (F.col("component") == F.col("_c"))).drop("_d", "_c")
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types = to_arrow_schema(schema).types
+        for table, starts in _whole_runs(batches, keys):
+            fresh = _fresh(table, [*keys, "group"])
+            firsts, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+            feature = _codes(table.column("feature"))
+            a, y, length, all_length, groups = (table.column(c).to_numpy() for c in ("a", "y", "length", "all_length", "groups"))
+            rates, parts, told = [], [], []
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+                features, f = np.unique(feature[i:j], return_inverse=True)
+                t = group[i:j] - group[i]
+                obs, lengths = np.zeros(len(features)), np.zeros(int(t[-1]) + 1)
+                obs[f], lengths[t] = y[i:j], length[i:j]
+                rest = int(groups[i]) - len(lengths), float(all_length[i]) - float(lengths.sum())
+                theta, assigned, of = em_entries(f, t, a[i:j], len(lengths), obs, max_iterations, tolerance, lengths, rest if rest[0] else (0, 0.0))
+                rates.append(theta)
+                parts.append(assigned)
+                told.append(of)
+            n, m = len(firsts), len(starts)
+            take = pa.array(np.concatenate([firsts, starts]))
+            columns = [table.column(k).combine_chunks().take(take) for k in keys]
+            columns.append(table.column("group").combine_chunks().take(pa.array(np.append(firsts, np.zeros(m, dtype=np.int64)), mask=np.arange(n + m) >= n)))
+            columns += [pa.array(np.append(np.concatenate(x), np.zeros(m)), mask=np.arange(n + m) >= n) for x in (rates, parts)]
+            columns += [pa.array([None] * n + [of[c] for of in told], kind) for c, kind in zip(_TOLD, types[5:], strict=True)]
+            yield pa.RecordBatch.from_arrays([c.cast(kind) for c, kind in zip(columns, types, strict=True)], names=schema.names)
+
+    return _sorted_runs(rows, keys).mapInArrow(run, schema)
 
 
 def _told_row(job, told: dict, schema: T.StructType, spark) -> DataFrame:

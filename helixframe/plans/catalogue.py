@@ -279,18 +279,6 @@ def observable_kmers(spark, d):
     return index.exposure(index.classes(_members(spark, d)), "gene").groupBy("gene").agg(F.sum("a").alias("observable_kmers"))
 
 
-@query(_FEAT + "SELECT feature, distinct_kmers, members::INTEGER AS members FROM fc")
-def feature_classes_all(spark, d):
-    """The same as feature_classes, under the name it had while that took only some bases."""
-    return feature_classes(spark, d)
-
-
-@query(_FEAT + "SELECT gene, CAST(sum(m * distinct_kmers) AS BIGINT) AS observable_kmers FROM fc JOIN sg ON sg.ck = fc.feature JOIN ev ON ev.ck = fc.feature GROUP BY gene")
-def observable_kmers_all(spark, d):
-    """The same as observable_kmers, under the name it had while that took only some bases."""
-    return observable_kmers(spark, d)
-
-
 def _exposure(spark, d) -> DataFrame:
     li = _t(spark, d, "lineitem")
     return li.select(F.concat(F.lit("f"), "l_orderkey").alias("feature"), F.col("l_partkey").alias("transcript"), F.lit(1).cast("long").alias("a")).distinct()
@@ -307,12 +295,6 @@ def components(spark, d):
     return isoforms.components(li.select(F.col("l_orderkey").alias("feature"), F.col("l_partkey").alias("transcript")).distinct())
 
 
-@query(_COMPONENTS)
-def components_all(spark, d):
-    """The same as components, under the name it had while that took only some edges."""
-    return components(spark, d)
-
-
 @query()
 def em_fit(spark, d):
     x = _exposure(spark, d)

@@ -29,52 +29,112 @@ def _states(spark):
     return x, spark.createDataFrame(STATES_COUNTS, "dataset int, feature string, y double"), spark.createDataFrame(STATES_GENES, "transcript string, gene string")
 
 
-_ROUND = ("abundance", "within_gene_fraction", "relative_abundance_ppm", "assigned_observations", "model_estimate")
+# -- reports over lineitem: each part is a component whose fit has a closed form ---------------------------------------------------
+#
+# Datasets are suppliers modulo 3; a part has n lines, y units and o units on odd lines of a dataset.  By part modulo 4:
+# 0: T alone on a feature of exposure n.  1: A and B, alike.  2: S on a shared feature (n), W on it and on one of its own (2n).
+# 3: four transcripts in a ring of four features, of rank 3, with counts in dataset 0 only.  Parts modulo 10 = 0 also have Z, which
+# no feature shows.  Two parts are a gene.
+
+_PARTS = """WITH li AS (SELECT l_suppkey % 3 AS dataset, l_partkey AS p, l_linenumber % 2 = 1 AS odd, l_quantity AS q FROM lineitem),
+parts AS (SELECT p, count(*) AS n FROM li GROUP BY p), ds AS (SELECT DISTINCT dataset FROM li),
+c AS (SELECT dataset, p, sum(q)::DOUBLE AS y, coalesce(sum(q) FILTER (odd), 0)::DOUBLE AS o FROM li GROUP BY dataset, p),
+grid AS (SELECT dataset, p, n, coalesce(y, 0) AS y, coalesce(o, 0) AS o FROM ds CROSS JOIN parts LEFT JOIN c USING (dataset, p)),
+tr AS (
+  SELECT dataset, p, 'T' || p AS transcript, 'T' || p AS grp, 'T' || p AS component, 1 AS members, 1 AS groups, 1 AS features, 1 AS rank, n AS obs, y / n AS rate, y AS total, CASE WHEN y > 0 THEN 1 ELSE 0 END AS active FROM grid WHERE p % 4 = 0
+  UNION ALL SELECT dataset, p, x || p, 'A' || p, 'A' || p, 2, 1, 1, 1, n, y / n, y, CASE WHEN y > 0 THEN 1 ELSE 0 END FROM grid, (VALUES ('A'), ('B')) v(x) WHERE p % 4 = 1
+  UNION ALL SELECT dataset, p, 'S' || p, 'S' || p, 'S' || p, 1, 2, 2, 2, n, y / n - o / (2 * n), y + o, CASE WHEN y > 0 THEN 1 ELSE 0 END + CASE WHEN o > 0 THEN 1 ELSE 0 END FROM grid WHERE p % 4 = 2
+  UNION ALL SELECT dataset, p, 'W' || p, 'W' || p, 'S' || p, 1, 2, 2, 2, 3 * n, o / (2 * n), y + o, CASE WHEN y > 0 THEN 1 ELSE 0 END + CASE WHEN o > 0 THEN 1 ELSE 0 END FROM grid WHERE p % 4 = 2
+  UNION ALL SELECT dataset, p, 'Q' || p || '_' || i, 'Q' || p || '_' || i, 'Q' || p || '_1', 1, 4, 4, 3, 10, CASE dataset WHEN 0 THEN y / 10 ELSE 0 END, CASE dataset WHEN 0 THEN 4 * y ELSE 0 END, CASE WHEN dataset = 0 AND y > 0 THEN 4 ELSE 0 END FROM grid, range(1, 5) r(i) WHERE p % 4 = 3
+  UNION ALL SELECT dataset, p, 'Z' || p, 'Z' || p, 'Z' || p, 1, 1, 0, 0, 0, 0, 0, 0 FROM grid WHERE p % 10 = 0),
+s AS (
+  SELECT *, 'g' || (p // 2) AS gene, CASE WHEN obs = 0 THEN 'unobservable' WHEN total = 0 THEN 'zero_evidence' WHEN rank <> groups THEN 'unresolved' WHEN members > 1 THEN 'group_only' ELSE 'identifiable' END AS state FROM tr),
+k AS (SELECT *, state IN ('identifiable', 'group_only', 'zero_evidence') AS known FROM s),
+g AS (SELECT dataset, gene, sum(CASE WHEN transcript = grp THEN rate ELSE 0 END) AS gene_rate, bool_and(known) AS gene_known FROM k GROUP BY dataset, gene),
+d AS (SELECT dataset, sum(CASE WHEN transcript = grp THEN rate ELSE 0 END) AS every, bool_and(known OR obs = 0) AS all_known FROM k GROUP BY dataset)
+"""
+#: Keeps closed forms and fits, which differ in their last digits, on one side of a rounding.
+_NUDGE = 1.3e-8
 
 
-def _rounded(df, digits=3):
-    return df.select(*(F.round(c, digits).alias(c) if c in _ROUND else F.col(c) for c in df.columns))
+def _parts(spark, d):
+    """(exposure, observed, genes) of the components described above."""
+    li = _t(spark, d, "lineitem").select((F.col("l_suppkey") % 3).alias("dataset"), F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("q"))
+    parts = li.groupBy("p").agg(F.count("*").alias("n"))
+    p, n, kind = F.col("p").cast("string"), F.col("n"), F.col("p") % 4
+    name = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    entry = lambda feature, transcript, a: F.struct(name(feature, p).alias("feature"), transcript.alias("transcript"), a.cast("long").alias("a"))
+    ring = [entry(f, name("Q", p, f"_{i}"), F.lit(5)) for i, fs in enumerate(("pr", "ps", "qr", "qs"), 1) for f in fs]
+    of = (
+        F.when(kind == 0, F.array(entry("a", name("T", p), n))).when(kind == 1, F.array(entry("a", name("A", p), n), entry("a", name("B", p), n)))
+        .when(kind == 2, F.array(entry("a", name("S", p), n), entry("a", name("W", p), n), entry("o", name("W", p), 2 * n))).otherwise(F.array(*ring))
+    )
+    exposure = parts.select(F.explode(of).alias("x")).select("x.*")
+    y = li.groupBy("dataset", "p").agg(F.sum("q").alias("y"), F.coalesce(F.sum(F.when(F.col("line") % 2 == 1, F.col("q"))), F.lit(0.0)).alias("o"))
+    count = lambda feature, y: F.struct(name(feature, p).alias("feature"), y.cast("double").alias("y"))
+    ring = F.when(F.col("dataset") == 0, F.array(*(count(f, F.col("y")) for f in "pqrs")))
+    of = F.when(kind < 2, F.array(count("a", F.col("y")))).when(kind == 2, F.array(count("a", F.col("y")), count("o", F.col("o")))).otherwise(ring)
+    observed = y.select("dataset", F.explode(of).alias("x")).select("dataset", "x.*")
+    gene = F.concat(F.lit("g"), F.floor(F.col("p") / 2).cast("string")).alias("gene")
+    hidden = parts.where("p % 10 = 0").select(name("Z", p).alias("transcript"), gene)
+    shown = parts.select(gene, F.explode(of_names(kind, p)).alias("transcript")).select("transcript", "gene")
+    return exposure, observed, shown.unionByName(hidden)
 
 
-@query(
-    "SELECT * FROM (VALUES (0, 'T_SKIP_B', 'G', 'T_SKIP_B', 'T_SKIP_B', 68::BIGINT, 4.0::DOUBLE, 0.4::DOUBLE, 400000::DOUBLE, 272.0::DOUBLE, 4.0::DOUBLE, 'identifiable'), "
-    "(0, 'T_WITH_B', 'G', 'T_WITH_B', 'T_SKIP_B', 103::BIGINT, 6.0::DOUBLE, 0.6::DOUBLE, 600000::DOUBLE, 618.0::DOUBLE, 6.0::DOUBLE, 'identifiable')) "
-    'v(dataset, transcript, gene, "group", component, observable_kmers, abundance, within_gene_fraction, relative_abundance_ppm, assigned_observations, model_estimate, status)'
-)
-def em_toy(spark, d):
-    """Two isoforms, one of which skips an exon: rates 4 and 6."""
-    x, y, genes = _toy(spark)
-    members, fits = isoforms.fit_groups(x, y, genes, tolerance=1e-12)
-    return _rounded(isoforms.transcript_report(members, fits, genes), 2).withColumn("relative_abundance_ppm", F.round("relative_abundance_ppm", -1))
+def of_names(kind, p):
+    """The transcripts of a part that features show."""
+    names = [("T",), ("A", "B"), ("S", "W")]
+    plain = [F.array(*(F.concat(F.lit(x), p) for x in some)) for some in names]
+    return F.when(kind == 0, plain[0]).when(kind == 1, plain[1]).when(kind == 2, plain[2]).otherwise(F.array(*(F.concat(F.lit("Q"), p, F.lit(f"_{i}")) for i in range(1, 5))))
 
 
-@query(
-    "SELECT * FROM (VALUES (0, 'Q1', NULL::DOUBLE, 'unresolved'), (0, 'Q2', NULL, 'unresolved'), (0, 'Q3', NULL, 'unresolved'), (0, 'Q4', NULL, 'unresolved'), (0, 'R1', 0.0, 'zero_evidence'), (0, 'T1', 6.0, 'identifiable'), (0, 'T2', NULL, 'group_only'), (0, 'T3', NULL, 'group_only'), (0, 'Z1', NULL, 'unobservable'), "
-    "(1, 'Q1', NULL, 'unresolved'), (1, 'Q2', NULL, 'unresolved'), (1, 'Q3', NULL, 'unresolved'), (1, 'Q4', NULL, 'unresolved'), (1, 'R1', 0.0, 'zero_evidence'), (1, 'T1', 6.0, 'identifiable'), (1, 'T2', NULL, 'group_only'), (1, 'T3', NULL, 'group_only'), (1, 'Z1', NULL, 'unobservable')) v(dataset, transcript, abundance, status)"
-)
+def _part_fits(spark, d):
+    exposure, observed, genes = _parts(spark, d)
+    return *isoforms.fit_groups(exposure, observed, genes, tolerance=1e-12), genes
+
+
+_ROUND = ("abundance", "within_gene_fraction", "relative_abundance_ppm", "assigned_observations", "model_estimate", "observed_sum")
+
+
+def _rounded(df, digits=6, nudge=0.0):
+    places = lambda c: digits - 3 if c == "relative_abundance_ppm" else digits
+    return df.select(*(F.round(F.col(c) + nudge, places(c)).alias(c) if c in _ROUND else F.col(c) for c in df.columns))
+
+
+@query(_PARTS + f"""SELECT k.dataset, transcript, k.gene, grp AS "group", component, obs AS observable_kmers, CASE WHEN members = 1 AND known THEN round(rate + {_NUDGE}, 6) END AS abundance,
+  CASE WHEN members = 1 AND known AND gene_known THEN round(CASE WHEN gene_rate > 0 THEN rate / gene_rate ELSE 0 END + {_NUDGE}, 6) END AS within_gene_fraction,
+  CASE WHEN members = 1 AND known AND all_known THEN round(CASE WHEN every > 0 THEN 1e6 * rate / every ELSE 0 END + {_NUDGE}, 3) END AS relative_abundance_ppm,
+  CASE WHEN members = 1 AND known THEN round(rate * obs + {_NUDGE}, 6) END AS assigned_observations, CASE WHEN members = 1 AND obs > 0 THEN round(rate + {_NUDGE}, 6) END AS model_estimate, state AS status
+FROM k JOIN g ON g.dataset = k.dataset AND g.gene = k.gene JOIN d ON d.dataset = k.dataset""")
+def transcript_report(spark, d):
+    members, fits, genes = _part_fits(spark, d)
+    return _rounded(isoforms.transcript_report(members, fits, genes), nudge=_NUDGE)
+
+
+@query(_PARTS + f"SELECT dataset, transcript, CASE WHEN members = 1 AND known THEN round(rate + {_NUDGE}, 6) END AS abundance, state AS status FROM k")
 def em_status(spark, d):
-    x, y, genes = _states(spark)
-    members, fits = isoforms.fit_groups(x, y, genes)
-    return _rounded(isoforms.transcript_report(members, fits, genes).select("dataset", "transcript", "abundance", "status"))
+    members, fits, genes = _part_fits(spark, d)
+    return _rounded(isoforms.transcript_report(members, fits, genes).select("dataset", "transcript", "abundance", "status"), nudge=_NUDGE)
 
 
-@query(
-    """SELECT * FROM (VALUES ('Q1', '["gQ"]', '["Q1"]', 10::BIGINT, NULL::DOUBLE, 40.0::DOUBLE, 'unresolved'), ('Q2', '["gQ"]', '["Q2"]', 10, NULL, 40.0, 'unresolved'), ('Q3', '["gQ"]', '["Q3"]', 10, NULL, 40.0, 'unresolved'), ('Q4', '["gQ"]', '["Q4"]', 10, NULL, 40.0, 'unresolved'),
-('R1', '["gR"]', '["R1"]', 7, 0.0, 0.0, 'zero_evidence'), ('T1', '["gT"]', '["T1"]', 10, 12.0, 120.0, 'identifiable'), ('T2', '["gT"]', '["T2","T3"]', 8, 8.0, 64.0, 'group_only'), ('Z1', '["gZ"]', '["Z1"]', 0, NULL, 0.0, 'unobservable'))
-v("group", gene_names, transcript_names, observable_kmers, abundance, assigned_observations, status)"""
-)
+_GLOBAL = _PARTS + """, w AS (SELECT grp, any_value(component) AS component, any_value(gene) AS gene, any_value(members) AS members, any_value(groups) AS groups, any_value(features) AS features, any_value(rank) AS rank, any_value(obs) AS obs,
+  sum(rate) AS rate, sum(total) AS total, max(active) AS active FROM k WHERE transcript = grp GROUP BY grp),
+ws AS (SELECT *, CASE WHEN obs = 0 THEN 'unobservable' WHEN total = 0 THEN 'zero_evidence' WHEN rank <> groups THEN 'unresolved' WHEN members > 1 THEN 'group_only' ELSE 'identifiable' END AS state FROM w)
+"""
+
+
+@query(_GLOBAL + f"""SELECT grp AS "group", '["' || gene || '"]' AS gene_names, CASE WHEN members = 2 THEN '["' || grp || '","B' || substr(grp, 2) || '"]' ELSE '["' || grp || '"]' END AS transcript_names, obs AS observable_kmers,
+  CASE WHEN state IN ('identifiable', 'group_only', 'zero_evidence') THEN round(rate + {_NUDGE}, 6) END AS abundance, round(rate * obs + {_NUDGE}, 6) AS assigned_observations, state AS status FROM ws""")
 def group_report_global(spark, d):
-    """The sum over two equal datasets, by groups."""
-    x, y, genes = _states(spark)
-    members, fits = isoforms.fit_groups(x, y, genes)
+    """The sum over all datasets, by groups."""
+    members, fits, genes = _part_fits(spark, d)
     got = isoforms.group_report(members, isoforms.global_fit(fits), genes)
-    return _rounded(got.select("group", "gene_names", "transcript_names", "observable_kmers", "abundance", "assigned_observations", "status"))
+    return _rounded(got.select("group", "gene_names", "transcript_names", "observable_kmers", "abundance", "assigned_observations", "status"), nudge=_NUDGE)
 
 
-@query("SELECT * FROM (VALUES ('Q1', 4::BIGINT, 4::BIGINT, 3::BIGINT, 4::BIGINT, 160.0::DOUBLE, true), ('R1', 1, 1, 1, 0, 0.0, true), ('T1', 1, 1, 1, 1, 120.0, true), ('T2', 1, 1, 1, 1, 64.0, true), ('Z1', 1, 0, 0, 0, 0.0, true)) v(component, groups, features, rank, active_features, observed_sum, converged)")
+@query(_GLOBAL + "SELECT DISTINCT component, groups::BIGINT AS groups, features::BIGINT AS features, rank::BIGINT AS rank, active::BIGINT AS active_features, total::DOUBLE AS observed_sum, true AS converged FROM ws")
 def diagnostics_global(spark, d):
-    x, y, genes = _states(spark)
-    _, fits = isoforms.fit_groups(x, y, genes)
+    _, fits, _ = _part_fits(spark, d)
     got = isoforms.diagnostics_report(isoforms.global_fit(fits))
     return got.select("component", "groups", "features", "rank", "active_features", "observed_sum", "converged")
 
