@@ -66,13 +66,15 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
 def annotate(
     df: DataFrame, text: str, out: str, kind: T.StructType, make: Callable[[], Callable[[list], list[tuple]]], others: tuple[str, ...] = ()
 ) -> DataFrame:
-    """df with the struct column `out`, made of the column `text` (and `others`) by Arrow batches.
+    """df with the struct column `out`, made of the column `text` (and `others`) by Arrow batches; where df has a column of that
+    name, in any case, the new one gets the next free name (free_name), and df's passes through.
 
     `make` runs once a task and returns a function from a list of bytes (or None) to a list of tuples; with
     `others`, it also gets a list for each of them.  All columns of df pass through untouched.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    out = free_name(df, out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
     at, rest = df.columns.index(text), [df.columns.index(c) for c in others]
     names = [f.name for f in kind.fields]
@@ -114,13 +116,23 @@ def in_bitmap(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
-def bounded_sample(df: DataFrame, key: Column, bound: int, seed: int = 7) -> DataFrame:
-    """All rows if there are no more than `bound`, else about `bound` of them, chosen by a hash of the key (the same rows on every run)."""
-    rows = df.count()
-    if rows <= bound:
+def bounded_sample(df: DataFrame, by: list[Column], bound: int, seed: int = 7, slots: int = 1 << 16) -> DataFrame:
+    """All rows if there are no more than `bound`, else exactly `bound`: those with the least hashes of the values `by`.
+
+    Hashes are counted in `slots` ranges; whole ranges are taken up to the one that crosses the bound, and of that one the
+    least.  So the same rows are taken on every run, but for rows that are equal in all of `by`.
+    """
+    if df.limit(bound + 1).count() <= bound:
         return df
-    slots = 1 << 30
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(slots)) < F.lit(int(slots * bound / rows)))
+    h = F.xxhash64(F.lit(seed), *by)
+    slot = F.pmod(F.shiftright(h, 8), F.lit(slots))
+    left = bound
+    for r in sorted(df.groupBy(slot.alias("slot")).count().collect()):  # at most `slots` rows
+        if r["count"] > left:
+            edge = df.where(slot == r.slot).orderBy(h).limit(left)
+            return df.where(slot < r.slot).unionByName(edge) if left else df.where(slot < r.slot)
+        left -= r["count"]
+    return df
 
 
 def lower_ascii(c: Column) -> Column:

@@ -9,7 +9,7 @@ whatever the number of languages.  Scoring is a product of two sparse matrices i
 Defined results: a text that is null or has no letter (str.isalpha of a character; numerals and marks are none) is `und`
 with score 0; so is every text if there was nothing to learn from; ties go to the language that sorts first; long texts
 are read whole, in chunks; repeated rows get the same result; an empty table gives an empty result; extra columns pass
-through.
+through, and if one has the result's name, the result gets the next free one (`language_`).
 """
 
 from __future__ import annotations
@@ -152,11 +152,12 @@ class LanguageModel:
 
 
 def train(df: DataFrame, text: str, lang: str, key: Column, bits: int = 14, max_rows: int = 20_000, smooth: float = 0.1) -> LanguageModel:
-    """Learn from the rows of df whose text and lang are not null: all of them, or about `max_rows`, chosen by a hash of `key`.
+    """Learn from the rows of df whose text and lang are not null: all of them, or `max_rows`, chosen by a hash of
+    `key`, text and language.
 
     Every language among these rows is learned.
     """
-    rows = bounded_sample(df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()), key, max_rows).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = bounded_sample(df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()), [key, F.col(text), F.col(lang)], max_rows).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
 
     def count(batches):
         for whole in batches:

@@ -8,7 +8,8 @@ sizes are summed by source, and only rows of the bin where a source's target is
 
 Defined results: a null text has size 0; a null source is a source, last in order; a null document id is hashed by
 its text, so equal ones go together; documents of equal rank (repeated ids) are all taken or all left; a source whose
-words are all 0 has target 0; extra columns pass through.
+words are all 0 has target 0; texts are counted whole; an empty table gives an empty result; extra columns pass through, and
+if one has the result's name, the result gets the next free one (`mix_`).
 """
 
 from __future__ import annotations
@@ -87,4 +88,4 @@ def mix(docs: DataFrame, key: str, text: str, source: str, weights: tuple[int, .
     r = odds(u, x["p"])
     more = F.when((x["p"] <= 0) | (x["rest"] <= 0), False).when(x["bin"].isNull(), True).otherwise((F.floor(r / (1 + r) * bins) < x["bin"]) | F.coalesce(r <= x["limit"], F.lit(False)))
     copies = x["whole"] + F.when(more, 1).otherwise(0)
-    return got.select(*docs.columns, F.struct(size.alias("size"), x["source_size"].alias("source_size"), x["target"].alias("target"), copies.cast("long").alias("copies"), (copies * size).cast("long").alias("taken")).alias(out))
+    return got.select(*docs.columns, F.struct(size.alias("size"), x["source_size"].alias("source_size"), x["target"].alias("target"), copies.cast("long").alias("copies"), (copies * size).cast("long").alias("taken")).alias(free_name(docs, out)))

@@ -131,17 +131,24 @@ LICENSES = f"""
 WITH d AS (SELECT doc_id, {_LOW} AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, '{ALNUM}') AS w FROM d),
 phrases AS (SELECT string_split(text, ' ') AS p, label FROM (VALUES {_rows(PHRASES)}) AS x(text, label)),
-templates AS (SELECT row_number() OVER () AS id, list_distinct(string_split(text, ' ')) AS words, CAST(ceil(len(string_split(text, ' ')) * 5 / 4.0) AS BIGINT) AS width, label FROM (VALUES {_rows(TEMPLATES)}) AS x(text, label)),
+raw AS (SELECT row_number() OVER () AS id, string_split(text, ' ') AS all_words, list_distinct(string_split(text, ' ')) AS words, label FROM (VALUES {_rows(TEMPLATES)}) AS x(text, label)),
+sized AS (SELECT *, CAST(ceil(len(words) * 4 / 5.0) AS BIGINT) AS need, CAST(ceil(len(all_words) * 5 / 4.0) AS BIGINT) AS width FROM raw),
+told AS (SELECT t.id, list_distinct(flatten(list(list_filter(t.words, lambda x: NOT list_contains(u.words, x))))) AS telling FROM sized t JOIN sized u ON t.label <> u.label AND len(list_intersect(t.words, u.words)) >= t.need GROUP BY t.id),
+templates AS (SELECT sized.*, coalesce(telling, []::VARCHAR[]) AS telling FROM sized LEFT JOIN told USING (id)),
 places AS (
   SELECT doc_id, pos - 1 AS pos, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM w WHERE len(w) > 0), phrases
   WHERE w[pos] = p[1] AND w[pos : pos + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY doc_id),
--- a best window can start at a word of the template
-able AS (SELECT doc_id, w, words, width, label FROM w, templates WHERE 5 * len(list_intersect(list_distinct(w), words)) >= 4 * len(words)),
-heads AS (SELECT doc_id, words, label, w, width, unnest(range(1, len(w) + 1)) AS pos FROM able),
+able AS (SELECT doc_id, w, id, words, width, need, telling, label FROM w, templates WHERE len(list_intersect(list_distinct(w), words)) >= need),
+heads AS (SELECT *, unnest(range(1, len(w) + 1)) AS pos FROM able),
+windows AS (
+  SELECT doc_id, id, label, pos, width, len(words) AS size, need, telling, list_distinct(list_filter(w[pos : pos + width - 1], lambda x: list_contains(words, x))) AS has FROM heads WHERE list_contains(words, w[pos])),
+good AS (SELECT *, len(has) AS n FROM windows WHERE len(has) >= need AND len(list_intersect(has, telling)) = len(telling)),
+marked AS (SELECT *, CASE WHEN pos < lag(pos) OVER p + width THEN 0 ELSE 1 END AS fresh FROM good WINDOW p AS (PARTITION BY doc_id, id ORDER BY pos)),
+grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, id ORDER BY pos) AS place FROM marked),
+spots AS (SELECT doc_id, id, place, label, min(pos) AS start, max(pos) + any_value(width) AS stop, max(n) AS n, max(n) / any_value(size)::DOUBLE AS share FROM grouped GROUP BY doc_id, id, place, label),
 found AS (
-  SELECT doc_id, label, len(list_intersect(list_distinct(w[pos : pos + width - 1]), words)) / len(words)::DOUBLE AS share FROM heads
-  WHERE list_contains(words, w[pos]) AND 5 * len(list_intersect(list_distinct(w[pos : pos + width - 1]), words)) >= 4 * len(words)),
+  SELECT * FROM spots s WHERE NOT EXISTS (SELECT 1 FROM spots o WHERE o.doc_id = s.doc_id AND o.label <> s.label AND o.start < s.stop AND s.start < o.stop AND (o.share > s.share OR o.share = s.share AND o.n > s.n))),
 method AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
   coalesce(array_to_string(base.labels, ','), '') AS base_labels,

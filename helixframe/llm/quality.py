@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import AdditiveModel, fit_additive
-from .common import annotate, bounded_sample, free_name
+from .common import annotate, bounded_sample
 
 RESULT = T.StructType([T.StructField("score", T.DoubleType())])
 #: Characters whose shares are features of their own.
@@ -41,11 +41,11 @@ def features(raw: bytes | None) -> list[float]:
 
 
 def train(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, usable: Column, max_rows: int = 8_000) -> AdditiveModel:
-    """Learn from labelled rows of docs for which `usable` (a condition on docs) holds; beyond `max_rows`, from about that many, chosen by a hash of the id."""
+    """Learn from labelled rows of docs for which `usable` (a condition on docs) holds; beyond `max_rows`, from that many, chosen by a hash of the id."""
     good = labels.where(F.col(label_key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(label_key).alias("_id")).agg(F.min(label).alias("_y"), F.max(label).alias("_other")).where("_y = _other").select("_id", "_y")
     ids = docs.where(usable).select(F.col(key).alias("_id")).distinct()
     # the sample is drawn from ids that are both labelled and usable; it is bounded, so it can be broadcast
-    few = bounded_sample(good.join(ids, "_id"), F.col("_id"), max_rows)
+    few = bounded_sample(good.join(ids, "_id"), [F.col("_id")], max_rows)
     rows = docs.where(usable).select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(few), F.col("_key") == F.col("_id"))
     # one row an id, whatever repeats: the one whose text has the least hash
     rows = rows.select("_key", "_text", "_y", F.xxhash64("_text").alias("_h"))
@@ -70,4 +70,4 @@ def score(docs: DataFrame, text: str, model: AdditiveModel, out: str = "quality"
 
         return run
 
-    return annotate(docs, text, out if out == free_name(docs, out) else free_name(docs, out), RESULT, make)
+    return annotate(docs, text, out, RESULT, make)

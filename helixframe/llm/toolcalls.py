@@ -115,6 +115,20 @@ def levels(edges: DataFrame) -> DataFrame:
     return edges.select("conv", "node").distinct().join(d, _on(("conv", "c"), ("node", "k")), "left").select("conv", "node", "level")
 
 
+#: A string, a number, or what is between them in JSON text.
+_TOKEN = r'"(?:[^"\\]++|\\.)*+"|-?\d[\d.eE+\-]*+|[^"\d\-]++|-'
+
+
+def canonical_numbers(json: Column) -> Column:
+    """JSON text with each number outside of strings written by its value: without an exponent, a plus or zeros at its end while
+    38 digits (18 after the point) hold it exactly, else as the shortest text of a double."""
+    exponent = lambda t: F.coalesce(F.regexp_extract(t, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))
+    places = lambda t: F.length(F.regexp_replace(F.regexp_extract(t, r"\.(\d+)", 1), r"0+$", "")) - exponent(t)
+    plain = lambda t: F.regexp_replace(F.regexp_replace(t.try_cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    number = lambda t: F.coalesce(F.when(places(t) <= 18, plain(t)), t.try_cast("double").cast("string"), t)
+    return F.array_join(F.transform(F.regexp_extract_all(json, F.lit(_TOKEN), F.lit(0)), lambda t: F.when(t.rlike(r"^-?\d"), number(t)).otherwise(t)), "")
+
+
 def link(events: DataFrame, schemas: dict[str, dict[str, dict]]) -> DataFrame:
     """One row an event: conv, position key (level, turn, part), kind, id, linked, problems, canonical JSON."""
     e = events.select("conv", "turn", "part", "kind", "id", "name", "body", "needs")
@@ -154,5 +168,5 @@ def link(events: DataFrame, schemas: dict[str, dict[str, dict]]) -> DataFrame:
     good = F.coalesce(F.schema_of_variant("args").startswith("OBJECT<"), F.lit(False))
     others = [F.col("id").alias("id"), F.col("kind").alias("kind"), F.when(F.col("kind") != "result", F.col("name")).alias("name"), F.col("turn").alias("turn")]
     content = F.when(~F.coalesce(call, F.lit(False)), F.col("body")).alias("content")
-    text = F.when(good, F.to_json(F.struct(F.col("args").alias("arguments"), content, *others))).otherwise(F.to_json(F.struct(F.when(call, F.col("body")).alias("arguments"), content, *others)))
+    text = F.when(good, canonical_numbers(F.to_json(F.struct(F.col("args").alias("arguments"), content, *others)))).otherwise(F.to_json(F.struct(F.when(call, F.col("body")).alias("arguments"), content, *others)))
     return rows.withColumn("args", parsed).select("conv", level.alias("level"), "turn", "part", "kind", "id", F.coalesce(linked, F.lit(False)).alias("linked"), F.array_join(problems, ",").alias("problems"), text.alias("json"))

@@ -98,9 +98,10 @@ class UrlModel:
 
 
 def train(labelled: DataFrame, url: str, blocked: str, key: Column, max_rows: int = 6_000, ignore: frozenset[str] = frozenset()) -> UrlModel:
-    """Learn from rows whose `blocked` (boolean) is not null; beyond `max_rows`, from about that many, chosen by a hash of `key`.
+    """Learn from rows whose `blocked` (boolean) is not null; beyond `max_rows`, from that many, chosen by a
+    hash of `key`, url and label.
     The suffix statistics hold only suffixes of these rows, but those in `ignore`, so their size is bounded too."""
-    rows = bounded_sample(labelled.where(F.col(blocked).isNotNull()), key, max_rows).select(F.col(url).alias("u"), F.col(blocked).cast("int").alias("y")).collect()
+    rows = bounded_sample(labelled.where(F.col(blocked).isNotNull()), [key, F.col(url), F.col(blocked)], max_rows).select(F.col(url).alias("u"), F.col(blocked).cast("int").alias("y")).collect()
     rows = sorted(((r.u, r.y) for r in rows), key=lambda r: (r[0] or "", r[1]))
     folds = 5
 

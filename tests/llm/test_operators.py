@@ -473,3 +473,64 @@ def test_each_stage_against_plain_code(spark):
         assert (r.slot, r.shard) == (slot, table[slot])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_licenses_have_exact_labels(spark):
+    cases = {
+        "licensed under CC BY SA 4.0": ["cc-by-sa"], "licensed under CC BY NC 4.0": ["cc-by-nc"], "licensed under CC BY 4.0": [],
+        "This work is licensed under the GNU General Public License version 3": ["gpl-3"], "This work is licensed under the GNU Lesser General Public License version 3.": ["lgpl-3"],
+        "This work is licensed under the GNU Lesser General Public License version 3. " + "more words here " * 10 + "This work is licensed under the GNU General Public License, version 3.": ["gpl-3", "lgpl-3"],
+        "licensed under the Apache license, version 2.0": ["apache-2"], "nothing of the kind": [],
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": ["gpl-3"],
+        "You should have received a copy of the GNU Affero General Public License along with this program.": ["agpl-3"],
+    }
+    got = licenses.scan(spark.createDataFrame([(t,) for t in cases], "text string").coalesce(1), "text").collect()
+    assert {r.text: sorted(set(r.license.base) | set(r.license.method)) for r in got} == cases
+
+
+def test_licenses_of_the_tables_are_those_written_in(spark):
+    """Labelled lines of sf0.01: a text that names one license has no second label."""
+    rows = queries.op10_licenses(spark, "/root/testdata/sf0.01").where("labels <> ''").collect()
+    assert rows and all("," not in r.labels for r in rows)
+
+
+def test_templates_may_be_a_table(spark):
+    table = spark.createDataFrame([("do what you want to with this", "wtf"), (None, "x"), ("y", None)], "text string, label string")
+    got = licenses.scan(spark.createDataFrame([("you may do what you want to with this file",), (None,)], "text string").coalesce(1), "text", {}, table).collect()
+    assert [r.license.method for r in got] == [["wtf"], []]
+
+
+def test_results_take_free_names(spark, odd):
+    clash = spark.createDataFrame([(1, "the cat", "en", "s", 1, 2, 3, 4, 5, "http://a.net/b")], "doc_id long, text string, lang string, source string, Language int, mix int, license int, judged int, quality int, url string")
+    assert langid.predict(clash, "text", langid.train(clash, "text", "lang", F.col("doc_id"))).first()["language_"].lang_pred == "en"
+    assert mixing.mix(clash, "doc_id", "text", "source").first()["mix_"].size == 2
+    assert licenses.scan(clash, "text").first()["license_"].n_words == 2
+    model = urlfilter.train(clash.withColumn("b", F.lit(True)), "url", "b", F.col("doc_id"))
+    assert urlfilter.judge(clash, "url", model).first()["judged_"].blocked > 0.9
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    from helixframe.llm.common import bounded_sample
+
+    nulls = spark.range(20_000).select(F.lit(None).cast("long").alias("k"), F.concat(F.lit("t"), "id").alias("text"))
+    one = bounded_sample(nulls, [F.col("k"), F.col("text")], 100)
+    assert one.count() == 100 and {r.text for r in one.collect()} == {r.text for r in bounded_sample(nulls.repartition(7), [F.col("k"), F.col("text")], 100).collect()}
+    two = spark.range(20_000).select((F.col("id") % 2).alias("k"), F.lit("x").alias("text"))
+    assert bounded_sample(two, [F.col("k"), F.col("text")], 6000).count() == 6000 and bounded_sample(two, [F.col("k")], 20_000).count() == 20_000
+
+
+def test_urls_are_learned_without_ids_and_from_repeated_ones(spark):
+    rows = [(None if i % 2 else 7, f"http://h{i % 50}.{'net' if i % 3 else 'org'}/p{i % 40}", i % 3 > 0) for i in range(9000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, blocked boolean")
+    model = urlfilter.train(df, "url", "blocked", F.col("page_id"))
+    assert model.trees.edges and sum(n for s, (_, n) in model.shares.items() if s in ("net", "org")) == 6000
+
+
+def test_numbers_are_written_by_value(spark):
+    texts = ['{"a":1.0,"b":"1.0 and 1E2, \\"2.50\\"","c":[1e0,100,1E2,-0.50,-0,0.1e-1]}', '{"big":123456789012345678901234567890,"e":1e40,"f":1e-30}', "[]", '"a-b"', None]
+    got = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(toolcalls.canonical_numbers(F.col("t")).alias("x")).collect()]
+    assert got[0] == '{"a":1,"b":"1.0 and 1E2, \\"2.50\\"","c":[1,100,100,-0.5,0,0.01]}' and got[2:] == ["[]", '"a-b"', None]
+    assert got[1] == '{"big":1.2345678901234568E29,"e":1.0E40,"f":1.0E-30}'
+    rows = [(1, t, 0, "call", f"i{t}", "f", body, None) for t, body in enumerate(('{"n":1}', '{"n":1.0}', '{"n":1e0}', '{"n":10E-1}'))]
+    jsons = {r.json.replace(f'"i{r.turn}"', "").replace(f'"turn":{r.turn}', "") for r in toolcalls.link(spark.createDataFrame(rows, toolcalls.EVENT), {"f": {}}).collect()}
+    assert len(jsons) == 1 and '{"n":1}' in jsons.pop()
