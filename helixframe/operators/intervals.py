@@ -63,15 +63,49 @@ def paths(exons: DataFrame, transcript: list[str], strict: bool = False) -> Data
     return got
 
 
-def extract(intervals: DataFrame, genome: DataFrame) -> DataFrame:
-    """Interval rows with their sequence; a contig that the genome lacks raises."""
-    bases = F.when(F.col("bases").isNull(), F.raise_error(F.concat(F.lit("contig is not in the genome: "), F.col("contig").cast("string"))).cast("string")).otherwise(F.col("bases"))
-    return intervals.join(genome.select("contig", "bases"), "contig", "left").withColumn("seq", locus_sequence(bases, F.col("start"), F.col("end"), F.col("strand"))).drop("bases")
+#: Bases of a block of a contig.
+BLOCK = 1 << 16
+
+
+def blocks_of(genome: DataFrame, width: int = BLOCK) -> DataFrame:
+    """(contig, place, block, bases) of a genome whose contigs are whole strings (contig, bases, place); read_genome gives these
+    rows itself, so that no contig is ever one string."""
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("bases") / width) - 1, F.lit(0)))
+    rows = genome.select("contig", "place", "bases", F.explode(starts).alias("_i"))
+    return rows.select("contig", "place", F.col("_i").cast("long").alias("block"), F.substring("bases", F.col("_i").cast("int") * width + 1, F.lit(width)).alias("bases"))
+
+
+def extract(intervals: DataFrame, genome: DataFrame, width: int = BLOCK) -> DataFrame:
+    """Interval rows with their sequence, from a genome in blocks of `width` bases (contig, block, bases), or of whole
+    contigs, which are cut into blocks first.
+
+    An interval is joined with the one to few blocks that it touches, of which only the bases inside go on, and these are put
+    together in order; equal intervals are read once.  A contig that the genome lacks, and an interval beyond its contig, raise.
+    """
+    if "block" not in genome.columns:
+        genome = blocks_of(genome if "place" in genome.columns else genome.withColumn("place", F.lit(0).cast("long")), width)
+    lengths = genome.groupBy(F.col("contig").alias("_c")).agg(F.sum(F.length("bases").cast("long")).alias("_length"))
+    wanted = intervals.select(*LOCUS).distinct().join(lengths, F.col("contig") == F.col("_c"), "left")
+    inside = (F.col("start") >= 1) & (F.col("end") >= F.col("start")) & (F.col("end") <= F.col("_length"))
+    bad = F.when(F.col("_length").isNull(), F.concat(F.lit("contig is not in the genome: "), F.col("contig").cast("string"))).when(~F.coalesce(inside, F.lit(False)), F.lit("interval is beyond its contig"))
+    # what is wrong with a locus is part of where it is looked for, so that no plan leaves the check out
+    first = F.when(bad.isNotNull(), F.raise_error(bad).cast("long")).otherwise(F.floor((F.col("start") - 1) / width))
+    touched = wanted.withColumn("_block", F.explode(F.sequence(first, F.floor((F.col("end") - 1) / width))))
+    some = genome.select(F.col("contig").alias("_g"), F.col("block").alias("_b"), "bases")
+    low = F.greatest(F.col("start") - F.col("_block") * width, F.lit(1))
+    high = F.least(F.col("end") - F.col("_block") * width, F.lit(width))
+    parts = touched.join(some, (F.col("contig") == F.col("_g")) & (F.col("_block") == F.col("_b")), "left")
+    parts = parts.select(*LOCUS, "_block", F.substring("bases", low.cast("int"), (high - low + 1).cast("int")).alias("_part"))
+    whole = parts.groupBy(*LOCUS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_part"))), lambda x: x["_part"]), "").alias("_bases"))
+    full = F.when(F.length("_bases") == F.col("end") - F.col("start") + 1, F.col("_bases")).otherwise(F.raise_error(F.lit("a block of the genome is missing")))
+    seqs = whole.select(*(F.col(c).alias(f"_{c}") for c in LOCUS), locus_sequence(full, F.lit(1), F.length("_bases"), F.col("strand")).alias("seq"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in LOCUS]
+    return intervals.join(seqs, same, "left").drop(*(f"_{c}" for c in LOCUS))
 
 
 def missing_contigs(intervals: DataFrame, genome: DataFrame, most: int = 10) -> list:
     """The first contigs, in order, that intervals name and the genome lacks."""
-    return [r[0] for r in intervals.select("contig").distinct().join(genome.select("contig"), "contig", "left_anti").orderBy("contig").limit(most).collect()]
+    return [r[0] for r in intervals.select("contig").distinct().join(genome.select("contig").distinct(), "contig", "left_anti").orderBy("contig").limit(most).collect()]
 
 
 def spliced(transcript_paths: DataFrame, exon_sequences: DataFrame, transcript: list[str]) -> DataFrame:
@@ -111,23 +145,35 @@ def exon_counts(merged: DataFrame, limit: int = 50, gene: str = "gene") -> DataF
     return merged.groupBy(gene).agg(F.count("*").alias("exons")).withColumn("above_limit", F.col("exons") > limit)
 
 
+def _pairs(merged: DataFrame, k: int, limit: int, gene: str) -> DataFrame:
+    """exon_pairs with the strand: a gene of at most `limit` exons is one row with a list of their flanks, which is paired with
+    itself there, so the exons are shuffled once."""
+    flanks = F.struct("start", "end", F.left("seq", F.lit(k - 1)).alias("head"), F.right("seq", F.lit(k - 1)).alias("tail"), "strand")
+    counted = merged.select(gene, flanks.alias("x")).withColumn("_at", F.row_number().over(Window.partitionBy(gene).orderBy(F.col("x.start"), F.col("x.end")))).where(F.col("_at") <= limit + 1)
+    lists = counted.groupBy(gene).agg(F.collect_list("x").alias("xs")).where(F.size("xs") <= limit)
+    left = lists.select(gene, "xs", F.explode("xs").alias("l"))
+    both = left.select(gene, "l", F.explode("xs").alias("r")).where("l.end < r.start or r.end < l.start")
+    out = both.select(gene, F.col("l.start").alias("l_start"), F.col("l.end").alias("l_end"), F.col("r.start").alias("r_start"), F.col("r.end").alias("r_end"), F.concat("l.tail", "r.head").alias("context"), F.col("l.strand").alias("strand"))
+    return out.where(F.length("context") >= k)
+
+
 def exon_pairs(merged: DataFrame, k: int, limit: int = 50, gene: str = "gene") -> DataFrame:
     """All ordered pairs of disjoint merged exons of genes with at most `limit` of them: last k-1 bases of one, first k-1 of the other."""
-    few = merged.groupBy(gene).agg(F.count("*").alias("_n")).where(F.col("_n") <= limit).select(gene)
-    # only the flanks of an exon are paired, not its sequence
-    rows = merged.select(gene, "start", "end", F.left("seq", F.lit(k - 1)).alias("head"), F.right("seq", F.lit(k - 1)).alias("tail")).join(few, gene)
-    left, right = rows.select(gene, *(F.col(c).alias(f"l_{c}") for c in ("start", "end", "tail"))), rows.select(gene, *(F.col(c).alias(f"r_{c}") for c in ("start", "end", "head")))
-    pairs = left.join(right, gene).where("l_end < r_start or r_end < l_start")
-    return pairs.select(gene, "l_start", "l_end", "r_start", "r_end", F.concat("l_tail", "r_head").alias("context")).where(F.length("context") >= k)
+    rows = merged if "strand" in merged.columns else merged.withColumn("strand", F.lit("+"))
+    return _pairs(rows, k, limit, gene).drop("strand")
 
 
 def all_contexts(transcripts: DataFrame, merged: DataFrame, k: int, limit: int = 50, gene: str = "gene") -> DataFrame:
-    """(gene, donor, acceptor, strand, context, source): annotated contexts, then those of all pairs that are not among them."""
-    known = annotated_contexts(transcripts, k, gene).withColumn("source", F.lit("annotated"))
-    pairs = exon_pairs(merged, k, limit, gene).join(merged.select(gene, "strand").distinct(), gene)
+    """(gene, donor, acceptor, strand, context, source): annotated contexts, then those of all pairs that are not among them.
+
+    Both kinds are one union, and one aggregate keeps the annotated of equal ones.
+    """
+    known = _boundaries(transcripts, k, gene).where(F.length("context") >= k).withColumn("_all", F.lit(0))
+    pairs = _pairs(merged, k, limit, gene)
     edge = boundary(F.struct(F.col("l_start").alias("start"), F.col("l_end").alias("end")), F.struct(F.col("r_start").alias("start"), F.col("r_end").alias("end")), F.col("strand"))
-    more = pairs.select(gene, edge["donor"].alias("donor"), edge["acceptor"].alias("acceptor"), "strand", "context").distinct()
-    return known.unionByName(more.join(known, [gene, "donor", "acceptor", "context"], "left_anti").withColumn("source", F.lit("all")))
+    more = pairs.select(gene, edge["donor"].alias("donor"), edge["acceptor"].alias("acceptor"), "strand", "context", F.lit(1).alias("_all"))
+    both = known.unionByName(more).groupBy(gene, "donor", "acceptor", "context", "strand").agg(F.min("_all").alias("_all"))
+    return both.select(gene, "donor", "acceptor", "strand", "context", F.when(F.col("_all") == 0, "annotated").otherwise("all").alias("source"))
 
 
 def junction_statistics(transcripts: DataFrame, merged: DataFrame, k: int, limit: int | None = 50, gene: str = "gene") -> DataFrame:
@@ -183,7 +229,7 @@ def numbered_exons(exons: DataFrame, genome: DataFrame) -> DataFrame:
     Numbers run on from one contig to the next by the contigs' counts; within a contig they are made of ranges of starts.
     """
     width = 1 << 16
-    rows = dedupe_sets(exons, LOCUS, ["exon_ids", "gene_ids"]).join(genome.select("contig", "place"), "contig").withColumn("_bin", F.floor(F.col("start") / width))
+    rows = dedupe_sets(exons, LOCUS, ["exon_ids", "gene_ids"]).join(genome.select("contig", "place").distinct(), "contig").withColumn("_bin", F.floor(F.col("start") / width))
     sizes = rows.groupBy("place", "_bin").agg(F.count("*").alias("_n"))
     contigs = sizes.groupBy("place").agg(F.sum("_n").alias("_n"))
     # a genome's contigs are a short list; the ranges of one contig meet only each other

@@ -11,6 +11,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+class _Zstd(io.RawIOBase):
+    """The bytes of joined zstd frames; a last frame that is not whole raises, which the library's own stream does not."""
+
+    def __init__(self, raw):
+        import zstandard
+
+        self.raw, self.new, self.frame, self.left = raw, zstandard.ZstdDecompressor().decompressobj, None, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.left:
+            data = self.raw.read(1 << 16)
+            if not data:
+                if self.frame is not None and not self.frame.eof:
+                    raise EOFError("a zstd frame ended early")
+                return 0
+            parts = []
+            while data:
+                if self.frame is None or self.frame.eof:
+                    self.frame = self.new()
+                parts.append(self.frame.decompress(data))
+                data = self.frame.unused_data if self.frame.eof else b""
+            self.left = b"".join(parts)
+        n = min(len(buffer), len(self.left))
+        buffer[:n], self.left = self.left[:n], self.left[n:]
+        return n
+
+
 def open_plain(uri: str):
     """A binary stream of the decompressed bytes of a file on any file system that Arrow knows."""
     from pyarrow import fs
@@ -25,21 +55,63 @@ def open_plain(uri: str):
     if magic[:6] == b"\xfd7zXZ\x00":
         return lzma.LZMAFile(raw)
     if magic[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
-
-        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True), 1 << 20)
+        return io.BufferedReader(_Zstd(raw), 1 << 20)
     return raw
 
 
+def open_range(uri: str, start: int):
+    """A context with (lines with their offsets, whether the file is compressed, its first byte).
+
+    The lines of a plain file are those that start at `start` or later; of a compressed one, all, with offsets in what is
+    decompressed (and none is read if start is not 0).
+    """
+    from contextlib import contextmanager
+
+    @contextmanager
+    def opened():
+        from pyarrow import fs
+
+        name = "/" + uri[5:].lstrip("/") if uri.startswith("file:") else uri
+        system, path = fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), name)
+        with system.open_input_file(path) as whole:
+            head = whole.read(1 << 16)
+            compressed = head[:2] == b"\x1f\x8b" or head[:6] == b"\xfd7zXZ\x00" or head[:4] == b"\x28\xb5\x2f\xfd"
+            if compressed:
+                if start:
+                    yield iter(()), True, b""
+                else:
+                    with open_plain(uri) as stream:
+                        yield _offsets(stream, 0), True, b""
+                return
+            whole.seek(max(0, start - 1))
+            stream, at = io.BufferedReader(whole, 1 << 20), start
+            if start:
+                at = start - 1 + len(stream.readline())  # what is left of the line before
+            yield _offsets(stream, at), False, head.lstrip()[:1]
+
+    return opened()
+
+
+def _offsets(stream, at: int) -> Iterator[tuple[int, bytes]]:
+    for line in stream:
+        yield at, line
+        at += len(line)
+
+
 def listed(spark: SparkSession, paths: list[str]) -> list[str]:
     """The files of paths, patterns and folders (without what starts with . or _); a path that has none raises."""
+    return [name for name, _ in listed_with_sizes(spark, paths)]
+
+
+def listed_with_sizes(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
+    """As listed(), with the files' bytes."""
     out = []
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         system = p.getFileSystem(spark._jsc.hadoopConfiguration())
         hits = list(system.globStatus(p) or [])
         inner = [x for h in hits for x in (system.listStatus(h.getPath()) if h.isDirectory() else [h])]
-        names = sorted(x.getPath().toString() for x in inner if x.isFile() and not (len(inner) > 1 and x.getPath().getName()[:1] in "._"))
+        names = sorted((x.getPath().toString(), x.getLen()) for x in inner if x.isFile() and not (len(inner) > 1 and x.getPath().getName()[:1] in "._"))
         if not names:
             raise FileNotFoundError(path)
         out += names

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as fn
-from helixframe.operators import explore, index, intervals, isoforms, quantify
+from helixframe.operators import explore, index, intervals, isoforms, quantify, runs
 from helixframe.plans import inference
 from helixframe.sources import fastx, files, gtf, lists, results, vectors
 
@@ -187,7 +187,8 @@ def test_sequences_of_joined_members_and_blocks(spark, tmp_path):
     for bad in ("two", "q", "empty"):
         with pytest.raises(Exception, match="repeat|FASTA|no sequences"):
             fastx.read_genome(spark, [str(tmp_path / bad)]).collect()
-    assert [(r.contig, r.place) for r in fastx.read_genome(spark, [str(tmp_path / "a")]).orderBy("place").collect()] == [("x", 0), ("y", 1)]
+    got = fastx.read_genome(spark, [str(tmp_path / "a")]).orderBy("place", "block").collect()
+    assert [(r.contig, r.place, r.block, len(r.bases)) for r in got] == [("x", 0, 0, 4), *(("y", 1, i, min(65_536, 250_002 - 65_536 * i)) for i in range(4))]
     assert [(r.line, r.text) for r in files.read_lines(spark, [str(tmp_path / "two")]).collect()][1] == (2, "A")
 
 
@@ -469,3 +470,71 @@ def test_every_way_of_fitting_is_one(spark):
                 assert abs(r.rate - rate) < 1e-9 * max(1, rate) and abs(r.assigned - part) < 1e-9 * max(1, part)
                 assert r.iterations == told["iterations"] and r.active_features == told["active_features"] and r.rank == isoforms.rank(a) and r.features == len(features)
                 assert abs(r.log_likelihood - told["log_likelihood"]) < 1e-6 and abs(r.relative_l1_residual - told["relative_l1_residual"]) < 1e-9
+
+
+def test_ranges_of_files_give_the_same_records(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    seqs = ["".join(rng.choice(list("ACGT"), n)) for n in rng.integers(1, 90, 60)]
+    (tmp_path / "a.fa").write_text("\n".join(f">r{i} x\n" + "\n".join(s[j : j + 20] for j in range(0, len(s), 20)) + ("\n" if i % 5 == 0 else "") for i, s in enumerate(seqs)) + "\n")
+    # qualities that look like headers, and like the line between
+    quality = lambda i, n: ("@" if i % 2 else "+") + "@+>I"[i % 4] * (n - 1)
+    (tmp_path / "b.fq").write_text("".join(f"@r{i}\n{s}\n+\n{quality(i, len(s))}\n" for i, s in enumerate(seqs)))
+    (tmp_path / "c.fa.gz").write_bytes(gzip.compress((tmp_path / "a.fa").read_bytes()))
+    for name, split in (("a.fa", 1 << 20), ("a.fa", 100), ("a.fa", 333), ("b.fq", 1 << 20), ("b.fq", 150), ("b.fq", 401), ("c.fa.gz", 200)):
+        df = fastx.read_sequences(spark, [str(tmp_path / name)], split)
+        got = df.orderBy("record").collect()
+        assert [(r.header.split()[0], r.seq) for r in got] == [(f"r{i}", s) for i, s in enumerate(seqs)], (name, split)
+        assert df.rdd.getNumPartitions() == -(-(tmp_path / name).stat().st_size // split)
+    uri = str(tmp_path / "b.fq")
+    whole = [x for x in fastx.records(uri)]
+    for split in range(1, 40):
+        assert [x for i in range(0, (tmp_path / "b.fq").stat().st_size, split * 7) for x in fastx.records(uri, i, i + split * 7)] == whole
+
+
+def test_broken_files_are_told_and_the_rest_is_counted(spark, tmp_path):
+    text = "".join(f">r{i} ka:f:2\n{'ACGTTGCA' * (1 + i % 3)}{'ACGT'[i % 4]}\n" for i in range(400)).encode()
+    (tmp_path / "one.fa").write_bytes(text)
+    for name, raw in (("two.fa.gz", gzip.compress(text)[:-40]), ("three.fa.xz", lzma.compress(text)[:-20]), ("four.fa.zst", zstandard.compress(text)[:-5])):
+        (tmp_path / name).write_bytes(raw)
+        broken = fastx.read_sequences(spark, [str(tmp_path / name)], errors=True).where("error is not null").collect()
+        assert len(broken) == 1 and broken[0].record == -1
+        with pytest.raises(Exception, match="end|EOF|corrupt"):
+            fastx.read_sequences(spark, [str(tmp_path / name)]).collect()
+    (tmp_path / "five.fa").write_bytes(b">x\nACGTACGTA\n")
+    (tmp_path / "six.fa.zst").write_bytes(zstandard.compress(text))
+    references = spark.createDataFrame([("t1", "ACGTTGCAACGTT"), ("t2", "GGGGGCCCCCTTT")], "name string, seq string")
+    given = {x: [str(tmp_path / f)] for x, f in (("one", "one.fa"), ("two", "two.fa.gz"), ("five", "five.fa"), ("six", "six.fa.zst"), ("lost", "lost.fa"))}
+    with pytest.raises(ValueError, match="two: .*end-of-stream"):
+        runs.run(references, given, 7, str(tmp_path / "none"))
+    told = runs.run(references, given, 7, str(tmp_path / "out"), keep_going=True, split=1000)
+    assert told["coverage"] == {"requested_datasets": 5, "completed_datasets": 2, "failed_datasets": 3, "complete": False}
+    errors = {x["name"]: x["error"] for x in told["failed_datasets"]}
+    assert set(errors) == {"two", "five", "lost"} and "no abundance" in errors["five"] and "no such file" in errors["lost"]
+    found = results.open_results(spark, str(tmp_path / "out"))
+    names = {r.dataset: r.name for r in found.datasets.collect()}
+    counts = {(names[r.dataset], r.target_id): r["count"] for r in found.counts.where("dataset is not null").collect()}
+    assert counts["one", 1] == counts["six", 1] > 0 and counts["one", 2] == counts["six", 2] == 0
+    assert runs.run(references, {"one": given["one"]}, 7, str(tmp_path / "all"))["coverage"]["complete"]
+    with pytest.raises(ValueError, match="all datasets failed"):
+        runs.run(references, {"two": given["two"]}, 7, str(tmp_path / "x"), keep_going=True)
+    for wrong in ({"k": 8}, {"mode": "x"}, {"datasets": {}}, {"stats": True, "keep_going": True}):
+        with pytest.raises(ValueError):
+            runs.run(**({"references": references, "datasets": given, "k": 7, "path": str(tmp_path / "y")} | wrong))
+
+
+def test_exons_over_the_seams_of_blocks(spark):
+    rng = np.random.default_rng(6)
+    bases = {c: "".join(rng.choice(list("ACGT"), n)) for c, n in (("a", 1000), ("b", 64), ("c", 1), ("d", 129))}
+    whole = spark.createDataFrame([(c, s, i) for i, (c, s) in enumerate(bases.items())], "contig string, bases string, place long")
+    loci = [(c, int(s), int(e), x) for c in bases for s in rng.integers(1, len(bases[c]) + 1, 25) for e in [rng.integers(s, len(bases[c]) + 1)] for x in "+-"] + [("a", 1, 1000, "+"), ("a", 64, 65, "-"), ("b", 64, 64, "+"), ("b", 64, 64, "+")]
+    rows = spark.createDataFrame(loci, "contig string, start long, end long, strand string")
+    for width in (64, 1 << 16):
+        for genome in (whole, intervals.blocks_of(whole, width)):
+            got = intervals.extract(rows, genome, width).collect()
+            plain = {(c, s, e, x): (bases[c][s - 1 : e] if x == "+" else bases[c][s - 1 : e].translate(str.maketrans("ACGT", "TGCA"))[::-1]) for c, s, e, x in loci}
+            assert len(got) == len(loci) and all(r.seq == plain[r.contig, r.start, r.end, r.strand] for r in got)
+    fails(intervals.extract(spark.createDataFrame([("z", 1, 2, "+")], rows.schema), whole), "not in the genome")
+    for s, e in ((0, 1), (60, 65), (5, 4)):
+        fails(intervals.extract(spark.createDataFrame([("b", s, e, "+")], rows.schema), whole, 64), "beyond its contig")
+    holes = intervals.blocks_of(whole, 64).where("not (contig = 'a' and block = 2)")
+    fails(intervals.extract(spark.createDataFrame([("a", 100, 200, "+")], rows.schema), holes, 64), "missing")
