@@ -70,8 +70,9 @@ def kmer_type(k: int) -> str:
 def _column(words: tuple[np.ndarray, ...]) -> pa.Array:
     if len(words) == 1:
         return pa.array(words[0].view(np.int64))
-    raw = np.column_stack(words).astype(">u8").tobytes()
-    return pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())
+    raw = np.column_stack(words).astype(">u8")
+    offsets = np.arange(len(raw) + 1, dtype=np.int32) * 16
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(offsets), pa.py_buffer(raw.tobytes())])
 
 
 def kmers(rows: DataFrame, keys: list[str], seq: str, k: int, block: int = 1 << 20) -> DataFrame:
@@ -92,29 +93,83 @@ def kmers(rows: DataFrame, keys: list[str], seq: str, k: int, block: int = 1 <<
     return got.mapInArrow(run, schema)
 
 
-def kmer_sums(rows: DataFrame, dataset: str, seq: str, weight: str, k: int, block: int = 1 << 20) -> DataFrame:
-    """(dataset, ck, weight, windows): the k-mers of weighted records, summed within each block before they are shuffled."""
+#: Rows of repeated k-mers that a task holds back to sum them over its blocks.
+HELD = 1 << 20
+#: Windows from which on a held k-mer is kept for the blocks that follow.
+FREQUENT = 64
+
+
+def _summed(which: np.ndarray, words: tuple[np.ndarray, ...], weights: np.ndarray, many: np.ndarray) -> tuple:
+    """Rows of equal (dataset, k-mer) as one, in order."""
+    order = np.lexsort((*words[::-1], which))
+    which, words = which[order], tuple(w[order] for w in words)
+    fresh = np.append(True, which[1:] != which[:-1]) if len(which) else np.zeros(0, dtype=bool)
+    for w in words:
+        fresh[1:] |= w[1:] != w[:-1]
+    starts = np.flatnonzero(fresh)
+    if not len(starts):
+        return which, words, weights, many
+    return which[starts], tuple(w[starts] for w in words), np.add.reduceat(weights[order], starts), np.add.reduceat(many[order], starts)
+
+
+def kmer_sums(rows: DataFrame, dataset: str, seq: str, weight: str, k: int, block: int = 1 << 20, held_rows: int = HELD) -> DataFrame:
+    """(dataset, ck, weight, windows): the k-mers of weighted records, summed within each block before they are shuffled.
+
+    K-mers that a block has more than once are held back and summed over the task's blocks, the frequent ones among them to the
+    task's end, so a k-mer that is everywhere (poly-A) is a row or a few for each task and dataset, and not one for each
+    block.  What is held has a bound, beyond which it is passed on.
+    """
     from pyspark.sql import types as T
 
     got = rows.select(dataset, F.col(weight).cast("long").alias(weight), F.col(seq).alias("_seq"), *([F.col("records").cast("long")] if "records" in rows.columns else [F.lit(1).cast("long").alias("records")]))
     schema = T.StructType([got.schema[0], T.StructField("ck", T.LongType() if k <= 31 else T.BinaryType()), T.StructField(weight, T.LongType()), T.StructField("windows", T.LongType())])
 
     def run(batches):
+        numbers: dict = {}  # of datasets, in this task
+        names: list = []
+        held: list[tuple] = []
+        kind = None
+
+        def batch_of(which, words, weights, many):
+            return pa.RecordBatch.from_arrays([pa.array(names, kind).take(pa.array(which)), _column(words), pa.array(weights), pa.array(many)], names=schema.names)
+
+        def pass_on(last: bool):
+            which, words, weights, many = _summed(*(np.concatenate(x) if i != 1 else tuple(np.concatenate(w) for w in zip(*x, strict=True)) for i, x in enumerate(zip(*held, strict=True))))
+            stay = (many >= FREQUENT) & (not last)
+            if stay.sum() > held_rows // 2:
+                stay[:] = False
+            held.clear()
+            if stay.any():
+                held.append((which[stay], tuple(w[stay] for w in words), weights[stay], many[stay]))
+            go = ~stay
+            return batch_of(which[go], tuple(w[go] for w in words), weights[go], many[go])
+
         for batch in batches:
-            sets = batch.column(0).dictionary_encode()
-            which, weights, many = sets.indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+            sets = batch.column(0).dictionary_encode(null_encoding="encode")
+            kind = batch.column(0).type
+            for name in sets.dictionary.to_pylist():
+                if name not in numbers:
+                    numbers[name] = len(names)
+                    names.append(name)
+            own = np.array([numbers[x] for x in sets.dictionary.to_pylist()], dtype=np.int64)
+            which, weights, many = own[sets.indices.to_numpy(zero_copy_only=False)], batch.column(1).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
             for raw, owner in blocks(batch.column(2), k, block):
                 at, words = window_codes(raw, k)
                 if not len(at):
                     continue
                 at = owner[at]
-                order = np.lexsort((*words[::-1], which[at]))
-                at, words = at[order], tuple(w[order] for w in words)
-                fresh = np.append(True, which[at][1:] != which[at][:-1])
-                for w in words:
-                    fresh[1:] |= w[1:] != w[:-1]
-                starts = np.flatnonzero(fresh)
-                yield pa.RecordBatch.from_arrays([sets.dictionary.take(pa.array(which[at[starts]])), _column(tuple(w[starts] for w in words)), pa.array(np.add.reduceat(weights[at], starts)), pa.array(np.add.reduceat(many[at], starts))], names=schema.names)
+                found = _summed(which[at], words, weights[at], many[at])
+                often = found[3] > 1
+                if often.any():
+                    held.append((found[0][often], tuple(w[often] for w in found[1]), found[2][often], found[3][often]))
+                    once = ~often
+                    found = found[0][once], tuple(w[once] for w in found[1]), found[2][once], found[3][once]
+                if len(found[0]):
+                    yield batch_of(*found)
+                if sum(len(h[0]) for h in held) >= held_rows:
+                    yield pass_on(False)
+        if held:
+            yield pass_on(True)
 
     return got.mapInArrow(run, schema)
 

@@ -20,9 +20,9 @@ def collapse(reads: DataFrame, dataset: str, seq: str, weight: str) -> DataFrame
 def count_targets(reads: DataFrame, owner_table: DataFrame, dataset: str, seq: str, weight: str, k: int, target: str = "target") -> DataFrame:
     """(dataset, target, raw): summed weights of all windows owned by one target.
 
-    Equal records are summed before their windows are made, a block's equal k-mers before they are shuffled.  One shuffle by
-    k-mer serves both the sum over a dataset's equal k-mers and the join with owners, so a frequent k-mer is one row a
-    dataset there.
+    Equal records are summed before their windows are made, a block's equal k-mers, and a task's repeated ones, before they are
+    shuffled.  One shuffle by k-mer serves both the sum over a dataset's equal k-mers and the join with owners; a k-mer that
+    is everywhere reaches its task as a few rows of each task and dataset.
     """
     return assigned(reads, owner_table, dataset, seq, weight, k, target).groupBy(dataset, target).agg(F.sum("raw").alias("raw"))
 

@@ -538,3 +538,21 @@ def test_exons_over_the_seams_of_blocks(spark):
         fails(intervals.extract(spark.createDataFrame([("b", s, e, "+")], rows.schema), whole, 64), "beyond its contig")
     holes = intervals.blocks_of(whole, 64).where("not (contig = 'a' and block = 2)")
     fails(intervals.extract(spark.createDataFrame([("a", 100, 200, "+")], rows.schema), holes, 64), "missing")
+
+
+@pytest.mark.parametrize("k", [15, 33])
+def test_a_frequent_kmer_is_few_rows(spark, k):
+    """Poly-A in every record of every dataset: some rows for each task and dataset, and sums as without holding back."""
+    rng = np.random.default_rng(9)
+    rows = [(d, "A" * 60 + "".join(rng.choice(list("ACGT"), 60)), int(w)) for d in (0, 1, None) for w in rng.integers(1, 9, 300)]
+    df = spark.createDataFrame(rows, "dataset int, seq string, w long").repartition(3)
+    got = index.kmer_sums(df, "dataset", "seq", "w", k, block=500, held_rows=200)
+    poly = F.lit(0).cast("long") if k <= 31 else F.lit(bytes(16))
+    few = got.where(F.col("ck") == poly)
+    assert few.count() <= 3 * 3 * 2
+    of = lambda s: sum(s[i : i + k] in ("A" * k, "T" * k) for i in range(len(s) - k + 1))
+    plain = {d: (sum(w * of(s) for e, s, w in rows if e == d), sum(of(s) for e, s, _ in rows if e == d)) for d in (0, 1, None)}
+    assert {r.dataset: (r.w, r.n) for r in few.groupBy("dataset").agg(F.sum("w").alias("w"), F.sum("windows").alias("n")).collect()} == plain
+    total = lambda x: {(r.dataset, bytes(r.ck) if k > 31 else r.ck): (r.w, r.n) for r in x.groupBy("dataset", "ck").agg(F.sum("w").alias("w"), F.sum("windows").alias("n")).collect()}
+    assert total(got) == total(index.kmer_sums(df, "dataset", "seq", "w", k))
+    assert sum(n for _, n in total(got).values()) == 900 * (121 - k)
