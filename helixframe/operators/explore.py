@@ -35,32 +35,67 @@ def _exact(values: DataFrame, value: str) -> bool:
     return isinstance(values.schema[value].dataType, T.IntegralType | T.DecimalType)
 
 
+def _checked(values: DataFrame, value: str) -> DataFrame:
+    v, exact = F.col(value), _exact(values, value)
+    bad = (v < 0) if exact else (v < 0) | F.isnan(v) | (v == float("inf"))
+    return values.withColumn(value, F.when(bad, F.raise_error(F.lit("a summary takes finite numbers that are not negative")).cast(values.schema[value].dataType)).otherwise(v))
+
+
 def summarise(values: DataFrame, keys: list[str], value: str = "count", threshold=0, exclude_zeros: bool = False, percentiles: tuple = (), interpolation: str = "linear", quantiles: bool = True) -> DataFrame:
     """known, missing, total, nonzero, above, above_percent, n, mean, min, max, stddev, median and percentiles (p10, p2_5 ...) of
     each key (of all, without keys).
 
-    Whole numbers up to DECIMAL(20,0) give exact results: means, medians and interpolated percentiles as decimals of six
-    places, halves up.  Order statistics are found by rank: equal values are counted, counts are summed by narrow ranges (a
-    1,024th of an octave), and only the ranges that hold a wanted rank are put in order; what meets in one task is the distinct
-    values of a key in one such range.  Negative values and values that are no finite numbers raise.
+    One scan counts equal values of a key; all else comes from these counts.  Whole numbers up to DECIMAL(20,0) give exact
+    results: means, medians and interpolated percentiles as decimals of six places, halves up.  Order statistics are found by
+    rank: counts are summed by narrow ranges (a 1,024th of an octave), and only the ranges that hold a wanted rank are put in
+    order; what meets in one task is the distinct values of a key in one such range.  Negative values and values that are no
+    finite numbers raise.
     """
-    v, exact = F.col(value), _exact(values, value)
-    bad = (v < 0) if exact else (v < 0) | F.isnan(v) | (v == float("inf"))
-    values = values.withColumn(value, F.when(bad, F.raise_error(F.lit("a summary takes finite numbers that are not negative")).cast(values.schema[value].dataType)).otherwise(v))
-    use = F.when(v > 0, v) if exclude_zeros else v
-    wide = (lambda c: c.cast("decimal(38,0)")) if exact else (lambda c: c.cast("double"))
+    values = _checked(values, value)
     k = F.struct(*[F.col(c) for c in keys]) if keys else F.struct(F.lit(0).alias("_"))
-    total = F.sum(wide(v))
-    base = values.groupBy(k.alias("_k")).agg(
-        F.count(v).alias("known"), F.count_if(v.isNull()).alias("missing"), total.cast("decimal(38,0)").alias("total") if exact else total.alias("total"), F.count_if(v > 0).alias("nonzero"), F.count_if(v > threshold).alias("above"),
-        F.count(use).alias("n"), F.min(use).alias("min"), F.max(use).alias("max"), F.sum(wide(use)).alias("_sum"),
+    seen = cut(values.groupBy(k.alias("_k"), F.col(value).alias("_v")).agg(F.count("*").alias("_c")))
+    out, columns = _statistics(seen, _exact(values, value), threshold, exclude_zeros, percentiles, interpolation, quantiles)
+    return out.select(*(F.col("_k")[c].alias(c) for c in keys), *columns)
+
+
+#: What a row of summaries() is of.
+LEVELS = ("dataset", "target", "all")
+
+
+def summaries(values: DataFrame, dataset: str, target: str, value: str = "count", **options) -> DataFrame:
+    """The summaries of each dataset, of each target and of the whole matrix, from one scan: `level` (dataset, target, all),
+    dataset, target (null where they are not the key), cells, zeros, then what summarise() has.
+
+    Equal values are counted for the three groupings by one expansion (grouping sets).
+    """
+    values = _checked(values.select(dataset, target, value), value)
+    d, t, v = F.col(dataset), F.col(target), F.col(value)
+    counted = values.groupingSets([[d, v], [t, v], [v]], d, t, v).agg(F.grouping(dataset).alias("_no_dataset"), F.grouping(target).alias("_no_target"), F.count("*").alias("_c"))
+    level = F.when(F.col("_no_dataset") == 0, LEVELS[0]).when(F.col("_no_target") == 0, LEVELS[1]).otherwise(LEVELS[2])
+    seen = cut(counted.select(F.struct(level.alias("level"), d.alias(dataset), t.alias(target)).alias("_k"), v.alias("_v"), "_c"))
+    out, columns = _statistics(seen, _exact(values, value), **options)
+    cells = (F.col("known") + F.col("missing")).alias("cells")
+    return out.select(*(F.col("_k")[c].alias(c) for c in ("level", dataset, target)), cells, (F.col("known") - F.col("nonzero")).alias("zeros"), *columns)
+
+
+def _statistics(seen: DataFrame, exact: bool, threshold=0, exclude_zeros: bool = False, percentiles: tuple = (), interpolation: str = "linear", quantiles: bool = True) -> tuple[DataFrame, list[str]]:
+    """(_k and statistics, the statistics' names) of a written table of (_k, _v, _c): how often each key has each value."""
+    v, c = F.col("_v"), F.col("_c")
+    use = F.when(v > 0, v) if exclude_zeros else v
+    wide = (lambda x: x.cast("decimal(38,0)")) if exact else (lambda x: x.cast("double"))
+    times = (lambda x: (x.cast("decimal(27,0)") * c.cast("decimal(19,0)")).cast("decimal(38,0)")) if exact else (lambda x: x.cast("double") * c)
+    some = lambda condition: F.coalesce(F.sum(F.when(condition, c)), F.lit(0)).cast("long")
+    total = F.sum(times(v))
+    base = seen.groupBy("_k").agg(
+        some(v.isNotNull()).alias("known"), some(v.isNull()).alias("missing"), total.cast("decimal(38,0)").alias("total") if exact else total.alias("total"), some(v > 0).alias("nonzero"), some(v > threshold).alias("above"),
+        some(use.isNotNull()).alias("n"), F.min(use).alias("min"), F.max(use).alias("max"), F.sum(times(use)).alias("_sum"),
     )
     mean = six_decimals(F.col("_sum"), F.col("n")) if exact else F.try_divide("_sum", "n")
     base = base.withColumns({"above_percent": F.try_divide(100.0 * F.col("above"), F.col("known")), "mean": mean}).drop("_sum")
-    band = F.floor(F.log2(F.col("_v").cast("double") + 1) * 1024).cast("int")
-    seen = cut(values.select(k.alias("_k"), use.alias("_v")).where("_v is not null").groupBy("_k", "_v").agg(F.count("*").alias("_c")).withColumn("_b", band))
-    gap = (F.col("_v").cast("decimal(38,6)") - F.col("mean")).cast("double") if exact else F.col("_v") - F.col("mean")
-    spread = seen.join(base.select("_k", "mean"), "_k").groupBy("_k").agg(F.sqrt(F.sum(gap * gap * F.col("_c")) / F.sum("_c")).alias("stddev"))
+    band = F.floor(F.log2(v.cast("double") + 1) * 1024).cast("int")
+    seen = seen.where(use.isNotNull()).withColumn("_b", band)
+    gap = (v.cast("decimal(38,6)") - F.col("mean")).cast("double") if exact else v - F.col("mean")
+    spread = seen.join(base.select("_k", "mean"), "_k").groupBy("_k").agg(F.sqrt(F.sum(gap * gap * c) / F.sum("_c")).alias("stddev"))
     out = base.join(spread, "_k", "left")
     names = [f"p{str(p).replace('.', '_')}" for p in percentiles]
     if quantiles:
@@ -95,8 +130,7 @@ def summarise(values: DataFrame, keys: list[str], value: str = "count", threshol
                 out = out.withColumn(name, a + (b - a) * rest / F.lit(100 * SCALE))
         out = out.drop(*(f"_{t}" for t in tags))
     columns = ["known", "missing", "total", "nonzero", "above", "above_percent", "n", "mean", "min", "max", "stddev", *(["median", *names] if quantiles else [])]
-    out = out.withColumn("total", F.when(F.col("known") > 0, F.col("total")))
-    return out.select(*(F.col("_k")[c].alias(c) for c in keys), *columns)
+    return out.withColumn("total", F.when(F.col("known") > 0, F.col("total"))), columns
 
 
 def nearest_rank(values: DataFrame, keys: list[str], p: float, value: str = "count") -> DataFrame:
@@ -104,8 +138,42 @@ def nearest_rank(values: DataFrame, keys: list[str], p: float, value: str = "cou
     return got.select(*keys, F.col(got.columns[-1]).alias("q"))
 
 
-def approximate(values: DataFrame, keys: list[str], p: float, accuracy: int = 4096, value: str = "count") -> DataFrame:
-    return values.groupBy(*keys).agg(F.percentile_approx(value, p / 100, accuracy).alias("q"), (F.count(value) > accuracy).alias("approximate"))
+def hashed(seed: int, *parts: Column) -> Column:
+    """52 bits of an MD5 of a seed and values, which any engine can repeat."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
+def sample(values: DataFrame, keys: list[str], item: list[str], size: int = 4096, seed: int = 1, value: str = "count") -> DataFrame:
+    """The `size` known values of each key with the least hashes of (key, item), ties by the item: a uniform sample, the same for
+    any partitioning, and of a union the least of the parts' samples.
+
+    Hashes are counted in 4,096 ranges a key; rows of ranges beyond the one that fills the sample are left out before any meet, so
+    a key's task gets its sample and one range, whatever the key's rows.
+    """
+    if not 256 <= size <= 65_536:
+        raise ValueError("samples have 256 to 65,536 values")
+    rows = values.where(F.col(value).isNotNull()).withColumn("_h", hashed(seed, *(F.col(c) for c in (*keys, *item)))).withColumn("_slot", F.shiftright("_h", 40))
+    w = Window.partitionBy(*keys).orderBy("_slot")
+    slots = rows.groupBy(*keys, "_slot").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(w) - F.col("_n"))
+    last = slots.where(F.col("_before") < size).groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys))).agg(F.max("_slot").alias("_last"))
+    near = F.col("_slot") <= F.col("_last")
+    for i, c in enumerate(keys):
+        near = near & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    some = rows.join(last, near).drop(*(f"_k{i}" for i in range(len(keys))), "_last", "_slot")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", *item))
+    return some.withColumn("_r", rank).where(F.col("_r") <= size).drop("_r", "_h")
+
+
+def approximate(values: DataFrame, keys: list[str], item: list[str], percentiles: tuple = (50,), size: int = 4096, seed: int = 1, value: str = "count") -> DataFrame:
+    """Percentiles of a sample: keys, a column each (p50 ...), sample_n, and quantiles_approximate: whether there was more."""
+    got = summarise(cut(sample(values, keys, item, size, seed, value)), keys, value, percentiles=percentiles)
+    names = [c for c in got.columns if c.startswith("p") and c[1:2].isdigit()]
+    known = values.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys))).agg(F.count(value).alias("_n"))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return got.join(known, same).select(*keys, *names, F.col("n").alias("sample_n"), (F.col("_n") > size).alias("quantiles_approximate"))
 
 
 def top(counts: DataFrame, group: str, item: str, n: int, value: str = "count") -> DataFrame:

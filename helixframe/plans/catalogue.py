@@ -333,9 +333,25 @@ def pct_nearest_rank(spark, d):
     return explore.nearest_rank(matrix(spark, d), ["dataset"], 75).withColumn("q", F.col("q").cast("double"))
 
 
-@query()
+_HASH = "CAST('0x' || substr(md5('1:' || dataset || ':' || target), 1, 13) AS BIGINT)"
+
+
+@query(_BASE + f""", s AS (SELECT dataset, count, row_number() OVER (PARTITION BY dataset ORDER BY {_HASH}, target) AS r, count(*) OVER (PARTITION BY dataset) AS n FROM mat)
+SELECT dataset, round(quantile_cont(count, 0.75), 6) AS p75, round(quantile_cont(count, 0.5), 6) AS p50, count(*) AS sample_n, any_value(n) > 256 AS quantiles_approximate FROM s WHERE r <= 256 GROUP BY dataset""")
 def pct_approx(spark, d):
-    return explore.approximate(matrix(spark, d), ["dataset"], 75)
+    """Percentiles of samples of 256 values a dataset."""
+    got = explore.approximate(matrix(spark, d), ["dataset"], ["target"], (75, 50), 256)
+    return got.withColumns({p: F.round(F.col(p).cast("double"), 6) for p in ("p75", "p50")})
+
+
+_ONE = """SELECT {0}, CAST(count(*) AS BIGINT) AS cells, CAST(count(*) FILTER (count = 0) AS BIGINT) AS zeros, CAST(sum(count) AS BIGINT) AS total, count(*) FILTER (count > 100) AS above, round(avg(count::DOUBLE), 6) AS mean, min(count) AS min, max(count) AS max, round(stddev_pop(count::DOUBLE), 6) AS stddev, round(quantile_cont(count, 0.5), 6) AS median, round(quantile_cont(count, 0.9), 6) AS p90 FROM mat"""
+
+
+@query(_BASE + _ONE.format("'dataset' AS level, dataset, NULL AS target") + " GROUP BY dataset UNION ALL " + _ONE.format("'target', NULL, target") + " GROUP BY target UNION ALL " + _ONE.format("'all', NULL, NULL"))
+def summaries_at_once(spark, d):
+    """Datasets, targets and the whole matrix from one scan."""
+    got = explore.summaries(matrix(spark, d), "dataset", "target", threshold=100, percentiles=(90,))
+    return got.select("level", "dataset", "target", "cells", "zeros", F.col("total").cast("long").alias("total"), "above", "min", "max", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in ("mean", "stddev", "median", "p90")))
 
 
 _TOP = """, tp AS (SELECT dataset, target, count, row_number() OVER (PARTITION BY dataset ORDER BY count DESC, target) AS rank FROM mat WHERE count > 0), gt AS (SELECT dataset, CAST(sum(count) AS BIGINT) AS group_total FROM mat GROUP BY dataset)

@@ -360,10 +360,72 @@ def test_results_are_checked(spark, tmp_path):
     assert [tuple(x) for x in vectors.sparse_rows(rows, 1_000_000).orderBy("feature_id").collect()] == [(1, "3.5"), (3, "2")]
 
 
-def test_approximate_quantiles_are_exact_below_their_size(spark):
-    rows = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("count"))
-    got = explore.approximate(rows, ["k"], 75, 4096).first()
-    assert (got.q, got.approximate) == (749, False)
+def test_samples_are_the_same_for_any_partitioning(spark):
+    rows = spark.range(3000).select((F.col("id") % 2).alias("k"), F.col("id").alias("i"), (F.col("id") * 7 % 1000).alias("count"))
+    few = explore.approximate(rows.where("id < 400"), ["k"], ["i"], (75,)).orderBy("k").collect()
+    assert [(r.k, r.sample_n, r.quantiles_approximate) for r in few] == [(0, 200, False), (1, 200, False)]
+    true = explore.summarise(rows.where("id < 400"), ["k"], percentiles=(75,)).orderBy("k").collect()
+    assert [r.p75 for r in few] == [r.p75 for r in true]
+    take = lambda df, **x: {(r.k, r.i) for r in explore.sample(df, ["k"], ["i"], 256, **x).collect()}
+    one = take(rows)
+    assert one == take(rows.repartition(13)) == take(rows.orderBy(F.desc("i"))) and len(one) == 512 and one != take(rows, seed=2)
+    # the sample of a union is the least of the parts' samples
+    parts = [explore.sample(rows.where(f"i % 3 = {x}"), ["k"], ["i"], 256) for x in range(3)]
+    assert take(parts[0].unionByName(parts[1]).unionByName(parts[2])) == one
+    got = explore.approximate(rows, ["k"], ["i"], (50,), 256).first()
+    assert got.quantiles_approximate and got.sample_n == 256 and abs(float(got.p50) - 500) < 120
+    with pytest.raises(ValueError):
+        explore.sample(rows, ["k"], ["i"], 10)
+
+
+def test_summaries_of_one_scan_are_those_of_three(spark):
+    rows = spark.createDataFrame([(d, t, None if (d, t) == (1, 2) else (d * t) % 5) for d in (1, 2, 3) for t in range(7)] + [(None, 1, 4)], "dataset int, target int, count long")
+    got = explore.summaries(rows, "dataset", "target", percentiles=(25,))
+    plan = got._jdf.queryExecution().toString()
+    for level, keys in (("dataset", ["dataset"]), ("target", ["target"]), ("all", [])):
+        want = explore.summarise(rows, keys, percentiles=(25,))
+        assert sorted(map(repr, got.where(F.col("level") == level).select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+    whole = got.where("level = 'all'").first()
+    assert (whole.cells, whole.known, whole.missing) == (22, 21, 1) and whole.zeros == whole.known - whole.nonzero and "Scan parquet" in plan
+
+
+def test_counts_that_were_changed_are_refused(spark, tmp_path):
+    import shutil
+
+    targets = spark.createDataFrame([(i, f"t{i}", 10, 1, 5) for i in (1, 2, 3)], "target_id long, name string, length long, unique_kmers long, kmer_length long")
+    datasets = spark.createDataFrame([(1, "a", "dataset", 9, 1), (2, "b", "dataset", 9, 1)], "dataset int, name string, kind string, numerator long, scale long")
+    counts = spark.createDataFrame([(d, t, d * t) for d in (1, 2) for t in (1, 2, 3)], "dataset int, target_id long, count long")
+    results.save_results(str(tmp_path / "r"), targets, datasets, counts, "exon", 5)
+    assert results.open_results(spark, str(tmp_path / "r")).counts.count() == 9
+    kind = "target_id long, count long"
+    for name, rows in {"changed": [(1, 2), (2, 4), (3, 7)], "lost": [(1, 2), (2, 4)], "doubled": [(1, 2), (2, 4), (3, 6), (3, 6)], "swapped": [(1, 4), (2, 2), (3, 6)]}.items():
+        path = tmp_path / name
+        shutil.copytree(tmp_path / "r", path)
+        spark.createDataFrame(rows, kind).write.mode("overwrite").parquet(f"{path}/counts/dataset=2")
+        with pytest.raises(ValueError, match="not those that were saved: 2"):
+            results.open_results(spark, str(path))
+        assert results.open_results(spark, str(path), verify=False).counts.count() > 0
+    shutil.copytree(tmp_path / "r", tmp_path / "gone")
+    shutil.rmtree(tmp_path / "gone" / "counts" / "dataset=1")
+    with pytest.raises(ValueError, match="saved: 1"):
+        results.open_results(spark, str(tmp_path / "gone"))
+    shutil.copytree(tmp_path / "r", tmp_path / "sum")
+    spark.createDataFrame([(1, 1), (2, 2), (3, 3)], kind).write.mode("overwrite").parquet(f"{tmp_path}/sum/global")
+    with pytest.raises(ValueError, match="global"):
+        results.open_results(spark, str(tmp_path / "sum"))
+    n = results.write_summaries(counts, targets, datasets, str(tmp_path / "s"), "gz", percentiles=(50,))
+    back = spark.read.option("header", True).csv(f"{tmp_path}/s/datasets")
+    assert n["overview"] == 1 and [(r.name, r.total, r.cells) for r in back.orderBy("dataset").collect()] == [("a", "6", "3"), ("b", "12", "3")]
+    assert results.write_matrix_page(counts, targets, datasets, str(tmp_path / "page"), height=2, row_page=0) >= 1
+    page = spark.read.option("header", True).csv(f"{tmp_path}/page").orderBy("target_id").collect()
+    assert [tuple(r) for r in page] == [("1", "t1", "1", "2"), ("2", "t2", "2", "4")] and page[0].asDict().keys() == {"target_id", "name", "a", "b"}
+
+
+def test_sheets_of_failed_tasks_leave_nothing(spark, tmp_path):
+    bad = spark.range(2000).repartition(4).select("id", F.when(F.col("id") == 1500, F.raise_error(F.lit("stop here")).cast("long")).otherwise(F.col("id")).alias("x"))
+    with pytest.raises(Exception, match="stop here"):
+        results.write_csv(bad, str(tmp_path / "out"), "zstd")
+    assert not [x for x in tmp_path.iterdir() if not x.name.startswith(".")] and not any((tmp_path / "out").glob("*"))
 
 
 def levels_of(maximum, bits):
