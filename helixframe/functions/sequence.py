@@ -20,16 +20,6 @@ def runs(seq: Column, k: int) -> Column:
     return F.filter(F.regexp_extract_all(upper_dna(seq), F.lit("([ACGT]+)"), 1), lambda r: F.length(r) >= k)
 
 
-def windows(run: Column, k: int) -> Column:
-    """All k-mers of a run, in order; none if it is shorter."""
-    return F.when(F.length(run) >= k, F.transform(F.sequence(F.lit(1), F.length(run) - k + 1), lambda i: F.substring(run, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-
-def canonical(kmer: Column) -> Column:
-    """The smaller of a k-mer and its reverse complement."""
-    return F.least(kmer, F.reverse(F.translate(kmer, "ACGT", "TGCA")))
-
-
 def packed(kmer: Column) -> Column:
     """Two bits a base, for up to 31 bases; order and equality are kept."""
     return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")
@@ -141,15 +131,14 @@ def percent_escape(value: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sorts names ignoring case, with runs of digits by their number, of any length: a run is preceded by how many digits it
-    has without leading zeros (in ten digits, more than a string can hold)."""
-    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), 1)
+    """Sorts names ignoring case and accents, with runs of digits by their number, of any length: an array of parts, of which
+    text is compared by Spark's collation UNICODE_CI_AI, and a run of digits by how many it has without leading zeros, then by
+    these.  Names that differ only in case, accents or leading zeros are equal."""
+    parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), 1)
     plain = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lpad(F.length(plain(p)).cast("string"), 10, "0"), plain(p))).otherwise(p)), "")
-
-
-def log_cell(value: Column) -> Column:
-    return F.log10(value + 1)
+    number = lambda p: F.concat(F.lpad(F.length(plain(p)).cast("string"), 10, "0"), plain(p))
+    keyed = lambda p: F.collate(F.when(p.rlike(r"^\d+$"), number(p)).otherwise(p), "UNICODE_CI_AI")
+    return F.transform(parts, keyed)
 
 
 def exon_name(number: Column, contig: Column, start: Column, end: Column, strand: Column, exon_ids: Column, gene_ids: Column) -> Column:

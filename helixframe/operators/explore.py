@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.sequence import SCALE, natural_key, six_decimals
-from ..storage import cut
+from ..storage import cut, forget
 
 
 def select(counts: DataFrame, key: str, names: DataFrame | None = None, ids: DataFrame | None = None, name: str = "name") -> DataFrame:
@@ -402,18 +402,30 @@ def check_request(mode: str = "none", threshold=0, low=None, high=None, scope: i
 
 
 class Requests:
-    """Results kept by request, so that asking again computes nothing; work of a request can be cancelled."""
+    """Results written by what is asked: a plan that is the same to Spark (semanticHash) is computed once and read after that, also by
+    other threads.  Running work has a tag of its request, by which it is cancelled; the oldest of more than `most` results go."""
 
     def __init__(self, spark, most: int = 8):
         self.spark, self.most, self.kept = spark, most, {}
 
-    def get(self, key: tuple, make) -> DataFrame:
-        if key not in self.kept:
-            while len(self.kept) >= self.most:
-                self.kept.pop(next(iter(self.kept))).unpersist()
-            self.spark.sparkContext.setJobGroup(repr(key), repr(key), True)
-            self.kept[key] = make().cache()
-        return self.kept[key]
-
-    def cancel(self, key: tuple) -> None:
-        self.spark.sparkContext.cancelJobGroup(repr(key))
+    @staticmethod
+    def tag(df: DataFrame) -> str:
+        return f"request-{df.semanticHash()}"
+
+    def get(self, df: DataFrame) -> DataFrame:
+        tag, sc = self.tag(df), self.spark.sparkContext
+        known = self.kept.get(tag)
+        if known is None or not known[0].sameSemantics(df):
+            sc.addJobTag(tag)
+            try:
+                known = df, cut(df)
+            finally:
+                sc.removeJobTag(tag)
+            self.kept[tag] = known
+            while len(self.kept) > self.most:
+                forget(self.kept.pop(next(iter(self.kept)))[1])
+        return known[1]
+
+    def cancel(self, df: DataFrame) -> None:
+        """Ends the jobs of a request that is running, in whatever thread; its get() raises there and nothing is kept."""
+        self.spark.sparkContext.cancelJobsWithTag(self.tag(df))

@@ -53,23 +53,7 @@ def counts_of(spark, d) -> DataFrame:
     return quantify.count_targets(reads(spark, d), owner_table_of(spark, d), "dataset", "seq", "w", K)
 
 
-#: By folder of tables: where write_matrix has put their matrix.
-_WRITTEN: dict[str, str] = {}
-
-
-def write_matrix(spark, d, path: str) -> None:
-    """Builds the matrix once; queries of the folder d read it from then on (forget_matrix ends that)."""
-    matrix(spark, d).write.parquet(path)
-    _WRITTEN[d] = path
-
-
-def forget_matrix(d: str) -> None:
-    _WRITTEN.pop(d, None)
-
-
 def matrix(spark, d) -> DataFrame:
-    if d in _WRITTEN:
-        return spark.read.parquet(_WRITTEN[d])
     counts = quantify.finish(counts_of(spark, d).withColumn("raw", F.col("raw") * 100_000), fn.SCALE)
     return quantify.dense(counts, reads(spark, d).select("dataset").distinct(), records(spark, d), "dataset", "target")
 

@@ -54,6 +54,11 @@ def test_names_sort_by_their_numbers(spark):
     names = ["g10", "G9", "g09", "g" + "9" * 30, "g1" + "0" * 30, "a"]
     got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(fn.natural_key(F.col("n")), "n").collect()]
     assert got == ["a", "G9", "g09", "g10", "g" + "9" * 30, "g1" + "0" * 30]
+    rows = [(i, n) for i, n in enumerate(["zebra", "école", "Ecole", "ecole2", "é10", "e9", "b10", "B2", "b02"])]
+    table = spark.createDataFrame(rows, "i int, n string")
+    order = [r.n for r in table.orderBy(fn.natural_key(F.col("n")), "i").collect()]
+    assert order == ["B2", "b02", "b10", "e9", "é10", "école", "Ecole", "ecole2", "zebra"]
+    assert [r.n for r in explore.sorted_by(table.withColumnRenamed("n", "name"), "name-asc", "i").orderBy("position").select(F.col("name").alias("n")).collect()] == order
 
 
 @pytest.mark.parametrize("k", [3, 7, 31, 33, 63])
@@ -153,10 +158,36 @@ def test_explorer_orders_lists_and_checks(spark):
     kinds = spark.createDataFrame([("t", "dataset", 10.0), ("t", "dataset", 0.0), ("t", "global", 10.0), ("u", "dataset", None), ("u", "dataset", 0.0)], "target string, kind string, value double")
     got = {(r.target, r.kind, r.value): (r.fold, r.log2_fold) for r in explore.fold(kinds, "target", "value", "kind").collect()}
     assert got == {("t", "dataset", 10.0): (2.0, 1.0), ("t", "dataset", 0.0): (0.0, float("-inf")), ("t", "global", 10.0): (None, None), ("u", "dataset", None): (None, None), ("u", "dataset", 0.0): (None, None)}
-    kept = explore.Requests(spark, 1)
-    assert kept.get(("a",), lambda: t) is kept.get(("a",), lambda: t.limit(1)) and kept.get(("b",), lambda: t).count() == 4 and list(kept.kept) == [("b",)]
-    kept.get(("c",), lambda: t)
-    kept.cancel(("c",))
+
+
+def test_requests_are_computed_once_and_cancelled(spark):
+    import threading
+    import time
+
+    kept = explore.Requests(spark, 2)
+    base = spark.range(100)
+    ask = lambda n: base.where(F.col("id") % 7 == n).groupBy("id").count()
+    one = kept.get(ask(1))
+    assert kept.get(ask(1)) is one and kept.get(ask(2)) is not one and one.count() == 15 and len(kept.kept) == 2
+    kept.get(ask(3))
+    assert len(kept.kept) == 2 and kept.get(ask(1)) is not one
+    slow = spark.range(4).repartition(4).select(F.expr("java_method('java.lang.Thread', 'sleep', id * 0 + 20000)").alias("x"))
+    ended = []
+
+    def run():
+        try:
+            kept.get(slow)
+        except Exception as e:
+            ended.append(e)
+
+    thread = threading.Thread(target=run)
+    began = time.time()
+    thread.start()
+    while thread.is_alive() and time.time() - began < 18:
+        time.sleep(0.5)
+        kept.cancel(slow)
+    thread.join(25)
+    assert ended and time.time() - began < 18 and kept.tag(slow) not in kept.kept
 
 
 def test_annotation_lines(spark, tmp_path):
