@@ -92,6 +92,10 @@ def windows_of(items: DataFrame, width: int) -> DataFrame:
     return rows.select("item", F.size("w").alias("size"), F.array_join("w", " ").alias("window")).distinct()
 
 
+#: Bytes of items' texts whose index each Python worker may hold: about 190 times as much memory.
+MOST_BYTES = 1 << 20
+
+
 def prefix_tokens(windows: DataFrame, shingle: int) -> DataFrame:
     """(token, back, size, window): each distinct window by its rarest shingle and the first place of it."""
     each = windows.select("window", "size").distinct()
@@ -149,7 +153,7 @@ def hits_by_shuffle(docs: DataFrame, text: str, key: Column, items: DataFrame, w
     return got.select("key", F.aggregate("s", empty, add).alias("spans"), "items")
 
 
-def find_items(docs: DataFrame, text: str, items: DataFrame, item_id: str, item_text: str, width: int = 10, shingle: int = 3, most_bytes: int = 16 << 20, out: str = "found") -> DataFrame:
+def find_items(docs: DataFrame, text: str, items: DataFrame, item_id: str, item_text: str, width: int = 10, shingle: int = 3, most_bytes: int = MOST_BYTES, out: str = "found") -> DataFrame:
     """docs with the struct column `out`: n_words, spans (starts and ends of hit runs, in words) and the sorted item ids."""
     wanted = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
     size = wanted.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
