@@ -301,6 +301,21 @@ def target_focus(counts: DataFrame, target: str, dataset: str, chosen, n: int =
     return rows.withColumn("rank", F.when(F.col(value) > 0, ranked)).withColumn("shown", F.coalesce(F.col("rank") <= n, F.lit(False)))
 
 
+def focus_summary(counts: DataFrame, target: str, chosen, value: str = "count", kind: str | None = None, **options) -> DataFrame:
+    """The distribution of one target over its datasets (global and statistic vectors left out), as summarise() has it, with how many
+    datasets there are."""
+    rows = counts.where(F.col(target) == chosen)
+    rows = rows if kind is None else real_datasets(rows, kind)
+    return summarise(rows, [], value, **options).withColumn("datasets", F.col("known") + F.col("missing"))
+
+
+def focus_page(focus: DataFrame, dataset: str, number: int, size: int = 100) -> DataFrame:
+    """A page of target_focus(): ranked datasets by rank, then those without a count, by dataset."""
+    last = (1 << 62) + F.row_number().over(Window.partitionBy(F.col("rank").isNull()).orderBy(dataset))
+    order = focus.withColumn("_place", F.coalesce("rank", last))
+    return order.orderBy("_place").offset(number * size).limit(size).drop("_place")
+
+
 def display_bounds(counts: DataFrame, low=None, high=None, value: str = "value") -> DataFrame:
     """Column `shown`: the value, null outside the bounds; nothing else changes."""
     inside = (F.lit(True) if low is None else F.col(value) >= low) & (F.lit(True) if high is None else F.col(value) <= high)

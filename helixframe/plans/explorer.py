@@ -174,3 +174,43 @@ def short_numbers(spark, d):
     large = (F.col("l_orderkey").cast("decimal(13,0)") * F.col("l_partkey").cast("decimal(13,0)") * ten).cast("decimal(38,0)")
     v = F.when(F.col("l_linenumber") == 1, (F.col("l_orderkey") % 1200).cast("decimal(38,0)")).otherwise(large)
     return li.select("*", fn.short_number(v).alias("short"), fn.scientific(v).alias("scientific"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN p IS NULL THEN '–' WHEN p > 0 AND p < 0.01 THEN printf('%.2e%%', p) ELSE printf('%.2f%%', p) END AS share FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber < 7 THEN l_discount / (3 * power(100, l_linenumber - 1)) * 100 END AS p FROM lineitem)")
+def percent_texts(spark, d):
+    """Shares of all sizes, and missing ones, as text."""
+    share = F.when(F.col("l_linenumber") < 7, F.col("l_discount") / (3 * F.pow(F.lit(100.0), F.col("l_linenumber") - 1)))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fn.percentage(share).alias("share"))
+
+
+@query("SELECT doc_id, '\"' || replace(coalesce(text, ''), '\"', '\"\"') || '\"' AS cell, regexp_extract(text, '^\\s*(\\S+)', 1) AS first FROM documents")
+def text_cells(spark, d):
+    """Whole texts as quoted cells, and their first words, as of headers."""
+    return _t(spark, d, "documents").select("doc_id", fn.csv_cell(F.col("text")).alias("cell"), fn.first_token(F.col("text")).alias("first"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (m // 1000000) || CASE WHEN m % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad((m % 1000000)::VARCHAR, 6, '0'), '0') END AS text FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey AS BIGINT) * l_orderkey * 1250 AS m FROM lineitem)")
+def decimal_texts(spark, d):
+    micro = F.col("l_partkey").cast("long") * F.col("l_orderkey") * 1250
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fn.decimal_text(micro).alias("text"))
+
+
+@query(_BASE + "SELECT count(*) AS datasets, CAST(sum(count) AS BIGINT) AS total, count(*) FILTER (count > 0) AS nonzero, round(avg(count::DOUBLE), 6) AS mean, round(stddev_pop(count::DOUBLE), 6) AS stddev, round(quantile_cont(count, 0.5), 6) AS median, round(quantile_cont(count, 0.9), 6) AS p90 FROM mat WHERE target = 7")
+def focus_summary(spark, d):
+    """How one target is spread over its datasets."""
+    got = explore.focus_summary(matrix(spark, d), "target", 7, percentiles=(90,))
+    return got.select("datasets", F.col("total").cast("long").alias("total"), "nonzero", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in ("mean", "stddev", "median", "p90")))
+
+
+@query(_BASE + "SELECT dataset, count FROM mat WHERE target = 7 ORDER BY count DESC, dataset LIMIT 4 OFFSET 4")
+def focus_page(spark, d):
+    """The second page of four of one target's datasets, the largest first."""
+    rows = matrix(spark, d).where("target = 7").withColumn("value", F.col("count").cast("double"))
+    return explore.focus_page(explore.target_focus(rows, "target", "dataset", 7), "dataset", 1, 4).select("dataset", "count")
+
+
+@query(_BASE + "SELECT dataset, 'sample_' || dataset AS name FROM (SELECT DISTINCT dataset FROM rd) WHERE dataset IN (3, 8)")
+def lookup_dataset(spark, d):
+    """Datasets by exact name, and by position."""
+    table = reads(spark, d).select("dataset").distinct().select("dataset", F.concat(F.lit("sample_"), F.col("dataset").cast("string")).alias("name"))
+    return explore.lookup(table, "sample_3", "dataset", "name").unionByName(explore.lookup(table, "#8", "dataset", "name"))

@@ -436,6 +436,12 @@ def test_counts_that_were_changed_are_refused(spark, tmp_path):
         with pytest.raises(ValueError, match="not those that were saved: 2"):
             results.open_results(spark, str(path))
         assert results.open_results(spark, str(path), verify=False).counts.count() > 0
+    shutil.copytree(tmp_path / "r", tmp_path / "out")
+    told = (tmp_path / "out" / "manifest.json").read_text()
+    (tmp_path / "out" / ".manifest.json.crc").unlink(missing_ok=True)
+    (tmp_path / "out" / "manifest.json").write_text(told.replace('"counts": "counts"', '"counts": "../r/counts"'))
+    with pytest.raises(ValueError, match="leaves the result"):
+        results.open_results(spark, str(tmp_path / "out"))
     shutil.copytree(tmp_path / "r", tmp_path / "gone")
     shutil.rmtree(tmp_path / "gone" / "counts" / "dataset=1")
     with pytest.raises(ValueError, match="saved: 1"):
