@@ -202,14 +202,15 @@ def fold(counts: DataFrame, target: str, value: str = "value", kind: str | None
 
 
 def ordered(rows: DataFrame, key: str, item: str, descending: bool = True) -> DataFrame:
-    """Column `position` from 1: by key, nulls last, ties by item ascending.  Ranges are sorted and numbered apart, not in one task."""
+    """Column `position` from 1: by key, nulls last, ties by item ascending.  Ranges are sorted and numbered where they are, from
+    where the ranges before end: one shuffle, and a row for each range in one place."""
     by = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()
-    dealt = rows.repartitionByRange(by, F.col(item)).withColumn("_part", F.spark_partition_id())
     # written once: what is counted below must be the ranges that were numbered here
-    local = cut(dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(by, item))))
-    sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return local.join(F.broadcast(before), "_part").withColumn("position", F.col("_r") + F.col("_before")).drop("_part", "_r", "_before")
+    local = cut(rows.repartitionByRange(by, F.col(item)).sortWithinPartitions(by, F.col(item)).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id") % (1 << 33)
+    sizes = local.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return local.join(F.broadcast(before), part == F.col("_part")).withColumn("position", place + 1 + F.col("_before")).drop("_part", "_id", "_before")
 
 
 def page(counts: DataFrame, positions: DataFrame, item: str, number: int, size: int = 100) -> DataFrame:

@@ -377,12 +377,10 @@ def _fit_in_blocks(mine: DataFrame, job, max_iterations: int, tolerance: float,
 
 
 def _numbered(rows: DataFrame, key: str) -> DataFrame:
-    """rows with a column `at` that counts them from 0, each partition of a range of keys apart."""
-    local = cut(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id()))
-    part, place = F.shiftright("_id", 33), F.col("_id") % (1 << 33)
-    sizes = local.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row a partition
-    return local.join(F.broadcast(before), part == F.col("_p")).withColumn("at", place + F.col("_before")).drop("_id", "_p", "_before")
+    """rows with a column `at` that counts them from 0."""
+    from .explore import ordered
+
+    return ordered(rows, key, key, False).withColumn("at", F.col("position") - 1).drop("position")
 
 
 def _blocks(batches):

@@ -101,13 +101,13 @@ def test_components_all_reaches_every_edge(spark, tmp_path):
             label |= dict.fromkeys(parts, min(label[p] for p in parts))
         if old == label:
             break
-    got = {r.transcript: r.component for r in catalogue.queries()["components_all"](spark, str(tmp_path)).collect()}
+    got = {r.transcript: r.component for r in catalogue.queries()["components"](spark, str(tmp_path)).collect()}
     assert got == label and len(set(label.values())) > 5 and got[1007] == 1001
 
 
 def test_features_of_all_bases(spark):
     # every window of 64 - 7 + 1 is in one class
-    got = catalogue.queries()["observable_kmers_all"](spark, SF).agg(F.sum("observable_kmers")).first()[0]
+    got = catalogue.queries()["observable_kmers"](spark, SF).agg(F.sum("observable_kmers")).first()[0]
     assert got == 58 * spark.read.parquet(f"{SF}/part.parquet").count()
 
 
