@@ -655,3 +655,17 @@ def test_a_frequent_kmer_is_few_rows(spark, k):
     total = lambda x: {(r.dataset, bytes(r.ck) if k > 31 else r.ck): (r.w, r.n) for r in x.groupBy("dataset", "ck").agg(F.sum("w").alias("w"), F.sum("windows").alias("n")).collect()}
     assert total(got) == total(index.kmer_sums(df, "dataset", "seq", "w", k))
     assert sum(n for _, n in total(got).values()) == 900 * (121 - k)
+
+
+@pytest.mark.parametrize("bits", range(2, 17))
+def test_codes_are_read_where_they_lie(bits):
+    rng = np.random.default_rng(bits)
+    for n in (1, 7, 8, 9, 1000):
+        codes = rng.integers(0, 1 << bits, n)
+        raw = vectors.pack_bits(codes, bits)
+        assert (vectors.unpack_bits(raw, bits, n) == codes).all()
+        at = rng.integers(0, n, 20)
+        assert (vectors.codes_at(raw, bits, at) == codes[at]).all()
+        if n * bits % 8:
+            with pytest.raises(ValueError, match="padding"):
+                vectors.unpack_bits(raw[:-1] + bytes([raw[-1] | 0x80]), bits, n)
