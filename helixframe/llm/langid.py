@@ -29,6 +29,8 @@ from .common import annotate, bounded_sample, bytes_of, pieces
 UND = "und"
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 CHUNK = 1 << 18
+#: Characters that are scored at once; each takes over a hundred bytes in arrays, and a worker that stays keeps some of them.
+BLOCK = 1 << 15
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -141,7 +143,7 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         got = [(UND, 0.0)] * len(texts)
         if self.languages:
-            for at, some in blocks([t if t and any(map(str.isalpha, t)) else None for t in texts]):
+            for at, some in blocks([t if t and any(map(str.isalpha, t)) else None for t in texts], BLOCK):
                 total = self.totals(some)
                 best = total.argmax(axis=1)
                 top = total[np.arange(len(some)), best]

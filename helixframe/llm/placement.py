@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,8 @@ def place(df: DataFrame, key: str, shards: list[str], fallback: str | None = Non
     table = fill(shards, slots, weights)
     # all helper columns are free of clashes with df; a column of df named like an output is replaced by it
     look, number, at = (free_name(df, x) for x in ("_slot_key", "_slot_number", "_slot_at"))
-    lookup = df.sparkSession.createDataFrame([(i, int(s)) for i, s in enumerate(table)], f"{look} long, {number} int")
+    # an Arrow table becomes a local relation; a list of rows would start Python workers on every executor, which then stay
+    lookup = df.sparkSession.createDataFrame(pa.table({look: np.arange(slots), number: table}))
     value = F.coalesce(F.col(f"`{key}`").cast("string"), *([F.col(f"`{fallback}`").cast("string")] if fallback else []), F.lit(""))
     # the lookup has `slots` rows, whatever the input
     got = df.withColumn(at, slot_of(value, slots)).join(F.broadcast(lookup), F.col(at) == F.col(look))

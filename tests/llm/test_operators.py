@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import json
+import tracemalloc
 import zlib
 
 import duckdb
@@ -268,6 +269,40 @@ def test_placement_against_plain_filling(spark, odd):
     assert placement.place(odd.where("false"), "doc_id", names, fallback="text", slots=slots).count() == 0
 
 
+def test_arrays_of_a_task_are_bounded():
+    """Peaks of numpy's memory: of 3.9 million listed pairs (193 MB in one go), and of 1.1 million characters in blocks of 32,768 (35 MB at 262,144)."""
+    sides = []
+    for seed in (1, 2):
+        rng = np.random.default_rng(seed)
+        sides.append([[] for _ in range(200)])
+        for token in range(3000):
+            for i in rng.choice(200, 36, replace=False):
+                sides[-1][i].append(token)
+    left, right = ([np.array(x, dtype=np.uint64) for x in s] for s in sides)
+    ids = tuple(f"l{i:02d}" for i in range(20))
+    model = langid.LanguageModel(ids, np.arange((1 << 14) + 1) * 20, np.tile(np.arange(20), 1 << 14), np.random.default_rng(3).random(20 << 14), np.full(20, -9.0), np.zeros(20), 14)
+    texts = ["Some words of English text and others, number %d of many. " % i * 20 for i in range(900)]
+    tracemalloc.start()
+    try:
+        same = jaccard.overlaps(left, right)
+        assert tracemalloc.get_traced_memory()[1] < 80e6
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        got = model.predict(texts)
+        assert tracemalloc.get_traced_memory()[1] - before < 20e6
+    finally:
+        tracemalloc.stop()
+    assert same.sum() == 3000 * 36 * 36 and all(same[i, j] == len(np.intersect1d(left[i], right[j])) for i in range(0, 200, 40) for j in range(0, 200, 40))
+    assert got == [x for t in texts for x in model.predict([t])]
+
+
+def test_placement_starts_no_python_on_executors(spark):
+    """The table of slots is in the plan; a list of rows would pass through Python workers, which keep their memory."""
+    got = placement.place(spark.range(100), "id", ["a", "b"], slots=101)
+    assert "LogicalRDD" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 100 and dict(got.dtypes)["shard"] == "int"
+
+
 def test_mixing_odd(spark, odd):
     got = mixing.mix(odd, "doc_id", "text", "source", out="m").select("doc_id", "source", "m.*").collect()
     assert len(got) == 9 and all(0 <= r.taken <= 2 * r.size for r in got)
