@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import index, quantify, spans
 from helixframe.plans import catalogue
+from helixframe.sources import results
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +54,48 @@ def test_spans_count_as_kmers_do(spark, k):
 def test_reads_of_many_datasets_move_their_windows_once(spark):
     # 200 parts of 50 windows in ten datasets: 95,000 k-mers would be over 1 MB
     assert shuffled(spark, lambda: drained(catalogue.queries()["quantify_reads"](spark, SF))) < 400_000
+
+
+@pytest.mark.parametrize("k", [7, 15, 33])
+def test_unique_counts_by_spans(spark, k):
+    rng = np.random.default_rng(k)
+    own = [bases(rng, n) for n in (64, 200, 300)]
+    records = spark.createDataFrame([("x", own[0]), ("y", own[1]), ("z", own[1][20:] + own[2]), (None, own[0]), ("none", "A"), ("r", "A" * 400)], "target string, seq string").repartition(2)
+    lengths = index.targets(records, k, "target", "seq")
+    want = index.unique_counts(index.owners(index.kmers(records, ["target"], "seq", k), "target"), lengths, "target")
+    rows = lambda df: sorted(map(repr, df.select("target", "length", "unique_kmers").collect()))
+    assert rows(spans.unique_counts(records, lengths, "target", "seq", k)) == rows(want)
+
+
+def test_summed_reads_have_the_same_metrics(spark):
+    reads = spark.createDataFrame([(1, "ACGTACGT", 2), (1, "ACGTACGT", 3), (1, "AC", 1), (None, "ACGTN", 4)], "d int, s string, w long")
+    summed = reads.groupBy("d", "s").agg(F.sum("w").alias("w"), F.count("*").alias("records"))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(quantify.dataset_metrics(summed, "d", "s", "w", 3)) == rows(quantify.dataset_metrics(reads, "d", "s", "w", 3))
+    assert rows(quantify.collapse(summed, "d", "s", "w")) == rows(quantify.collapse(reads, "d", "s", "w"))
+
+
+def test_a_result_is_written_from_tables_made_once(spark, tmp_path):
+    made = {name: spark.sparkContext.accumulator(0) for name in ("targets", "datasets", "counts")}
+
+    def seen(df, name):
+        def run(batches):
+            for batch in batches:
+                made[name].add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run, df.schema)
+
+    targets = spark.createDataFrame([(i, f"t{i}", 9, 1, 3) for i in (1, 2, 3)], "target_id long, name string, length long, unique_kmers long, kmer_length long")
+    datasets = spark.createDataFrame([(1, "a", "dataset", 5, 1), (2, "b", "dataset", 6, 1)], "dataset long, name string, kind string, numerator long, scale int")
+    counts = spark.createDataFrame([(d, t, d * t) for d in (1, 2) for t in (1, 2, 3)], "dataset long, target_id long, count long")
+    results.save_results(f"{tmp_path}/r", seen(targets, "targets"), seen(datasets, "datasets"), seen(counts, "counts"), "exon", 3, stats=True)
+    assert {name: a.value for name, a in made.items()} == {"targets": 3, "datasets": 2, "counts": 6}
+    saved = results.open_results(spark, f"{tmp_path}/r")
+    assert sorted(r[1:] for r in saved.counts.where("kind = 'global'").select("kind", "target_id", "count").collect()) == [(1, 3), (2, 6), (3, 9)]
+
+
+@pytest.mark.parametrize("name", ["export_global"])
+def test_exports_count_once(spark, name):
+    # each round of counting of 200 parts by ten datasets would be over 1 MB
+    assert shuffled(spark, lambda: drained(catalogue.queries()[name](spark, SF))) < 1_000_000
