@@ -95,7 +95,7 @@ def test_a_result_is_written_from_tables_made_once(spark, tmp_path):
     assert sorted(r[1:] for r in saved.counts.where("kind = 'global'").select("kind", "target_id", "count").collect()) == [(1, 3), (2, 6), (3, 9)]
 
 
-@pytest.mark.parametrize("name", ["export_global", "export_long", "export_normalized", "export_selection"])
+@pytest.mark.parametrize("name", ["export_global", "export_long", "export_normalized", "export_selection", "reference_subset"])
 def test_exports_count_once(spark, name):
     # each round of counting of 200 parts by ten datasets would be over 1 MB
     assert shuffled(spark, lambda: drained(catalogue.queries()[name](spark, SF))) < 1_000_000
