@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as fn
 from ..operators import explore, quantify
-from .catalogue import _BASE, K, _t, matrix, query, reads, records, sort_total_desc
+from .catalogue import _BASE, K, _t, by_total, matrix, query, reads, records
 
 _NAMES = "nm AS (SELECT p_partkey AS target, p_name AS name FROM part)"
 
@@ -56,7 +56,7 @@ def sort_statistic_nulls_last(spark, d):
 def heatmap_pivot(spark, d):
     m = matrix(spark, d)
     columns = m.select("dataset").distinct().withColumn("position", F.col("dataset") + 1)
-    return explore.pivot_page(m, "target", "dataset", sort_total_desc(spark, d), columns, 1, 1, 20, 5)
+    return explore.pivot_page(m, "target", "dataset", by_total(m), columns, 1, 1, 20, 5)
 
 
 @query(_BASE + "SELECT dataset, target, count, CASE WHEN count BETWEEN 10 AND 30 THEN count END AS shown FROM mat")

@@ -114,3 +114,9 @@ def test_folds_round_as_their_sql(spark, tmp_path, monkeypatch):
     want = con.execute("WITH m AS" + catalogue.oracle_sql()["fold_change"].split(", m AS", 1)[1]).fetchall()
     got = [tuple(r) for r in catalogue.queries()["fold_change"](spark, "").collect()]
     assert len(want) > 100 and sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("name", ["heatmap_pivot"])
+def test_the_matrix_is_built_once(spark, name):
+    # a round of counting as it was would be over 1 MB, as it is about 180 kB
+    assert shuffled(spark, lambda: drained(catalogue.queries()[name](spark, SF))) < 300_000
