@@ -1,5 +1,7 @@
 """What queries move and hold as tables grow: bytes shuffled, rows made, times that a table is built."""
 
+import time
+
 import duckdb
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from helixframe.operators import index, quantify, spans
 from helixframe.plans import catalogue
 from helixframe.sources import results
+from helixframe.storage import cut, forget
 
 SF = "/root/testdata/sf0.001"
 
@@ -120,3 +123,23 @@ def test_folds_round_as_their_sql(spark, tmp_path, monkeypatch):
 def test_the_matrix_is_built_once(spark, name):
     # a round of counting as it was would be over 1 MB, as it is about 180 kB
     assert shuffled(spark, lambda: drained(catalogue.queries()[name](spark, SF))) < 400_000
+
+
+def test_what_a_cut_shuffled_is_deleted_at_the_next(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = blocks.getAllBlocks()
+        return {x for x in (found.apply(i).name() for i in range(found.size())) if x.startswith("shuffle_")}
+
+    def made():
+        return cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")).repartition(5))
+
+    before = shuffles()
+    one = made()
+    first, two = shuffles() - before, made()
+    end = time.time() + 15
+    while shuffles() & first and time.time() < end:
+        time.sleep(0.2)
+    assert first and not shuffles() & first and one.count() == two.count() == 7
+    forget(one, two)
